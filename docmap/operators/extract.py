@@ -18,7 +18,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from docmap.functions import transform as tx
 from docmap.functions.types import coerce_by_rule, coerce_declared, name_rule
@@ -41,12 +40,12 @@ def first_wins(mappings: DataFrame, order_cols: list[str], skip_ids: bool = True
     (target_table, target_column) — add a document key to run it for many
     documents at once.
     """
+    from docmap.operators.references import first_per_group
     part = partition or ["target_table", "target_column"]
     m = mappings
     if skip_ids:
         m = m.where(~is_surrogate_key(F.col("target_column")))
-    w = Window.partitionBy(*part).orderBy(*order_cols)
-    return m.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return first_per_group(m, part, order_cols)
 
 
 # ------------------------------------------------------------------ X3 compile

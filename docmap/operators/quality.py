@@ -75,7 +75,8 @@ def mapping_issues(m: DataFrame, index_col: str = "mapping_index") -> DataFrame:
     conf = F.coalesce(F.col("confidence_score").cast("double"), F.lit(0.0))
     low = m.where(conf < LOW_CONFIDENCE).select(
         "*", F.lit("low_confidence").alias("issue_type"),
-        F.format_string("Low confidence (%.2f) for %s → %s", conf, F.col("source_node"), F.col("target_column")).alias("message"),
+        F.format_string("Low confidence (%.2f) for %s → %s", conf, F.coalesce(F.col("source_node"), F.lit("None")),
+                        F.coalesce(F.col("target_column"), F.lit("None"))).alias("message"),
         F.lit("warning").alias("severity"))
     st = F.lower(F.coalesce(F.col("source_data_type"), F.lit("")))
     tt = F.lower(F.coalesce(F.col("target_data_type"), F.lit("")))
