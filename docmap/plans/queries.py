@@ -128,7 +128,7 @@ def xml_parent_rollup(spark, sf):
 
 @query("xml_type_profile", _NODES + f"""
 SELECT node_path, {Q.infer_type_sql('text')} AS data_type, count(*) AS n,
-       count({Q.sample_sql('text')}) AS n_samples, max(length({Q.sample_sql('text')})) AS max_sample_len
+       count({Q.sample_sql('text')}) AS n_samples, CAST(max(length({Q.sample_sql('text')})) AS INTEGER) AS max_sample_len
 FROM nodes GROUP BY 1, 2""")
 def xml_type_profile(spark, sf):
     """Inferred type and sample values per path."""
