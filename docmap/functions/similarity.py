@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmap.session import ensure_worker_code
+
 
 @F.pandas_udf("double")
 def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -66,6 +68,7 @@ def fuzzy_matches(terms: DataFrame, term_col: str, patterns: DataFrame, pattern_
     ``pattern_first`` puts the pattern as the first ``SequenceMatcher``
     argument, as in tag/attribute evidence.
     """
+    ensure_worker_code(terms.sparkSession)
     pairs = candidate_pairs(terms, term_col, patterns, pattern_col, threshold)
     a, b = (F.col(pattern_col), F.col(term_col)) if pattern_first else (F.col(term_col), F.col(pattern_col))
     return pairs.withColumn("similarity", similarity_ratio(a, b)).where(F.col("similarity") > threshold)

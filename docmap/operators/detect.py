@@ -93,41 +93,69 @@ def keyword_detect(df: DataFrame, text_col: str, key_cols: list[str]) -> DataFra
                      pick.alias("detected_product"), best.alias("confidence"))
 
 
-def _patterns(spark: SparkSession, idx: int, kind: str) -> DataFrame:
-    rows = [(p[0], d, pat.lower(), j) for d, p in enumerate(PRODUCTS) for j, pat in enumerate(p[idx])]
-    return spark.createDataFrame(rows, "product_code string, def_order int, pattern string, pattern_idx int") \
-        .withColumn("kind", F.lit(kind))
+def _patterns(spark: SparkSession) -> DataFrame:
+    """Node and attribute patterns of every product (configuration-sized)."""
+    rows = [(p[0], d, kind, pat.lower(), j)
+            for d, p in enumerate(PRODUCTS)
+            for kind, pats in (("node", p[3]), ("attr", p[4]))
+            for j, pat in enumerate(pats)]
+    return spark.createDataFrame(rows, "product_code string, def_order int, kind string, pattern string, pattern_idx int")
 
 
-def _evidence(items: DataFrame, key_cols: list[str], patterns: DataFrame,
-              exact_pts: float, fuzzy_pts: float) -> DataFrame:
-    """Per (doc, product, pattern): points and fuzzy similarity.
+def document_terms(nodes: DataFrame, key_cols: list[str]) -> DataFrame:
+    """One row per (document, kind, lower-cased term) with its first position.
 
-    ``items``: keys, term (lower-cased), first_ord (first position in document order).
+    kind ``node`` = element names, ``attr`` = attribute names, ``error`` = a
+    document that did not parse.  A single aggregate over the node rows; every
+    evidence rule reads this table.
     """
+    items = F.when(F.col("ordinal") < 0, F.array(F.struct(F.lit("error").alias("kind"), F.lit("").alias("term"))))\
+        .otherwise(F.concat(
+            F.array(F.struct(F.lit("node").alias("kind"), F.lower("node_name").alias("term"))),
+            F.transform(F.coalesce("attributes", F.array().cast("array<string>")),
+                        lambda a: F.struct(F.lit("attr").alias("kind"), F.lower(a).alias("term")))))
+    return (nodes.select(*key_cols, "ordinal", F.inline(items))
+            .groupBy(*key_cols, "kind", "term").agg(F.min("ordinal").alias("first_ord")))
+
+
+def _evidence(terms: DataFrame, key_cols: list[str], patterns: DataFrame) -> DataFrame:
+    """Per (doc, product, kind, pattern): exact beats fuzzy; among fuzzy hits
+    the first term in document order gives the similarity (D2-D4)."""
     pat = F.broadcast(patterns)  # configuration-sized
-    exact = (items.join(pat, items.term == pat.pattern)
-             .select(*key_cols, "product_code", "pattern_idx", F.lit(True).alias("is_exact"),
-                     F.lit(None).cast("double").alias("sim"), F.lit(-1).alias("first_ord")))
-    vocab = items.select("term").distinct()
-    fz = fuzzy_matches(vocab, "term", patterns, "pattern", TAG_THRESHOLD)  # (term, pattern..., similarity)
-    fuzzy = (items.join(fz.select("term", "product_code", "pattern_idx", "similarity"), "term")
-             .select(*key_cols, "product_code", "pattern_idx", F.lit(False).alias("is_exact"),
-                     F.col("similarity").alias("sim"), "first_ord"))
-    both = exact.unionByName(fuzzy)
-    # exact beats fuzzy; among fuzzy hits the first tag in document order wins
-    best = (both.groupBy(*key_cols, "product_code", "pattern_idx")
-            .agg(F.min(F.struct((~F.col("is_exact")).alias("nx"), "first_ord", "sim")).alias("b")))
-    return best.select(*key_cols, "product_code",
-                       F.when(~F.col("b.nx"), exact_pts).otherwise(fuzzy_pts).alias("points"),
-                       F.when(F.col("b.nx"), F.col("b.sim")).otherwise(0.0).alias("fuzzy_sim"))
+    exact = (terms.join(pat, (terms.kind == pat.kind) & (terms.term == pat.pattern))
+             .select(*key_cols, "product_code", terms.kind, "pattern_idx", F.lit(0).alias("fz"),
+                     F.lit(-1).alias("first_ord"), F.lit(None).cast("double").alias("sim")))
+    vocab = terms.where(F.col("kind") != "error").select("kind", "term").distinct()
+    # candidate pairs per kind: join the vocabulary and the patterns of the same kind
+    fz_rows = []
+    for kind in ("node", "attr"):
+        v = vocab.where(F.col("kind") == kind).select("term")
+        pk = patterns.where(F.col("kind") == kind).drop("kind")
+        fz_rows.append(fuzzy_matches(v, "term", pk, "pattern", TAG_THRESHOLD)
+                       .select(F.lit(kind).alias("kind"), "term", "product_code", "pattern_idx", "similarity"))
+    fz = fz_rows[0].unionByName(fz_rows[1])
+    fuzzy = (terms.join(fz, ["kind", "term"])
+             .select(*key_cols, "product_code", "kind", "pattern_idx", F.lit(1).alias("fz"), "first_ord",
+                     F.col("similarity").alias("sim")))
+    best = (exact.unionByName(fuzzy)
+            .groupBy(*key_cols, "product_code", "kind", "pattern_idx")
+            .agg(F.min(F.struct("fz", "first_ord", "sim")).alias("b")))
+    pts = (F.when((F.col("kind") == "node") & (F.col("b.fz") == 0), 2.0)
+           .when(F.col("kind") == "node", 1.5)
+           .when(F.col("b.fz") == 0, 1.5).otherwise(1.0))
+    return best.select(*key_cols, "product_code", "kind", pts.alias("points"),
+                       F.when(F.col("b.fz") == 1, F.col("b.sim")).otherwise(0.0).alias("fuzzy_sim"))
 
 
 def product_scores(spark: SparkSession, docs: DataFrame, nodes: DataFrame, key_cols: list[str],
-                   raw_col: str = "raw_xml") -> DataFrame:
+                   raw_col: str = "raw_xml", materialize: bool = True) -> DataFrame:
     """One row per (document, product) with raw and normalized score.
 
     ``nodes`` is ``xml_nodes(.., keep_errors=True)`` of the same documents.
+    The term table is read by four evidence branches; with ``materialize``
+    its lineage is cut by a reliable checkpoint (written once to the shared
+    ``spark.checkpoint.dir``) so documents are parsed once, and a lost
+    executor re-reads the checkpoint instead of re-parsing.
     """
     text = document_text(F.col(raw_col))
     prod_rows = []
@@ -137,29 +165,28 @@ def product_scores(spark: SparkSession, docs: DataFrame, nodes: DataFrame, key_c
             _count_contained(text, p[2]).alias("keyword_matches"),
             F.when(F.instr(text, p[0].lower()) > 0, 3.0).otherwise(0.0).alias("code_points"),
             F.lit(max_score(p)).alias("max_score")))
-    base = docs.select(*key_cols, F.explode(F.array(*prod_rows)).alias("p")).select(*key_cols, "p.*")
-
-    ok = nodes.where(F.col("ordinal") >= 0)
-    tags = ok.groupBy(*key_cols, F.lower("node_name").alias("term")).agg(F.min("ordinal").alias("first_ord"))
-    attrs = (ok.select(*key_cols, "ordinal", F.explode("attributes").alias("a"))
-             .groupBy(*key_cols, F.lower("a").alias("term")).agg(F.min("ordinal").alias("first_ord")))
-    ev_tag = _evidence(tags, key_cols, _patterns(spark, 3, "node"), 2.0, 1.5) \
-        .groupBy(*key_cols, "product_code").agg(F.sum("points").alias("node_points"),
-                                                  F.count(F.lit(1)).alias("node_matches"),
-                                                  F.sum("fuzzy_sim").alias("fuzzy_score"))
-    ev_attr = _evidence(attrs, key_cols, _patterns(spark, 4, "attr"), 1.5, 1.0) \
-        .groupBy(*key_cols, "product_code").agg(F.sum("points").alias("attr_points"),
-                                                  F.count(F.lit(1)).alias("attribute_matches"))
-    parsed = nodes.groupBy(*key_cols).agg(F.min("ordinal").alias("_min_ord"))
-    s = (base.join(ev_tag, [*key_cols, "product_code"], "left")
-         .join(ev_attr, [*key_cols, "product_code"], "left")
-         .join(parsed, key_cols, "left")
+    base = docs.select(*key_cols, F.inline(F.array(*prod_rows)))
+
+    terms = document_terms(nodes, key_cols)
+    if materialize:
+        from docmap.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        terms = terms.checkpoint(eager=True)
+    ev = _evidence(terms, key_cols, _patterns(spark)).groupBy(*key_cols, "product_code").agg(
+        F.sum(F.when(F.col("kind") == "node", F.col("points")).otherwise(0.0)).alias("node_points"),
+        F.count_if(F.col("kind") == "node").alias("node_matches"),
+        F.sum(F.when(F.col("kind") == "node", F.col("fuzzy_sim")).otherwise(0.0)).alias("fuzzy_score"),
+        F.sum(F.when(F.col("kind") == "attr", F.col("points")).otherwise(0.0)).alias("attr_points"),
+        F.count_if(F.col("kind") == "attr").alias("attribute_matches"))
+    failed = terms.where(F.col("kind") == "error").select(*key_cols, F.lit(True).alias("_failed"))
+    s = (base.join(ev, [*key_cols, "product_code"], "left")
+         .join(failed, key_cols, "left")
          .na.fill({"node_points": 0.0, "node_matches": 0, "fuzzy_score": 0.0,
                    "attr_points": 0.0, "attribute_matches": 0}))
     raw = F.col("keyword_matches") + F.col("node_points") + F.col("attr_points") + F.col("code_points")
     return s.select(
         *key_cols, "product_code", "product_name", "def_order",
-        (F.coalesce(F.col("_min_ord"), F.lit(-1)) >= 0).alias("parsed"),
+        F.col("_failed").isNull().alias("parsed"),
         raw.alias("raw_score"), (raw / F.col("max_score")).alias("normalized_score"),
         "keyword_matches", "node_matches", "attribute_matches", "fuzzy_score")
 

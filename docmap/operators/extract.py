@@ -233,6 +233,9 @@ def project(docs: DataFrame, mappings: list[CompiledMapping], key_cols: list[str
 
 def quarantine_transforms(mappings: DataFrame) -> DataFrame:
     """X15 check as a column: reason text when a transformation is not allowed."""
+    from docmap.session import ensure_worker_code
+    ensure_worker_code(mappings.sparkSession)
+
     @F.udf("string")
     def _why(t):
         from docmap.functions.transform import validate

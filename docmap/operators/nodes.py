@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmap.functions.types import infer_type, sample_value
+from docmap.session import ensure_worker_code
 
 _NODE_FIELDS = [
     T.StructField("ordinal", T.IntegerType()),
@@ -39,24 +40,25 @@ def _flatten_fn(key_cols: list[str], raw_col: str, key_types: list[T.DataType]):
         + [pa.field(f.name, _arrow_type(f.dataType)) for f in _NODE_FIELDS])
 
     def fn(batches):
-        from docmap.functions.xmlnodes import walk_nodes
+        from docmap.functions.xmlnodes import walk_columns
         for batch in batches:
             keys = {k: batch.column(k).to_pylist() for k in key_cols}
             raws = batch.column(raw_col).to_pylist()
-            cols = {k: [] for k in key_cols}
-            node_cols = {n: [] for n in node_names}
+            out_keys = {k: [] for k in key_cols}
+            cols = {n: [] for n in node_names}
             for i, raw in enumerate(raws):
-                nodes, err = walk_nodes(raw)
+                before = len(cols["ordinal"])
+                count, err = walk_columns(raw, cols)
                 if err is not None:
-                    nodes = [{"ordinal": -1, "node_path": None, "node_name": None,
-                              "attributes": None, "text": None, "depth": None}]
-                for nd in nodes:
-                    for k in key_cols:
-                        cols[k].append(keys[k][i])
-                    for n in node_names[:-1]:
-                        node_cols[n].append(nd[n])
-                    node_cols["parse_error"].append(err)
-            yield pa.RecordBatch.from_pydict({**cols, **node_cols}, schema=out_schema)
+                    for n, v in (("ordinal", -1), ("node_path", None), ("node_name", None),
+                                 ("attributes", None), ("text", None), ("depth", None)):
+                        cols[n].append(v)
+                    count = 1
+                cols["parse_error"].extend([err] * count)
+                for k in key_cols:
+                    out_keys[k].extend([keys[k][i]] * count)
+                assert len(cols["ordinal"]) == before + count
+            yield pa.RecordBatch.from_pydict({**out_keys, **cols}, schema=out_schema)
 
     return fn
 
@@ -68,6 +70,7 @@ def xml_nodes(docs: DataFrame, key_cols: list[str] | None = None, raw_col: str =
     row with ``ordinal = -1`` and ``parse_error`` (kept only if ``keep_errors``).
     """
     key_cols = key_cols or ["xml_id"]
+    ensure_worker_code(docs.sparkSession)
     src = docs.select(*key_cols, raw_col)
     key_types = [src.schema[k].dataType for k in key_cols]
     schema = T.StructType([src.schema[k] for k in key_cols] + _NODE_FIELDS)

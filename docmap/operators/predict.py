@@ -104,6 +104,8 @@ def predict(paths: DataFrame, history: DataFrame, pairs: DataFrame | None = None
                  F.lit("history: same element name").alias("reasoning")))
     allc = a.unionByName(b)
     if pairs is not None:
+        from docmap.session import ensure_worker_code
+        ensure_worker_code(pairs.sparkSession)
         c = (pairs.select("xpath", "target_table", F.col("column_name").alias("target_column"))
              .withColumn("confidence_score",
                          F.lit(0.5) + F.lit(0.4) * similarity_ratio(snake(last_step(F.col("xpath"))),

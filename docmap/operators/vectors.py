@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmap.session import ensure_worker_code
+
 BLOCK_ROWS = 2048
 
 
@@ -56,6 +58,7 @@ def cosine_topk(sources: DataFrame, targets: DataFrame, k: int = 5, id_col: str
 
     Output: src_id, tgt_id, score (double), rank (1..k; ties by target id).
     """
+    ensure_worker_code(sources.sparkSession)
     n_s = sources.count()
     n_t = targets.count()
     sb = max(1, math.ceil(n_s / block_rows))

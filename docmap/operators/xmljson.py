@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmap.functions.transform import apply_transform, is_identity
+from docmap.session import ensure_worker_code
 
 
 def _conv(convention: str):
@@ -31,6 +32,7 @@ xml_to_json_b = _conv("b")
 def to_variant(df: DataFrame, raw_col: str = "raw_xml", convention: str = "a",
                out_col: str = "xml_data") -> DataFrame:
     """Document -> VARIANT (NULL when the document does not parse)."""
+    ensure_worker_code(df.sparkSession)
     fn = xml_to_json_a if convention == "a" else xml_to_json_b
     return df.withColumn(out_col, F.try_parse_json(fn(F.col(raw_col))))
 

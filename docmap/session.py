@@ -33,6 +33,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     active = SparkSession.getActiveSession()
     if active is not None:
         ensure_checkpoint_dir(active)
+        ensure_worker_code(active)
         return active
     b = SparkSession.builder.appName(app_name)
     if master:
@@ -44,6 +45,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ensure_worker_code(spark)
     return spark
 
 
@@ -59,6 +61,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SHIPPED: set[str] = set()
+
+
+def ensure_worker_code(spark: SparkSession) -> None:
+    """Make ``docmap`` importable in Python workers (once per SparkContext).
+
+    UDF bodies import docmap helpers; on a cluster (or when the driver runs
+    outside the repository) workers only see code shipped with the job, so
+    the package is zipped and added with ``addPyFile``.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="docmap-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "docmap"), "zip", os.path.dirname(pkg), "docmap")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table under the session's shared checkpoint dir."""
     return os.path.join(ensure_checkpoint_dir(spark), name)

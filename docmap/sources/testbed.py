@@ -75,7 +75,11 @@ def _segment_struct(segment: str, fields: dict[str, Column]) -> Column:
 
 def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw XML order documents: (o_orderkey, part, file_name, file_path, raw_xml)."""
-    orders = read_table(spark, sf_dir, "orders")
+    # Hash-partition orders by key: it is the distribution the join with the
+    # parts needs anyway, and it spreads the per-document work (to_xml and
+    # later parsing) over all cores even when the source is one small file.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    orders = read_table(spark, sf_dir, "orders").repartition(n, "o_orderkey")
     cust = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
     parts = order_parts(spark, sf_dir)
