@@ -82,15 +82,17 @@ def _count_contained(text: Column, words: list[str]) -> Column:
 def keyword_detect(df: DataFrame, text_col: str, key_cols: list[str]) -> DataFrame:
     """Per product the number of its keywords contained in the lower-cased
     text; best = highest count, ties to the first product; confidence = count."""
-    t = F.lower(F.col(text_col))
-    counts = {code: _count_contained(t, kws) for code, kws in SIMPLE_KEYWORDS}
-    best = F.greatest(*counts.values())
+    # lower() once per row in its own projection (kept separate by the
+    # optimizer because it is referenced many times)
+    low = df.select(*key_cols, F.lower(F.col(text_col)).alias("_low"))
+    counts = {code: _count_contained(F.col("_low"), kws) for code, kws in SIMPLE_KEYWORDS}
+    cols = low.select(*key_cols, *[c.alias(f"kw_{code.lower()}") for code, c in counts.items()])
+    kw = {code: F.col(f"kw_{code.lower()}") for code, _ in SIMPLE_KEYWORDS}
+    best = F.greatest(*kw.values())
     pick = None
-    for code, c in reversed(list(counts.items())):
+    for code, c in reversed(list(kw.items())):
         pick = F.when(c == best, code) if pick is None else F.when(c == best, code).otherwise(pick)
-    return df.select(*key_cols,
-                     *[c.alias(f"kw_{code.lower()}") for code, c in counts.items()],
-                     pick.alias("detected_product"), best.alias("confidence"))
+    return cols.select("*", pick.alias("detected_product"), best.alias("confidence"))
 
 
 def _patterns(spark: SparkSession) -> DataFrame:
@@ -157,7 +159,7 @@ def product_scores(spark: SparkSession, docs: DataFrame, nodes: DataFrame, key_c
     ``spark.checkpoint.dir``) so documents are parsed once, and a lost
     executor re-reads the checkpoint instead of re-parsing.
     """
-    text = document_text(F.col(raw_col))
+    text = F.col("_text")
     prod_rows = []
     for d, p in enumerate(PRODUCTS):
         prod_rows.append(F.struct(
@@ -165,7 +167,9 @@ def product_scores(spark: SparkSession, docs: DataFrame, nodes: DataFrame, key_c
             _count_contained(text, p[2]).alias("keyword_matches"),
             F.when(F.instr(text, p[0].lower()) > 0, 3.0).otherwise(0.0).alias("code_points"),
             F.lit(max_score(p)).alias("max_score")))
-    base = docs.select(*key_cols, F.inline(F.array(*prod_rows)))
+    # the normalized text is computed once per document in its own projection
+    base = (docs.select(*key_cols, document_text(F.col(raw_col)).alias("_text"))
+            .select(*key_cols, F.inline(F.array(*prod_rows))))
 
     terms = document_terms(nodes, key_cols)
     if materialize:

@@ -11,13 +11,14 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmap.functions.transform import apply_transform, is_identity
 from docmap.session import ensure_worker_code
 
 
 def _conv(convention: str):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def conv(raw: pd.Series) -> pd.Series:
         from docmap.functions.xmlnodes import to_json_text
         return pd.Series([to_json_text(r, convention)[0] if r is not None else None for r in raw],

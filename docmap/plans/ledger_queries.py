@@ -16,7 +16,7 @@ from docmap.schemas import SILVER
 from docmap.sources.testbed import LEDGER_ORDER, bronze_documents, mapping_ledger, read_table
 
 _LEDGER = Q.with_ctes(Q.LEDGER_CTE)
-_ORD = "doc_key, line_no, part_key, supp_key"
+_ORD = ", ".join(LEDGER_ORDER)
 
 
 def _ledger(spark, sf):

@@ -40,7 +40,9 @@ docs AS (SELECT o.*, cu.*, coalesce(p.part, 0) AS part
          LEFT JOIN customer cu ON cu.c_custkey = o.o_custkey
          LEFT JOIN (SELECT DISTINCT l_orderkey, part FROM li) p ON p.l_orderkey = o.o_orderkey),
 recs AS (SELECT li.*, CAST(row_number() OVER (PARTITION BY l_orderkey, part
-                                             ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INTEGER) AS record_index
+                                             ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+                                                      l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1
+                           AS INTEGER) AS record_index
          FROM li)
 """
 
@@ -138,9 +140,12 @@ def pick(values: list[str], idx: str) -> str:
 
 LEDGER_CTE = f"""
 ledger AS (SELECT
-  printf('MAP-%d-%d-%d-%d', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS mapping_id,
+  printf('MAP-%d-%d-%d-%d-%d', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+         CAST(round(l_extendedprice * 100) AS BIGINT)) AS mapping_id,
   'XML-' || l_orderkey AS xml_id, l_orderkey AS doc_key, l_linenumber AS line_no,
   l_partkey AS part_key, l_suppkey AS supp_key,
+  l_quantity AS ord_qty, l_extendedprice AS ord_price, l_discount AS ord_disc, l_tax AS ord_tax,
+  l_returnflag AS ord_flag, l_linestatus AS ord_status, l_shipdate AS ord_ship,
   CASE WHEN l_suppkey % 17 = 0 THEN NULL ELSE {pick(LEDGER_PATHS, 'l_suppkey')} END AS source_node,
   {pick(LEDGER_TABLES, 'l_linenumber')} AS target_table,
   {pick(LEDGER_COLUMNS, 'l_partkey')} AS target_column,

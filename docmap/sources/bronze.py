@@ -19,8 +19,8 @@ def read_xml_files(spark: SparkSession, directory: str, glob: str = "*.xml",
     One row per file; Spark splits the listing across tasks, nothing is
     read on the driver.
     """
-    r = (spark.read.option("wholetext", True).option("pathGlobFilter", glob)
-         .option("recursiveFileLookup", recursive).text(directory))
+    r = (spark.read.option("pathGlobFilter", glob)
+         .option("recursiveFileLookup", recursive).text(directory, wholetext=True))
     return r.select(
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_path").alias("file_path"),

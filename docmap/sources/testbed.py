@@ -46,8 +46,13 @@ def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Map-side combined count per order: one small row per key.
     counts = li.groupBy("l_orderkey").agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / RECORDS_PER_PART)).cast("int").alias("n_parts"))
+    # sort key first (ln, pk, sk + the remaining typed fields as tie-breakers,
+    # so the record order is total), dropped after sorting
     rec = F.struct(
         F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"),
+        F.col("l_quantity").alias("t1"), F.col("l_extendedprice").alias("t2"), F.col("l_discount").alias("t3"),
+        F.col("l_tax").alias("t4"), F.col("l_returnflag").alias("t5"), F.col("l_linestatus").alias("t6"),
+        F.col("l_shipdate").alias("t7"),
         F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"),
                  F.lit("-"), F.col("l_partkey").cast("string")).alias("_id"),
         F.col("l_partkey").cast("string").alias("CoverageCode"),
@@ -87,7 +92,8 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = (orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
            .join(parts, "o_orderkey", "left")
            .withColumn("part", F.coalesce("part", F.lit(0))))
-    coverage = F.transform(F.col("recs"), lambda r: r.dropFields("ln", "pk", "sk"))
+    coverage = F.transform(F.col("recs"), lambda r: r.dropFields("ln", "pk", "sk", "t1", "t2", "t3", "t4", "t5",
+                                                                 "t6", "t7"))
     session = F.struct(
         F.struct(
             F.concat(F.lit("TX-"), F.col("o_orderkey").cast("string"), F.lit("-"),
@@ -181,17 +187,22 @@ def _pick(values: list[str], idx: Column) -> Column:
 def mapping_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mapping ledger with one row per line item (7.3 of the survey).
 
-    ``LEDGER_ORDER`` (doc_key, line_no, part_key, supp_key) is the unique
-    input ordinal every first-wins operator sorts by.
+    ``LEDGER_ORDER`` (doc_key, line_no, part_key, supp_key, then the other
+    line fields) is the total input order every first-wins operator sorts by.
     """
     li = read_table(spark, sf_dir, "lineitem")
     return li.select(
-        F.format_string("MAP-%d-%d-%d-%d", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("mapping_id"),
+        F.format_string("MAP-%d-%d-%d-%d-%d", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                        F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("mapping_id"),
         F.format_string("XML-%d", "l_orderkey").alias("xml_id"),
         F.col("l_orderkey").alias("doc_key"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("part_key"),
         F.col("l_suppkey").alias("supp_key"),
+        F.col("l_quantity").alias("ord_qty"), F.col("l_extendedprice").alias("ord_price"),
+        F.col("l_discount").alias("ord_disc"), F.col("l_tax").alias("ord_tax"),
+        F.col("l_returnflag").alias("ord_flag"), F.col("l_linestatus").alias("ord_status"),
+        F.col("l_shipdate").alias("ord_ship"),
         F.when(F.col("l_suppkey") % 17 == 0, F.lit(None).cast("string"))
          .otherwise(_pick(LEDGER_PATHS, F.col("l_suppkey"))).alias("source_node"),
         _pick(LEDGER_TABLES, F.col("l_linenumber")).alias("target_table"),
@@ -213,4 +224,5 @@ def mapping_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LEDGER_ORDER = ["doc_key", "line_no", "part_key", "supp_key"]
+LEDGER_ORDER = ["doc_key", "line_no", "part_key", "supp_key", "ord_qty", "ord_price", "ord_disc", "ord_tax",
+                "ord_flag", "ord_status", "ord_ship"]

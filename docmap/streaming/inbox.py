@@ -15,8 +15,8 @@ from docmap.sources.bronze import land_documents
 
 
 def inbox_stream(spark: SparkSession, directory: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    raw = (spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.xml")
-           .option("maxFilesPerTrigger", max_files_per_trigger).text(directory))
+    raw = (spark.readStream.option("pathGlobFilter", "*.xml")
+           .option("maxFilesPerTrigger", max_files_per_trigger).text(directory, wholetext=True))
     docs = raw.select(F.col("_metadata.file_name").alias("file_name"),
                       F.col("_metadata.file_path").alias("file_path"),
                       F.col("value").alias("raw_xml"))
