@@ -22,6 +22,23 @@ from pyspark.sql import functions as F
 from docmap.sources.bronze import land_documents
 
 RECORDS_PER_PART = 16
+# Bytes of XML per document partition the parse stages should see, and the
+# growth of columnar line-item bytes into document text.
+DOC_PARTITION_BYTES = 64 * 1024 * 1024
+TEXT_EXPANSION = 8
+
+
+def plan_size_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (file sizes for a scan)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def doc_partitions(spark: SparkSession, lineitem: DataFrame) -> int:
+    """Partitions for the document stages: enough for every core, and sized so
+    each holds about DOC_PARTITION_BYTES of XML text at any scale."""
+    by_size = -(-plan_size_bytes(lineitem) * TEXT_EXPANSION // DOC_PARTITION_BYTES)
+    return max(int(by_size), 2 * spark.sparkContext.defaultParallelism,
+               int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,7 +100,7 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Hash-partition orders by key: it is the distribution the join with the
     # parts needs anyway, and it spreads the per-document work (to_xml and
     # later parsing) over all cores even when the source is one small file.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = doc_partitions(spark, read_table(spark, sf_dir, "lineitem"))
     orders = read_table(spark, sf_dir, "orders").repartition(n, "o_orderkey")
     cust = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
@@ -147,7 +164,7 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         name.alias("file_name"),
         F.concat(F.lit(f"{sf_dir}/documents/"), name).alias("file_path"),
         F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'),
-                 F.to_xml(session, {"rowTag": "Session"})).alias("raw_xml"),
+                 F.to_xml(session, {"rowTag": "Session", "indent": ""})).alias("raw_xml"),
     )
 
 
