@@ -70,13 +70,17 @@ def file_relevance(files: DataFrame, name_col: str = "file_name", fuzzy: bool =
 
 
 def relevant_files(scored: DataFrame, product_code: str | None = None, threshold: float = 1.0,
-                   name_col: str = "file_name") -> DataFrame:
-    """R2: files with score > 0 and >= threshold, ranked by score desc then name."""
+                   name_col: str = "file_name", max_files: int | None = 3) -> DataFrame:
+    """R2 (+ the top-N of R3): files with score > 0 and >= threshold, ranked by
+    score desc then name.  With ``max_files`` only the first N per product are
+    kept (``row_number() <= N``: a partial group limit runs before the shuffle,
+    so a product with many files never gathers them in one task)."""
     s = scored.where((F.col("score") > 0) & (F.col("score") >= threshold))
     if product_code is not None:
         s = s.where(F.col("product_code") == product_code)
     w = Window.partitionBy("product_code").orderBy(F.desc("score"), name_col)
-    return s.withColumn("file_rank", F.row_number().over(w))
+    r = s.withColumn("file_rank", F.row_number().over(w))
+    return r.where(F.col("file_rank") <= max_files) if max_files is not None else r
 
 
 def union_ranked(frames: list[tuple[str, int, DataFrame]]) -> DataFrame:

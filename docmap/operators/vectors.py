@@ -73,10 +73,3 @@ def cosine_topk(sources: DataFrame, targets: DataFrame, k: int = 5, id_col: str
              .applyInPandas(_cell_topk(k), "src_id long, tgt_id long, score double"))
     w = Window.partitionBy("src_id").orderBy(F.desc("score"), "tgt_id")
     return cells.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def similarity_matrix(sources: DataFrame, targets: DataFrame, id_col: str = "vec_id",
-                      vec_col: str = "embedding") -> DataFrame:
-    """Full source x target score matrix (the reference's output shape); only
-    for inputs whose product is known to be small — prefer ``cosine_topk``."""
-    return cosine_topk(sources, targets, k=targets.count(), id_col=id_col, vec_col=vec_col)

@@ -110,8 +110,14 @@ FROM top"""
 
 @query("product_detect", _product_detect_sql())
 def product_detect(spark, sf):
-    """Weighted-evidence product per order document."""
-    docs = _docs(spark, sf)
+    """Weighted-evidence product per order document.
+
+    The documents are read by two branches (text keywords, element names);
+    Bronze is materialized once with a reliable checkpoint, as a stored
+    Bronze table would be, instead of being rebuilt per branch.
+    """
+    ensure_checkpoint_dir(spark)
+    docs = _docs(spark, sf).select(*DOC_KEYS, "raw_xml").checkpoint(eager=True)
     nodes = xml_nodes(docs, DOC_KEYS, keep_errors=True)
     scores = D.product_scores(spark, docs, nodes, DOC_KEYS)
     best = D.detect_products(scores, DOC_KEYS)
