@@ -271,3 +271,34 @@ def load_silver(docs: DataFrame, mappings: DataFrame, target_table: str, key_col
         out = out.select(*key_cols, *(["record_index"] if record_path else []),
                          *[F.col(c) if c in present else F.lit(None).alias(c) for c in columns])
     return out
+
+
+def load_tables(docs: DataFrame, mappings: DataFrame, tables: list[str], key_cols: list[str],
+                order_cols: list[str] | None = None, mode: str = "declared",
+                record_paths: dict[str, str] | None = None, root: str = "Session"):
+    """Typed rows for several target tables with per-table isolation.
+
+    Returns ``(frames, status)``: a DataFrame per loadable table and one status
+    row per table (OK / PARTIAL when some mappings were quarantined because
+    their transformation is not allowed / NO_COLUMNS / FAILED with the error).
+    A failing table never stops the others.
+    """
+    order_cols = order_cols or ["ord"]
+    frames, status = {}, []
+    for t in tables:
+        try:
+            m = first_wins(mappings.where(F.upper("target_table") == t.upper()), order_cols)
+            compiled = collect_mappings(m.orderBy(*order_cols))
+            errors = {c.target_column: tx.validate(c.transformation) for c in compiled}
+            good = [c for c in compiled if errors[c.target_column] is None]
+            bad = [f"{c}: {e}" for c, e in errors.items() if e is not None]
+            if not good:
+                status.append((t, "NO_COLUMNS", "; ".join(bad) or "no mapped columns", 0))
+                continue
+            frames[t] = project(docs, good, key_cols, root=root, mode=mode,
+                                record_path=(record_paths or {}).get(t))
+            status.append((t, "PARTIAL" if bad else "OK", "; ".join(bad) or None, len(good)))
+        except Exception as e:  # noqa: BLE001 - isolate the table, report the error
+            status.append((t, "FAILED", str(e)[:500], 0))
+    st = docs.sparkSession.createDataFrame(status, "target_table string, status string, error string, columns int")
+    return frames, st

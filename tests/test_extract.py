@@ -100,3 +100,19 @@ def test_single_parse_per_document(spark):
                                                "/Session/Data/Coverages/Coverage/Code"])]
     plan = X.project(_docs(spark, FX.POLICY), ms, ["xml_id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_xml") == 1
+
+
+def test_load_tables_isolates_failures(spark):
+    docs = _docs(spark, FX.POLICY)
+    m = spark.createDataFrame([
+        (0, "/Session/Data/Policy/PolicyNumber", "POLICY", "policy_number", None, "STRING"),
+        (1, "/Session/Data/Policy/TotalPremium", "POLICY", "premium", "value; drop table x", "DECIMAL(15,2)"),
+        (2, "/Session/Data/Vehicle/VIN", "RISK", "vin", "UPPER(value)", "STRING"),
+        (3, "/Session/Data/Policy/PolicyNumber", "QUOTE", "quote_id", None, "STRING")],
+        "ord int, source_node string, target_table string, target_column string, "
+        "transformation_logic string, target_type string")
+    frames, status = X.load_tables(docs, m, ["POLICY", "RISK", "QUOTE", "PAYMENT"], ["xml_id"])
+    st = {r.target_table: r.status for r in status.collect()}
+    assert st == {"POLICY": "PARTIAL", "RISK": "OK", "QUOTE": "NO_COLUMNS", "PAYMENT": "NO_COLUMNS"}
+    assert frames["POLICY"].columns == ["xml_id", "policy_number"]
+    assert frames["RISK"].first().vin == "1HGCM"
