@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmap.session import scratch_path
 
 # Token estimate per item and prices per 1K tokens.
 TOKENS_PER_NODE = 50

@@ -169,16 +169,18 @@ class CompiledMapping:
     sql_type: str | None
 
 
-def collect_mappings(mappings: DataFrame, limit: int = MAX_MAPPINGS) -> list[CompiledMapping]:
-    """Bring a (small) approved-mapping set to the driver, with a size check."""
+def collect_mappings(mappings: DataFrame, order_cols: list[str] | None = None,
+                     limit: int = MAX_MAPPINGS) -> list[CompiledMapping]:
+    """Bring a (small) approved-mapping set to the driver in input order, with a
+    size check: more than ``limit`` rows is an error, never a silent cut."""
     cols = mappings.columns
+    order_cols = order_cols if order_cols is not None else [c for c in ("ord",) if c in cols]
     sel = [F.col("target_column"), F.col("source_node"),
            (F.col("transformation_logic") if "transformation_logic" in cols else F.lit(None)).cast("string").alias("t"),
            (F.col("target_type") if "target_type" in cols else F.lit(None)).cast("string").alias("ty")]
-    order = [c for c in ("ord", "line_no") if c in cols]
-    m = mappings.select(*sel, *order)
-    if order:
-        m = m.orderBy(*order)
+    m = mappings.select(*sel, *order_cols)
+    if order_cols:
+        m = m.orderBy(*order_cols)
     rows = m.limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"more than {limit} mappings for one projection; split by target table")
@@ -262,7 +264,7 @@ def load_silver(docs: DataFrame, mappings: DataFrame, target_table: str, key_col
     """
     order_cols = order_cols or ["ord"]
     m = first_wins(mappings.where(F.upper("target_table") == target_table.upper()), order_cols)
-    compiled = collect_mappings(m.orderBy(*order_cols))
+    compiled = collect_mappings(m, order_cols)
     if not compiled:
         return docs.select(*key_cols).limit(0)
     out = project(docs, compiled, key_cols, root=root, mode=mode, record_path=record_path)
@@ -288,7 +290,7 @@ def load_tables(docs: DataFrame, mappings: DataFrame, tables: list[str], key_col
     for t in tables:
         try:
             m = first_wins(mappings.where(F.upper("target_table") == t.upper()), order_cols)
-            compiled = collect_mappings(m.orderBy(*order_cols))
+            compiled = collect_mappings(m, order_cols)
             errors = {c.target_column: tx.validate(c.transformation) for c in compiled}
             good = [c for c in compiled if errors[c.target_column] is None]
             bad = [f"{c}: {e}" for c, e in errors.items() if e is not None]

@@ -13,13 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmap.functions.types import (coerce_by_rule, coerce_declared, infer_type, name_rule_col, strip_ws,
-                                    to_boolean, to_date, to_number, to_text, types_compatible, format_type)
+from docmap.functions.types import (coerce_declared, format_type, infer_type, name_rule_col, to_boolean,
+                                    to_date, to_number, to_text, types_compatible)
 from docmap.operators import extract as X
 from docmap.operators.nodes import node_profile, xml_nodes
 from docmap.plans import sqlparts as Q
 from docmap.plans.doc_mappings import COVERAGE_RECORD, approved_mappings
-from docmap.sources.testbed import LEDGER_COLUMNS, bronze_documents, mapping_ledger, read_table
+from docmap.sources.testbed import LEDGER_COLUMNS, bronze_documents, read_table
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -94,7 +94,7 @@ FROM docs""")
 def xml_view_strings(spark, sf):
     """All-string projection of RISK, missing values as ''."""
     m = X.first_wins(approved_mappings(spark).where("target_table = 'RISK'"), ["ord"])
-    return X.project(_docs(spark, sf), X.collect_mappings(m), DOC_KEYS, strings=True, empty_as_blank=True)
+    return X.project(_docs(spark, sf), X.collect_mappings(m, ["ord"]), DOC_KEYS, strings=True, empty_as_blank=True)
 
 
 def _profile(spark, sf):

@@ -4,7 +4,6 @@ from difflib import SequenceMatcher
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from docmap.functions.similarity import allowed_lengths, fuzzy_matches, similarity_ratio
 from docmap.operators import detect as D
@@ -20,7 +19,6 @@ BROKEN = "<Session><Data>"
 
 def py_score(raw):
     """Weighted evidence restated directly over ElementTree (test oracle)."""
-    import re
     import xml.etree.ElementTree as ET
     root = ET.fromstring(raw)
     text = ET.tostring(root, encoding="unicode").lower()

@@ -3,8 +3,6 @@
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import functions as F
-
 from docmap.operators import extract as X
 from tests import fixtures as FX
 

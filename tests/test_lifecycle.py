@@ -2,7 +2,6 @@
 
 from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from docmap.operators import cost as C

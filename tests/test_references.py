@@ -2,8 +2,6 @@
 
 import os
 
-from pyspark.sql import functions as F
-
 from docmap.operators import references as R
 from docmap.sources import reference_files as RF
 from docmap.sources.catalog import catalog_from_schema, table_list
