@@ -112,3 +112,51 @@ def path_counts(profile: DataFrame) -> DataFrame:
     """Corpus-wide: occurrences and documents per path (partial aggregation
     on the map side; output size = distinct paths)."""
     return profile.groupBy("node_path").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+def _summary_fn(raw_col: str):
+    out_schema = pa.schema([pa.field("node_path", pa.string()), pa.field("occurrences", pa.int64()),
+                            pa.field("documents", pa.int64())])
+
+    def fn(batches):
+        from docmap.functions.xmlnodes import local_name, parse
+        for batch in batches:
+            occ: dict[str, int] = {}
+            ndocs: dict[str, int] = {}
+            for raw in batch.column(raw_col).to_pylist():
+                root, err = parse(raw)
+                if root is None:
+                    continue
+                seen = set()
+                stack = [(root, "")]
+                while stack:
+                    el, prefix = stack.pop()
+                    if not isinstance(el.tag, str):
+                        continue
+                    path = prefix + "/" + local_name(el.tag)
+                    occ[path] = occ.get(path, 0) + 1
+                    seen.add(path)
+                    stack.extend((c, path) for c in el)
+                for p in seen:
+                    ndocs[p] = ndocs.get(p, 0) + 1
+            paths = list(occ)
+            yield pa.RecordBatch.from_pydict(
+                {"node_path": paths, "occurrences": [occ[p] for p in paths],
+                 "documents": [ndocs[p] for p in paths]}, schema=out_schema)
+
+    return fn
+
+
+def path_summary(docs: DataFrame, raw_col: str = "raw_xml") -> DataFrame:
+    """N2/N7 corpus summary: occurrences and documents per absolute path.
+
+    Map-side combine in the worker: each Arrow batch of documents is reduced
+    to one row per distinct path before anything leaves Python, and Spark
+    sums the partial counts (exact: a document belongs to one batch).
+    Documents that do not parse contribute nothing.
+    """
+    ensure_worker_code(docs.sparkSession)
+    partial = docs.select(raw_col).mapInArrow(
+        _summary_fn(raw_col), "node_path string, occurrences long, documents long")
+    return partial.groupBy("node_path").agg(F.sum("occurrences").alias("occurrences"),
+                                            F.sum("documents").alias("documents"))

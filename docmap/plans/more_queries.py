@@ -313,7 +313,8 @@ SELECT xpath AS source_node, target_table, target_column, CAST(NULL AS VARCHAR)
 def predict_mappings(spark, sf):
     """M8/M9: best mapping per document path from approved history (same path,
     then same element name)."""
-    paths = xml_nodes(_docs(spark, sf), DOC_KEYS).select(F.col("node_path").alias("xpath")).distinct()
+    from docmap.operators.nodes import path_summary
+    paths = path_summary(_docs(spark, sf)).select(F.col("node_path").alias("xpath"))
     hist = mapping_ledger(spark, sf).where("approval_status = 'Approved' AND source_node IS NOT NULL")
     return predict(paths, hist)
 

@@ -108,10 +108,10 @@ _NODES = Q.with_ctes(Q.DOCS_CTE, Q.nodes_cte())
 SELECT node_path, count(*) AS occurrences, count(DISTINCT doc || '-' || part) AS documents
 FROM nodes GROUP BY node_path""")
 def xml_node_counts(spark, sf):
-    """Element occurrences and documents per absolute path."""
-    p = _profile(spark, sf)
-    return p.groupBy("node_path").agg(F.count(F.lit(1)).alias("occurrences"),
-                                      F.count_distinct(*DOC_KEYS).alias("documents"))
+    """Element occurrences and documents per absolute path
+    (pre-aggregated per document batch in the worker, then summed)."""
+    from docmap.operators.nodes import path_summary
+    return path_summary(_docs(spark, sf))
 
 
 @query("xml_parent_rollup", _NODES + """

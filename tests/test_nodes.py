@@ -93,3 +93,13 @@ def test_xml_to_json_conventions(spark):
     b = json.loads(to_variant(d, convention="b").select(F.to_json("xml_data").alias("j")).first().j)
     assert b["Data"]["Coverages"]["Coverage"][1] == {"id": "c2", "Code": "PD"}
     assert b["Data"]["Empty"] is None
+
+
+def test_path_summary_equals_node_rows(spark):
+    from docmap.operators.nodes import path_summary
+    d = _docs(spark, FX.POLICY, FX.NAMESPACED, FX.TRUNCATED, FX.POLICY).repartition(3)
+    fast = {r.node_path: (r.occurrences, r.documents) for r in path_summary(d).collect()}
+    n = xml_nodes(d)
+    slow = {r.node_path: (r.o, r.d) for r in n.groupBy("node_path").agg(
+        F.count(F.lit(1)).alias("o"), F.count_distinct("xml_id").alias("d")).collect()}
+    assert fast == slow and fast["/Session/Data/Coverages/Coverage"] == (6, 2)
