@@ -52,8 +52,8 @@ def running_sum(df: DataFrame, order_cols: list[str], value_col: str, out_col: s
     3. per-partition totals (one row per partition) -> prefix offsets
        (small, broadcast) -> added back.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    from docmap.session import partitions_for
+    n = partitions or partitions_for(df)
     ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
               .withColumn("_pid", F.spark_partition_id()))
     ranged = ranged.checkpoint(eager=True)

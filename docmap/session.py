@@ -83,6 +83,19 @@ def ensure_worker_code(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+def plan_size_bytes(df) -> int:
+    """Catalyst's size estimate of a DataFrame's plan (file sizes for scans)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def partitions_for(df, bytes_per_partition: int = 128 * 1024 * 1024, expansion: int = 1) -> int:
+    """Partition count for an explicit repartition: one per ``bytes_per_partition``
+    of (expanded) input, and at least two per core."""
+    spark = df.sparkSession
+    by_size = -(-plan_size_bytes(df) * expansion // bytes_per_partition)
+    return max(int(by_size), 2 * spark.sparkContext.defaultParallelism)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table under the session's shared checkpoint dir."""
     return os.path.join(ensure_checkpoint_dir(spark), name)

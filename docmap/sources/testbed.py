@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docmap.session import partitions_for
 from docmap.sources.bronze import land_documents
 
 RECORDS_PER_PART = 16
@@ -28,17 +29,10 @@ DOC_PARTITION_BYTES = 64 * 1024 * 1024
 TEXT_EXPANSION = 8
 
 
-def plan_size_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (file sizes for a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def doc_partitions(spark: SparkSession, lineitem: DataFrame) -> int:
     """Partitions for the document stages: enough for every core, and sized so
     each holds about DOC_PARTITION_BYTES of XML text at any scale."""
-    by_size = -(-plan_size_bytes(lineitem) * TEXT_EXPANSION // DOC_PARTITION_BYTES)
-    return max(int(by_size), 2 * spark.sparkContext.defaultParallelism,
-               int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    return partitions_for(lineitem, DOC_PARTITION_BYTES, TEXT_EXPANSION)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
