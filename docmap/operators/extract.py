@@ -128,8 +128,9 @@ class PathCompiler:
         if n.children or n.attrs:
             return c["_VALUE"]
         # An ARRAY<STRING> leaf that has element children in this document
-        # yields inner markup: such an element has no text value.
-        return F.when(~c.startswith("<"), c)
+        # yields its inner markup (``<a>..</a>``): such an element has no text
+        # value.  Text from CDATA that merely starts with '<' is kept.
+        return F.when(~(c.startswith("<") & c.endswith(">")), c)
 
     def accessor(self, parsed: Column, record: Column | None, path: str) -> Column | None:
         steps, attr = split_path(path, self.root)

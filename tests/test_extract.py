@@ -114,3 +114,11 @@ def test_load_tables_isolates_failures(spark):
     assert st == {"POLICY": "PARTIAL", "RISK": "OK", "QUOTE": "NO_COLUMNS", "PAYMENT": "NO_COLUMNS"}
     assert frames["POLICY"].columns == ["xml_id", "policy_number"]
     assert frames["RISK"].first().vin == "1HGCM"
+
+
+def test_cdata_text_kept_child_markup_dropped(spark):
+    docs = _docs(spark, FX.NAMESPACED, FX.LEAF_AND_PARENT_2)
+    rows = {r.xml_id: r for r in X.project(docs, [M("note", "/Session/Note"), M("item", "/Session/Item")],
+                                           ["xml_id"]).collect()}
+    assert rows["d0"].note == "<raw> & text"
+    assert rows["d1"].item is None
