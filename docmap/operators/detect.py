@@ -149,11 +149,12 @@ def _evidence(terms: DataFrame, key_cols: list[str], patterns: DataFrame) -> Dat
                        F.when(F.col("b.fz") == 1, F.col("b.sim")).otherwise(0.0).alias("fuzzy_sim"))
 
 
-def product_scores(spark: SparkSession, docs: DataFrame, nodes: DataFrame, key_cols: list[str],
+def product_scores(spark: SparkSession, docs: DataFrame, nodes: DataFrame | None, key_cols: list[str],
                    raw_col: str = "raw_xml", materialize: bool = True) -> DataFrame:
     """One row per (document, product) with raw and normalized score.
 
-    ``nodes`` is ``xml_nodes(.., keep_errors=True)`` of the same documents.
+    ``nodes`` is ``xml_nodes(.., keep_errors=True)`` of the same documents, or
+    None to take the term table straight from the worker (``xml_terms``).
     The term table is read by four evidence branches; with ``materialize``
     its lineage is cut by a reliable checkpoint (written once to the shared
     ``spark.checkpoint.dir``) so documents are parsed once, and a lost
@@ -171,7 +172,11 @@ def product_scores(spark: SparkSession, docs: DataFrame, nodes: DataFrame, key_c
     base = (docs.select(*key_cols, document_text(F.col(raw_col)).alias("_text"))
             .select(*key_cols, F.inline(F.array(*prod_rows))))
 
-    terms = document_terms(nodes, key_cols)
+    if nodes is None:
+        from docmap.operators.nodes import xml_terms
+        terms = xml_terms(docs, key_cols, raw_col)
+    else:
+        terms = document_terms(nodes, key_cols)
     if materialize:
         from docmap.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(spark)

@@ -160,3 +160,61 @@ def path_summary(docs: DataFrame, raw_col: str = "raw_xml") -> DataFrame:
         _summary_fn(raw_col), "node_path string, occurrences long, documents long")
     return partial.groupBy("node_path").agg(F.sum("occurrences").alias("occurrences"),
                                             F.sum("documents").alias("documents"))
+
+
+def _terms_fn(key_cols: list[str], raw_col: str, key_types: list[T.DataType]):
+    out_schema = pa.schema([pa.field(k, _arrow_type(t)) for k, t in zip(key_cols, key_types)]
+                           + [pa.field("kind", pa.string()), pa.field("term", pa.string()),
+                              pa.field("first_ord", pa.int32())])
+
+    def fn(batches):
+        from docmap.functions.xmlnodes import local_name, parse
+        for batch in batches:
+            keys = {k: batch.column(k).to_pylist() for k in key_cols}
+            out = {k: [] for k in key_cols}
+            kinds, terms, firsts = [], [], []
+            for i, raw in enumerate(batch.column(raw_col).to_pylist()):
+                root, err = parse(raw)
+                seen: dict[tuple[str, str], int] = {}
+                if root is None:
+                    seen[("error", "")] = -1
+                else:
+                    ordinal = 0
+                    stack = [root]
+                    while stack:
+                        el = stack.pop()
+                        if not isinstance(el.tag, str):
+                            continue
+                        seen.setdefault(("node", local_name(el.tag).lower()), ordinal)
+                        for a in el.attrib:
+                            seen.setdefault(("attr", local_name(a).lower()), ordinal)
+                        ordinal += 1
+                        stack.extend(reversed(el))
+                for (kind, term), first in seen.items():
+                    for k in key_cols:
+                        out[k].append(keys[k][i])
+                    kinds.append(kind)
+                    terms.append(term)
+                    firsts.append(first)
+            yield pa.RecordBatch.from_pydict({**out, "kind": kinds, "term": terms, "first_ord": firsts},
+                                             schema=out_schema)
+
+    return fn
+
+
+def xml_terms(docs: DataFrame, key_cols: list[str], raw_col: str = "raw_xml") -> DataFrame:
+    """Per document its distinct lower-cased element names (kind ``node``) and
+    attribute names (kind ``attr``) with the first position in document
+    order; a document that does not parse gives one ``error`` row.
+
+    Same rows as ``document_terms(xml_nodes(.., keep_errors=True))`` but
+    de-duplicated inside the worker, where each document is whole, so no
+    per-element rows are shipped or aggregated.
+    """
+    ensure_worker_code(docs.sparkSession)
+    src = docs.select(*key_cols, raw_col)
+    key_types = [src.schema[k].dataType for k in key_cols]
+    schema = T.StructType([src.schema[k] for k in key_cols] + [
+        T.StructField("kind", T.StringType()), T.StructField("term", T.StringType()),
+        T.StructField("first_ord", T.IntegerType())])
+    return src.mapInArrow(_terms_fn(key_cols, raw_col, key_types), schema)

@@ -118,8 +118,7 @@ def product_detect(spark, sf):
     """
     ensure_checkpoint_dir(spark)
     docs = _docs(spark, sf).select(*DOC_KEYS, "raw_xml").checkpoint(eager=True)
-    nodes = xml_nodes(docs, DOC_KEYS, keep_errors=True)
-    scores = D.product_scores(spark, docs, nodes, DOC_KEYS)
+    scores = D.product_scores(spark, docs, None, DOC_KEYS)
     best = D.detect_products(scores, DOC_KEYS)
     return best.select(*DOC_KEYS, "product_code",
                        F.round("confidence", 4).cast("decimal(10,4)").alias("confidence"),

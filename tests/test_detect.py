@@ -90,3 +90,16 @@ def test_fuzzy_matches_prunes_but_is_exact(spark):
     exp = {(t, p) for t in ["occupancytype", "occupancy", "vehicles", "x"] for p in ["occupancy", "vehicle"]
            if SequenceMatcher(None, p, t).ratio() > 0.8}
     assert got == exp
+
+
+def test_worker_terms_equal_aggregated_terms(spark):
+    from docmap.operators.nodes import xml_terms
+    docs = spark.createDataFrame([(i, r) for i, r in enumerate([AUTO, HOME, NOTHING, BROKEN])], "k int, raw_xml string")
+    a = sorted(tuple(r) for r in xml_terms(docs, ["k"]).select("k", "kind", "term", "first_ord").collect())
+    b = sorted(tuple(r) for r in D.document_terms(xml_nodes(docs, ["k"], keep_errors=True), ["k"])
+               .select("k", "kind", "term", "first_ord").collect())
+    assert a == b
+    s1 = {(r.k, r.product_code): r.raw_score for r in D.product_scores(spark, docs, None, ["k"]).collect()}
+    s2 = {(r.k, r.product_code): r.raw_score for r in
+          D.product_scores(spark, docs, xml_nodes(docs, ["k"], keep_errors=True), ["k"]).collect()}
+    assert s1 == s2
