@@ -67,3 +67,29 @@ def running_sum(df: DataFrame, order_cols: list[str], value_col: str, out_col: s
     return (local.join(F.broadcast(offs.select("_pid", "_off")), "_pid")
             .withColumn(out_col, F.col("_off") + F.col("_local"))
             .drop("_pid", "_local", "_off"))
+
+
+def row_number_within(df: DataFrame, partition_cols: list[str], order_cols: list[str],
+                      out_col: str = "row_number", partitions: int | None = None) -> DataFrame:
+    """``row_number()`` over (partition by ``partition_cols`` order by
+    ``order_cols``, a unique order) without gathering a hot group in one task.
+
+    Range-partition by (group, order) and checkpoint (stable partition ids);
+    number rows inside each (range partition, group); add, per group, the row
+    counts of the earlier range partitions.  The offset table has one row per
+    (group, range partition) pair touched: at most groups + partitions rows.
+    """
+    from docmap.session import partitions_for
+    n = partitions or partitions_for(df)
+    ranged = (df.repartitionByRange(n, *partition_cols, *order_cols)
+              .sortWithinPartitions(*partition_cols, *order_cols)
+              .withColumn("_pid", F.spark_partition_id())
+              .checkpoint(eager=True))
+    w = Window.partitionBy("_pid", *partition_cols).orderBy(*order_cols)
+    local = ranged.withColumn("_local", F.row_number().over(w))
+    counts = ranged.groupBy(*partition_cols, "_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(
+        Window.partitionBy(*partition_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (local.join(offs.select(*partition_cols, "_pid", "_off"), [*partition_cols, "_pid"])
+            .withColumn(out_col, (F.col("_off") + F.col("_local")).cast("int"))
+            .drop("_pid", "_local", "_off"))

@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 def assign_mapping_ids(pred: DataFrame, order_cols: list[str], doc_col: str = "xml_id") -> DataFrame:
     """K3: ``MAP-{xml_id}-{nnnn}`` numbered from 0 in input order within a
-    document; Pending / Not Started; NULL logic -> ''.  The numbering window
-    is per document (a document's mappings are bounded by its nodes)."""
-    w = Window.partitionBy(doc_col).orderBy(*order_cols)
-    return (pred.withColumn("mapping_id", F.format_string("MAP-%s-%04d", F.col(doc_col),
-                                                          F.row_number().over(w) - 1))
+    document; Pending / Not Started; NULL logic -> ''.  Numbering is a
+    distributed row number (a document with a huge share of the rows is
+    spread over many range partitions, never sorted in one task)."""
+    from docmap.operators.cost import row_number_within
+    from docmap.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(pred.sparkSession)
+    numbered = row_number_within(pred, [doc_col], order_cols, "_n")
+    return (numbered.withColumn("mapping_id", F.format_string("MAP-%s-%04d", F.col(doc_col), F.col("_n") - 1))
+            .drop("_n")
             .withColumn("approval_status", F.lit("Pending"))
             .withColumn("execution_status", F.lit("Not Started"))
             .withColumn("transformation_logic", F.coalesce("transformation_logic", F.lit(""))))

@@ -90,9 +90,14 @@ def plan_size_bytes(df) -> int:
 
 def partitions_for(df, bytes_per_partition: int = 128 * 1024 * 1024, expansion: int = 1) -> int:
     """Partition count for an explicit repartition: one per ``bytes_per_partition``
-    of (expanded) input, and at least two per core."""
+    of (expanded) input, and at least two per core; when the plan has no size
+    estimate, ``spark.sql.shuffle.partitions``."""
     spark = df.sparkSession
-    by_size = -(-plan_size_bytes(df) * expansion // bytes_per_partition)
+    size = plan_size_bytes(df)
+    if size >= 2 ** 62:  # no statistics (e.g. after a Python stage): use the session setting
+        return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
+                   2 * spark.sparkContext.defaultParallelism)
+    by_size = -(-size * expansion // bytes_per_partition)
     return max(int(by_size), 2 * spark.sparkContext.defaultParallelism)
 
 

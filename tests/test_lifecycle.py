@@ -90,3 +90,14 @@ def test_cost_and_running_sum(spark):
     assert all(got[i] == c for i, c in zip(pdf["id"], pdf["cum"]))
     s = C.usage_summary(est).first()
     assert s.calls == 200 and s.total_cost == pdf["total_cost"].sum()
+
+
+def test_row_number_within_hot_group(spark):
+    from pyspark.sql import Window
+    # one group holds most rows; result must equal a plain window row_number
+    rows = [("hot" if i % 10 else f"g{i % 7}", i, (i * 37) % 101) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, id int, v int")
+    got = {r.id: r.rn for r in C.row_number_within(df, ["g"], ["v", "id"], "rn", partitions=6).collect()}
+    w = Window.partitionBy("g").orderBy("v", "id")
+    exp = {r.id: r.rn for r in df.withColumn("rn", F.row_number().over(w)).collect()}
+    assert got == exp
