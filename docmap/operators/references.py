@@ -96,9 +96,10 @@ def union_ranked(frames: list[tuple[str, int, DataFrame]]) -> DataFrame:
 def first_per_group(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
     """Keep the first row per key by ``order_cols``.
 
-    A hash aggregate of ``min(struct(order..., row...))``: partial
-    aggregation on the map side keeps only one row per key and task before
-    the shuffle, so a hot key never gathers its rows in one task.
+    An aggregate of ``min(struct(order..., row...))`` (planned sort-based,
+    since the buffer is a struct) with partial aggregation on the map side:
+    each task keeps one row per key before the shuffle, so a hot key never
+    gathers its rows in one task.
     """
     payload = [c for c in df.columns if c not in keys]
     st = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)],

@@ -101,3 +101,11 @@ def test_row_number_within_hot_group(spark):
     w = Window.partitionBy("g").orderBy("v", "id")
     exp = {r.id: r.rn for r in df.withColumn("rn", F.row_number().over(w)).collect()}
     assert got == exp
+
+
+def test_partitions_for(spark):
+    from docmap.session import partitions_for
+    floor = 2 * spark.sparkContext.defaultParallelism
+    small = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    assert partitions_for(small) == floor
+    assert partitions_for(small, bytes_per_partition=1024, expansion=10) > floor

@@ -90,3 +90,10 @@ def test_catalog(spark):
     rows = c.collect()
     assert [r.formatted_data_type for r in rows] == ["VARCHAR(50)", "DECIMAL(15,2)"]
     assert [r.table for r in table_list(c).collect()] == ["POLICY"]
+
+
+def test_relevant_files_top_n(spark):
+    files = spark.createDataFrame([(f"old_mappings_personal_auto_{i}.csv",) for i in range(7)], "file_name string")
+    top = R.relevant_files(R.file_relevance(files, fuzzy=False), "PA001", max_files=3).collect()
+    assert sorted(r.file_rank for r in top) == [1, 2, 3]
+    assert R.relevant_files(R.file_relevance(files, fuzzy=False), "PA001", max_files=None).count() == 7
