@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docmap.llm import bpe as _bpe
 from docmap.llm import exact_dedup as _exact
+from docmap.llm import packing as _packing
 from docmap.llm.common import LOWER, UPPER, read_table
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = _packing.pack_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bpe.bpe_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(read_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -22,7 +38,9 @@ WINDOW w AS (PARTITION BY norm)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_bpe": op6_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL,
