@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docmap.llm import bpe as _bpe
 from docmap.llm import exact_dedup as _exact
+from docmap.llm import language_id as _language
 from docmap.llm import packing as _packing
 from docmap.llm.common import LOWER, UPPER, read_table
 
@@ -17,6 +18,19 @@ from docmap.llm.common import LOWER, UPPER, read_table
 TOKENIZER = "word_bpe_49k.json"
 
 
+def remainder(divisor: int):
+    """crc32 of doc_id as text, modulo ``divisor``."""
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = _language.fit_language_model(docs.filter(remainder(5) != 0))
+    return _language.label_languages(docs, model).select(
+        "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score",
+        F.size("spans").alias("n_spans"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = _packing.pack_texts(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -38,6 +52,7 @@ WINDOW w AS (PARTITION BY norm)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
