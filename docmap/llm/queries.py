@@ -12,6 +12,7 @@ from docmap.llm import bpe as _bpe
 from docmap.llm import exact_dedup as _exact
 from docmap.llm import language_id as _language
 from docmap.llm import packing as _packing
+from docmap.llm import toxicity as _toxicity
 from docmap.llm.common import LOWER, UPPER, read_table
 
 
@@ -44,6 +45,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(read_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> _toxicity.Model:
+    """Fitted on the labelled documents outside the held-out quarter."""
+    learn = remainder(4) != 2
+    return _toxicity.fit_toxicity(read_table(spark, sf_dir, "documents").select("doc_id", "text").filter(learn),
+                                  read_table(spark, sf_dir, "labels").filter(learn))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 OP5_SQL = f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
@@ -56,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL,
