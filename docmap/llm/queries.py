@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docmap.llm import bpe as _bpe
 from docmap.llm import exact_dedup as _exact
+from docmap.llm import html_text as _html
 from docmap.llm import language_id as _language
 from docmap.llm import packing as _packing
 from docmap.llm import toxicity as _toxicity
@@ -45,6 +46,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(read_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html.extract_main_text(read_table(spark, sf_dir, "pages"))
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str) -> _toxicity.Model:
     """Fitted on the labelled documents outside the held-out quarter."""
     learn = remainder(4) != 2
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
+    "op8_html_text": op8_html_text,
     "op9_toxicity": op9_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
