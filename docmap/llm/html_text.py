@@ -165,27 +165,39 @@ def first_pass(text: str, linked: int, stop_words: frozenset[str], short: int =
     return UNDECIDED
 
 
-def second_pass(labels: list[int], inside: list[bool]) -> list[int]:
-    """Undecided blocks take the label of both nearest decided neighbours;
-    where these differ or there is none, blocks inside the article are good
-    and others bad."""
+def second_pass(labels: list[int], inside: list[bool], headings: list[bool]) -> list[int]:
+    """Undecided blocks take the label of the nearest decided neighbours.
+
+    Where both neighbours differ the nearer one counts; at equal distance,
+    or past the ends of the page, a block in the article is good and others
+    are bad, but a heading goes with what follows it.  Without any decided
+    block all blocks are good.
+    """
     n = len(labels)
-    before, last = [], UNDECIDED
-    for x in labels:
+    if all(x == UNDECIDED for x in labels):
+        return [GOOD] * n
+    before, last = [], None
+    for i, x in enumerate(labels):
         before.append(last)
-        last = x if x != UNDECIDED else last
-    after, last = [UNDECIDED] * n, UNDECIDED
+        last = i if x != UNDECIDED else last
+    after, last = [None] * n, None
     for i in range(n - 1, -1, -1):
         after[i] = last
-        last = labels[i] if labels[i] != UNDECIDED else last
+        last = i if labels[i] != UNDECIDED else last
     out = []
-    for x, b, a, within in zip(labels, before, after, inside, strict=True):
+    for i, (x, b, a) in enumerate(zip(labels, before, after, strict=True)):
+        default = GOOD if inside[i] else BAD
+        left, right = (default if k is None else labels[k] for k in (b, a))
         if x != UNDECIDED:
             out.append(x)
-        elif b == a and b != UNDECIDED:
-            out.append(b)
+        elif left == right:
+            out.append(left)
+        elif headings[i]:
+            out.append(right)
+        elif b is None or a is None or i - b == a - i:
+            out.append(default)
         else:
-            out.append(GOOD if within else BAD)
+            out.append(left if i - b < a - i else right)
     return out
 
 
@@ -194,7 +206,8 @@ def main_text(page: str, stop_words: frozenset[str] = STOP_WORDS) -> str:
     blocks = blocks_of(page)
     if any(b[3] for b in blocks):  # a marked article: the rules judge what it holds
         blocks = [b for b in blocks if b[3]]
-    labels = second_pass([first_pass(t, linked, stop_words) for t, linked, _, _ in blocks], [b[3] for b in blocks])
+    labels = second_pass([first_pass(t, linked, stop_words) for t, linked, _, _ in blocks],
+                         [b[3] for b in blocks], [b[2] for b in blocks])
     return "\n".join(b[0] for b, good in zip(blocks, labels, strict=True) if good == GOOD)
 
 
