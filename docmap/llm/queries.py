@@ -13,6 +13,7 @@ from docmap.llm import exact_dedup as _exact
 from docmap.llm import html_text as _html
 from docmap.llm import language_id as _language
 from docmap.llm import packing as _packing
+from docmap.llm import sentence_dedup as _sentences
 from docmap.llm import toxicity as _toxicity
 from docmap.llm.common import LOWER, UPPER, read_table
 
@@ -38,6 +39,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op3_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _sentences.drop_repeated_sentences(docs, count_as="n_removed")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bpe.bpe_digest(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -73,6 +79,7 @@ WINDOW w AS (PARTITION BY norm)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
+    "op3_sentence_dedup": op3_sentence_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
     "op8_html_text": op8_html_text,
