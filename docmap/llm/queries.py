@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docmap.llm import bpe as _bpe
 from docmap.llm import exact_dedup as _exact
 from docmap.llm import html_text as _html
+from docmap.llm import jaccard_join as _jaccard
 from docmap.llm import language_id as _language
 from docmap.llm import packing as _packing
 from docmap.llm import sentence_dedup as _sentences
@@ -76,6 +77,10 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm
 WINDOW w AS (PARTITION BY norm)
 """
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _jaccard.similarity_components(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op8_html_text": op8_html_text,
     "op9_toxicity": op9_toxicity,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL,
