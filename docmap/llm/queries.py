@@ -16,6 +16,7 @@ from docmap.llm import language_id as _language
 from docmap.llm import packing as _packing
 from docmap.llm import sentence_dedup as _sentences
 from docmap.llm import toxicity as _toxicity
+from docmap.llm import vector_search as _vectors
 from docmap.llm.common import LOWER, UPPER, read_table
 
 
@@ -53,6 +54,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(read_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op7_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors.nearest_vectors(read_table(spark, sf_dir, "embeddings"), F.col("_id") % 50 == 0)
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _html.extract_main_text(read_table(spark, sf_dir, "pages"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentence_dedup": op3_sentence_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
+    "op7_vector_search": op7_vector_search,
     "op8_html_text": op8_html_text,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
