@@ -50,6 +50,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         _FOLDERS[base] = spark
         atexit.register(release, spark)
     df.write.parquet(path)
+    # shuffle files of finished stages go when the driver collects its garbage,
+    # which it would not do for a long time
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,6 +13,7 @@ from docmap.llm import exact_dedup as _exact
 from docmap.llm import html_text as _html
 from docmap.llm import jaccard_join as _jaccard
 from docmap.llm import language_id as _language
+from docmap.llm import ngram_lm as _lm
 from docmap.llm import packing as _packing
 from docmap.llm import sentence_dedup as _sentences
 from docmap.llm import toxicity as _toxicity
@@ -75,6 +76,39 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = _lm.score_documents(read_table(spark, sf_dir, "documents"))
+    # sums of floating-point numbers: rounded, as their order is free
+    return scored.withColumns({c: F.round(c, 4) for c in ("log_score", "mean_log_score")})
+
+
+OP4_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents),
+words AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM docs),
+grams AS (
+  SELECT r, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS w1, lag(w, 2) OVER (PARTITION BY r ORDER BY i) AS w2
+  FROM words),
+c1 AS (SELECT w, count(*) AS n FROM grams GROUP BY w),
+c2 AS (SELECT w1, w, count(*) AS n FROM grams WHERE w1 IS NOT NULL GROUP BY w1, w),
+c3 AS (SELECT w2, w1, w, count(*) AS n FROM grams WHERE w2 IS NOT NULL GROUP BY w2, w1, w),
+counted AS (
+  SELECT g.*, a.n AS a, a1.n AS a1, b.n AS b, b1.n AS b1, c.n AS c
+  FROM grams g JOIN c1 a ON g.w = a.w LEFT JOIN c1 a1 ON g.w1 = a1.w
+  LEFT JOIN c2 b ON g.w1 = b.w1 AND g.w = b.w LEFT JOIN c2 b1 ON g.w2 = b1.w1 AND g.w1 = b1.w
+  LEFT JOIN c3 c ON g.w2 = c.w2 AND g.w1 = c.w1 AND g.w = c.w),
+one AS (SELECT *, ln(a / (SELECT sum(n) FROM c1)::DOUBLE) AS s1 FROM counted),
+two AS (SELECT *, CASE WHEN w1 IS NULL THEN s1 WHEN b >= 2 THEN ln(b / a1::DOUBLE) ELSE ln(0.4) + s1 END AS s2 FROM one),
+three AS (SELECT r, CASE WHEN w2 IS NULL THEN s2 WHEN c >= 2 THEN ln(c / b1::DOUBLE) ELSE ln(0.4) + s2 END AS s FROM two),
+sums AS (SELECT r, count(*) AS n, sum(s) AS s FROM three GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, round(coalesce(s, 0.0), 4)::DOUBLE AS log_score,
+       round(s / n, 4)::DOUBLE AS mean_log_score
+FROM docs LEFT JOIN sums USING (r)
+"""
+
+
 OP5_SQL = f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
@@ -90,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
     "op3_sentence_dedup": op3_sentence_dedup,
+    "op4_ngram_lm": op4_ngram_lm,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,
     "op7_vector_search": op7_vector_search,
@@ -98,5 +133,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_lm": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
 }
