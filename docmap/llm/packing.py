@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -162,46 +163,84 @@ def pack_ids(encoded: DataFrame, capacity: int = 2048, id_col: str = "doc_id", i
     return packed(rows, id_col, lambda: list, capacity, block_tokens, linear, quadratic)
 
 
+# Marks that the split pattern keeps together, none of which starts a
+# contraction.
+MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+
+
 class LibraryWords(dict):
-    """Word -> ids (uint32 bytes) by the tokenizers library.
+    """White-space token or word -> ids (uint32 bytes) by the tokenizers library.
 
-    Latin text is split into words here and only words not seen lately go
-    through the library, many at once; any other text goes through it whole.
+    In Latin text, tokens not seen lately are split into words, and words
+    not seen lately go through the library's model, many at once (they are
+    normalised and split already); any other text goes through the library
+    whole.  ``limit`` bounds what is remembered.
     """
 
-    def __init__(self, path: str, end: bytes, limit: int = 400_000):
+    def __init__(self, path: str, end: bytes, limit: int = 1_200_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.model):
+            t.no_truncation()
+            t.no_padding()
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words = regex.compile(SPLIT).findall
-        self.other = regex.compile(r"[^\x00-ɏ]|<\|").search
+        self.other = re.compile(r"[^\x00-ɏ]").search
         self.end, self.limit = end, limit
 
-    def learn(self, words: list[str]) -> None:
+    def simple(self, text: str) -> bool:
+        """Latin letters only, white space as in ``split``, no special strings."""
+        if any(c in text for c in ("<|", "\x1c", "\x1d", "\x1e", "\x1f")):
+            return False
+        if text.isascii():
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return not self.other(text)
+        return True
+
+    def learn_words(self, words: list[str]) -> None:
         for at in range(0, len(words), 20_000):
             some = words[at:at + 20_000]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            by_word: list[list[int]] = [[] for _ in some]
-            for i, w in zip(got.ids, got.word_ids, strict=True):
-                by_word[w].append(i)
-            for w, ids in zip(some, by_word, strict=True):
-                self[w] = array("I", ids).tobytes()
+            got = self.model.encode(" ".join(some), add_special_tokens=False)
+            data = np.array(got.ids, dtype="<u4").tobytes()
+            cuts = (4 * np.flatnonzero(np.diff(np.array(got.word_ids), prepend=-1, append=len(some)))).tolist()
+            self.update(zip(some, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.other(t) else self.words(t.lower()) for t in texts]
-        seen = dict.fromkeys(w for words in split if words for w in words)
-        new = [w for w in seen if w not in self]
-        if len(self) + len(new) > self.limit:
+    def learn(self, tokens: set[str]) -> None:
+        if len(self) + 2 * len(tokens) > self.limit:
             self.clear()
-            new = list(seen)
-        self.learn(new)
-        whole = self.tokenizer.encode
-        return [b"".join(map(self.__getitem__, words)) + self.end if words is not None
-                else array("I", whole(text, add_special_tokens=False).ids).tobytes() + self.end
-                for text, words in zip(texts, split, strict=True)]
+        words = {t for t in tokens if t.isalpha()}  # these are words
+        mixed = []
+        for t in tokens - words:
+            head = t.rstrip(MARKS)
+            # letters and marks after them are two words; else the pattern tells
+            parts = (head, t[len(head):]) if head.isalpha() and head != t else self.words(t)
+            mixed.append((t, parts))
+            words.update(parts)
+        self.learn_words([w for w in words if w not in self])
+        known = self.__getitem__
+        self.update([(t, b"".join(map(known, parts))) for t, parts in mixed])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        split = [t.lower().split() if self.simple(t) else None for t in texts]
+        found = [list(map(self.get, tokens)) if tokens is not None else [] for tokens in split]
+        missing = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+        self.learn({tokens[i] for tokens, at in zip(split, missing, strict=True) for i in at})
+        out = []
+        for text, tokens, ids, at in zip(texts, split, found, missing, strict=True):
+            for i in at:
+                ids[i] = self[tokens[i]]
+            if tokens is None:
+                ids = [array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()]
+            ids.append(self.end)
+            out.append(b"".join(ids))
+        return out
 
 
 _LIBRARY: dict[tuple, LibraryWords] = {}
