@@ -8,12 +8,12 @@ Jaccard similarity reaches the threshold share a shingle among their first
 * documents with the same set form one class;
 * classes with the same prefix and size form one group, and only groups are
   listed under the shingles of their prefix;
-* in each list one class at a time (the pivot) is paired with the others;
-  group pairs that fail the size filter go, the rest is expanded to classes
-  and every class pair is verified on the whole sets;
+* in each list a few classes (the pivots) are paired with the others; pairs
+  that fail the size filter go, and every pair that is left is verified on
+  the whole sets;
 * after a round, lists whose classes are all connected are done.  In the
   others the pivots, which have met every other class, leave the list, and
-  the next round takes more pivots (four times as many each round) among
+  the next round takes more pivots (eight times as many each round) among
   the classes outside the largest component of the list.
 
 So every pair of linked texts is connected in the result, but a list of n
@@ -94,7 +94,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
 
-def frequent_shingles(texts: DataFrame, k: int, at_least: int = 64, at_most: int = 1_000_000,
+def frequent_shingles(texts: DataFrame, k: int, at_least: int = 8, at_most: int = 1_000_000,
                       chunk: int = 4_000_000) -> np.ndarray:
     """Shingles that many documents share, sorted; they only decide the
     order, so any list gives the same links.
@@ -192,8 +192,11 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * shared >= percent * (len(both) - shared)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The class pairs (a, b) whose sets reach the threshold."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
+    """The class pairs (a, b) whose sets reach the threshold.  Only the sets
+    of these classes are moved."""
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "pair-ends")
+    sets = sets.join(F.broadcast(ends) if ends.count() <= broadcast_rows else ends, "cls", "left_semi")
     rows = (pairs.join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
             .join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb"))
 
@@ -219,7 +222,7 @@ class Classes:
 
 
 def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85,
-                 first_pivots: int = 1, broadcast_rows: int = 300_000) -> Classes:
+                 first_pivots: int = 4, broadcast_rows: int = 300_000) -> Classes:
     """Classes of equal sets and links between them that connect every two
     classes whose similarity reaches ``percent``."""
     texts = _texts(docs, id_col, text_col)
@@ -247,8 +250,10 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entries = lists.join(members, "grp").select("token", "cls", "n")
     met, links, labels, k_pivots = None, None, None, first_pivots
     while True:
-        rows = entries
-        if labels is not None:
+        if labels is None:
+            rows = entries.withColumn("comp", F.col("cls"))
+            outside = rows
+        else:
             rows = (entries.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
             # the component with most classes of a list needs no pivots there
             open_lists = (rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("times")).groupBy("token")
@@ -257,13 +262,10 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = stored(rows.join(open_lists, "token"), "open-lists")
             if rows.isEmpty():
                 break
-            # pivots: the first class of each of k hash slots, outside that component
-            slot = F.pmod(F.xxhash64("cls", F.lit(k_pivots)), F.lit(k_pivots)).alias("slot")
-            pivots = (rows.filter("comp != main").groupBy("token", slot)
-                      .agg(F.min(F.struct("cls", "n", "comp")).alias("p")).select("token", "p.*"))
-        else:
-            rows = entries.withColumn("comp", F.col("cls"))
-            pivots = (rows.groupBy("token").agg(F.min(F.struct("cls", "n", "comp")).alias("p")).select("token", "p.*"))
+            outside = rows.filter("comp != main")
+        # pivots: the first class of each of k hash slots
+        slot = F.pmod(F.xxhash64("cls", F.lit(k_pivots)), F.lit(k_pivots)).alias("slot")
+        pivots = (outside.groupBy("token", slot).agg(F.min(F.struct("cls", "n", "comp")).alias("p")).select("token", "p.*"))
         pivots = stored(pivots, "pivots")
         p = pivots.select("token", F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
         pairs = (rows.join(p, "token").filter((F.col("comp") != F.col("pc")) & close_sizes(F.col("n"), F.col("pn"), percent))
@@ -272,7 +274,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pairs = pairs.join(met, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         met = pairs if met is None else stored(met.unionByName(pairs), "met")
-        new = stored(verified(pairs, sets, percent), "links")
+        new = stored(verified(pairs, sets, percent, broadcast_rows), "links")
         links = new if links is None else links.unionByName(new)
         if not new.isEmpty():
             labels = merge_labels(labels, new)
@@ -280,7 +282,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             labels = new.select(F.col("a").alias("cls"), F.col("a").alias("comp"))
         entries = stored(rows.select("token", "cls", "n").join(pivots.select("token", "cls"), ["token", "cls"], "left_anti"),
                          "entries")
-        k_pivots *= 4
+        k_pivots *= 8
     return Classes(documents, links, labels)
 
 
