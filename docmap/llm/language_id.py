@@ -15,6 +15,7 @@ Both give the same labels.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -59,12 +60,22 @@ def script_of(word: str) -> int:
     return OTHER_SCRIPT
 
 
-def buckets_of(word: str, buckets: int) -> list[int]:
-    """Hashed 2- to 4-grams of the word with its borders, and the word."""
-    w = f"^{word}$"
-    crc = zlib.crc32
-    grams = [w[i:i + k] for k in (2, 3, 4) for i in range(len(w) - k + 1)]
-    return [crc(g.encode()) % buckets for g in grams] + [crc(b"=" + w.encode()) % buckets]
+def buckets_of(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word number) of the hashed 2- to 4-grams of each word with
+    its borders, and of each word as a whole."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    c = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), lengths)
+    left = np.cumsum(lengths)[word] - np.arange(len(c))  # characters from here to the word's end
+    found = [np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)) % np.uint64(buckets)]
+    of, h = [np.arange(len(words))], c
+    for k in (2, 3, 4):
+        h = h[:-1] * np.uint64(0x100000001B3) + c[k - 1:]
+        inside = left[:len(h)] >= k
+        mixed = (h[inside] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+        found.append((mixed >> np.uint64(32)) % np.uint64(buckets))
+        of.append(word[:len(h)][inside])
+    return np.concatenate(found).astype(np.int64), np.concatenate(of)
 
 
 @dataclass
@@ -104,13 +115,16 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             for lang, text in zip(part["_lang"].to_pylist(), part["_text"].to_pylist(), strict=True):
                 words.setdefault(lang, Counter()).update(WORDS.findall(text.lower()))
             for lang, of in words.items():
-                grams: Counter = Counter()
+                if not of:
+                    continue
+                times = np.fromiter(of.values(), np.float64, len(of))
+                bucket, word = buckets_of(list(of), buckets)
+                grams = np.bincount(bucket, weights=times[word], minlength=buckets + OTHER_SCRIPT + 1)
                 for w, n in of.items():
-                    for b in buckets_of(w, buckets):
-                        grams[b] += n
                     grams[buckets + script_of(w)] += n
+                at = np.flatnonzero(grams)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(grams)), pa.array(grams.keys(), pa.int64()), pa.array(grams.values(), pa.int64())],
+                    [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(grams[at].astype(np.int64))],
                     names=["lang", "bucket", "n"])
 
     found = (rows.mapInArrow(count, "lang string, bucket long, n long")
@@ -125,36 +139,47 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return Model(langs, scores, scripts >= 0.01 * np.maximum(scripts.sum(axis=1, keepdims=True), 1))
 
 
-class WordScores(dict):
-    """Word -> row of ``table`` (scores of the word for every language)."""
+class WordScores:
+    """Scores of words for every language, kept for the words seen lately
+    (at most ``limit``); ``table`` holds one row for each of them."""
 
-    def __init__(self, model: Model, limit: int = 200_000):
-        super().__init__()
+    def __init__(self, model: Model, limit: int = 800_000):
         self.model, self.limit = model, limit
+        self.rows: dict[str, int] = {}
         self.table = np.zeros((limit, len(model.langs)), dtype=np.float32)
-        self.buckets = model.scores.shape[1]
 
-    def __missing__(self, word: str) -> int:
-        m = self.model
+    def learn(self, words: list[str]) -> None:
+        m, first = self.model, len(self.rows)
+        bucket, word = buckets_of(words, m.scores.shape[1])
         # a long word says more, but its n-grams overlap about threefold
-        row = m.scores[:, buckets_of(word, self.buckets)].sum(axis=1) / 3
-        fitting = m.scripts[:, script_of(word)]
-        if fitting.any() and not fitting.all():
-            row = np.where(fitting, row, row[fitting].min() - m.other_script)
-        at = len(self)
-        self.table[at] = row
-        self[word] = at
-        return at
+        rows = np.stack([np.bincount(word, weights=s[bucket], minlength=len(words)) for s in m.scores], axis=1) / 3
+        fits = m.scripts.T[np.fromiter(map(script_of, words), np.int64, len(words))]
+        fits |= ~fits.any(axis=1, keepdims=True)
+        worst = np.where(fits, rows, np.inf).min(axis=1, keepdims=True)
+        self.table[first:first + len(words)] = np.where(fits, rows, worst - m.other_script)
+        self.rows.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def prepare(self, split: list[list[str]]) -> None:
+        """Learn the new words of some texts, with room for all of them
+        (a single text may bring more words than the limit; ``of`` copes)."""
+        new = [w for w in set().union(*split) if w not in self.rows]
+        if len(self.rows) + len(new) > self.limit:
+            self.rows.clear()
+            new = list(set().union(*split))
+        if new and len(new) <= self.limit:
+            self.learn(new)
 
     def of(self, words: list[str]) -> np.ndarray:
         """Scores words x languages, as float64."""
-        parts = []
-        for start in range(0, len(words), self.limit // 4):
-            some = words[start:start + self.limit // 4]
-            if len(self) + len(some) > self.limit:
-                self.clear()
-            parts.append(self.table[np.fromiter(map(self.__getitem__, some), np.int64, len(some))])
-        return np.concatenate(parts).astype(np.float64)
+        at = list(map(self.rows.get, words))
+        if None not in at:
+            return self.table[at].astype(np.float64)
+        parts, step = [], max(1, self.limit // 2)
+        for start in range(0, len(words), step):
+            some = words[start:start + step]
+            self.prepare([some])
+            parts.append(self.table[list(map(self.rows.__getitem__, some))].astype(np.float64))
+        return np.concatenate(parts)
 
 
 def single_language(scores: np.ndarray, switch: float) -> int | None:
@@ -187,12 +212,12 @@ def viterbi(scores: np.ndarray, switch: float) -> np.ndarray:
     return path
 
 
-def label_text(text: str, words_of: WordScores) -> tuple[str, float, list[dict]]:
+def label_text(text: str, words_of: WordScores, words: list[str] | None = None) -> tuple[str, float, list[dict]]:
     """(main language, score, spans) of a text; spans are (start, end, lang)
     in code points, from the first letter of a span to that of the next."""
     model = words_of.model
     low = text.lower()
-    words = WORDS.findall(low)
+    words = WORDS.findall(low) if words is None else words
     if not words or not model.langs:
         return UNKNOWN, 0.0, []
     scores = words_of.of(words)
@@ -216,6 +241,9 @@ def label_text(text: str, words_of: WordScores) -> tuple[str, float, list[dict]]
     return model.langs[best], float(letters[best] / letters.sum()), spans
 
 
+_SCORES: dict[str, WordScores] = {}
+
+
 def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``lang_pred``, ``score`` (0 to 1), ``spans`` (array of
     start, end, lang) of every whole text.
@@ -227,12 +255,20 @@ def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets floats
+    name = uuid.uuid4().hex
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = WordScores(sent.value)
+        if name not in _SCORES:  # one model a worker process, kept from task to task
+            _SCORES.clear()
+            _SCORES[name] = WordScores(sent.value)
+        words_of = _SCORES[name]
         for part in slices(batches):
-            found = [label_text(t, words_of) for t in part["_text"].to_pylist()]
+            texts = part["_text"].to_pylist()
+            split = [WORDS.findall(t.lower()) for t in texts]
+            if words_of.model.langs:
+                words_of.prepare(split)
+            found = [label_text(t, words_of, w) for t, w in zip(texts, split, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [part["_id"], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()),
                  pa.array([x[2] for x in found], span)], names=["_id", "lang_pred", "score", "spans"])
