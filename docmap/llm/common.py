@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import uuid
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,23 @@ def slices(batches: Iterator, rows: int = 256) -> Iterator:
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def gram_buckets(words: list[str], buckets: int, sizes: tuple[int, ...] = (2, 3, 4)) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, word number) of the hashed character n-grams of each word
+    with its borders, and of each word as a whole."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    c = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), lengths)
+    left = np.cumsum(lengths)[word] - np.arange(len(c))  # characters from here to the word's end
+    found = [np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)) % np.uint64(buckets)]
+    of, h = [np.arange(len(words))], c
+    for k in range(2, max(sizes) + 1):
+        h = h[:-1] * np.uint64(0x100000001B3) + c[k - 1:]
+        if k not in sizes:
+            continue
+        inside = left[:len(h)] >= k
+        mixed = (h[inside] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+        found.append((mixed >> np.uint64(32)) % np.uint64(buckets))
+        of.append(word[:len(h)][inside])
+    return np.concatenate(found).astype(np.int64), np.concatenate(of)

@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docmap.llm.common import slices
+from docmap.llm.common import gram_buckets, slices
 
 # Unicode ranges of scripts (first letter of a word decides).
 SCRIPTS = (
@@ -60,24 +59,6 @@ def script_of(word: str) -> int:
     return OTHER_SCRIPT
 
 
-def buckets_of(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, word number) of the hashed 2- to 4-grams of each word with
-    its borders, and of each word as a whole."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    c = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    word = np.repeat(np.arange(len(words)), lengths)
-    left = np.cumsum(lengths)[word] - np.arange(len(c))  # characters from here to the word's end
-    found = [np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)) % np.uint64(buckets)]
-    of, h = [np.arange(len(words))], c
-    for k in (2, 3, 4):
-        h = h[:-1] * np.uint64(0x100000001B3) + c[k - 1:]
-        inside = left[:len(h)] >= k
-        mixed = (h[inside] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-        found.append((mixed >> np.uint64(32)) % np.uint64(buckets))
-        of.append(word[:len(h)][inside])
-    return np.concatenate(found).astype(np.int64), np.concatenate(of)
-
-
 @dataclass
 class Model:
     """``scores``: languages x buckets log-probabilities; ``scripts``:
@@ -118,7 +99,7 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 if not of:
                     continue
                 times = np.fromiter(of.values(), np.float64, len(of))
-                bucket, word = buckets_of(list(of), buckets)
+                bucket, word = gram_buckets(list(of), buckets)
                 grams = np.bincount(bucket, weights=times[word], minlength=buckets + OTHER_SCRIPT + 1)
                 for w, n in of.items():
                     grams[buckets + script_of(w)] += n
@@ -150,7 +131,7 @@ class WordScores:
 
     def learn(self, words: list[str]) -> None:
         m, first = self.model, len(self.rows)
-        bucket, word = buckets_of(words, m.scores.shape[1])
+        bucket, word = gram_buckets(words, m.scores.shape[1])
         # a long word says more, but its n-grams overlap about threefold
         rows = np.stack([np.bincount(word, weights=s[bucket], minlength=len(words)) for s in m.scores], axis=1) / 3
         fits = m.scripts.T[np.fromiter(map(script_of, words), np.int64, len(words))]

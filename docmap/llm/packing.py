@@ -168,7 +168,7 @@ def pack_ids(encoded: DataFrame, capacity: int = 2048, id_col: str = "doc_id", i
 MARKS = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 
-class LibraryWords(dict):
+class LibraryWords:
     """White-space token or word -> ids (uint32 bytes) by the tokenizers library.
 
     In Latin text, tokens not seen lately are split into words, and words
@@ -177,8 +177,8 @@ class LibraryWords(dict):
     whole.  ``limit`` bounds what is remembered.
     """
 
-    def __init__(self, path: str, end: bytes, limit: int = 1_200_000):
-        super().__init__()
+    def __init__(self, path: str, end: bytes, limit: int = 2_000_000):
+        self.ids: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -210,11 +210,11 @@ class LibraryWords(dict):
             got = self.model.encode(" ".join(some), add_special_tokens=False)
             data = np.array(got.ids, dtype="<u4").tobytes()
             cuts = (4 * np.flatnonzero(np.diff(np.array(got.word_ids), prepend=-1, append=len(some)))).tolist()
-            self.update(zip(some, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+            self.ids.update(zip(some, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
 
     def learn(self, tokens: set[str]) -> None:
-        if len(self) + 2 * len(tokens) > self.limit:
-            self.clear()
+        if len(self.ids) + 2 * len(tokens) > self.limit:
+            self.ids.clear()
         words = {t for t in tokens if t.isalpha()}  # these are words
         mixed = []
         for t in tokens - words:
@@ -223,19 +223,19 @@ class LibraryWords(dict):
             parts = (head, t[len(head):]) if head.isalpha() and head != t else self.words(t)
             mixed.append((t, parts))
             words.update(parts)
-        self.learn_words([w for w in words if w not in self])
-        known = self.__getitem__
-        self.update([(t, b"".join(map(known, parts))) for t, parts in mixed])
+        self.learn_words([w for w in words if w not in self.ids])
+        known = self.ids.__getitem__
+        self.ids.update([(t, b"".join(map(known, parts))) for t, parts in mixed])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         split = [t.lower().split() if self.simple(t) else None for t in texts]
-        found = [list(map(self.get, tokens)) if tokens is not None else [] for tokens in split]
+        found = [list(map(self.ids.get, tokens)) if tokens is not None else [] for tokens in split]
         missing = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
         self.learn({tokens[i] for tokens, at in zip(split, missing, strict=True) for i in at})
         out = []
         for text, tokens, ids, at in zip(texts, split, found, missing, strict=True):
             for i in at:
-                ids[i] = self[tokens[i]]
+                ids[i] = self.ids[tokens[i]]
             if tokens is None:
                 ids = [array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()]
             ids.append(self.end)

@@ -1,6 +1,6 @@
 """Toxicity classifier with counterfactual regularisation.
 
-A logistic model over hashed words and character 4-grams (present or not) is
+A logistic model over hashed words and character 4- and 5-grams (present or not) is
 fitted on a bounded sample of labelled documents.  For every sampled text
 that mentions a group, a counterfactual text is made by swapping each
 identity term for the next one of its kind, and the squared change of the
@@ -13,9 +13,8 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import Counter
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docmap.llm.common import slices, stored
+from docmap.llm.common import gram_buckets, slices, stored
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -47,13 +46,11 @@ def swaps(kinds: Sequence[Sequence[str]]) -> dict[str, str]:
     return {term: kind[(i + 1) % len(kind)] for kind in kinds for i, term in enumerate(kind)}
 
 
-def features_of(word: str, buckets: int) -> list[int]:
-    """Hashed features of a lower-case word: itself and its 4-grams, the
-    first of which also counts as a beginning."""
-    crc = zlib.crc32
-    grams = [b"=" + word.encode(), b"^" + word[:4].encode()]
-    grams += [word[i:i + 4].encode() for i in range(len(word) - 3)]
-    return [crc(g) % buckets for g in grams]
+def features_of(words: Iterable[str], buckets: int) -> np.ndarray:
+    """Hashed features of lower-case words: the words, their 4- and 5-grams with
+    the words' borders, each once, sorted."""
+    words = list(words)
+    return np.unique(gram_buckets(words, buckets, (4, 5))[0]) if words else np.zeros(0, np.int64)
 
 
 @dataclass
@@ -112,8 +109,8 @@ def _xlogy(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 label_col: str = "toxic", per_class: int = 3000, buckets: int = 1 << 18, n_features: int = 6000,
-                 least_gain: float = 8.0, ridge: float = 0.3, counterfactual: float = 10.0, steps: int = 300,
+                 label_col: str = "toxic", per_class: int = 3000, buckets: int = 1 << 19, n_features: int = 6000,
+                 least_gain: float = 12.0, ridge: float = 0.1, counterfactual: float = 10.0, steps: int = 300,
                  kinds: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Model:
     """Fit on at most ``per_class`` labelled documents of each class (whole
     texts).  The driver gets at most ``buckets`` feature counts and, for each
@@ -122,18 +119,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     the one there is."""
     chosen = F.broadcast(sample_labels(labels, id_col, label_col, per_class))
     sample = stored(docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-                    .join(chosen, "_id").select("_label", "_weight", "_text"), "toxicity-sample")
+                    .join(chosen, "_id").select("_label", "_weight", "_text").dropDuplicates(["_text", "_label"]),
+                    "toxicity-sample")  # copies would make any of their words look telling
     change = swaps(kinds)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = Counter(), Counter()
+        seen = np.zeros((2, buckets), np.int64)
         for part in slices(batches):
             for label, text in zip(part["_label"].to_pylist(), part["_text"].to_pylist(), strict=True):
-                seen[label].update({f for w in set(WORDS.findall(text.lower())) for f in features_of(w, buckets)})
+                seen[label, features_of(set(WORDS.findall(text.lower())), buckets)] += 1
         for label in (0, 1):
+            f = np.flatnonzero(seen[label])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(seen[label].keys(), pa.int64()), pa.array([label] * len(seen[label]), pa.int32()),
-                 pa.array(seen[label].values(), pa.int64())], names=["f", "label", "n"])
+                [pa.array(f, pa.int64()), pa.array([label] * len(f), pa.int32()), pa.array(seen[label, f], pa.int64())],
+                names=["f", "label", "n"])
 
     found = (sample.mapInArrow(count, "f long, label int, n long").groupBy("f")
              .agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("n0"),
@@ -154,22 +153,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     gain[(n1 / all1[0] <= n0 / all0[0]) | (gain < least_gain)] = 0
     best = np.lexsort((f, -gain))[:min(n_features, int((gain > 0).sum()))]
     features = np.sort(f[best].astype(np.int64))
-    place = {x: i for i, x in enumerate(features.tolist())}
-
     def restrict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ints = pa.list_(pa.int32())
+        ints = pa.list_(pa.int64())
+
+        def chosen_of(words: set[str]) -> np.ndarray:
+            return np.flatnonzero(np.isin(features, features_of(words, buckets), assume_unique=True))
+
         for part in slices(batches):
             x, x2 = [], []
             for text in part["_text"].to_pylist():
                 words = set(WORDS.findall(text.lower()))
-                x.append(sorted({place[k] for w in words for k in features_of(w, buckets) if k in place}))
                 other = {change.get(w, w) for w in words}
-                x2.append(None if other == words else
-                          sorted({place[k] for w in other for k in features_of(w, buckets) if k in place}))
+                x.append(chosen_of(words))
+                x2.append(None if other == words else chosen_of(other))
             yield pa.RecordBatch.from_arrays(
                 [part["_label"], part["_weight"], pa.array(x, ints), pa.array(x2, ints)], names=["y", "weight", "x", "x2"])
 
-    rows = sample.mapInArrow(restrict, "y int, weight double, x array<int>, x2 array<int>").toArrow()
+    rows = sample.mapInArrow(restrict, "y int, weight double, x array<long>, x2 array<long>").toArrow()
     x = [np.array(r, dtype=np.int64) for r in rows["x"].to_pylist()]
     x2 = [None if r is None else np.array(r, dtype=np.int64) for r in rows["x2"].to_pylist()]
     b, w = fit_logistic(x, x2, rows["y"].to_numpy().astype(np.float64), rows["weight"].to_numpy(), len(features),
@@ -177,28 +177,51 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return Model(b, dict(zip(features.tolist(), w.tolist(), strict=True)), buckets)
 
 
-class WordHits(dict):
-    """Word -> those of its features that have a weight."""
+class WordHits:
+    """Word -> those of its features that have a weight, for the words seen
+    lately (at most ``limit``)."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
-        super().__init__()
+    def __init__(self, model: Model, limit: int = 800_000):
         self.model, self.limit = model, limit
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        weights = self.model.weights
-        hits = tuple(k for k in features_of(word, self.model.buckets) if k in weights)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = hits
-        return hits
-
-    def score(self, text: str) -> float:
-        words = WORDS.findall(text.lower())
-        hits: set[int] = set()
-        for at in range(0, len(words), 10_000):
-            hits.update(*map(self.__getitem__, words[at:at + 10_000]))
-        logit = self.model.bias + math.fsum(map(self.model.weights.__getitem__, hits))
-        return 1 / (1 + math.exp(-min(max(logit, -50.0), 50.0)))
+        self.hits: dict[str, tuple[int, ...]] = {}
+        self.chosen = np.zeros(model.buckets, bool)
+        self.chosen[list(model.weights)] = True
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.hits) + len(words) > self.limit:
+            self.hits.clear()
+        self.hits.update(dict.fromkeys(words, ()))
+        bucket, word = gram_buckets(words, self.model.buckets, (4, 5))
+        hit = self.chosen[bucket]
+        for b, w in zip(bucket[hit].tolist(), word[hit].tolist(), strict=True):
+            self.hits[words[w]] += (b,)
+
+    def scores(self, texts: list[str]) -> list[float]:
+        split = [set(WORDS.findall(t.lower())) for t in texts]
+        out = []
+        for at in range(0, len(split), 256):
+            some = split[at:at + 256]
+            every = set().union(*some)
+            new = [w for w in every if w not in self.hits]
+            if new:
+                self.learn(new if len(self.hits) + len(new) <= self.limit else list(every))
+            for words in some:
+                hits = set().union(*map(self.hits.__getitem__, words)) if len(words) < 20_000 else {
+                    f for w in words for f in self.hits[w]}
+                logit = self.model.bias + math.fsum(map(self.model.weights.__getitem__, hits))
+                out.append(1 / (1 + math.exp(-min(max(logit, -50.0), 50.0))))
+        return out
+
+
+_HITS: dict[str, WordHits] = {}
+
+
+def _scorer(name: str, model: Model) -> WordHits:
+    """The scorer of a model in this worker, kept from task to task."""
+    if name not in _HITS:
+        _HITS.clear()
+        _HITS[name] = WordHits(model)
+    return _HITS[name]
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,26 +233,26 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most n_features weights
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex  # at most n_features weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = WordHits(sent.value)
+        scorer = _scorer(name, sent.value)
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays(
-                [part["_id"], pa.array(map(hits.score, part["_text"].to_pylist()), pa.float64())], names=["_id", "score"])
+                [part["_id"], pa.array(scorer.scores(part["_text"].to_pylist()), pa.float64())], names=["_id", "score"])
 
     return rows.mapInArrow(run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The documents that score below ``threshold``, with all their columns."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits = WordHits(sent.value)
+        scorer = _scorer(name, sent.value)
         for part in slices(batches):
-            clean = [hits.score(t or "") < threshold for t in part.column(at).to_pylist()]
+            clean = [x < threshold for x in scorer.scores([t or "" for t in part.column(at).to_pylist()])]
             yield part.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
