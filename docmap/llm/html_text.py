@@ -168,10 +168,10 @@ def first_pass(text: str, linked: int, stop_words: frozenset[str], short: int =
 def second_pass(labels: list[int], inside: list[bool], headings: list[bool]) -> list[int]:
     """Undecided blocks take the label of the nearest decided neighbours.
 
-    Where both neighbours differ the nearer one counts; at equal distance,
-    or past the ends of the page, a block in the article is good and others
-    are bad, but a heading goes with what follows it.  Without any decided
-    block all blocks are good.
+    Where both neighbours differ the nearer one counts; at equal distance a
+    block in the article is good and others are bad, but a heading goes with
+    what follows it.  A block with one decided neighbour takes its label;
+    without any decided block all blocks are good.
     """
     n = len(labels)
     if all(x == UNDECIDED for x in labels):
@@ -186,18 +186,16 @@ def second_pass(labels: list[int], inside: list[bool], headings: list[bool]) ->
         last = i if labels[i] != UNDECIDED else last
     out = []
     for i, (x, b, a) in enumerate(zip(labels, before, after, strict=True)):
-        default = GOOD if inside[i] else BAD
-        left, right = (default if k is None else labels[k] for k in (b, a))
         if x != UNDECIDED:
             out.append(x)
-        elif left == right:
-            out.append(left)
-        elif headings[i]:
-            out.append(right)
-        elif b is None or a is None or i - b == a - i:
-            out.append(default)
+        elif b is None or a is None:
+            out.append(labels[a if b is None else b])
+        elif labels[b] == labels[a] or headings[i]:
+            out.append(labels[a])
+        elif i - b == a - i:
+            out.append(GOOD if inside[i] else BAD)
         else:
-            out.append(left if i - b < a - i else right)
+            out.append(labels[b] if i - b < a - i else labels[a])
     return out
 
 
