@@ -7,14 +7,20 @@ Jaccard similarity reaches the threshold share a shingle among their first
 
 * documents with the same set form one class;
 * classes with the same prefix and size form one group, and only groups are
-  listed under the shingles of their prefix;
-* in each list a few classes (the pivots) are paired with the others; pairs
-  that fail the size filter go, and every pair that is left is verified on
-  the whole sets;
-* after a round, lists whose classes are all connected are done.  In the
-  others the pivots, which have met every other class, leave the list, and
-  the next round takes more pivots (eight times as many each round) among
-  the classes outside the largest component of the list.
+  listed under the shingles of their prefix; a shingle of one group alone
+  makes no list;
+* of two sets, the one whose prefix ends first in the order shares nothing
+  of its prefix with the other but what both list, so the number of its
+  prefix shingles that no other group lists bounds the size (``cap``) that
+  the other may have;
+* in each list a few pivots are paired with the other classes of the list;
+  only classes whose cap reaches the smallest size of the list need be
+  pivots (``able``), and a list without any is dropped; pairs that the sizes
+  and the cap rule out go, and every pair left is verified on whole sets;
+* after a round, lists whose classes are all connected are done, and so are
+  those whose able classes have all been pivots.  In the others the next
+  round takes more pivots (eight times as many each round), but pairs only
+  classes that are not connected yet.
 
 So every pair of linked texts is connected in the result, but a list of n
 near copies costs about n pairs instead of n * n.
@@ -42,7 +48,7 @@ SET_BYTES = 6  # of each shingle's hash, in sets that are compared with one othe
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash; ``limit`` bounds the words remembered."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
@@ -78,16 +84,19 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def is_frequent(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    if not len(frequent):
+        return np.zeros(len(s), bool)
+    return frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+
+
 def prefix_of(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """The first shingles of the set, rare ones first, each kind by hash."""
     if not len(s):
         return s
     take = len(s) - needed(len(s), percent) + 1
-    if len(frequent):
-        at = np.searchsorted(frequent, s)
-        common = frequent[np.minimum(at, len(frequent) - 1)] == s
-        s = np.concatenate([s[~common], s[common]])
-    return s[:take]
+    common = is_frequent(s, frequent)
+    return np.concatenate([s[~common], s[common]])[:take]
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -95,7 +104,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def frequent_shingles(texts: DataFrame, k: int, at_least: int = 8, at_most: int = 1_000_000,
-                      chunk: int = 4_000_000) -> np.ndarray:
+                      chunk: int = 2_000_000) -> np.ndarray:
     """Shingles that many documents share, sorted; they only decide the
     order, so any list gives the same links.
 
@@ -135,16 +144,16 @@ def _digest(data: bytes) -> int:
 
 
 def keyed_documents(texts: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(_id, n, cls, grp, prefix) of every document: size and digest of its
-    set, digest of prefix and size, and the prefix.  Without words both
-    digests are null."""
+    """(_id, n, cls, grp, prefix, end) of every document: size and digest of
+    its set, digest of prefix and size, the prefix, and the place in the
+    order of the prefix's last shingle.  Without words the digests are null."""
     kind = texts.schema["_id"].dataType.simpleString()
     sent = texts.sparkSession.sparkContext.broadcast(frequent)  # at most a million hashes, see there
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in slices(batches):
-            n, cls, grp, prefixes = [], [], [], []
+            n, cls, grp, prefixes, common, last = [], [], [], [], [], []
             for text in part["_text"].to_pylist():
                 s = shingle_set(text, k, hashes)
                 p = prefix_of(s, sent.value, percent)
@@ -152,11 +161,16 @@ def keyed_documents(texts: DataFrame, k: int, percent: int, frequent: np.ndarray
                 cls.append(_digest(s.tobytes()) if len(s) else None)
                 grp.append(_digest(p.tobytes() + len(s).to_bytes(8, "little")) if len(s) else None)
                 prefixes.append(p.view(np.int64))
+                common.append(bool(len(p)) and is_frequent(p[-1:], sent.value)[0])
+                last.append(int(p[-1]) - (1 << 63) if len(p) else None)  # signed, in the same order
             yield pa.RecordBatch.from_arrays(
                 [part["_id"], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(grp, pa.int64()),
-                 pa.array(prefixes, pa.list_(pa.int64()))], names=["_id", "n", "cls", "grp", "prefix"])
+                 pa.array(prefixes, pa.list_(pa.int64())),
+                 pa.StructArray.from_arrays([pa.array(common, pa.bool_()), pa.array(last, pa.int64())], ["common", "last"])],
+                names=["_id", "n", "cls", "grp", "prefix", "end"])
 
-    return texts.mapInArrow(run, f"_id {kind}, n long, cls long, grp long, prefix array<long>")
+    return texts.mapInArrow(
+        run, f"_id {kind}, n long, cls long, grp long, prefix array<long>, end struct<common:boolean,last:long>")
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -192,11 +206,8 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * shared >= percent * (len(both) - shared)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
-    """The class pairs (a, b) whose sets reach the threshold.  Only the sets
-    of these classes are moved."""
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "pair-ends")
-    sets = sets.join(F.broadcast(ends) if ends.count() <= broadcast_rows else ends, "cls", "left_semi")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The class pairs (a, b) whose sets reach the threshold."""
     rows = (pairs.join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
             .join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb"))
 
@@ -208,8 +219,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_rows: in
     return rows.mapInArrow(run, "a long, b long")
 
 
-def close_sizes(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def may_link(x: tuple[str, str, str], y: tuple[str, str, str], percent: int) -> Column:
+    """Whether sizes and caps allow a link; each side as its columns for
+    size, cap and end of the prefix."""
+    (n, cap, end), (m, other_cap, other_end) = (map(F.col, side) for side in (x, y))
+    return ((F.least(n, m) * 100 >= F.greatest(n, m) * percent)
+            & F.when(end <= other_end, m <= cap).otherwise(n <= other_cap))
 
 
 @dataclass
@@ -230,7 +245,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     documents = keyed.select("_id", "n", "cls")
     # one row for each class, with the least id that is not null (or null)
     classes = keyed.filter("cls IS NOT NULL").groupBy("cls").agg(
-        F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("grp").alias("grp"))
+        F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("end").alias("end"))
     # groups are listed under the shingles of their prefix; a group of several
     # classes also has a list of its own, named by its digest
     listed = keyed.select(F.explode("prefix").alias("token"), "grp")
@@ -239,49 +254,67 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     several = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     lists = stored(listed.join(shared, "token").distinct()
                    .unionByName(several.select(F.col("grp").alias("token"), "grp")), "prefix-lists")
-    active = stored(classes.join(lists.select("grp").distinct(), "grp", "left_semi"), "classes")
-    n_active = active.count()
-    if not n_active:
-        return Classes(documents, None, None)
-    wanted = active.select("_id", "cls")
-    sets = stored(sets_of(texts, F.broadcast(wanted) if n_active <= broadcast_rows else wanted, k), "shingle-sets")
-    members = active.select("grp", "cls", "n")
-    # (token, cls): the classes of each list that have not met all others
-    entries = lists.join(members, "grp").select("token", "cls", "n")
-    met, links, labels, k_pivots = None, None, None, first_pivots
+    # of the prefix, what other groups list too; the rest no set with a later
+    # end of its prefix can hold, so shared <= n - rest, and with the other
+    # size m a link needs shared * (100 + percent) >= percent * (n + m)
+    in_lists = lists.join(several.select(F.col("grp").alias("token")), "token", "left_anti").groupBy("grp").agg(
+        F.count(F.lit(1)).alias("listed"))
+    rest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.coalesce("listed", F.lit(0))
+    most = F.when(F.col("shares"), F.col("n")).otherwise(F.col("n") - rest)
+    active = stored(classes.join(in_lists, "grp", "left").join(several.select("grp", F.lit(True).alias("shares")), "grp", "left")
+                    .filter("listed IS NOT NULL OR shares")
+                    .select("grp", "cls", "_id", "n", "end",
+                            (F.floor(most * (100 + percent) / percent) - F.col("n")).alias("cap")), "classes")
+    # the classes of each list
+    entries = lists.join(active.select("grp", "cls", "n", "cap", "end"), "grp").drop("grp")
+    span = (entries.groupBy("token").agg(F.min("n").alias("low"), F.max("cap").alias("high")).filter("high >= low")
+            .select("token", "low"))
+    entries = stored(entries.join(span, "token").withColumn("able", F.col("cap") >= F.col("low")).drop("low"), "entries")
+    met, links, labels, sets, k_pivots = None, None, None, None, first_pivots
     while True:
-        if labels is None:
-            rows = entries.withColumn("comp", F.col("cls"))
-            outside = rows
-        else:
-            rows = (entries.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
-            # the component with most classes of a list needs no pivots there
-            open_lists = (rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("times")).groupBy("token")
-                          .agg(F.max(F.struct("times", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"))
-                          .filter("comps > 1").select("token", F.col("most.comp").alias("main")))
-            rows = stored(rows.join(open_lists, "token"), "open-lists")
-            if rows.isEmpty():
-                break
-            outside = rows.filter("comp != main")
-        # pivots: the first class of each of k hash slots
+        rows = entries.withColumn("comp", F.col("cls")) if labels is None else (
+            entries.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+        # lists with classes that are not connected and pivots to come; the
+        # component with most classes of a list is its main one
+        open_lists = (rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("times"), F.max("able").alias("any"))
+                      .groupBy("token").agg(F.max(F.struct("times", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"),
+                                            F.max("any").alias("any"))
+                      .filter("comps > 1 AND any").select("token", F.col("most.comp").alias("main")))
+        rows = stored(rows.join(open_lists, "token"), "open-lists")
+        if rows.isEmpty():
+            break
+        # pivots: the first able class of each of k hash slots of a list
         slot = F.pmod(F.xxhash64("cls", F.lit(k_pivots)), F.lit(k_pivots)).alias("slot")
-        pivots = (outside.groupBy("token", slot).agg(F.min(F.struct("cls", "n", "comp")).alias("p")).select("token", "p.*"))
-        pivots = stored(pivots, "pivots")
-        p = pivots.select("token", F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-        pairs = (rows.join(p, "token").filter((F.col("comp") != F.col("pc")) & close_sizes(F.col("n"), F.col("pn"), percent))
+        pivots = stored(rows.filter("able").groupBy("token", slot)
+                        .agg(F.min(F.struct("cls", "n", "cap", "end", "comp", "main")).alias("p")).select("token", "p.*"), "pivots")
+        p = pivots.select("token", F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("cap").alias("p_cap"),
+                          F.col("end").alias("p_end"), F.col("comp").alias("pc"), (F.col("comp") == F.col("main")).alias("p_main"))
+        # a pivot of the main component needs to meet only the others
+        others = rows.filter("comp != main").join(p, "token")
+        inside = rows.filter("comp = main").join(p.filter("NOT p_main"), "token")
+        pairs = (others.unionByName(inside)
+                 .filter((F.col("comp") != F.col("pc"))
+                         & may_link(("n", "cap", "end"), ("pn", "p_cap", "p_end"), percent))
                  .select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct())
         if met is not None:
             pairs = pairs.join(met, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         met = pairs if met is None else stored(met.unionByName(pairs), "met")
-        new = stored(verified(pairs, sets, percent, broadcast_rows), "links")
-        links = new if links is None else links.unionByName(new)
-        if not new.isEmpty():
-            labels = merge_labels(labels, new)
-        if labels is None:
-            labels = new.select(F.col("a").alias("cls"), F.col("a").alias("comp"))
-        entries = stored(rows.select("token", "cls", "n").join(pivots.select("token", "cls"), ["token", "cls"], "left_anti"),
-                         "entries")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        if sets is not None:
+            ends = ends.join(sets.select("cls"), "cls", "left_anti")
+        wanted = stored(active.join(ends, "cls", "left_semi").select("_id", "cls"), "wanted")
+        n_wanted = wanted.count()
+        if n_wanted:
+            more = stored(sets_of(texts, F.broadcast(wanted) if n_wanted <= broadcast_rows else wanted, k), "shingle-sets")
+            sets = more if sets is None else sets.unionByName(more)
+        if sets is not None:
+            new = stored(verified(pairs, sets, percent), "links")
+            links = new if links is None else links.unionByName(new)
+            if not new.isEmpty():
+                labels = merge_labels(labels, new)
+        entries = stored(rows.select("token", "cls", "n", "cap", "end", "able")
+                         .join(pivots.select("token", "cls"), ["token", "cls"], "left_anti"), "entries")
         k_pivots *= 8
     return Classes(documents, links, labels)
 
