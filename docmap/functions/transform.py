@@ -48,107 +48,252 @@ def _tokens(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def _split_call(toks, i):
-    """Return (args as token lists, index after the closing paren) for a call at toks[i] == '('."""
-    depth, args, cur = 0, [], []
-    j = i
-    while j < len(toks):
-        k, v = toks[j]
-        if v == "(":
-            depth += 1
-            if depth > 1:
-                cur.append(toks[j])
-        elif v == ")":
-            depth -= 1
-            if depth == 0:
-                args.append(cur)
-                return args, j + 1
-            cur.append(toks[j])
-        elif v == "," and depth == 1:
-            args.append(cur)
-            cur = []
-        else:
-            cur.append(toks[j])
-        j += 1
-    raise TransformError("unbalanced parentheses")
-
-
-def _render(toks, value_sql: str) -> str:
-    out, i = [], 0
-    while i < len(toks):
-        kind, v = toks[i]
-        u = v.upper()
-        if kind == "id":
-            nxt = toks[i + 1][1] if i + 1 < len(toks) else None
-            if u == "VALUE":
-                out.append(value_sql)
-            elif u in FUNCTIONS and nxt == "(":
-                args, j = _split_call(toks, i + 1)
-                out.append(_function(u, args, value_sql))
-                i = j
-                continue
-            elif u in WORDS:
-                out.append(u)
-            elif u in TYPES:
-                out.append(u)
+# What the arguments of plain functions are (t: text, n: number,
+# i: whole-number literal), the number of arguments that must be given, and
+# what they return.
+SIGNATURES = {
+    "UPPER": ("t", 1, "t"), "LOWER": ("t", 1, "t"), "TRIM": ("t", 1, "t"), "LTRIM": ("t", 1, "t"), "RTRIM": ("t", 1, "t"),
+    "LEFT": ("ti", 2, "t"), "RIGHT": ("ti", 2, "t"), "SUBSTR": ("tii", 2, "t"), "SUBSTRING": ("tii", 2, "t"),
+    "LENGTH": ("t", 1, "n"), "ROUND": ("ni", 1, "n"), "ABS": ("n", 1, "n"), "REPLACE": ("ttt", 2, "t"),
+    "LPAD": ("tit", 2, "t"), "RPAD": ("tit", 2, "t"),
+}
+NUMBER = "DECIMAL(38,10)"
+
+
+class _Translator:
+    """Recursive descent over the tokens of one transformation.
+
+    Every step returns (Spark SQL, kind) with kind ``t`` (text), ``n``
+    (number), ``d`` (date or time), ``b`` (truth value) or ``0`` (NULL).
+    Values are text, so numbers are made with ``try_cast`` and combined with
+    ``try_`` arithmetic: a bad value gives NULL and never ends the job.
+    """
+
+    def __init__(self, tokens: list[tuple[str, str]], value_sql: str):
+        self.tokens, self.at, self.value_sql = tokens, 0, value_sql
+
+    # ------------------------------------------------------------ tokens
+    def peek(self, ahead: int = 0) -> str:
+        i = self.at + ahead
+        return "" if i >= len(self.tokens) or self.tokens[i][0] == "str" else self.tokens[i][1].upper()
+
+    def take(self, *words: str) -> str | None:
+        if self.peek() in words and self.peek():
+            self.at += 1
+            return self.tokens[self.at - 1][1].upper()
+        return None
+
+    def need(self, word: str) -> None:
+        if not self.take(word):
+            raise TransformError(f"{word} expected")
+
+    def whole(self) -> tuple[str, str]:
+        out = self.either()
+        if self.at < len(self.tokens):
+            raise TransformError(f"unexpected {self.tokens[self.at][1]!r}")
+        return out
+
+    # ------------------------------------------------------------- kinds
+    @staticmethod
+    def number(x: tuple[str, str]) -> str:
+        if x[1] in "db":
+            raise TransformError("number expected")
+        return x[0] if x[1] in "n0" else f"try_cast(trim({x[0]}) AS {NUMBER})"
+
+    @staticmethod
+    def text(x: tuple[str, str]) -> str:
+        return x[0] if x[1] in "t0" else f"CAST({x[0]} AS STRING)"
+
+    @staticmethod
+    def truth(x: tuple[str, str]) -> str:
+        if x[1] not in "b0":
+            raise TransformError("condition expected")
+        return x[0]
+
+    def alike(self, items: list[tuple[str, str]]) -> tuple[list[str], str]:
+        """The items in one kind: numbers if any is a number and none is
+        longer text, else text."""
+        kinds = {k for _, k in items} - {"0"}
+        if len(kinds) <= 1:
+            return [x for x, _ in items], (kinds or {"0"}).pop()
+        return [self.text(x) for x in items], "t"
+
+    # -------------------------------------------------------- conditions
+    def either(self) -> tuple[str, str]:
+        left = self.both()
+        while self.take("OR"):
+            left = (f"({self.truth(left)} OR {self.truth(self.both())})", "b")
+        return left
+
+    def both(self) -> tuple[str, str]:
+        left = self.negated()
+        while self.take("AND"):
+            left = (f"({self.truth(left)} AND {self.truth(self.negated())})", "b")
+        return left
+
+    def negated(self) -> tuple[str, str]:
+        if self.take("NOT"):
+            return f"(NOT {self.truth(self.negated())})", "b"
+        return self.compared()
+
+    def compared(self) -> tuple[str, str]:
+        left = self.sum()
+        if op := self.take("=", "<>", "!=", "<", ">", "<=", ">="):
+            right = self.sum()
+            if "n" in (left[1], right[1]):
+                a, b = self.number(left), self.number(right)
             else:
-                raise TransformError(f"identifier not allowed: {v}")
-        elif kind == "str":
-            out.append(v)
-        elif kind == "num":
-            out.append(v)
-        else:
-            out.append("!=" if v == "<>" else v)
-        i += 1
-    return " ".join(out)
-
-
-def _sql_type(toks) -> str:
-    words = [v.upper() for _, v in toks]
-    if not words or words[0] not in TYPES:
-        raise TransformError(f"type not allowed: {' '.join(words)}")
-    base = {"NUMBER": "DECIMAL", "NUMERIC": "DECIMAL", "INTEGER": "INT", "VARCHAR": "STRING",
-            "FLOAT": "DOUBLE"}.get(words[0], words[0])
-    rest = words[1:]
-    if base == "DECIMAL" and not rest:
-        return "DECIMAL(38,0)"
-    if base == "STRING":
-        return "STRING"
-    if rest:
-        if not all(re.fullmatch(r"[(),0-9]", w) or w.isdigit() for w in rest):
-            raise TransformError("bad type arguments")
-        return base + "".join(rest)
-    return base
-
-
-def _function(name: str, args, value_sql: str) -> str:
-    if name in ("CAST", "TRY_CAST"):
-        if len(args) != 1:
-            raise TransformError("CAST takes one argument")
-        a = args[0]
-        pos = next((k for k, (_, v) in enumerate(a) if v.upper() == "AS"), None)
-        if pos is None:
-            raise TransformError("CAST without AS")
-        inner = _render(a[:pos], value_sql)
-        t = _sql_type(a[pos + 1:])
-        if t == "DATE":
-            return _guarded_date(inner)
-        if t in ("INT", "BIGINT", "SMALLINT"):
-            return f"try_cast(try_cast(trim({inner}) AS DECIMAL(38,0)) AS {t})"
-        return f"try_cast(trim({inner}) AS {t})"
-    rendered = [_render(a, value_sql) for a in args]
-    if name == "TO_DATE":
-        return _guarded_date(rendered[0])
-    if name in ("TO_TIMESTAMP_NTZ", "TO_TIMESTAMP"):
-        return (f"CASE WHEN trim({rendered[0]}) RLIKE '{_DATE_GUARD}' "
-                f"THEN try_cast(trim({rendered[0]}) AS TIMESTAMP_NTZ) END")
-    if name in ("TO_NUMBER", "TO_DECIMAL"):
-        if len(rendered) == 3:
-            return f"try_cast(trim({rendered[0]}) AS DECIMAL({rendered[1]},{rendered[2]}))"
-        return f"try_cast(trim({rendered[0]}) AS DECIMAL(38,0))"
-    if name == "SUBSTR":
-        name = "SUBSTRING"
-    return f"{name}({', '.join(rendered)})"
+                (a, b), _ = self.alike([left, right])
+            return f"({a} {'!=' if op == '<>' else op} {b})", "b"
+        if self.take("IS"):
+            no = self.take("NOT")
+            self.need("NULL")
+            return f"({left[0]} IS {'NOT ' if no else ''}NULL)", "b"
+        no = "NOT " if self.peek() == "NOT" and self.peek(1) in ("IN", "LIKE") and self.take("NOT") else ""
+        if self.take("IN"):
+            items = self.arguments()
+            if not items:
+                raise TransformError("IN without values")
+            if any(k == "n" for _, k in [left, *items]):
+                return f"({self.number(left)} {no}IN ({', '.join(map(self.number, items))}))", "b"
+            parts, _ = self.alike([left, *items])
+            return f"({parts[0]} {no}IN ({', '.join(parts[1:])}))", "b"
+        if self.take("LIKE"):
+            return f"({self.text(left)} {no}LIKE {self.text(self.sum())})", "b"
+        return left
+
+    # -------------------------------------------------------- arithmetic
+    def sum(self) -> tuple[str, str]:
+        left = self.product()
+        while op := self.take("+", "-", "||"):
+            right = self.product()
+            if op == "||":
+                left = (f"concat({self.text(left)}, {self.text(right)})", "t")
+            else:
+                left = (f"{'try_add' if op == '+' else 'try_subtract'}({self.number(left)}, {self.number(right)})", "n")
+        return left
+
+    def product(self) -> tuple[str, str]:
+        left = self.single()
+        while op := self.take("*", "/"):
+            left = (f"{'try_multiply' if op == '*' else 'try_divide'}({self.number(left)}, {self.number(self.single())})", "n")
+        return left
+
+    def single(self) -> tuple[str, str]:
+        if self.take("-"):
+            return f"try_subtract(0, {self.number(self.single())})", "n"
+        if self.take("("):
+            inner = self.either()
+            self.need(")")
+            return f"({inner[0]})", inner[1]
+        if self.at >= len(self.tokens):
+            raise TransformError("unexpected end")
+        kind, word = self.tokens[self.at]
+        self.at += 1
+        if kind == "num":
+            return word, "n"
+        if kind == "str":
+            return word, "t"
+        name = word.upper()
+        if name == "VALUE":
+            return self.value_sql, "t"
+        if name == "NULL":
+            return "NULL", "0"
+        if name in ("TRUE", "FALSE"):
+            return name, "b"
+        if name == "CASE":
+            return self.case()
+        if name in FUNCTIONS and self.peek() == "(":
+            return self.function(name)
+        raise TransformError(f"identifier not allowed: {word}")
+
+    def case(self) -> tuple[str, str]:
+        subject = None if self.peek() == "WHEN" else self.sum()
+        tests, results = [], []
+        while self.take("WHEN"):
+            if subject is None:
+                tests.append(self.truth(self.either()))
+            else:
+                (a, b), _ = self.alike([subject, self.sum()])
+                tests.append(f"({a} = {b})")
+            self.need("THEN")
+            results.append(self.either())
+        if not tests:
+            raise TransformError("CASE without WHEN")
+        results.append(self.either() if self.take("ELSE") else ("NULL", "0"))
+        self.need("END")
+        parts, kind = self.alike(results)
+        return (f"CASE {' '.join(f'WHEN {t} THEN {r}' for t, r in zip(tests, parts))} ELSE {parts[-1]} END", kind)
+
+    # --------------------------------------------------------- functions
+    def arguments(self) -> list[tuple[str, str]]:
+        self.need("(")
+        out = []
+        while not self.take(")"):
+            if out:
+                self.need(",")
+            out.append(self.either())
+        return out
+
+    def cast(self) -> tuple[str, str]:
+        self.need("(")
+        inner = self.either()
+        self.need("AS")
+        base = self.take(*TYPES)
+        if not base:
+            raise TransformError("type not allowed")
+        args = ""
+        if self.take("("):
+            while not self.take(")"):
+                if not (re.fullmatch(r"[0-9]+", self.peek()) or self.peek() == ","):
+                    raise TransformError("bad type arguments")
+                args += self.take(self.peek())
+            args = f"({args})"
+        self.need(")")
+        x, base = self.text(inner), {"NUMBER": "DECIMAL", "NUMERIC": "DECIMAL", "INTEGER": "INT", "VARCHAR": "STRING",
+                                     "FLOAT": "DOUBLE"}.get(base, base)
+        if base == "STRING":
+            return f"trim({x})", "t"
+        if base == "DATE":
+            return _guarded_date(x), "d"
+        if base in ("INT", "BIGINT", "SMALLINT"):
+            return f"try_cast(try_cast(trim({x}) AS DECIMAL(38,0)) AS {base})", "n"
+        kind = "b" if base == "BOOLEAN" else "d" if base.startswith("TIMESTAMP") else "n"
+        if base == "DECIMAL":
+            args = args or "(38,0)"
+        return f"try_cast(trim({x}) AS {base}{args if base == 'DECIMAL' else ''})", kind
+
+    def function(self, name: str) -> tuple[str, str]:
+        if name in ("CAST", "TRY_CAST"):
+            return self.cast()
+        args = self.arguments()
+        if name in ("COALESCE", "NULLIF", "CONCAT"):
+            if len(args) < 1 or (name == "NULLIF" and len(args) != 2):
+                raise TransformError(f"{name}: wrong number of arguments")
+            if name == "CONCAT":
+                return f"CONCAT({', '.join(map(self.text, args))})", "t"
+            parts, kind = self.alike(args)
+            return f"{name}({', '.join(parts)})", kind
+        if name in ("TO_DATE", "TO_TIMESTAMP", "TO_TIMESTAMP_NTZ", "TO_NUMBER", "TO_DECIMAL"):
+            if not args:
+                raise TransformError(f"{name}: argument expected")
+            x = self.text(args[0])
+            if name == "TO_DATE":
+                return _guarded_date(x), "d"
+            if name.startswith("TO_TIMESTAMP"):
+                return f"CASE WHEN trim({x}) RLIKE '{_DATE_GUARD}' THEN try_cast(trim({x}) AS TIMESTAMP_NTZ) END", "d"
+            size = [a[0] for a in args[1:]]
+            if not all(re.fullmatch(r"[0-9]+", n) for n in size) or len(size) not in (0, 2):
+                raise TransformError(f"{name}: precision and scale expected")
+            return f"try_cast(trim({x}) AS DECIMAL({','.join(size) or '38,0'}))", "n"
+        kinds, least, result = SIGNATURES[name]
+        if not least <= len(args) <= len(kinds):
+            raise TransformError(f"{name}: wrong number of arguments")
+        for (sql, _), kind in zip(args, kinds):
+            if kind == "i" and not re.fullmatch(r"[0-9]+", sql):
+                raise TransformError(f"{name}: whole number expected, not {sql}")
+        parts = [self.number(a) if k == "n" else a[0] if k == "i" else self.text(a) for a, k in zip(args, kinds)]
+        return f"{'SUBSTRING' if name == 'SUBSTR' else name}({', '.join(parts)})", result
 
 
 def _guarded_date(inner: str) -> str:
@@ -165,7 +310,7 @@ def to_spark_sql(text: str, value_sql: str = "value") -> str:
     """Whitelisted rewrite of a transformation to Spark SQL text over ``value_sql``."""
     if is_identity(text):
         return value_sql
-    return _render(_tokens(text), value_sql)
+    return _Translator(_tokens(text), value_sql).whole()[0]
 
 
 def apply_transform(text: str | None, value: Column, tmp_name: str) -> Column:

@@ -168,12 +168,20 @@ def types_compatible(source_type, target_type) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
+# Types that are written with a length, and with precision and scale.
+LENGTH_TYPES = ["VARCHAR", "CHAR", "TEXT"]
+PRECISION_TYPES = ["NUMBER", "DECIMAL", "NUMERIC"]
+
+
 def format_type(data_type, max_length, precision, scale) -> Column:
-    """Q11: ``VARCHAR(50)``, ``DECIMAL(15,2)``, ``NUMBER(38)``; scale only if > 0."""
+    """Q11: ``VARCHAR(50)``, ``DECIMAL(15,2)``, ``NUMBER(38)``; scale only if > 0.
+    Any other type is written plainly, even when it has a length or precision."""
     dt = _c(data_type)
     ml, p, s = _c(max_length), _c(precision), _c(scale)
-    return (F.when(ml.isNotNull(), F.format_string("%s(%d)", dt, ml.cast("int")))
-            .when(p.isNotNull() & (F.coalesce(s, F.lit(0)) > 0),
+    by_length = F.upper(dt).isin(LENGTH_TYPES) & ml.isNotNull()
+    by_precision = F.upper(dt).isin(PRECISION_TYPES) & p.isNotNull()
+    return (F.when(by_length, F.format_string("%s(%d)", dt, ml.cast("int")))
+            .when(by_precision & (F.coalesce(s, F.lit(0)) > 0),
                   F.format_string("%s(%d,%d)", dt, p.cast("int"), s.cast("int")))
-            .when(p.isNotNull(), F.format_string("%s(%d)", dt, p.cast("int")))
+            .when(by_precision, F.format_string("%s(%d)", dt, p.cast("int")))
             .otherwise(dt))

@@ -11,18 +11,23 @@ normalized by the product's maximum (D6); best product, NULL below
 ``min_score`` (D7); per-product detail rows (D8).
 
 Keyword and code evidence are column expressions over the document text
-(JVM only).  Tag / attribute evidence joins the documents' distinct tags
-with the configuration-sized pattern table; the fuzzy ratio is computed
-once per distinct (tag, pattern) pair of the whole corpus, then joined
-back, so Python work grows with the vocabulary, not with the documents.
+(JVM only).  Tag and attribute evidence is collected where the document is
+parsed, once, in an Arrow-batched UDF that returns one small row of counts;
+each worker keeps which patterns a tag matches, so the fuzzy ratio is
+computed once per distinct tag there.  Nothing is shuffled, joined or
+checkpointed: scores of all products are expressions over that row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docmap.functions.similarity import fuzzy_matches
+from docmap.session import ensure_worker_code
 
 # Product definitions of the detector
 # (code, name, keywords, node patterns, attribute patterns).
@@ -95,122 +100,133 @@ def keyword_detect(df: DataFrame, text_col: str, key_cols: list[str]) -> DataFra
     return cols.select("*", pick.alias("detected_product"), best.alias("confidence"))
 
 
-def _patterns(spark: SparkSession) -> DataFrame:
-    """Node and attribute patterns of every product (configuration-sized)."""
-    rows = [(p[0], d, kind, pat.lower(), j)
-            for d, p in enumerate(PRODUCTS)
-            for kind, pats in (("node", p[3]), ("attr", p[4]))
-            for j, pat in enumerate(pats)]
-    return spark.createDataFrame(rows, "product_code string, def_order int, kind string, pattern string, pattern_idx int")
-
-
-def document_terms(nodes: DataFrame, key_cols: list[str]) -> DataFrame:
-    """One row per (document, kind, lower-cased term) with its first position.
-
-    kind ``node`` = element names, ``attr`` = attribute names, ``error`` = a
-    document that did not parse.  A single aggregate over the node rows; every
-    evidence rule reads this table.
-    """
-    items = F.when(F.col("ordinal") < 0, F.array(F.struct(F.lit("error").alias("kind"), F.lit("").alias("term"))))\
-        .otherwise(F.concat(
-            F.array(F.struct(F.lit("node").alias("kind"), F.lower("node_name").alias("term"))),
-            F.transform(F.coalesce("attributes", F.array().cast("array<string>")),
-                        lambda a: F.struct(F.lit("attr").alias("kind"), F.lower(a).alias("term")))))
-    return (nodes.select(*key_cols, "ordinal", F.inline(items))
-            .groupBy(*key_cols, "kind", "term").agg(F.min("ordinal").alias("first_ord")))
-
-
-def _evidence(terms: DataFrame, key_cols: list[str], patterns: DataFrame) -> DataFrame:
-    """Per (doc, product, kind, pattern): exact beats fuzzy; among fuzzy hits
-    the first term in document order gives the similarity (D2-D4)."""
-    pat = F.broadcast(patterns)  # configuration-sized
-    exact = (terms.join(pat, (terms.kind == pat.kind) & (terms.term == pat.pattern))
-             .select(*key_cols, "product_code", terms.kind, "pattern_idx", F.lit(0).alias("fz"),
-                     F.lit(-1).alias("first_ord"), F.lit(None).cast("double").alias("sim")))
-    vocab = terms.where(F.col("kind") != "error").select("kind", "term").distinct()
-    # candidate pairs per kind: join the vocabulary and the patterns of the same kind
-    fz_rows = []
-    for kind in ("node", "attr"):
-        v = vocab.where(F.col("kind") == kind).select("term")
-        pk = patterns.where(F.col("kind") == kind).drop("kind")
-        fz_rows.append(fuzzy_matches(v, "term", pk, "pattern", TAG_THRESHOLD)
-                       .select(F.lit(kind).alias("kind"), "term", "product_code", "pattern_idx", "similarity"))
-    fz = fz_rows[0].unionByName(fz_rows[1])
-    fuzzy = (terms.join(fz, ["kind", "term"])
-             .select(*key_cols, "product_code", "kind", "pattern_idx", F.lit(1).alias("fz"), "first_ord",
-                     F.col("similarity").alias("sim")))
-    best = (exact.unionByName(fuzzy)
-            .groupBy(*key_cols, "product_code", "kind", "pattern_idx")
-            .agg(F.min(F.struct("fz", "first_ord", "sim")).alias("b")))
-    pts = (F.when((F.col("kind") == "node") & (F.col("b.fz") == 0), 2.0)
-           .when(F.col("kind") == "node", 1.5)
-           .when(F.col("b.fz") == 0, 1.5).otherwise(1.0))
-    return best.select(*key_cols, "product_code", "kind", pts.alias("points"),
-                       F.when(F.col("b.fz") == 1, F.col("b.sim")).otherwise(0.0).alias("fuzzy_sim"))
-
-
-def product_scores(spark: SparkSession, docs: DataFrame, nodes: DataFrame | None, key_cols: list[str],
-                   raw_col: str = "raw_xml", materialize: bool = True) -> DataFrame:
-    """One row per (document, product) with raw and normalized score.
-
-    ``nodes`` is ``xml_nodes(.., keep_errors=True)`` of the same documents, or
-    None to take the term table straight from the worker (``xml_terms``).
-    The term table is read by four evidence branches; with ``materialize``
-    its lineage is cut by a reliable checkpoint (written once to the shared
-    ``spark.checkpoint.dir``) so documents are parsed once, and a lost
-    executor re-reads the checkpoint instead of re-parsing.
-    """
+class TermPatterns(dict):
+    """(kind, term) -> [(product, pattern, exact, similarity)] of the patterns
+    that the term matches; ``limit`` bounds the terms remembered."""
+
+    def __init__(self, limit: int = 100_000):
+        super().__init__()
+        self.limit = limit
+
+    def __missing__(self, key: tuple[str, str]) -> list[tuple[int, int, bool, float]]:
+        kind, term = key
+        hits = []
+        for d, p in enumerate(PRODUCTS):
+            for j, pattern in enumerate(p[3] if kind == "node" else p[4]):
+                pattern = pattern.lower()
+                if pattern == term:
+                    hits.append((d, j, True, 0.0))
+                # 2 * shorter / both lengths is the most the ratio can be
+                elif 2 * min(len(pattern), len(term)) > TAG_THRESHOLD * (len(pattern) + len(term)):
+                    r = SequenceMatcher(None, pattern, term).ratio()
+                    if r > TAG_THRESHOLD:
+                        hits.append((d, j, False, r))
+        if len(self) >= self.limit:
+            self.clear()
+        self[key] = hits
+        return hits
+
+
+# Points of an exact and of a fuzzy match.
+POINTS = {"node": (2.0, 1.5), "attr": (1.5, 1.0)}
+# One row of evidence per document; the lists go by product.
+EVIDENCE_TYPE = T.StructType([
+    T.StructField("parsed", T.BooleanType()),
+    T.StructField("node_points", T.ArrayType(T.DoubleType())), T.StructField("node_matches", T.ArrayType(T.LongType())),
+    T.StructField("fuzzy_score", T.ArrayType(T.DoubleType())), T.StructField("attr_points", T.ArrayType(T.DoubleType())),
+    T.StructField("attribute_matches", T.ArrayType(T.LongType()))])
+
+
+def document_terms(raw: str | None):
+    """[(kind, lower-cased term)] in document order, each once; None when the
+    document does not parse."""
+    from docmap.functions.xmlnodes import local_name, parse
+    root, _ = parse(raw)
+    if root is None:
+        return None
+    seen: dict[tuple[str, str], None] = {}
+    for el in root.iter():
+        if isinstance(el.tag, str):
+            seen.setdefault(("node", local_name(el.tag).lower()))
+            for a in el.attrib:
+                seen.setdefault(("attr", local_name(a).lower()))
+    return list(seen)
+
+
+def term_evidence(raw: str | None, patterns: TermPatterns) -> tuple:
+    """One row of EVIDENCE_TYPE (lists by product): of each pattern an exact
+    match counts, else the first similar term in document order (D2-D4)."""
+    zeros = [0.0] * len(PRODUCTS)
+    found = (False, zeros[:], [0] * len(zeros), zeros[:], zeros[:], [0] * len(zeros))
+    terms = document_terms(raw)
+    if terms is None:
+        return found
+    best: dict[tuple[str, int, int], tuple[bool, float]] = {}
+    for kind, term in terms:
+        for d, j, exact, similarity in patterns[kind, term]:
+            if exact or (kind, d, j) not in best:
+                best[kind, d, j] = (exact, similarity)
+    _, node_points, nodes, fuzzy, attr_points, attrs = found
+    for (kind, d, _), (exact, similarity) in best.items():
+        points = POINTS[kind][0 if exact else 1]
+        if kind == "node":
+            node_points[d] += points
+            nodes[d] += 1
+            fuzzy[d] += similarity
+        else:
+            attr_points[d] += points
+            attrs[d] += 1
+    return (True, *found[1:])
+
+
+_PATTERNS = TermPatterns()
+
+
+@F.pandas_udf(EVIDENCE_TYPE)
+def _evidence(raw: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([term_evidence(r, _PATTERNS) for r in raw], columns=EVIDENCE_TYPE.names)
+
+
+def score_array(docs: DataFrame, key_cols: list[str], raw_col: str = "raw_xml") -> DataFrame:
+    """Keys, ``parsed`` and ``scores``, an array with one struct per
+    product in definition order."""
+    ensure_worker_code(docs.sparkSession)
+    base = docs.select(*key_cols, document_text(F.col(raw_col)).alias("_text"), _evidence(F.col(raw_col)).alias("_e"))
     text = F.col("_text")
-    prod_rows = []
+    rows = []
     for d, p in enumerate(PRODUCTS):
-        prod_rows.append(F.struct(
-            F.lit(p[0]).alias("product_code"), F.lit(d).alias("def_order"), F.lit(p[1]).alias("product_name"),
-            _count_contained(text, p[2]).alias("keyword_matches"),
-            F.when(F.instr(text, p[0].lower()) > 0, 3.0).otherwise(0.0).alias("code_points"),
-            F.lit(max_score(p)).alias("max_score")))
-    # the normalized text is computed once per document in its own projection
-    base = (docs.select(*key_cols, document_text(F.col(raw_col)).alias("_text"))
-            .select(*key_cols, F.inline(F.array(*prod_rows))))
-
-    if nodes is None:
-        from docmap.operators.nodes import xml_terms
-        terms = xml_terms(docs, key_cols, raw_col)
-    else:
-        terms = document_terms(nodes, key_cols)
-    if materialize:
-        from docmap.session import ensure_checkpoint_dir
-        ensure_checkpoint_dir(spark)
-        terms = terms.checkpoint(eager=True)
-    ev = _evidence(terms, key_cols, _patterns(spark)).groupBy(*key_cols, "product_code").agg(
-        F.sum(F.when(F.col("kind") == "node", F.col("points")).otherwise(0.0)).alias("node_points"),
-        F.count_if(F.col("kind") == "node").alias("node_matches"),
-        F.sum(F.when(F.col("kind") == "node", F.col("fuzzy_sim")).otherwise(0.0)).alias("fuzzy_score"),
-        F.sum(F.when(F.col("kind") == "attr", F.col("points")).otherwise(0.0)).alias("attr_points"),
-        F.count_if(F.col("kind") == "attr").alias("attribute_matches"))
-    failed = terms.where(F.col("kind") == "error").select(*key_cols, F.lit(True).alias("_failed"))
-    s = (base.join(ev, [*key_cols, "product_code"], "left")
-         .join(failed, key_cols, "left")
-         .na.fill({"node_points": 0.0, "node_matches": 0, "fuzzy_score": 0.0,
-                   "attr_points": 0.0, "attribute_matches": 0}))
-    raw = F.col("keyword_matches") + F.col("node_points") + F.col("attr_points") + F.col("code_points")
-    return s.select(
-        *key_cols, "product_code", "product_name", "def_order",
-        F.col("_failed").isNull().alias("parsed"),
-        raw.alias("raw_score"), (raw / F.col("max_score")).alias("normalized_score"),
-        "keyword_matches", "node_matches", "attribute_matches", "fuzzy_score")
-
-
-def detect_products(scores: DataFrame, key_cols: list[str], min_score: float = 0.2) -> DataFrame:
-    """Best product per document (ties to definition order); NULL and 0.0
-    when the best is below ``min_score`` or the document does not parse."""
-    best = scores.groupBy(*key_cols).agg(
-        F.max(F.struct("normalized_score", (-F.col("def_order")).alias("neg_order"), "product_code",
-                       "raw_score", "parsed")).alias("b"))
-    ok = F.col("b.parsed") & (F.col("b.normalized_score") >= min_score)
-    return best.select(*key_cols,
-                       F.when(ok, F.col("b.product_code")).alias("product_code"),
+        e = {c: F.col(f"_e.{c}")[d] for c in ("node_points", "node_matches", "fuzzy_score", "attr_points", "attribute_matches")}
+        keywords = _count_contained(text, p[2])
+        raw = (keywords + e["node_points"] + e["attr_points"]
+               + F.when(F.instr(text, p[0].lower()) > 0, 3.0).otherwise(0.0))
+        rows.append(F.struct(
+            F.lit(p[0]).alias("product_code"), F.lit(p[1]).alias("product_name"), F.lit(d).alias("def_order"),
+            raw.alias("raw_score"), (raw / max_score(p)).alias("normalized_score"), keywords.alias("keyword_matches"),
+            e["node_matches"].alias("node_matches"), e["attribute_matches"].alias("attribute_matches"),
+            e["fuzzy_score"].alias("fuzzy_score")))
+    return base.select(*key_cols, F.col("_e.parsed").alias("parsed"), F.array(*rows).alias("scores"))
+
+
+def product_scores(docs: DataFrame, key_cols: list[str], raw_col: str = "raw_xml") -> DataFrame:
+    """One row per (document, product) with raw and normalized score and
+    the number of matches of each kind."""
+    return score_array(docs, key_cols, raw_col).select(*key_cols, "parsed", F.inline("scores"))
+
+
+def detect_products(docs: DataFrame, key_cols: list[str], raw_col: str = "raw_xml", min_score: float = 0.2) -> DataFrame:
+    """Best product per document (ties to definition order) with its
+    detail; code NULL and confidence 0.0 when the best is below ``min_score``
+    or the document does not parse."""
+    detail = ["raw_score", "product_name", "keyword_matches", "node_matches", "attribute_matches", "fuzzy_score"]
+    scored = score_array(docs, key_cols, raw_col)
+    ranked = F.transform("scores", lambda x: F.struct(
+        x["normalized_score"].alias("normalized_score"), (-x["def_order"]).alias("neg_order"),
+        x["product_code"].alias("product_code"), *[x[c].alias(c) for c in detail]))
+    best = scored.select(*key_cols, "parsed", F.array_max(ranked).alias("b"))
+    ok = F.col("parsed") & (F.col("b.normalized_score") >= min_score)
+    return best.select(*key_cols, F.when(ok, F.col("b.product_code")).alias("product_code"),
                        F.when(ok, F.col("b.normalized_score")).otherwise(0.0).alias("confidence"),
-                       F.col("b.raw_score").alias("raw_score"))
+                       *[F.col(f"b.{c}").alias(c) for c in detail])
 
 
 def top_products(scores: DataFrame, key_cols: list[str], n: int = 3) -> DataFrame:

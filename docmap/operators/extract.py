@@ -14,6 +14,7 @@ is collected to the driver behind a size check, never the documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,7 @@ MAX_MAPPINGS = 10_000  # size bound of the driver-side compile step
 def is_surrogate_key(col: Column) -> Column:
     """Target column names that are skipped (contain ``_ID`` or equal ``ID``)."""
     u = F.upper(col)
-    return (F.instr(u, "_ID") > 0) | (u == "ID")
+    return F.coalesce((F.instr(u, "_ID") > 0) | (u == "ID"), F.lit(False))
 
 
 def first_wins(mappings: DataFrame, order_cols: list[str], skip_ids: bool = True,
@@ -56,11 +57,11 @@ class _Node:
     is_value: bool = False
 
     def ddl(self) -> str:
-        if not self.children and not self.attrs:
-            return "STRING"
+        # a leaf is a struct too: its text is told from markup by the schema,
+        # whatever characters it starts with
         parts = [f"`{k}`: ARRAY<{v.ddl()}>" for k, v in self.children.items()]
         parts += [f"`_{a}`: STRING" for a in sorted(self.attrs)]
-        if self.is_value:
+        if self.is_value or not parts:
             parts.append("`_VALUE`: STRING")
         return f"STRUCT<{', '.join(parts)}>"
 
@@ -125,12 +126,7 @@ class PathCompiler:
             c = c[s][0]
         if attr:
             return c[f"_{attr}"]
-        if n.children or n.attrs:
-            return c["_VALUE"]
-        # An ARRAY<STRING> leaf that has element children in this document
-        # yields its inner markup (``<a>..</a>``): such an element has no text
-        # value.  Text from CDATA that merely starts with '<' is kept.
-        return F.when(~(c.startswith("<") & c.endswith(">")), c)
+        return c["_VALUE"]
 
     def accessor(self, parsed: Column, record: Column | None, path: str) -> Column | None:
         steps, attr = split_path(path, self.root)
@@ -156,10 +152,22 @@ XML_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_reco
                "ignoreSurroundingSpaces": "false"}
 
 
+# Every repetition below is over one character class or a lazy dot: the
+# regex engine walks those in a loop, while a repeated group would recurse
+# once per character and overflow the stack on a long comment.
+_START_TAG = r"<(?:[\p{L}_][\w.\-]*+:)?([\p{L}_][\w.\-]*+)"
+_PLAIN_PROLOG = r"(?U)^\x{FEFF}?\s*+(?:<\?xml\s[^?]*+\?>\s*+)?" + _START_TAG
+_PROLOG_PARTS = [r"(?s)<!--.*?-->", r"(?s)<\?.*?\?>", r"(?s)<!DOCTYPE[^\[>]*+(?:\[.*?\]\s*+)?>"]
+
+
 def root_name(raw: Column) -> Column:
-    """Local name of the document element (after prolog, comments, doctype)."""
-    return F.regexp_extract(
-        raw, r"^(?:\s|<\?[^>]*\?>|<!--(?:[^-]|-[^-])*-->|<!DOCTYPE[^>]*>)*<(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*)", 1)
+    """Local name of the document element (after byte-order mark, prolog,
+    comments, processing instructions and document type)."""
+    bare = raw
+    for part in _PROLOG_PARTS:
+        bare = F.regexp_replace(bare, part, "")
+    plain = F.regexp_extract(raw, _PLAIN_PROLOG, 1)
+    return F.when(plain != "", plain).otherwise(F.regexp_extract(bare, "(?U)" + _START_TAG, 1))
 
 
 @dataclass
@@ -256,9 +264,12 @@ def bronze_missing(ledger: DataFrame, bronze: DataFrame, key: str = "xml_id") ->
 def load_silver(docs: DataFrame, mappings: DataFrame, target_table: str, key_cols: list[str],
                 columns: list[str] | None = None, order_cols: list[str] | None = None,
                 mode: str = "declared", record_path: str | None = None,
-                root: str = "Session") -> DataFrame:
+                root: str = "Session", column_types: dict[str, str] | None = None) -> DataFrame:
     """Typed rows for one target table from all documents at once.
 
+    ``columns`` fixes the output columns; those without a mapping are NULLs
+    of the type in ``column_types`` (string if it names none).
+
     ``mappings``: source_node, target_table, target_column,
     transformation_logic, target_type and an ordinal column.  With no
     usable column left, the result has the key columns only and 0 rows.
@@ -271,20 +282,25 @@ def load_silver(docs: DataFrame, mappings: DataFrame, target_table: str, key_col
     out = project(docs, compiled, key_cols, root=root, mode=mode, record_path=record_path)
     if columns:
         present = set(c.target_column for c in compiled)
+        types = column_types or {}
         out = out.select(*key_cols, *(["record_index"] if record_path else []),
-                         *[F.col(c) if c in present else F.lit(None).alias(c) for c in columns])
+                         *[F.col(c) if c in present else F.lit(None).cast(types.get(c, "string")).alias(c)
+                           for c in columns])
     return out
 
 
 def load_tables(docs: DataFrame, mappings: DataFrame, tables: list[str], key_cols: list[str],
                 order_cols: list[str] | None = None, mode: str = "declared",
-                record_paths: dict[str, str] | None = None, root: str = "Session"):
+                record_paths: dict[str, str] | None = None, root: str = "Session",
+                write: Callable[[str, DataFrame], None] | None = None):
     """Typed rows for several target tables with per-table isolation.
 
     Returns ``(frames, status)``: a DataFrame per loadable table and one status
     row per table (OK / PARTIAL when some mappings were quarantined because
     their transformation is not allowed / NO_COLUMNS / FAILED with the error).
-    A failing table never stops the others.
+    A failing table never stops the others.  Spark runs a table only when it
+    is written, so give ``write`` (table name, rows) to have errors of that
+    time in the status as well; without it only the plans are checked.
     """
     order_cols = order_cols or ["ord"]
     frames, status = {}, []
@@ -300,8 +316,11 @@ def load_tables(docs: DataFrame, mappings: DataFrame, tables: list[str], key_col
                 continue
             frames[t] = project(docs, good, key_cols, root=root, mode=mode,
                                 record_path=(record_paths or {}).get(t))
+            if write is not None:
+                write(t, frames[t])
             status.append((t, "PARTIAL" if bad else "OK", "; ".join(bad) or None, len(good)))
         except Exception as e:  # noqa: BLE001 - isolate the table, report the error
-            status.append((t, "FAILED", str(e)[:500], 0))
+            frames.pop(t, None)
+            status.append((t, "FAILED", str(e), 0))
     st = docs.sparkSession.createDataFrame(status, "target_table string, status string, error string, columns int")
     return frames, st

@@ -40,16 +40,21 @@ def executable(ledger: DataFrame) -> DataFrame:
 
 
 def apply_updates(ledger: DataFrame, updates: DataFrame, keys: list[str],
-                  columns: list[str]) -> DataFrame:
-    """Update ``columns`` by key from ``updates`` (NULL keeps the old value)."""
-    u = updates.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in columns],
-                       F.lit(True).alias("_hit"))
-    j = ledger.join(u, keys, "left")
-    out = j
-    for c in columns:
-        out = out.withColumn(c, F.coalesce(F.col(f"_u_{c}"), F.col(c)))
-    return out.withColumn("updated", F.coalesce(F.col("_hit"), F.lit(False))) \
-              .drop(*[f"_u_{c}" for c in columns], "_hit")
+                  columns: list[str], order_cols: list[str] | None = None) -> DataFrame:
+    """Update ``columns`` by key from ``updates`` (NULL keeps the old value).
+
+    Several updates of one key are reduced to the last one by ``order_cols``
+    (by default all their columns), so a ledger row is never multiplied.
+    """
+    order = [c for c in (order_cols or []) if c in updates.columns]
+    last = F.max(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+                          *[F.col(c).alias(f"_u_{c}") for c in columns]))
+    u = (updates.groupBy(*keys).agg(last.alias("_last"))
+         .select(*keys, *[F.col(f"_last._u_{c}").alias(f"_u_{c}") for c in columns], F.lit(True).alias("_hit")))
+    new = {c: F.coalesce(F.col(f"_u_{c}"), F.col(c)) for c in columns}
+    return (ledger.join(u, keys, "left")
+            .withColumns({**new, "updated": F.coalesce(F.col("_hit"), F.lit(False))})
+            .drop(*[f"_u_{c}" for c in columns], "_hit"))
 
 
 def approve(ledger: DataFrame, approvals: DataFrame) -> DataFrame:
@@ -57,7 +62,7 @@ def approve(ledger: DataFrame, approvals: DataFrame) -> DataFrame:
     a = approvals.withColumn("approval_status", F.lit("Approved"))
     cols = [c for c in ("approval_status", "approved_by", "approved_date", "transformation_logic", "user_notes")
             if c in a.columns]
-    return apply_updates(ledger, a, ["mapping_id"], cols)
+    return apply_updates(ledger, a, ["mapping_id"], cols, ["approved_date"])
 
 
 def reject_documents(ledger: DataFrame, docs: DataFrame, doc_col: str = "xml_id") -> DataFrame:
@@ -73,7 +78,7 @@ def update_execution(ledger: DataFrame, results: DataFrame, doc_col: str = "xml_
     """Execution status by (document, target_table) with id, time, error."""
     cols = [c for c in ("execution_status", "last_execution_id", "last_execution_at", "execution_error")
             if c in results.columns]
-    return apply_updates(ledger, results, [doc_col, "target_table"], cols)
+    return apply_updates(ledger, results, [doc_col, "target_table"], cols, ["last_execution_at"])
 
 
 def latest(df: DataFrame, order_col: str, tiebreak: list[str], n: int = 10) -> DataFrame:
@@ -100,11 +105,12 @@ def execution_record(results: DataFrame, doc_col: str = "xml_id") -> DataFrame:
     bounded by the number of target tables.
     """
     g = results.groupBy(doc_col).agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("target_table")))), ",").alias("tables_succeeded"),
-        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("target_table")))), ",").alias("tables_failed"),
-        F.count_distinct(F.when(F.col("ok"), F.col("target_table"))).alias("n_ok"),
-        F.count_distinct(F.when(~F.col("ok"), F.col("target_table"))).alias("n_failed"))
-    return g.withColumn("status", run_status(F.col("n_ok"), F.col("n_failed")))
+        F.array_sort(F.collect_set(F.when(F.col("ok"), F.col("target_table")))).alias("_ok"),
+        F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("target_table")))).alias("_failed"))
+    return g.select(
+        doc_col, F.array_join("_ok", ",").alias("tables_succeeded"), F.array_join("_failed", ",").alias("tables_failed"),
+        F.size("_ok").cast("bigint").alias("n_ok"), F.size("_failed").cast("bigint").alias("n_failed"),
+        run_status(F.size("_ok"), F.size("_failed")).alias("status"))
 
 
 def staging_status(stage: DataFrame, doc_col: str = "xml_id") -> DataFrame:

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from docmap.functions.types import infer_type, sample_value
 from docmap.session import ensure_worker_code
 
+NODES_PER_BATCH = 50_000  # rows after which a task hands on what it has
+
 _NODE_FIELDS = [
     T.StructField("ordinal", T.IntegerType()),
     T.StructField("node_path", T.StringType()),
@@ -41,24 +43,33 @@ def _flatten_fn(key_cols: list[str], raw_col: str, key_types: list[T.DataType]):
 
     def fn(batches):
         from docmap.functions.xmlnodes import walk_columns
+        out_keys = {k: [] for k in key_cols}
+        cols = {n: [] for n in node_names}
+
+        def flush():
+            done = pa.RecordBatch.from_pydict({**out_keys, **cols}, schema=out_schema)
+            for held in (*out_keys.values(), *cols.values()):
+                held.clear()
+            return done
+
         for batch in batches:
-            keys = {k: batch.column(k).to_pylist() for k in key_cols}
-            raws = batch.column(raw_col).to_pylist()
-            out_keys = {k: [] for k in key_cols}
-            cols = {n: [] for n in node_names}
-            for i, raw in enumerate(raws):
-                before = len(cols["ordinal"])
-                count, err = walk_columns(raw, cols)
-                if err is not None:
-                    for n, v in (("ordinal", -1), ("node_path", None), ("node_name", None),
-                                 ("attributes", None), ("text", None), ("depth", None)):
-                        cols[n].append(v)
-                    count = 1
-                cols["parse_error"].extend([err] * count)
-                for k in key_cols:
-                    out_keys[k].extend([keys[k][i]] * count)
-                assert len(cols["ordinal"]) == before + count
-            yield pa.RecordBatch.from_pydict({**out_keys, **cols}, schema=out_schema)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                keys = {k: part.column(k).to_pylist() for k in key_cols}
+                for i, raw in enumerate(part.column(raw_col).to_pylist()):
+                    count, err = walk_columns(raw, cols)
+                    if err is not None:
+                        for n, v in (("ordinal", -1), ("node_path", None), ("node_name", None),
+                                     ("attributes", None), ("text", None), ("depth", None)):
+                            cols[n].append(v)
+                        count = 1
+                    cols["parse_error"].extend([err] * count)
+                    for k in key_cols:
+                        out_keys[k].extend([keys[k][i]] * count)
+                    if len(cols["ordinal"]) >= NODES_PER_BATCH:
+                        yield flush()
+        if cols["ordinal"]:
+            yield flush()
 
     return fn
 
@@ -108,10 +119,7 @@ def document_metadata(profile: DataFrame, key_cols: list[str] | None = None) ->
     )
 
 
-def path_counts(profile: DataFrame) -> DataFrame:
-    """Corpus-wide: occurrences and documents per path (partial aggregation
-    on the map side; output size = distinct paths)."""
-    return profile.groupBy("node_path").agg(F.count(F.lit(1)).alias("occurrences"))
+UNPARSED = "!unparsed"  # path under which documents that do not parse are counted
 
 
 def _summary_fn(raw_col: str):
@@ -126,6 +134,8 @@ def _summary_fn(raw_col: str):
             for raw in batch.column(raw_col).to_pylist():
                 root, err = parse(raw)
                 if root is None:
+                    occ[UNPARSED] = occ.get(UNPARSED, 0) + 1
+                    ndocs[UNPARSED] = ndocs.get(UNPARSED, 0) + 1
                     continue
                 seen = set()
                 stack = [(root, "")]
@@ -153,68 +163,10 @@ def path_summary(docs: DataFrame, raw_col: str = "raw_xml") -> DataFrame:
     Map-side combine in the worker: each Arrow batch of documents is reduced
     to one row per distinct path before anything leaves Python, and Spark
     sums the partial counts (exact: a document belongs to one batch).
-    Documents that do not parse contribute nothing.
+    Documents that do not parse are counted under the path ``UNPARSED``.
     """
     ensure_worker_code(docs.sparkSession)
     partial = docs.select(raw_col).mapInArrow(
         _summary_fn(raw_col), "node_path string, occurrences long, documents long")
     return partial.groupBy("node_path").agg(F.sum("occurrences").alias("occurrences"),
                                             F.sum("documents").alias("documents"))
-
-
-def _terms_fn(key_cols: list[str], raw_col: str, key_types: list[T.DataType]):
-    out_schema = pa.schema([pa.field(k, _arrow_type(t)) for k, t in zip(key_cols, key_types)]
-                           + [pa.field("kind", pa.string()), pa.field("term", pa.string()),
-                              pa.field("first_ord", pa.int32())])
-
-    def fn(batches):
-        from docmap.functions.xmlnodes import local_name, parse
-        for batch in batches:
-            keys = {k: batch.column(k).to_pylist() for k in key_cols}
-            out = {k: [] for k in key_cols}
-            kinds, terms, firsts = [], [], []
-            for i, raw in enumerate(batch.column(raw_col).to_pylist()):
-                root, err = parse(raw)
-                seen: dict[tuple[str, str], int] = {}
-                if root is None:
-                    seen[("error", "")] = -1
-                else:
-                    ordinal = 0
-                    stack = [root]
-                    while stack:
-                        el = stack.pop()
-                        if not isinstance(el.tag, str):
-                            continue
-                        seen.setdefault(("node", local_name(el.tag).lower()), ordinal)
-                        for a in el.attrib:
-                            seen.setdefault(("attr", local_name(a).lower()), ordinal)
-                        ordinal += 1
-                        stack.extend(reversed(el))
-                for (kind, term), first in seen.items():
-                    for k in key_cols:
-                        out[k].append(keys[k][i])
-                    kinds.append(kind)
-                    terms.append(term)
-                    firsts.append(first)
-            yield pa.RecordBatch.from_pydict({**out, "kind": kinds, "term": terms, "first_ord": firsts},
-                                             schema=out_schema)
-
-    return fn
-
-
-def xml_terms(docs: DataFrame, key_cols: list[str], raw_col: str = "raw_xml") -> DataFrame:
-    """Per document its distinct lower-cased element names (kind ``node``) and
-    attribute names (kind ``attr``) with the first position in document
-    order; a document that does not parse gives one ``error`` row.
-
-    Same rows as ``document_terms(xml_nodes(.., keep_errors=True))`` but
-    de-duplicated inside the worker, where each document is whole, so no
-    per-element rows are shipped or aggregated.
-    """
-    ensure_worker_code(docs.sparkSession)
-    src = docs.select(*key_cols, raw_col)
-    key_types = [src.schema[k].dataType for k in key_cols]
-    schema = T.StructType([src.schema[k] for k in key_cols] + [
-        T.StructField("kind", T.StringType()), T.StructField("term", T.StringType()),
-        T.StructField("first_ord", T.IntegerType())])
-    return src.mapInArrow(_terms_fn(key_cols, raw_col, key_types), schema)

@@ -7,7 +7,7 @@ external proposer can still be parsed with ``parse_replies``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmap.functions.similarity import similarity_ratio
@@ -55,23 +55,16 @@ def normalize_table_name(name: Column) -> Column:
     return F.upper(F.element_at(F.split(name, r"\."), -1))
 
 
-def candidates(nodes: DataFrame, catalog: DataFrame, available: list[str], cap: int | None = None,
-               node_order: str = "node_ord") -> DataFrame:
-    """M1-M5: route each node's section to a table and pair it with that table's
-    columns.  ``cap`` keeps the first ``cap`` nodes per section and columns per
-    table (``row_number() <= cap``, planned as a partial group limit).
-    ``catalog``: table_name, column_name, ordinal_position (configuration-sized).
+def candidates(nodes: DataFrame, catalog: DataFrame, available: list[str]) -> DataFrame:
+    """M1-M5: route each node's section to a table and pair it with all columns
+    of that table (none are cut).  ``catalog``: table_name, column_name,
+    data_type; Spark broadcasts it when its measured size allows.
     """
     n = (nodes.where(F.col("xpath") != "")
          .withColumn("section", section_of(F.col("xpath")))
          .withColumn("target_table", route_table(F.col("section"), available)))
     cat = catalog.withColumn("target_table", normalize_table_name(F.col("table_name")))
-    if cap is not None:
-        n = n.withColumn("_r", F.row_number().over(Window.partitionBy("section").orderBy(node_order))) \
-             .where(F.col("_r") <= cap).drop("_r")
-        cat = cat.withColumn("_r", F.row_number().over(Window.partitionBy("target_table").orderBy("ordinal_position"))) \
-                 .where(F.col("_r") <= cap).drop("_r")
-    return n.join(F.broadcast(cat.select("target_table", "column_name", "data_type")), "target_table")
+    return n.join(cat.select("target_table", "column_name", "data_type"), "target_table")
 
 
 def snake(name: Column) -> Column:
@@ -147,26 +140,27 @@ def parse_replies(replies: DataFrame, key_cols: list[str], reply_col: str = "rep
         F.try_variant_get(v, "$", "array<variant>"),
         F.try_variant_get(v, "$.mappings", "array<variant>"),
         F.try_variant_get(v, "$.mapping", "array<variant>"))
-    items = replies.select(*key_cols, routed_col, F.posexplode_outer(arr).alias("item_index", "item"),
-                           arr.isNull().alias("_bad_json"))
-    req = ["source_node", "target_column"]
-    get = lambda f, t: F.try_variant_get(F.col("item"), f"$.{f}", t)
-    rows = items.select(
-        *key_cols, "item_index", "_bad_json",
-        get("source_node", "string").alias("source_node"),
+    get = lambda item, f, t: F.try_variant_get(item, f"$.{f}", t)
+
+    def valid(item: Column) -> Column:
+        confidence = F.coalesce(get(item, "confidence_score", "double"), F.lit(0.5))
+        broken = get(item, "confidence_score", "string").isNotNull() & get(item, "confidence_score", "double").isNull()
+        return F.coalesce(get(item, "source_node", "string").isNotNull() & get(item, "target_column", "string").isNotNull()
+                          & ~broken & confidence.between(0.0, 1.0), F.lit(False))
+
+    # a reply is judged as a whole before it is split, so replies that share a
+    # key do not affect each other and nothing is shuffled
+    good = replies.select(*key_cols, routed_col, arr.alias("_items")).where(
+        F.col("_items").isNotNull() & F.forall("_items", valid))
+    item = F.col("item")
+    return good.select(*key_cols, routed_col, F.posexplode("_items").alias("item_index", "item")).select(
+        *key_cols, "item_index",
+        get(item, "source_node", "string").alias("source_node"),
         F.col(routed_col).alias("target_table"),
-        get("target_column", "string").alias("target_column"),
-        get("transformation_logic", "string").alias("transformation_logic"),
-        F.coalesce(get("confidence_score", "double"), F.lit(0.5)).alias("confidence_score"),
-        F.coalesce(get("reasoning", "string"), F.lit("")).alias("reasoning"),
-        (get("confidence_score", "string").isNotNull() & get("confidence_score", "double").isNull()).alias("_bad_conf"))
-    valid = (~F.col("_bad_json") & F.col("item_index").isNotNull()
-             & F.col("source_node").isNotNull() & F.col("target_column").isNotNull()
-             & ~F.col("_bad_conf") & F.col("confidence_score").between(0.0, 1.0))
-    w = Window.partitionBy(*key_cols)
-    return (rows.withColumn("_ok", F.min(valid.cast("int")).over(w))
-            .where(F.col("_ok") == 1)
-            .drop("_ok", "_bad_json", "_bad_conf"))
+        get(item, "target_column", "string").alias("target_column"),
+        get(item, "transformation_logic", "string").alias("transformation_logic"),
+        F.coalesce(get(item, "confidence_score", "double"), F.lit(0.5)).alias("confidence_score"),
+        F.coalesce(get(item, "reasoning", "string"), F.lit("")).alias("reasoning"))
 
 
 def mapping_contract(m: DataFrame) -> DataFrame:

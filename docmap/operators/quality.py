@@ -61,11 +61,11 @@ def metadata_check(nodes: DataFrame) -> DataFrame:
     if missing:
         return spark.createDataFrame([(False, ",".join(missing), 0)], "valid boolean, missing string, nodes long")
     n = nodes.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & (F.col(c) != "") for c in required]))
-    has = not n.isEmpty()
-    return spark.createDataFrame([(has, "" if has else "empty", None)], "valid boolean, missing string, nodes long")
+    return n.agg(F.count(F.lit(1)).alias("nodes")).select(
+        (F.col("nodes") > 0).alias("valid"), F.when(F.col("nodes") > 0, "").otherwise("empty").alias("missing"), "nodes")
 
 
-def mapping_issues(m: DataFrame, index_col: str = "mapping_index") -> DataFrame:
+def mapping_issues(m: DataFrame) -> DataFrame:
     """Q8/Q9: low-confidence warnings and type-mismatch errors.
 
     Low confidence: confidence < .5 (NULL counts as 0).  Type mismatch: the
@@ -104,27 +104,46 @@ def dictionary_summary(catalog: DataFrame, table_col: str = "table_name",
         .alias("type_histogram"))
 
 
-def reconcile(source: DataFrame, target: DataFrame, keys: list[str], compare: list[str]) -> DataFrame:
-    """Q13: full outer join on the key, null-safe comparison of ``compare``.
+def dictionary_totals(summary: DataFrame) -> DataFrame:
+    """Q12: number of tables and of columns in all, from ``dictionary_summary``."""
+    return summary.agg(F.count(F.lit(1)).alias("tables"), F.coalesce(F.sum("column_count"), F.lit(0)).cast("bigint").alias("columns"))
+
+
+def key_differences(source: DataFrame, target: DataFrame, keys: list[str], compare: list[str]) -> DataFrame:
+    """Q13 per key: source and target rows, matches, mismatches, missing, extra.
 
-    Returns one row: source/target counts, match, mismatch, missing in
-    target, extra in target and status.
+    Rows are counted per key and compared values on each side first (NULL
+    keys are keys, equal rows are a multiset); what both sides hold of the
+    same values matches, of the rest as many as both sides have mismatch,
+    and the surplus is missing or extra.  No join: both sides are added up,
+    with partial counts before the shuffle, so a hot key is no hot task.
     """
-    s = source.select(*keys, *[F.col(c).alias(f"s_{c}") for c in compare], F.lit(True).alias("_in_s"))
-    t = target.select(*keys, *[F.col(c).alias(f"t_{c}") for c in compare], F.lit(True).alias("_in_t"))
-    j = s.join(t, keys, "full_outer")
-    same = reduce(lambda a, b: a & b, [F.col(f"s_{c}").eqNullSafe(F.col(f"t_{c}")) for c in compare])
-    both = F.col("_in_s").isNotNull() & F.col("_in_t").isNotNull()
-    r = j.agg(
-        F.count_if(F.col("_in_s").isNotNull()).alias("source_count"),
-        F.count_if(F.col("_in_t").isNotNull()).alias("target_count"),
-        F.count_if(both & same).alias("match_count"),
-        F.count_if(both & ~same).alias("mismatch_count"),
-        F.count_if(F.col("_in_t").isNull()).alias("missing_in_target"),
-        F.count_if(F.col("_in_s").isNull()).alias("extra_in_target"))
+    cols = [*keys, *compare]
+    both = (source.select(*cols, F.lit(1).alias("_s"), F.lit(0).alias("_t"))
+            .unionByName(target.select(*cols, F.lit(0).alias("_s"), F.lit(1).alias("_t"))))
+    values = both.groupBy(*cols).agg(F.sum("_s").alias("_s"), F.sum("_t").alias("_t"))
+    per_key = values.groupBy(*keys).agg(
+        F.sum("_s").alias("source_count"), F.sum("_t").alias("target_count"),
+        F.sum(F.least("_s", "_t")).alias("match_count"))
+    s, t = F.col("source_count"), F.col("target_count")
+    return per_key.withColumns({
+        "mismatch_count": F.least(s, t) - F.col("match_count"),
+        "missing_in_target": F.greatest(s - t, F.lit(0).cast("bigint")),
+        "extra_in_target": F.greatest(t - s, F.lit(0).cast("bigint"))})
+
+
+def reconcile(source: DataFrame, target: DataFrame, keys: list[str], compare: list[str]) -> DataFrame:
+    """Q13: one row of totals over ``key_differences`` with a status and
+    ``details`` (JSON: keys compared, and keys with each kind of difference)."""
+    d = key_differences(source, target, keys, compare)
+    counts = ["source_count", "target_count", "match_count", "mismatch_count", "missing_in_target", "extra_in_target"]
+    kinds = counts[3:]
+    r = d.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counts],
+              F.count(F.lit(1)).alias("keys_compared"), *[F.count_if(F.col(c) > 0).alias(f"keys_{c}") for c in kinds])
     status = F.when((F.col("mismatch_count") == 0) & (F.col("missing_in_target") == 0)
                     & (F.col("extra_in_target") == 0), "MATCHED").otherwise("DIFFERENCES")
-    return r.withColumn("status", status)
+    details = F.to_json(F.struct("keys_compared", *[f"keys_{c}" for c in kinds]))
+    return r.select(*counts, status.alias("status"), details.alias("details"))
 
 
 def conformance(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -69,11 +69,11 @@ def file_relevance(files: DataFrame, name_col: str = "file_name", fuzzy: bool =
             .drop("fuzzy_points"))
 
 
-def relevant_files(scored: DataFrame, product_code: str | None = None, threshold: float = 1.0,
-                   name_col: str = "file_name", max_files: int | None = 3) -> DataFrame:
+def relevant_files(scored: DataFrame, max_files: int | None, product_code: str | None = None,
+                   threshold: float = 1.0, name_col: str = "file_name") -> DataFrame:
     """R2 (+ the top-N of R3): files with score > 0 and >= threshold, ranked by
-    score desc then name.  With ``max_files`` only the first N per product are
-    kept (``row_number() <= N``: a partial group limit runs before the shuffle,
+    score desc then name.  ``max_files`` keeps only the first N per product (None:
+    all are kept; ``row_number() <= N``: a partial group limit runs before the shuffle,
     so a product with many files never gathers them in one task)."""
     s = scored.where((F.col("score") > 0) & (F.col("score") >= threshold))
     if product_code is not None:
@@ -147,7 +147,7 @@ def classify_files(files: DataFrame, name_col: str = "file_name") -> DataFrame:
                         F.least(F.lit(100.0), best * 5).alias("relevance"))
 
 
-def top_per_category(classified: DataFrame, n: int = 3, name_col: str = "file_name",
+def top_per_category(classified: DataFrame, n: int, name_col: str = "file_name",
                      min_relevance: float = 20.0) -> DataFrame:
     """Relevant files (class != not_relevant, relevance > 20), top ``n``
     per category by relevance desc, ties by name.  ``row_number() <= n``

@@ -349,39 +349,18 @@ def _catalog_sql() -> str:
     return f"catalog AS (SELECT * FROM (VALUES {rows}) v(table_name, column_name, ordinal_position))"
 
 
-def _candidates(spark, sf, cap):
-    from docmap.operators.predict import candidates
-    from docmap.sources.catalog import catalog_from_schema
-    led = _ledger(spark, sf).where(F.col("source_node").isNotNull())
-    nodes = (led.groupBy(F.col("source_node").alias("xpath"))
-             .agg(F.min(F.struct(*LEDGER_ORDER)).alias("node_ord")))
-    cat = catalog_from_schema(spark)
-    c = candidates(nodes, cat, AVAILABLE, cap=cap, node_order="node_ord")
-    return c.select("section", "xpath", "target_table", "column_name")
-
-
-def _cand_sql(cap: int | None) -> str:
-    ncap = f"WHERE rn <= {cap}" if cap else ""
-    return Q.with_ctes(Q.LEDGER_CTE, _catalog_sql()) + f""",
-n AS (SELECT source_node AS xpath, min(({_ORD})) AS node_ord FROM ledger WHERE source_node IS NOT NULL GROUP BY 1),
-s AS (SELECT xpath, node_ord, section, {_route_sql('section')} AS target_table
-      FROM (SELECT *, {_SECTION_SQL.replace('source_node', 'xpath')} AS section FROM n WHERE xpath <> '')),
-s2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY node_ord) AS rn FROM s) {ncap}),
-c2 AS (SELECT * FROM (SELECT upper(split_part(table_name, '.', -1)) AS target_table, column_name,
-       row_number() OVER (PARTITION BY table_name ORDER BY ordinal_position) AS rn FROM catalog) {ncap})
-SELECT s2.section, s2.xpath, s2.target_table, c2.column_name FROM s2 JOIN c2 ON c2.target_table = s2.target_table"""
-
-
-@query("candidate_pairs", _cand_sql(None))
+@query("candidate_pairs", Q.with_ctes(Q.LEDGER_CTE, _catalog_sql()) + f""",
+n AS (SELECT DISTINCT source_node AS xpath FROM ledger WHERE source_node IS NOT NULL AND source_node <> ''),
+s AS (SELECT xpath, section, {_route_sql('section')} AS target_table
+      FROM (SELECT *, {_SECTION_SQL.replace('source_node', 'xpath')} AS section FROM n)),
+c AS (SELECT upper(split_part(table_name, '.', -1)) AS target_table, column_name FROM catalog)
+SELECT s.section, s.xpath, s.target_table, c.column_name FROM s JOIN c USING (target_table)""")
 def candidate_pairs_q(spark, sf):
     """M3/M5: every (section node, routed-table column) candidate."""
-    return _candidates(spark, sf, None)
-
-
-@query("candidate_cap", _cand_sql(3))
-def candidate_cap(spark, sf):
-    """M4: first 3 nodes per section and first 3 columns per table (cap as a parameter)."""
-    return _candidates(spark, sf, 3)
+    from docmap.operators.predict import candidates
+    from docmap.sources.catalog import catalog_from_schema
+    nodes = _ledger(spark, sf).where(F.col("source_node").isNotNull()).select(F.col("source_node").alias("xpath")).distinct()
+    return candidates(nodes, catalog_from_schema(spark), AVAILABLE).select("section", "xpath", "target_table", "column_name")
 
 
 _FILE_RANK = "CASE approval_status WHEN 'Approved' THEN 1 WHEN 'Pending' THEN 2 ELSE 3 END"

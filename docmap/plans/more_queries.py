@@ -47,7 +47,7 @@ def _fuzzy_table() -> str:
     """Brute-force similarity of the testbed's fixed tag vocabulary and the
     product patterns (difflib), as a VALUES table for the oracle."""
     vocab = sorted({p.rsplit("/", 1)[1].lower() for p, *_ in Q.NODE_SPEC})
-    attrs = ["id"]
+    attrs = ["id", "propertyvalues", "vehiclevin"]
     rows = []
     for d, p in enumerate(D.PRODUCTS):
         for kind, pats, terms in (("node", p[3], vocab), ("attr", p[4], attrs)):
@@ -74,10 +74,10 @@ def _product_detect_sql() -> str:
         .replace("SELECT l_orderkey AS doc", "SELECT {IDX} AS spec_idx, l_orderkey AS doc")
     for i in range(len(Q.NODE_SPEC)):
         nodes = nodes.replace("{IDX}", str(i), 1)
-    prods = ", ".join(f"('{p[0]}', {d}, {D.max_score(p)!r})" for d, p in enumerate(D.PRODUCTS))
+    prods = ", ".join(f"('{p[0]}', {d}, {D.max_score(p)!r}, '{p[1]}')" for d, p in enumerate(D.PRODUCTS))
     kw_cases = " ".join(f"WHEN '{p[0]}' THEN {_kw_sum_sql('t.t', p[2])}" for p in D.PRODUCTS)
     return Q.with_ctes(Q.DOCS_CTE, nodes, _fuzzy_table(), _patterns_table(),
-                       f"prod AS (SELECT * FROM (VALUES {prods}) v(product, def_order, max_score))") + f""",
+                       f"prod AS (SELECT * FROM (VALUES {prods}) v(product, def_order, max_score, product_name))") + f""",
 terms AS (SELECT doc, part, lower(node_name) AS term, 'node' AS kind, min(spec_idx) AS first_ord FROM nodes GROUP BY ALL
           UNION ALL
           SELECT doc, part, lower(a) AS term, 'attr' AS kind, min(spec_idx) FROM
@@ -93,48 +93,36 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, part, pro
                                                     ORDER BY fuzzy, first_ord) AS rn FROM hits) WHERE rn = 1),
 ev AS (SELECT doc, part, product,
               sum(CASE WHEN kind = 'node' AND fuzzy = 0 THEN 2.0 WHEN kind = 'node' THEN 1.5
-                       WHEN fuzzy = 0 THEN 1.5 ELSE 1.0 END) AS pts
+                       WHEN fuzzy = 0 THEN 1.5 ELSE 1.0 END) AS pts,
+              count(*) FILTER (WHERE kind = 'node') AS nm, count(*) FILTER (WHERE kind = 'attr') AS am,
+              coalesce(sum(sim) FILTER (WHERE kind = 'node'), 0) AS fs
        FROM best GROUP BY ALL),
 sc AS (SELECT t.doc, t.part, pr.product, pr.def_order,
               (CASE pr.product {kw_cases} END) + coalesce(ev.pts, 0)
               + CASE WHEN strpos(t.t, lower(pr.product)) > 0 THEN 3.0 ELSE 0.0 END AS raw,
-              pr.max_score
+              pr.max_score, pr.product_name, CASE pr.product {kw_cases} END AS km,
+              coalesce(ev.nm, 0) AS nm, coalesce(ev.am, 0) AS am, coalesce(ev.fs, 0) AS fs
        FROM txt t CROSS JOIN prod pr LEFT JOIN ev ON ev.doc = t.doc AND ev.part = t.part AND ev.product = pr.product),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc, part ORDER BY raw / max_score DESC, def_order) AS rn
                        FROM sc) WHERE rn = 1)
 SELECT doc AS o_orderkey, part, CASE WHEN raw / max_score >= 0.2 THEN product END AS product_code,
        CAST(round(CASE WHEN raw / max_score >= 0.2 THEN raw / max_score ELSE 0.0 END, 4) AS DECIMAL(10,4)) AS confidence,
-       CAST(raw AS DECIMAL(10,2)) AS raw_score
+       CAST(raw AS DECIMAL(10,2)) AS raw_score, product_name, CAST(km AS BIGINT) AS keyword_matches,
+       CAST(nm AS BIGINT) AS node_matches, CAST(am AS BIGINT) AS attribute_matches,
+       CAST(round(fs, 4) AS DECIMAL(10,4)) AS fuzzy_score
 FROM top"""
 
 
 @query("product_detect", _product_detect_sql())
 def product_detect(spark, sf):
-    """Weighted-evidence product per order document.
-
-    The documents are read by two branches (text keywords, element names);
-    Bronze is materialized once with a reliable checkpoint, as a stored
-    Bronze table would be, instead of being rebuilt per branch.
-    """
-    ensure_checkpoint_dir(spark)
-    docs = _docs(spark, sf).select(*DOC_KEYS, "raw_xml").checkpoint(eager=True)
-    scores = D.product_scores(spark, docs, None, DOC_KEYS)
-    best = D.detect_products(scores, DOC_KEYS)
+    """Weighted-evidence product per order document, with its detail
+    (each document is parsed once; nothing is shuffled)."""
+    best = D.detect_products(_docs(spark, sf), DOC_KEYS)
     return best.select(*DOC_KEYS, "product_code",
                        F.round("confidence", 4).cast("decimal(10,4)").alias("confidence"),
-                       F.col("raw_score").cast("decimal(10,2)").alias("raw_score"))
-
-
-@query("similarity_pairs")
-def similarity_pairs(spark, sf):
-    """Ratcliff-Obershelp ratio of part-name words vs product node patterns
-    (> 0.5), scored only on length-feasible distinct pairs."""
-    from docmap.functions.similarity import fuzzy_matches
-    words = (read_table(spark, sf, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word"))
-             .distinct())
-    pats = spark.createDataFrame([(p[0], pat.lower()) for p in D.PRODUCTS for pat in p[3]],
-                                 "product_code string, pattern string")
-    return fuzzy_matches(words, "word", pats, "pattern", 0.5).select("word", "product_code", "pattern", "similarity")
+                       F.col("raw_score").cast("decimal(10,2)").alias("raw_score"),
+                       "product_name", F.col("keyword_matches").cast("bigint").alias("keyword_matches"),
+                       "node_matches", "attribute_matches", F.round("fuzzy_score", 4).cast("decimal(10,4)").alias("fuzzy_score"))
 
 
 # ================================================================= reference files
@@ -326,7 +314,7 @@ def predict_mappings_similarity(spark, sf):
     from docmap.sources.catalog import catalog_from_schema
     paths = (xml_nodes(_docs(spark, sf), DOC_KEYS).groupBy(F.col("node_path").alias("xpath"))
              .agg(F.min("ordinal").alias("node_ord")))
-    pairs = candidates(paths, catalog_from_schema(spark), list(SILVER), node_order="node_ord")
+    pairs = candidates(paths, catalog_from_schema(spark), list(SILVER))
     hist = mapping_ledger(spark, sf).where("approval_status = 'Approved' AND source_node IS NOT NULL")
     return predict(paths.select("xpath"), hist, pairs=pairs)
 
@@ -440,25 +428,42 @@ def dictionary_summary(spark, sf):
         "column_count", F.col("column_count").cast("bigint"))
 
 
-@query("reconcile", Q.with_ctes(Q.DOCS_CTE) + """,
-s AS (SELECT l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4,
+_PLANTED_SQL = """
+s AS (SELECT CASE WHEN l_partkey % 101 <> 0 THEN l_orderkey END AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4,
              CAST(l_quantity AS DECIMAL(15,2)) AS q, CAST(l_extendedprice AS DECIMAL(15,2)) AS a,
              CAST(l_shipdate AS DATE) AS d FROM lineitem),
-t AS (SELECT l_orderkey AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4,
-             CAST(l_quantity AS DECIMAL(15,2)) AS q, CAST(l_extendedprice AS DECIMAL(15,2)) AS a,
-             CAST(l_shipdate AS DATE) AS d FROM recs),
-j AS (SELECT s.k1 IS NOT NULL AS in_s, t.k1 IS NOT NULL AS in_t,
-             s.q IS NOT DISTINCT FROM t.q AND s.a IS NOT DISTINCT FROM t.a AND s.d IS NOT DISTINCT FROM t.d AS same
-      FROM s FULL OUTER JOIN t ON s.k1 = t.k1 AND s.k2 = t.k2 AND s.k3 = t.k3 AND s.k4 = t.k4)
-SELECT count(*) FILTER (WHERE in_s) AS source_count, count(*) FILTER (WHERE in_t) AS target_count,
-       count(*) FILTER (WHERE in_s AND in_t AND same) AS match_count,
-       count(*) FILTER (WHERE in_s AND in_t AND NOT same) AS mismatch_count,
-       count(*) FILTER (WHERE NOT in_t) AS missing_in_target, count(*) FILTER (WHERE NOT in_s) AS extra_in_target,
-       CASE WHEN count(*) FILTER (WHERE in_s AND in_t AND NOT same) = 0 AND count(*) FILTER (WHERE NOT in_t) = 0
-                 AND count(*) FILTER (WHERE NOT in_s) = 0 THEN 'MATCHED' ELSE 'DIFFERENCES' END AS status
-FROM j""")
+t0 AS (SELECT CASE WHEN l_partkey % 101 <> 0 THEN l_orderkey END AS k1, l_linenumber AS k2, l_partkey AS k3, l_suppkey AS k4,
+              CAST(CASE WHEN l_partkey % 89 = 0 THEN l_quantity + 1 ELSE l_quantity END AS DECIMAL(15,2)) AS q,
+              CAST(l_extendedprice AS DECIMAL(15,2)) AS a, CAST(l_shipdate AS DATE) AS d
+       FROM recs WHERE l_partkey % 97 <> 0),
+t AS (SELECT * FROM t0 UNION ALL SELECT * FROM t0 WHERE k3 % 83 = 0)"""
+
+
+@query("reconcile", Q.with_ctes(Q.DOCS_CTE, _PLANTED_SQL) + """,
+sn AS (SELECT *, row_number() OVER (PARTITION BY k1, k2, k3, k4, q, a, d) AS rn FROM s),
+tn AS (SELECT *, row_number() OVER (PARTITION BY k1, k2, k3, k4, q, a, d) AS rn FROM t),
+j AS (SELECT coalesce(sn.k1, tn.k1) AS k1, coalesce(sn.k2, tn.k2) AS k2, coalesce(sn.k3, tn.k3) AS k3,
+             coalesce(sn.k4, tn.k4) AS k4, sn.rn IS NOT NULL AS in_s, tn.rn IS NOT NULL AS in_t
+      FROM sn FULL OUTER JOIN tn ON sn.k1 IS NOT DISTINCT FROM tn.k1 AND sn.k2 = tn.k2 AND sn.k3 = tn.k3 AND sn.k4 = tn.k4
+        AND sn.q IS NOT DISTINCT FROM tn.q AND sn.a IS NOT DISTINCT FROM tn.a AND sn.d IS NOT DISTINCT FROM tn.d
+        AND sn.rn = tn.rn),
+k AS (SELECT k1, k2, k3, k4, count(*) FILTER (WHERE in_s) AS s, count(*) FILTER (WHERE in_t) AS t,
+             count(*) FILTER (WHERE in_s AND in_t) AS m FROM j GROUP BY ALL),
+x AS (SELECT *, least(s, t) - m AS mm, greatest(s - t, 0) AS mi, greatest(t - s, 0) AS ex FROM k)
+SELECT CAST(sum(s) AS BIGINT) AS source_count, CAST(sum(t) AS BIGINT) AS target_count, CAST(sum(m) AS BIGINT) AS match_count,
+       CAST(sum(mm) AS BIGINT) AS mismatch_count, CAST(sum(mi) AS BIGINT) AS missing_in_target,
+       CAST(sum(ex) AS BIGINT) AS extra_in_target,
+       CASE WHEN sum(mm) = 0 AND sum(mi) = 0 AND sum(ex) = 0 THEN 'MATCHED' ELSE 'DIFFERENCES' END AS status,
+       '{"keys_compared":' || count(*) || ',"keys_mismatch_count":' || count(*) FILTER (WHERE mm > 0)
+         || ',"keys_missing_in_target":' || count(*) FILTER (WHERE mi > 0)
+         || ',"keys_extra_in_target":' || count(*) FILTER (WHERE ex > 0) || '}' AS details
+FROM x""")
 def reconcile(spark, sf):
-    """Q13: line items vs COVERAGE records extracted from the documents."""
+    """Q13: line items vs COVERAGE records extracted from the documents, with
+    planted NULL keys, dropped rows, changed values and repeated rows."""
+    k3 = F.col("k3")
+    k1 = F.when(k3 % 101 != 0, F.col("k1")).alias("k1")
+    rest = ["k2", "k3", "k4"]
     li = read_table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2"), F.col("l_partkey").alias("k3"),
         F.col("l_suppkey").alias("k4"), F.col("l_quantity").cast("decimal(15,2)").alias("q"),
@@ -467,7 +472,10 @@ def reconcile(spark, sf):
     tgt = cov.select(F.col("policy_number").cast("bigint").alias("k1"), F.col("line_number").alias("k2"),
                      F.col("coverage_code").alias("k3"), F.col("supplier_code").alias("k4"),
                      F.col("quantity").alias("q"), F.col("limit_amount").alias("a"), F.col("ship_date").alias("d"))
-    return QL.reconcile(li, tgt, ["k1", "k2", "k3", "k4"], ["q", "a", "d"])
+    changed = F.when(k3 % 89 == 0, F.col("q") + 1).otherwise(F.col("q")).cast("decimal(15,2)").alias("q")
+    times = F.when(k3 % 83 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    tgt = tgt.where(k3 % 97 != 0).select(k1, *rest, changed, "a", "d", F.explode(times).alias("_copy")).drop("_copy")
+    return QL.reconcile(li.select(k1, *rest, "q", "a", "d"), tgt, ["k1", *rest], ["q", "a", "d"])
 
 
 @query("rule_conformance", """

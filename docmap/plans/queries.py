@@ -43,10 +43,10 @@ def _silver(spark, sf, table, record_path=None, mode="declared"):
 
 
 # ============================================================ documents (X, N)
-@query("xml_extract_policy", Q.with_ctes(Q.DOCS_CTE) + """
+@query("xml_extract_policy", Q.with_ctes(Q.DOCS_CTE) + f"""
 SELECT 'TX-' || o_orderkey || '-' || part AS transaction_ref, CAST(o_orderkey AS VARCHAR) AS policy_number,
        CAST(o_orderdate AS DATE) AS effective_date, CAST(o_totalprice AS DECIMAL(15,2)) AS total_premium,
-       o_orderstatus AS policy_status, o_orderpriority AS priority,
+       o_orderstatus AS policy_status, {Q.PRIORITY} AS priority,
        regexp_matches(o_orderpriority, '^[12]-') AS is_priority,
        CAST(o_orderdate AS TIMESTAMP) AS created_timestamp, part AS document_part
 FROM docs""")

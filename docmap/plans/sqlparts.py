@@ -29,12 +29,18 @@ def dec_text(x: str) -> str:
     return f"CAST(CAST({x} AS DECIMAL(15,2)) AS VARCHAR)"
 
 
+# text of the Priority element (some documents have markup or a product code in it)
+PRIORITY = ("CASE o_orderkey % 16 WHEN 9 THEN '<b>' || o_orderpriority || '</b>' WHEN 11 THEN '<i>' || o_orderpriority || '</i>' "
+            "WHEN 13 THEN 'Plan PA001 ' || o_orderpriority ELSE o_orderpriority END")
+
 # documents: one row per (order, part) with order and customer columns
 DOCS_CTE = f"""
 cnt AS (SELECT l_orderkey, greatest(1, CAST(ceil(count(*) / {float(RECORDS_PER_PART)}) AS INTEGER)) AS n_parts
         FROM lineitem GROUP BY l_orderkey),
-li AS (SELECT l.*, CAST((l.l_partkey * 7 + l.l_suppkey * 13 + l.l_linenumber * 31) % c.n_parts AS INTEGER) AS part
-       FROM lineitem l JOIN cnt c ON c.l_orderkey = l.l_orderkey),
+li AS (SELECT l.*, CAST((l.l_partkey * 7 + l.l_suppkey * 13 + l.l_linenumber * 31 + l.copy) % c.n_parts AS INTEGER) AS part
+       FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
+                                          l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1
+                       AS copy FROM lineitem) l JOIN cnt c ON c.l_orderkey = l.l_orderkey),
 docs AS (SELECT o.*, cu.*, coalesce(p.part, 0) AS part
          FROM orders o
          LEFT JOIN customer cu ON cu.c_custkey = o.o_custkey
@@ -63,7 +69,7 @@ NODE_SPEC = [
     (_P + "/EffectiveDate", "strftime(o_orderdate, '%Y-%m-%d')", "[]", "doc", None),
     (_P + "/TotalPremium", dec_text("o_totalprice"), "[]", "doc", None),
     (_P + "/PolicyStatus", "o_orderstatus", "[]", "doc", None),
-    (_P + "/Priority", "o_orderpriority", "[]", "doc", None),
+    (_P + "/Priority", PRIORITY, "[]", "doc", None),
     (_P + "/IsPriority", "CASE WHEN regexp_matches(o_orderpriority, '^[12]-') THEN 'true' ELSE 'false' END",
      "[]", "doc", None),
     (_A, None, "['id']", "doc", None),
@@ -72,12 +78,12 @@ NODE_SPEC = [
     (_A + "/Segment", "c_mktsegment", "[]", "doc", None),
     (_A + "/Balance", dec_text("c_acctbal"), "[]", "doc", None),
     (_A + "/NationCode", "CAST(c_nationkey AS VARCHAR)", "[]", "doc", None),
-    ("/Session/Data/Vehicle", None, "[]", "doc", "c_mktsegment = 'AUTOMOBILE'"),
+    ("/Session/Data/Vehicle", None, "['vehiclevin']", "doc", "c_mktsegment = 'AUTOMOBILE'"),
     ("/Session/Data/Vehicle/VIN", "'VIN' || lpad(CAST(c_custkey AS VARCHAR), 10, '0')", "[]", "doc",
      "c_mktsegment = 'AUTOMOBILE'"),
     ("/Session/Data/Vehicle/Make", "'MK' || (c_custkey % 20)", "[]", "doc", "c_mktsegment = 'AUTOMOBILE'"),
     ("/Session/Data/Vehicle/Model", "'MD' || (c_custkey % 7)", "[]", "doc", "c_mktsegment = 'AUTOMOBILE'"),
-    ("/Session/Data/Dwelling", None, "[]", "doc", "c_mktsegment = 'HOUSEHOLD'"),
+    ("/Session/Data/Dwelling", None, "['propertyvalues']", "doc", "c_mktsegment = 'HOUSEHOLD'"),
     ("/Session/Data/Dwelling/ConstructionType", "'Frame'", "[]", "doc", "c_mktsegment = 'HOUSEHOLD'"),
     ("/Session/Data/Dwelling/Occupancy", "'Owner'", "[]", "doc", "c_mktsegment = 'HOUSEHOLD'"),
     ("/Session/Data/Dwelling/BuildingYear", "CAST(1950 + c_custkey % 70 AS VARCHAR)", "[]", "doc",

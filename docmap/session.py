@@ -50,9 +50,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder from the session; a private temp folder only if unset."""
+    """Checkpoint folder from the session; a private temp folder only if it is
+    unset and driver and executors are one process (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="docmap-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext
@@ -99,8 +103,3 @@ def partitions_for(df, bytes_per_partition: int = 128 * 1024 * 1024, expansion:
                    2 * spark.sparkContext.defaultParallelism)
     by_size = -(-size * expansion // bytes_per_partition)
     return max(int(by_size), 2 * spark.sparkContext.defaultParallelism)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for an intermediate table under the session's shared checkpoint dir."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)

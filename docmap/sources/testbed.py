@@ -2,10 +2,12 @@
 
 * ``order_documents``: one XML transaction document per order *part*
   (orders + customer + lineitem -> ``to_xml``).  Line items are dealt into
-  parts of about ``RECORDS_PER_PART`` records by a per-order count, so an
-  order with millions of line items becomes many documents instead of one
-  unbounded group.  Every value is cast to text *before* ``to_xml`` so the
-  document text is stable.
+  parts of about ``RECORDS_PER_PART`` records by a per-order count, copies of
+  one line item round-robin, so an order with millions of line items, equal
+  ones included, becomes many documents.  Every value is cast to text
+  *before* ``to_xml`` so the document text is stable.  A fixed share of the
+  documents has what real ones have: long comments, document types, byte
+  order marks, processing instructions, escaped markup and CDATA.
 * ``mapping_ledger``: one mapping row per lineitem (ledger operators).
 * ``typed_strings``: columns of part/orders/customer as text plus fixed
   edge cases (type inference and coercion operators).
@@ -45,18 +47,35 @@ def dec_text(c, scale: int = 2) -> Column:
         else c.cast(f"decimal(15,{scale})").cast("string")
 
 
+LINE_FIELDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount",
+               "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
 def _part_expr() -> Column:
-    # Deterministic per-row dealer (also written in the oracle SQL).
-    h = F.col("l_partkey") * 7 + F.col("l_suppkey") * 13 + F.col("l_linenumber") * 31
+    # Deterministic dealer (also written in the oracle SQL): by the keys of
+    # the line item, and its copies one after the other.
+    h = F.col("l_partkey") * 7 + F.col("l_suppkey") * 13 + F.col("l_linenumber") * 31 + F.col("_copy")
     return F.pmod(h, F.col("n_parts")).cast("int")
 
 
-def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(o_orderkey, part, coverages) — line items dealt into document parts."""
-    li = read_table(spark, sf_dir, "lineitem")
-    # Map-side combined count per order: one small row per key.
+def dealt_items(li: DataFrame) -> DataFrame:
+    """Line items with the document ``part`` that each goes to.
+
+    Both counts are combined before the shuffle: rows per order (how many
+    parts) and copies of a line item (which are dealt one after the other).
+    The join is on the order, but its sides are plain exchanges that AQE may
+    split, and what follows groups by (order, part).
+    """
     counts = li.groupBy("l_orderkey").agg(
         F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / RECORDS_PER_PART)).cast("int").alias("n_parts"))
+    copies = li.groupBy(*LINE_FIELDS).agg(F.count(F.lit(1)).alias("_times"))
+    return (copies.join(counts, "l_orderkey")
+            .withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_times") - 1)))
+            .withColumn("part", _part_expr()).drop("_copy", "_times", "n_parts"))
+
+
+def order_parts(li: DataFrame) -> DataFrame:
+    """(o_orderkey, part, recs): the records of every document part."""
     # sort key first (ln, pk, sk + the remaining typed fields as tie-breakers,
     # so the record order is total), dropped after sorting
     rec = F.struct(
@@ -77,32 +96,56 @@ def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linestatus").alias("LineStatus"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("ShipDate"),
     )
-    # Group key (order, part) is hashed as a pair, so the parts of a hot
-    # order land in different shuffle partitions.
-    return (li.join(counts, "l_orderkey")
-            .withColumn("part", _part_expr())
+    # The exchange is on (order, part): without it the grouping would reuse
+    # the join's distribution by order and build a hot order in one task.
+    n = doc_partitions(li.sparkSession, li)
+    return (dealt_items(li).repartition(n, "l_orderkey", "part")
             .groupBy(F.col("l_orderkey").alias("o_orderkey"), "part")
             .agg(F.array_sort(F.collect_list(rec)).alias("recs")))
 
 
+# Fixed prologs of some documents, by order key.
+LONG_COMMENT, HUGE_COMMENT = 3_000, 1_000_000
+
+
+def _prolog() -> Column:
+    k = F.col("o_orderkey")
+    xml = F.lit('<?xml version="1.0" encoding="UTF-8"?>\n')
+    return (F.when(k % 4001 == 1, F.concat(xml, F.lit("<!--"), F.expr(f"repeat('c > d ', {HUGE_COMMENT // 6})"), F.lit("-->")))
+            .when(k % 16 == 1, F.concat(xml, F.lit("<!--"), F.expr(f"repeat('a - b ', {LONG_COMMENT // 6})"), F.lit("-->\n")))
+            .when(k % 16 == 3, F.concat(xml, F.lit("<!DOCTYPE Session [<!ELEMENT Session ANY>]>\n")))
+            .when(k % 16 == 5, F.concat(F.lit("\ufeff"), xml))
+            .when(k % 16 == 7, F.concat(xml, F.lit("<?note a > b?>\n")))
+            .otherwise(xml))
+
+
+def _priority() -> Column:
+    """Priority, in some documents with markup in its text (escaped, or in a
+    CDATA section, see ``order_documents``) or with a product's code."""
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    return (F.when(k % 16 == 9, F.concat(F.lit("<b>"), p, F.lit("</b>")))
+            .when(k % 16 == 11, F.concat(F.lit("<i>"), p, F.lit("</i>")))
+            .when(k % 16 == 13, F.concat(F.lit("Plan PA001 "), p)).otherwise(p))
+
+
 def _segment_struct(segment: str, fields: dict[str, Column]) -> Column:
     return F.when(F.col("c_mktsegment") == segment, F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
 def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw XML order documents: (o_orderkey, part, file_name, file_path, raw_xml)."""
-    # Hash-partition orders by key: it is the distribution the join with the
-    # parts needs anyway, and it spreads the per-document work (to_xml and
-    # later parsing) over all cores even when the source is one small file.
-    n = doc_partitions(spark, read_table(spark, sf_dir, "lineitem"))
-    orders = read_table(spark, sf_dir, "orders").repartition(n, "o_orderkey")
+    li = read_table(spark, sf_dir, "lineitem")
     cust = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
-    parts = order_parts(spark, sf_dir)
+    orders = read_table(spark, sf_dir, "orders")
+    orders = orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
+    parts = order_parts(li)
     ck = F.col("c_custkey")
-    doc = (orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
-           .join(parts, "o_orderkey", "left")
-           .withColumn("part", F.coalesce("part", F.lit(0))))
+    # an inner join, so that the parts of a hot order may be split over tasks;
+    # orders without line items are one document each
+    none = orders.join(li.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+    doc = parts.join(orders, "o_orderkey").unionByName(
+        none.withColumns({"part": F.lit(0), "recs": F.lit(None).cast(parts.schema["recs"].dataType)}))
     coverage = F.transform(F.col("recs"), lambda r: r.dropFields("ln", "pk", "sk", "t1", "t2", "t3", "t4", "t5",
                                                                  "t6", "t7"))
     session = F.struct(
@@ -119,7 +162,7 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.date_format("o_orderdate", "yyyy-MM-dd").alias("EffectiveDate"),
                 dec_text("o_totalprice").alias("TotalPremium"),
                 F.col("o_orderstatus").alias("PolicyStatus"),
-                F.col("o_orderpriority").alias("Priority"),
+                _priority().alias("Priority"),
                 F.when(F.col("o_orderpriority").rlike("^[12]-"), "true").otherwise("false").alias("IsPriority"),
             ).alias("Policy"),
             F.struct(
@@ -134,11 +177,13 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                 "VIN": F.concat(F.lit("VIN"), F.lpad(ck.cast("string"), 10, "0")),
                 "Make": F.concat(F.lit("MK"), (ck % 20).cast("string")),
                 "Model": F.concat(F.lit("MD"), (ck % 7).cast("string")),
+                "_vehiclevin": ck.cast("string"),
             }).alias("Vehicle"),
             _segment_struct("HOUSEHOLD", {
                 "ConstructionType": F.lit("Frame"),
                 "Occupancy": F.lit("Owner"),
                 "BuildingYear": (F.lit(1950) + ck % 70).cast("string"),
+                "_propertyvalues": ck.cast("string"),
             }).alias("Dwelling"),
             _segment_struct("BUILDING", {
                 "BusinessName": F.col("c_name"),
@@ -153,12 +198,14 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     name = F.concat(F.lit("order_"), F.col("o_orderkey").cast("string"), F.lit("_"),
                     F.col("part").cast("string"), F.lit(".xml"))
+    body = F.to_xml(session, {"rowTag": "Session", "indent": ""})
+    body = F.when(F.col("o_orderkey") % 16 == 11, F.regexp_replace(
+        body, "<Priority>&lt;i&gt;([^&<]*)&lt;/i&gt;</Priority>", r"<Priority><![CDATA[<i>$1</i>]]></Priority>")).otherwise(body)
     return doc.select(
         "o_orderkey", "part",
         name.alias("file_name"),
         F.concat(F.lit(f"{sf_dir}/documents/"), name).alias("file_path"),
-        F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'),
-                 F.to_xml(session, {"rowTag": "Session", "indent": ""})).alias("raw_xml"),
+        F.concat(_prolog(), body).alias("raw_xml"),
     )
 
 

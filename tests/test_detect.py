@@ -47,13 +47,12 @@ def py_score(raw):
 
 def test_product_scores_match_rules(spark):
     docs = spark.createDataFrame([(i, r) for i, r in enumerate([AUTO, HOME, NOTHING, BROKEN])], "k int, raw_xml string")
-    nodes = xml_nodes(docs, ["k"], keep_errors=True)
-    sc = D.product_scores(spark, docs, nodes, ["k"])
+    sc = D.product_scores(docs, ["k"])
     got = {(r.k, r.product_code): r.normalized_score for r in sc.collect()}
     for k, raw in enumerate([AUTO, HOME, NOTHING]):
         for code, v in py_score(raw).items():
             assert abs(got[(k, code)] - v) < 1e-9, (k, code, got[(k, code)], v)
-    best = {r.k: (r.product_code, r.confidence) for r in D.detect_products(sc, ["k"]).collect()}
+    best = {r.k: (r.product_code, r.confidence) for r in D.detect_products(docs, ["k"]).collect()}
     assert best[0][0] == "PA001" and best[1][0] == "HO003"
     assert best[2] == (None, 0.0) and best[3] == (None, 0.0)
     top = D.top_products(sc, ["k"], 3).where("k = 0").orderBy("rank").collect()
@@ -92,14 +91,18 @@ def test_fuzzy_matches_prunes_but_is_exact(spark):
     assert got == exp
 
 
-def test_worker_terms_equal_aggregated_terms(spark):
-    from docmap.operators.nodes import xml_terms
-    docs = spark.createDataFrame([(i, r) for i, r in enumerate([AUTO, HOME, NOTHING, BROKEN])], "k int, raw_xml string")
-    a = sorted(tuple(r) for r in xml_terms(docs, ["k"]).select("k", "kind", "term", "first_ord").collect())
-    b = sorted(tuple(r) for r in D.document_terms(xml_nodes(docs, ["k"], keep_errors=True), ["k"])
-               .select("k", "kind", "term", "first_ord").collect())
-    assert a == b
-    s1 = {(r.k, r.product_code): r.raw_score for r in D.product_scores(spark, docs, None, ["k"]).collect()}
-    s2 = {(r.k, r.product_code): r.raw_score for r in
-          D.product_scores(spark, docs, xml_nodes(docs, ["k"], keep_errors=True), ["k"]).collect()}
-    assert s1 == s2
+def test_evidence_takes_exact_then_first_similar_term():
+    cache = D.TermPatterns()
+    parsed, node_points, nodes, fuzzy, attr_points, attrs = D.term_evidence(
+        "<Session><VehicleInf/><VehicleInfos/><Vehicle vehiclevin='1' DriverAges='2'/></Session>", cache)
+    assert parsed and nodes[0] == 2 and attrs[0] == 2
+    # Vehicle is exact; VehicleInfo takes the first similar tag
+    assert node_points[0] == 2.0 + 1.5 and attr_points[0] == 1.5 + 1.0
+    assert abs(fuzzy[0] - SequenceMatcher(None, "vehicleinfo", "vehicleinf").ratio()) < 1e-12
+    assert D.term_evidence("<broken", cache)[0] is False and D.term_evidence(None, cache)[0] is False
+
+
+def test_detection_plan_has_no_shuffle(spark):
+    docs = spark.createDataFrame([(1, AUTO)], "k int, raw_xml string")
+    plan = D.detect_products(docs, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1

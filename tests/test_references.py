@@ -16,7 +16,7 @@ def test_file_relevance_rules(spark):
     assert s[("old_mappings.csv", "PA001")] == 0.5
     assert s[("old_mappings_homeowners.csv", "HO003")] == 6.0     # home, homeowner, homeowners, old mapping
     assert s[("commercial_property_pa001.csv", "PA001")] == 10.0
-    rel = R.relevant_files(R.file_relevance(files, fuzzy=False), "PA001").orderBy("file_rank").collect()
+    rel = R.relevant_files(R.file_relevance(files, fuzzy=False), None, "PA001").orderBy("file_rank").collect()
     assert [r.file_name for r in rel] == ["commercial_property_pa001.csv", "old_mappings_personal_auto.csv"]
 
 
@@ -94,6 +94,6 @@ def test_catalog(spark):
 
 def test_relevant_files_top_n(spark):
     files = spark.createDataFrame([(f"old_mappings_personal_auto_{i}.csv",) for i in range(7)], "file_name string")
-    top = R.relevant_files(R.file_relevance(files, fuzzy=False), "PA001", max_files=3).collect()
+    top = R.relevant_files(R.file_relevance(files, fuzzy=False), max_files=3, product_code="PA001").collect()
     assert sorted(r.file_rank for r in top) == [1, 2, 3]
-    assert R.relevant_files(R.file_relevance(files, fuzzy=False), "PA001", max_files=None).count() == 7
+    assert R.relevant_files(R.file_relevance(files, fuzzy=False), max_files=None, product_code="PA001").count() == 7
