@@ -9,17 +9,15 @@ Jaccard similarity reaches the threshold share a shingle among their first
 * classes with the same prefix and size form one group, and only groups are
   listed under the shingles of their prefix; a shingle of one group alone
   makes no list;
-* of two sets, the one whose prefix ends first in the order shares nothing
-  of its prefix with the other but what both list, so the number of its
-  prefix shingles that no other group lists bounds the size (``cap``) that
-  the other may have;
+* the first shingle that two linked sets share stands at places i and j of
+  their prefixes, so they share at most ``n - i`` and ``m - j``: an entry of
+  a list has a ``cap`` for the other set's size, and an entry whose cap is
+  below the smallest size of the list is dropped;
 * in each list a few pivots are paired with the other classes of the list;
-  only classes whose cap reaches the smallest size of the list need be
-  pivots (``able``), and a list without any is dropped; pairs that the sizes
-  and the cap rule out go, and every pair left is verified on whole sets;
-* after a round, lists whose classes are all connected are done, and so are
-  those whose able classes have all been pivots.  In the others the next
-  round takes more pivots (eight times as many each round), but pairs only
+  pairs that the sizes and the caps rule out go, and every pair left is
+  verified on whole sets;
+* after a round, lists whose classes are all connected are done; pivots, which
+  have met every other class, leave their list.  In the others the next round takes more pivots (eight times as many each round), but pairs only
   classes that are not connected yet.
 
 So every pair of linked texts is connected in the result, but a list of n
@@ -144,16 +142,16 @@ def _digest(data: bytes) -> int:
 
 
 def keyed_documents(texts: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(_id, n, cls, grp, prefix, end) of every document: size and digest of
-    its set, digest of prefix and size, the prefix, and the place in the
-    order of the prefix's last shingle.  Without words the digests are null."""
+    """(_id, n, cls, grp, prefix) of every document: size and digest of its
+    set, digest of prefix and size, and the prefix in the shingles' order.
+    Without words the digests are null."""
     kind = texts.schema["_id"].dataType.simpleString()
     sent = texts.sparkSession.sparkContext.broadcast(frequent)  # at most a million hashes, see there
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for part in slices(batches):
-            n, cls, grp, prefixes, common, last = [], [], [], [], [], []
+            n, cls, grp, prefixes = [], [], [], []
             for text in part["_text"].to_pylist():
                 s = shingle_set(text, k, hashes)
                 p = prefix_of(s, sent.value, percent)
@@ -161,16 +159,11 @@ def keyed_documents(texts: DataFrame, k: int, percent: int, frequent: np.ndarray
                 cls.append(_digest(s.tobytes()) if len(s) else None)
                 grp.append(_digest(p.tobytes() + len(s).to_bytes(8, "little")) if len(s) else None)
                 prefixes.append(p.view(np.int64))
-                common.append(bool(len(p)) and is_frequent(p[-1:], sent.value)[0])
-                last.append(int(p[-1]) - (1 << 63) if len(p) else None)  # signed, in the same order
             yield pa.RecordBatch.from_arrays(
                 [part["_id"], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(grp, pa.int64()),
-                 pa.array(prefixes, pa.list_(pa.int64())),
-                 pa.StructArray.from_arrays([pa.array(common, pa.bool_()), pa.array(last, pa.int64())], ["common", "last"])],
-                names=["_id", "n", "cls", "grp", "prefix", "end"])
+                 pa.array(prefixes, pa.list_(pa.int64()))], names=["_id", "n", "cls", "grp", "prefix"])
 
-    return texts.mapInArrow(
-        run, f"_id {kind}, n long, cls long, grp long, prefix array<long>, end struct<common:boolean,last:long>")
+    return texts.mapInArrow(run, f"_id {kind}, n long, cls long, grp long, prefix array<long>")
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -219,12 +212,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def may_link(x: tuple[str, str, str], y: tuple[str, str, str], percent: int) -> Column:
-    """Whether sizes and caps allow a link; each side as its columns for
-    size, cap and end of the prefix."""
-    (n, cap, end), (m, other_cap, other_end) = (map(F.col, side) for side in (x, y))
-    return ((F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-            & F.when(end <= other_end, m <= cap).otherwise(n <= other_cap))
+def cap_of(n: Column, place: Column, percent: int) -> Column:
+    """Largest size of a set that may be linked with one of ``n`` shingles if
+    the first shared one stands at ``place`` (from 0) of its prefix."""
+    return (F.floor((n - place) * (100 + percent) / percent) - n).cast("int")
 
 
 @dataclass
@@ -245,57 +236,44 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     documents = keyed.select("_id", "n", "cls")
     # one row for each class, with the least id that is not null (or null)
     classes = keyed.filter("cls IS NOT NULL").groupBy("cls").agg(
-        F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("end").alias("end"))
+        F.min("_id").alias("_id"), F.first("n").cast("int").alias("n"), F.first("grp").alias("grp"))
     # groups are listed under the shingles of their prefix; a group of several
     # classes also has a list of its own, named by its digest
-    listed = keyed.select(F.explode("prefix").alias("token"), "grp")
-    shared = (listed.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"))
-              .filter("lo != hi").select("token"))
-    several = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    lists = stored(listed.join(shared, "token").distinct()
-                   .unionByName(several.select(F.col("grp").alias("token"), "grp")), "prefix-lists")
-    # of the prefix, what other groups list too; the rest no set with a later
-    # end of its prefix can hold, so shared <= n - rest, and with the other
-    # size m a link needs shared * (100 + percent) >= percent * (n + m)
-    in_lists = lists.join(several.select(F.col("grp").alias("token")), "token", "left_anti").groupBy("grp").agg(
-        F.count(F.lit(1)).alias("listed"))
-    rest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.coalesce("listed", F.lit(0))
-    most = F.when(F.col("shares"), F.col("n")).otherwise(F.col("n") - rest)
-    active = stored(classes.join(in_lists, "grp", "left").join(several.select("grp", F.lit(True).alias("shares")), "grp", "left")
-                    .filter("listed IS NOT NULL OR shares")
-                    .select("grp", "cls", "_id", "n", "end",
-                            (F.floor(most * (100 + percent) / percent) - F.col("n")).alias("cap")), "classes")
+    listed = keyed.select(F.col("n").cast("int").alias("n"), "grp", F.posexplode("prefix").alias("place", "token")).select(
+        "token", "grp", "n", cap_of(F.col("n"), F.col("place"), percent).alias("cap"))
+    useful = (listed.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.min("n").alias("low"),
+                                          F.max("cap").alias("high"))
+              .filter("lo != hi AND high >= low").select("token", "low"))
+    several = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n")).filter("times > 1")
+    lists = stored(listed.join(useful, "token").filter("cap >= low").select("token", "grp", "cap").distinct()
+                   .unionByName(several.select(F.col("grp").alias("token"), "grp", cap_of(F.col("n"), F.lit(0), percent).alias("cap"))),
+                   "prefix-lists")
+    active = stored(classes.join(lists.select("grp").distinct(), "grp", "left_semi"), "classes")
     # the classes of each list
-    entries = lists.join(active.select("grp", "cls", "n", "cap", "end"), "grp").drop("grp")
-    span = (entries.groupBy("token").agg(F.min("n").alias("low"), F.max("cap").alias("high")).filter("high >= low")
-            .select("token", "low"))
-    entries = stored(entries.join(span, "token").withColumn("able", F.col("cap") >= F.col("low")).drop("low"), "entries")
+    entries = lists.join(active.select("grp", "cls", "n"), "grp").select("token", "cls", "n", "cap")
     met, links, labels, sets, k_pivots = None, None, None, None, first_pivots
     while True:
         rows = entries.withColumn("comp", F.col("cls")) if labels is None else (
             entries.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
-        # lists with classes that are not connected and pivots to come; the
-        # component with most classes of a list is its main one
-        open_lists = (rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("times"), F.max("able").alias("any"))
+        # lists with classes that are not connected; the component with most
+        # classes of a list is its main one
+        open_lists = (rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("times"), F.min("n").alias("low"),
+                                                        F.max("cap").alias("high"))
                       .groupBy("token").agg(F.max(F.struct("times", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"),
-                                            F.max("any").alias("any"))
-                      .filter("comps > 1 AND any").select("token", F.col("most.comp").alias("main")))
+                                            F.min("low").alias("low"), F.max("high").alias("high"))
+                      .filter("comps > 1 AND high >= low").select("token", F.col("most.comp").alias("main")))
         rows = stored(rows.join(open_lists, "token"), "open-lists")
         if rows.isEmpty():
             break
-        # pivots: the first able class of each of k hash slots of a list
+        # pivots: the first class outside it of each of k hash slots of a list
         slot = F.pmod(F.xxhash64("cls", F.lit(k_pivots)), F.lit(k_pivots)).alias("slot")
-        pivots = stored(rows.filter("able").groupBy("token", slot)
-                        .agg(F.min(F.struct("cls", "n", "cap", "end", "comp", "main")).alias("p")).select("token", "p.*"), "pivots")
-        p = pivots.select("token", F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("cap").alias("p_cap"),
-                          F.col("end").alias("p_end"), F.col("comp").alias("pc"), (F.col("comp") == F.col("main")).alias("p_main"))
-        # a pivot of the main component needs to meet only the others
-        others = rows.filter("comp != main").join(p, "token")
-        inside = rows.filter("comp = main").join(p.filter("NOT p_main"), "token")
-        pairs = (others.unionByName(inside)
-                 .filter((F.col("comp") != F.col("pc"))
-                         & may_link(("n", "cap", "end"), ("pn", "p_cap", "p_end"), percent))
-                 .select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct())
+        pivots = stored(rows.filter("comp != main").groupBy("token", slot)
+                        .agg(F.min(F.struct("cls", "n", "cap", "comp")).alias("p")).select("token", "p.*"), "pivots")
+        p = pivots.select("token", F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("cap").alias("p_cap"), F.col("comp").alias("pc"))
+        pairs = (rows.join(p, "token").filter(
+            (F.col("comp") != F.col("pc")) & (F.col("n") <= F.col("p_cap")) & (F.col("pn") <= F.col("cap"))
+            & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent))
+            .select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct())
         if met is not None:
             pairs = pairs.join(met, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -313,7 +291,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             links = new if links is None else links.unionByName(new)
             if not new.isEmpty():
                 labels = merge_labels(labels, new)
-        entries = stored(rows.select("token", "cls", "n", "cap", "end", "able")
+        entries = stored(rows.select("token", "cls", "n", "cap")
                          .join(pivots.select("token", "cls"), ["token", "cls"], "left_anti"), "entries")
         k_pivots *= 8
     return Classes(documents, links, labels)
