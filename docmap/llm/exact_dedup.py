@@ -25,7 +25,8 @@ def content_hash(c: Column) -> Column:
 
 
 def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
-                hash_fn: Callable[[Column], Column] = content_hash) -> tuple[DataFrame, DataFrame, DataFrame]:
+                hash_fn: Callable[[Column], Column] = content_hash,
+                broadcast_rows: int = 300_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(keyed, groups, collisions) of the documents, see ``exact_dedup``.
 
     ``keyed``: one stored row per document (_id, _h, _sha); ``groups``: one
@@ -39,8 +40,12 @@ def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_norm"))
     rows = rows.withColumn("_h", hash_fn(F.col("_norm")))
     keyed = stored(rows.select("_id", "_h", F.sha2("_norm", 256).alias("_sha")), "exact-keys")
-    groups = keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), pick("_id").alias("_keep"))
+    # stored: joins with them then have plain exchanges, which Spark may split
+    # where one hash has many rows
+    groups = stored(keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), pick("_id").alias("_keep")), "exact-groups")
     several = groups.filter("_n > 1").select("_h", "_keep")
+    if several.count() <= broadcast_rows:  # 24 bytes each; else texts are shuffled by hash
+        several = F.broadcast(several)
     # one text per group of copies: that of the row that stays (the least
     # such text, should one id carry several)
     shared = rows.join(several, "_h")
