@@ -8,10 +8,15 @@ look up every n-gram of every position, score it and add up the logarithms
 of each document.  What is shuffled are sorted arrays of hashes, one entry
 for a block's distinct n-gram, so a very common n-gram costs one entry per
 block; nothing is kept in one place for the whole corpus.
+
+Words and pairs are counted first.  A longer n-gram can only occur ``least``
+times if both n-grams of one word less in it do, so each further order lists
+only those; the counts that matter stay exact.
 """
 
 from __future__ import annotations
 
+import gc
 from itertools import chain
 
 import numpy as np
@@ -86,37 +91,49 @@ def backoff_scores(counts: list[np.ndarray], place: np.ndarray, total: int, disc
     return out
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3,
-                    discount: float = 0.4, least: int = 2, block_bytes: int = 2 << 20) -> DataFrame:
-    """``id_col``, ``n_words``, ``log_score`` (sum over the words),
-    ``mean_log_score`` of every document under the model of all documents.
+def candidates(n: int, counts: list[np.ndarray], place: np.ndarray, least: int) -> np.ndarray:
+    """Positions whose n-gram is looked up: those that have one, and from
+    n = 3 on only if both n-grams of one word less in it are frequent."""
+    out = place >= n - 1
+    if n > 2:
+        shorter = counts[n - 2] >= least
+        out &= shorter
+        out[1:] &= shorter[:-1]
+    return out
 
-    Words are split at ASCII white space after lower-casing A-Z.  N-grams of
-    two or more words count as seen from ``least`` occurrences on (with one,
-    an n-gram would be seen because of the very text that is scored).
-    Defined results: a null or empty text has 0 words, log score 0 and a
-    null mean; a null id is passed on; repeated rows are counted and scored
-    each; an empty table gives an empty result; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    size = plan_size_bytes(docs)
-    blocks = -(-size // block_bytes) if size < 1 << 62 else 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = 1 << max(3, (blocks // 4).bit_length())  # a power of two: ranges are leading bits of the hash
+
+def known_counts(grams: list[np.ndarray], place: np.ndarray, counted: pa.Table, least: int) -> list[np.ndarray]:
+    """Counts in the corpus of the n-grams at every position of a block (0:
+    not looked up), from the block's answers."""
+    counted = counted.sort_by([("n", "ascending"), ("range", "ascending")])
+    orders, found = counted["n"].to_numpy(), counted["totals"].to_pylist()
+    counts: list[np.ndarray] = []
+    for n, h in enumerate(grams, 1):
+        mask = candidates(n, counts, place, least)
+        distinct, inverse = np.unique(h[mask], return_inverse=True)
+        table = np.frombuffer(b"".join([found[i] for i in np.flatnonzero(orders == n)]), "<u4")
+        if len(table) != len(distinct):
+            raise RuntimeError("the documents changed between two reads")
+        c = np.zeros(len(h))
+        c[mask] = table[inverse]
+        counts.append(c)
+    return counts
+
+
+def _count_orders(rows: DataFrame, answers: DataFrame | None, orders: list[int], ranges: int, least: int) -> DataFrame:
+    """Adds the counts of some orders to the answers: (block, n, range,
+    totals, words), where ``totals`` has a uint32 for each distinct n-gram
+    of the block in the range, in the order of their hashes."""
     bits = ranges.bit_length() - 1
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn(
-        "block", F.pmod(F.xxhash64("_id", "_text"), F.lit(int(blocks))))
-    kind = rows.schema["_id"].dataType.simpleString()
 
-    def lists(group: pa.Table) -> pa.Table:
-        doc, grams = block_grams(group["_text"].to_pylist(), order, WordHashes())
-        place = position_in_document(doc)
+    def listed(block: int, grams: list[np.ndarray], counts: list[np.ndarray], place: np.ndarray) -> pa.Table:
         out: dict[str, list] = {"block": [], "n": [], "range": [], "hashes": [], "counts": []}
-        for n, h in enumerate(grams, 1):
-            distinct, times = np.unique(h[place >= n - 1], return_counts=True)
+        for n in orders:
+            distinct, times = np.unique(grams[n - 1][candidates(n, counts, place, least)], return_counts=True)
             cuts = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange(ranges + 1, dtype=np.uint64))
             for r in range(ranges):
                 if cuts[r] < cuts[r + 1]:
-                    out["block"].append(group["block"][0].as_py())
+                    out["block"].append(block)
                     out["n"].append(n)
                     out["range"].append(r)
                     out["hashes"].append(pack(distinct[cuts[r]:cuts[r + 1]]))
@@ -124,6 +141,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pa.table([pa.array(out["block"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["range"], pa.int64()),
                          pa.array(out["hashes"], pa.binary()), pa.array(out["counts"], pa.binary())], names=list(out))
 
+    def first(group: pa.Table) -> pa.Table:
+        doc, grams = block_grams(group["_text"].to_pylist(), orders[-1], WordHashes())
+        return listed(group["block"][0].as_py(), grams, [], position_in_document(doc))
+
+    def further(group: pa.Table, counted: pa.Table) -> pa.Table:
+        doc, grams = block_grams(group["_text"].to_pylist(), orders[-1], WordHashes())
+        place = position_in_document(doc)
+        counts = known_counts(grams[:orders[0] - 1], place, counted, least)
+        return listed(group["block"][0].as_py(), grams, counts, place)
+
     def totals(group: pa.Table) -> pa.Table:
         hashes = [unpack(x) for x in group["hashes"].to_pylist()]
         counts = [np.frombuffer(x, "<u4") for x in group["counts"].to_pylist()]
@@ -135,27 +162,47 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                          pa.array([int(c.sum()) for c in counts], pa.int64())],
                         names=["block", "n", "range", "totals", "words"])
 
-    listed = rows.groupBy("block").applyInArrow(lists, "block long, n int, range long, hashes binary, counts binary")
-    answers = stored(listed.groupBy("n", "range").applyInArrow(
+    schema = "block long, n int, range long, hashes binary, counts binary"
+    blocks = rows.groupBy("block")
+    lists = blocks.applyInArrow(first, schema) if answers is None else (
+        blocks.cogroup(answers.groupBy("block")).applyInArrow(further, schema))
+    new = stored(lists.groupBy("n", "range").applyInArrow(
         totals, "block long, n int, range long, totals binary, words long"), "ngram-counts")
+    return new if answers is None else answers.unionByName(new)
+
+
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3,
+                    discount: float = 0.4, least: int = 2, block_bytes: int = 4 << 20) -> DataFrame:
+    """``id_col``, ``n_words``, ``log_score`` (sum over the words),
+    ``mean_log_score`` of every document under the model of all documents.
+
+    Words are split at ASCII white space after lower-casing A-Z.  N-grams of
+    two or more words count as seen from ``least`` occurrences on (with one,
+    an n-gram would be seen because of the very text that is scored).
+    Defined results: a null or empty text has 0 words, log score 0 and a
+    null mean; a null id is passed on; repeated rows are counted and scored
+    each; an empty table gives an empty result; other columns are ignored.
+    """
+    if least < 2 and order > 2:
+        raise ValueError("orders above 2 need least >= 2: longer n-grams are found through frequent shorter ones")
+    spark = docs.sparkSession
+    size = plan_size_bytes(docs)
+    blocks = -(-size // block_bytes) if size < 1 << 62 else 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 1 << max(3, (blocks // 4).bit_length())  # a power of two: ranges are leading bits of the hash
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn(
+        "block", F.pmod(F.xxhash64("_id", "_text"), F.lit(int(blocks))))
+    answers = None
+    for orders in [list(range(1, min(order, 2) + 1)), *[[n] for n in range(3, order + 1)]]:
+        answers = _count_orders(rows, answers, orders, ranges, least)
+        gc.collect()
     total = answers.filter("n = 1").agg(F.sum("words").alias("words")).first()["words"] or 0
+    kind = rows.schema["_id"].dataType.simpleString()
 
     def score(group: pa.Table, counted: pa.Table) -> pa.Table:
         texts = group["_text"].to_pylist()
         doc, grams = block_grams(texts, order, WordHashes())
         place = position_in_document(doc)
-        counted = counted.sort_by([("n", "ascending"), ("range", "ascending")])
-        orders, found = counted["n"].to_numpy(), counted["totals"].to_pylist()
-        counts = []
-        for n, h in enumerate(grams, 1):
-            mask = place >= n - 1
-            _, inverse = np.unique(h[mask], return_inverse=True)
-            table = np.frombuffer(b"".join([found[i] for i in np.flatnonzero(orders == n)]), "<u4")
-            if len(table) != (int(inverse.max()) + 1 if len(inverse) else 0):
-                raise RuntimeError("the documents changed between two reads")
-            c = np.zeros(len(h))
-            c[mask] = table[inverse]
-            counts.append(c)
+        counts = known_counts(grams, place, counted, least)
         words = np.bincount(doc, minlength=len(texts))
         logs = np.bincount(doc, weights=backoff_scores(counts, place, total, discount, least), minlength=len(texts))
         mean = [s / w if w else None for s, w in zip(logs.tolist(), words.tolist(), strict=True)]
