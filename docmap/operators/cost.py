@@ -75,9 +75,9 @@ def row_number_within(df: DataFrame, partition_cols: list[str], order_cols: list
     ``order_cols``, a unique order) without gathering a hot group in one task.
 
     Range-partition by (group, order) and checkpoint (stable partition ids);
-    number rows inside each (range partition, group); add, per group, the row
-    counts of the earlier range partitions.  The offset table has one row per
-    (group, range partition) pair touched: at most groups + partitions rows.
+    number rows inside each (range partition, group).  Only the first group
+    of a range partition can have begun in an earlier one, so the offsets
+    are one row per range partition at most, which is broadcast.
     """
     from docmap.session import partitions_for
     n = partitions or partitions_for(df)
@@ -85,11 +85,18 @@ def row_number_within(df: DataFrame, partition_cols: list[str], order_cols: list
               .sortWithinPartitions(*partition_cols, *order_cols)
               .withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
+    group = F.struct(*partition_cols)
     w = Window.partitionBy("_pid", *partition_cols).orderBy(*order_cols)
     local = ranged.withColumn("_local", F.row_number().over(w))
-    counts = ranged.groupBy(*partition_cols, "_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    offs = counts.withColumn("_off", F.coalesce(F.sum("_cnt").over(
-        Window.partitionBy(*partition_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(offs.select(*partition_cols, "_pid", "_off"), [*partition_cols, "_pid"])
-            .withColumn(out_col, (F.col("_off") + F.col("_local")).cast("int"))
-            .drop("_pid", "_local", "_off"))
+    # the last row of each range partition tells its last group and how many
+    # rows of it are there; the first group is the one of the first row
+    ends = ranged.groupBy("_pid").agg(F.min(group).alias("_first"), F.max(group).alias("_last"))
+    counts = (ranged.join(F.broadcast(ends), "_pid").where(group.eqNullSafe(F.col("_last")))
+              .groupBy("_pid", F.col("_last").alias("_group")).agg(F.count(F.lit(1)).alias("_cnt")))
+    before = counts.select(F.col("_pid").alias("_earlier"), "_group", "_cnt")
+    offs = (ends.join(before, F.col("_first").eqNullSafe(F.col("_group")) & (F.col("_earlier") < F.col("_pid")))
+            .groupBy("_pid", "_first").agg(F.sum("_cnt").alias("_off")))
+    offs = offs.select(F.col("_pid").alias("_opid"), "_first", "_off")
+    return (local.join(F.broadcast(offs), (F.col("_pid") == F.col("_opid")) & group.eqNullSafe(F.col("_first")), "left")
+            .withColumn(out_col, (F.coalesce("_off", F.lit(0)) + F.col("_local")).cast("int"))
+            .drop("_pid", "_local", "_off", "_opid", "_first"))

@@ -242,6 +242,14 @@ def project(docs: DataFrame, mappings: list[CompiledMapping], key_cols: list[str
     return stage.select(*key_cols, *extra, *out)
 
 
+def string_view(docs: DataFrame, mappings: list[CompiledMapping], id_col: str = "xml_id", root: str = "Session",
+                raw_col: str = "raw_xml", empty_as_blank: bool = False) -> DataFrame:
+    """All-string untrimmed view whose first column, ``SOURCE_XML_ID``,
+    is the document's id."""
+    return project(docs.withColumnRenamed(id_col, "SOURCE_XML_ID"), mappings, ["SOURCE_XML_ID"], root=root, raw_col=raw_col,
+                   strings=True, empty_as_blank=empty_as_blank)
+
+
 def quarantine_transforms(mappings: DataFrame) -> DataFrame:
     """X15 check as a column: reason text when a transformation is not allowed."""
     from docmap.session import ensure_worker_code
@@ -251,7 +259,9 @@ def quarantine_transforms(mappings: DataFrame) -> DataFrame:
     def _why(t):
         from docmap.functions.transform import validate
         return validate(t)
-    return mappings.withColumn("transform_error", _why(F.col("transformation_logic")))
+    # the few distinct texts are checked, not every mapping
+    texts = mappings.select(F.col("transformation_logic").alias("_t")).distinct().withColumn("transform_error", _why("_t"))
+    return mappings.join(texts, F.col("transformation_logic").eqNullSafe(F.col("_t")), "left").drop("_t")
 
 
 def bronze_missing(ledger: DataFrame, bronze: DataFrame, key: str = "xml_id") -> DataFrame:

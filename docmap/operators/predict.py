@@ -163,8 +163,37 @@ def parse_replies(replies: DataFrame, key_cols: list[str], reply_col: str = "rep
         F.coalesce(get(item, "reasoning", "string"), F.lit("")).alias("reasoning"))
 
 
+# The fields of the mapping contract.
+CONTRACT_FIELDS = ["source_node", "target_table", "target_column", "transformation_logic", "confidence_score", "reasoning"]
+
+
+def contract_violation(raw: Column) -> Column:
+    """Why a mapping object (JSON text) breaks the contract, or NULL: all
+    six fields are there, no others are, and 0 <= confidence <= 1."""
+    keys = F.json_object_keys(raw)
+    fields = F.array(*[F.lit(c) for c in CONTRACT_FIELDS])
+    missing = F.array_join(F.array_except(fields, keys), ",")
+    extra = F.array_join(F.array_sort(F.array_except(keys, fields)), ",")
+    confidence = F.get_json_object(raw, "$.confidence_score").try_cast("double")
+    nulls = [F.get_json_object(raw, f"$.{c}").isNull() for c in ("source_node", "target_table", "target_column")]
+    return (F.when(raw.isNull() | keys.isNull(), "not an object")
+            .when(missing != "", F.concat(F.lit("missing: "), missing))
+            .when(extra != "", F.concat(F.lit("extra: "), extra))
+            .when(nulls[0] | nulls[1] | nulls[2], "null field")
+            .when(~F.coalesce(confidence.between(0.0, 1.0), F.lit(False)), "confidence outside 0 to 1"))
+
+
+def split_by_contract(df: DataFrame, json_col: str, key_cols: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(valid mappings as columns, quarantined objects with the reason)."""
+    checked = df.select(*key_cols, F.col(json_col).alias("mapping"), contract_violation(F.col(json_col)).alias("reason"))
+    get = lambda c: F.get_json_object("mapping", f"$.{c}")
+    good = checked.where(F.col("reason").isNull()).select(*key_cols, *[
+        (get(c).cast("double") if c == "confidence_score" else get(c)).alias(c) for c in CONTRACT_FIELDS])
+    return good, checked.where(F.col("reason").isNotNull())
+
+
 def mapping_contract(m: DataFrame) -> DataFrame:
-    """Validity flag per mapping (six fields present, 0 <= confidence <= 1)."""
+    """M10 on columns: validity flag per mapping (fields present, 0 <= confidence <= 1)."""
     ok = (F.col("source_node").isNotNull() & F.col("target_table").isNotNull()
           & F.col("target_column").isNotNull() & F.col("confidence_score").between(0.0, 1.0))
     return m.withColumn("is_valid", F.coalesce(ok, F.lit(False)))

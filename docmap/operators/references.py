@@ -99,12 +99,13 @@ def first_per_group(df: DataFrame, keys: list[str], order_cols: list[str]) -> Da
     An aggregate of ``min(struct(order..., row...))`` (planned sort-based,
     since the buffer is a struct) with partial aggregation on the map side:
     each task keeps one row per key before the shuffle, so a hot key never
-    gathers its rows in one task.
+    gathers its rows in one task.  Select the columns that are wanted before:
+    all of them are shipped.
     """
-    payload = [c for c in df.columns if c not in keys]
-    st = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order_cols)],
-                  *[F.col(c) for c in payload])
-    return df.groupBy(*keys).agg(F.min(st).alias("_f")).select(*keys, *[F.col(f"_f.{c}").alias(c) for c in payload])
+    rest = [c for c in df.columns if c not in keys and c not in order_cols]
+    st = F.struct(*[c for c in order_cols if c not in keys], *rest)
+    return df.groupBy(*keys).agg(F.min(st).alias("_f")).select(
+        *[F.col(c) if c in keys else F.col(f"_f.{c}").alias(c) for c in df.columns])
 
 
 def dedupe_mappings(union: DataFrame, row_order: list[str]) -> DataFrame:
@@ -125,6 +126,21 @@ def with_fallback(rows: DataFrame, requested: list[str], key: str = "product_cod
             .withColumn("is_fallback", F.col("requested_product").isin(missing) if missing else F.lit(False)))
 
 
+def with_generic_file(scored: DataFrame, products: list[str], generic: str, name_col: str = "file_name",
+                      threshold: float = 1.0) -> DataFrame:
+    """Relevant files of each product; a product without any gets the
+    generic file (score 0.0, ``is_generic``).
+
+    ``products`` is configuration: one row for each is left-joined with the
+    number of its files, which Spark counts in one aggregate.
+    """
+    found = scored.where((F.col("score") > 0) & (F.col("score") >= threshold) & F.col("product_code").isin(products))
+    wanted = scored.sparkSession.createDataFrame([(p,) for p in products], "product_code string")
+    missing = wanted.join(found.select("product_code").distinct(), "product_code", "left_anti").select(
+        F.lit(generic).alias(name_col), "product_code", F.lit(0.0).alias("score"), F.lit(True).alias("is_generic"))
+    return found.select(name_col, "product_code", "score", F.lit(False).alias("is_generic")).unionByName(missing)
+
+
 # ------------------------------------------------------------- R7 - R10
 # File-name patterns of the rule-based classifier (first match wins).
 CLASS_RULES = [

@@ -30,7 +30,8 @@ SELECT xml_id, target_table, target_column, mapping_id, source_node FROM (
 WHERE rn = 1""")
 def mapping_first_wins(spark, sf):
     """Surrogate keys skipped, first mapping per (document, table, column)."""
-    m = first_wins(_ledger(spark, sf), LEDGER_ORDER, partition=["xml_id", "target_table", "target_column"])
+    led = _ledger(spark, sf).select("xml_id", "target_table", "target_column", "mapping_id", "source_node", *LEDGER_ORDER)
+    m = first_wins(led, LEDGER_ORDER, partition=["xml_id", "target_table", "target_column"])
     return m.select("xml_id", "target_table", "target_column", "mapping_id", "source_node")
 
 

@@ -3,6 +3,7 @@ replies, vectors, cost, reconciliation and rule conformance."""
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from docmap.operators import detect as D
 from docmap.operators import quality as QL
 from docmap.operators import references as R
 from docmap.operators.nodes import node_profile, xml_nodes
-from docmap.operators.predict import parse_replies, predict
+from docmap.operators.predict import ROUTING, SECTION_KEYWORDS, parse_replies, predict
 from docmap.plans import sqlparts as Q
 from docmap.plans.doc_mappings import COVERAGE_RECORD, DOC_MAPPINGS
 from docmap.plans.queries import DOC_KEYS, _docs, _silver, query
@@ -129,7 +130,7 @@ def product_detect(spark, sf):
 # Fixed file-name stems of the synthetic reference-file listing.
 STEMS = ["old_mappings", "old_mappings_personal_auto", "old_mappings_homeowners", "old_mappings_commercial",
          "data_dictionary", "pa001_history", "umbrella_reference", "workers_comp_mapping", "silver_schema",
-         "lookup_codes"]
+         "lookup_codes", "data_dictionary_pa001", "silver_schema_ho003_home", "reference_codes_wc001"]
 
 
 def _files(spark, sf):
@@ -212,21 +213,29 @@ def category_summary(spark, sf):
 
 
 # ================================================================= text sources
-@query("prolog_repair", """
+_DECLARATION = '<?xml version="1.0"?>'
+
+
+@query("prolog_repair", f"""
 SELECT src, id, CASE WHEN strpos(t, '<?xml') = 1 THEN 'ok' WHEN strpos(t, '<?xml') > 1 THEN 'fixed'
                      ELSE 'no_declaration' END AS repair_status,
        CAST(length(CASE WHEN strpos(t, '<?xml') > 1 THEN substr(t, strpos(t, '<?xml')) ELSE t END) AS INTEGER)
          AS repaired_length
-FROM (SELECT 'page' AS src, page_id AS id, html AS t FROM pages
-      UNION ALL SELECT 'document', doc_id, text FROM documents)""")
+FROM (SELECT src, id, CASE id % 3 WHEN 0 THEN '{_DECLARATION}' || t WHEN 1 THEN 'mail header' || chr(10) || '{_DECLARATION}' || t
+                                  ELSE t END AS t
+      FROM (SELECT 'page' AS src, page_id AS id, html AS t FROM pages
+            UNION ALL SELECT 'document', doc_id, text FROM documents))""")
 def prolog_repair(spark, sf):
-    """S6 over page HTML and document text."""
+    """S6 over page HTML and document text, a third each with a declaration,
+    with junk before it, and without one."""
     from docmap.sources.bronze import repair_prolog
     pages = read_table(spark, sf, "pages").select(F.lit("page").alias("src"), F.col("page_id").alias("id"),
-                                                 F.col("html").alias("raw_xml"))
+                                                 F.col("html").alias("t"))
     docs = read_table(spark, sf, "documents").select(F.lit("document").alias("src"), F.col("doc_id").alias("id"),
-                                                    F.col("text").alias("raw_xml"))
-    r = repair_prolog(pages.unionByName(docs))
+                                                    F.col("text").alias("t"))
+    raw = (F.when(F.col("id") % 3 == 0, F.concat(F.lit(_DECLARATION), "t"))
+           .when(F.col("id") % 3 == 1, F.concat(F.lit("mail header\n" + _DECLARATION), "t")).otherwise(F.col("t")))
+    r = repair_prolog(pages.unionByName(docs).select("src", "id", raw.alias("raw_xml")))
     return r.select("src", "id", "repair_status", F.length("raw_xml").alias("repaired_length"))
 
 
@@ -306,17 +315,88 @@ def predict_mappings(spark, sf):
     return predict(paths, hist)
 
 
-@query("predict_mappings_similarity")
+def _name_similarity_sql() -> str:
+    """Tier (c) over the testbed's fixed paths and columns, by the plain rules."""
+    rows = []
+    for path in sorted({p for p, *_ in Q.NODE_SPEC}):
+        section = next((x for x in path.split("/") if any(k in x.lower() for k in SECTION_KEYWORDS)), "General").lower()
+        table = next((t for k, t in ROUTING if k in section and t in SILVER), list(SILVER)[0])
+        step = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", path.rsplit("/", 1)[1])).lower()
+        rows += [f"('{path}', '{table}', '{c}', {0.5 + 0.4 * SequenceMatcher(None, step, c.lower()).ratio()!r})"
+                 for c, _ in SILVER[table]]
+    return f"sim AS (SELECT * FROM (VALUES {', '.join(rows)}) v(xpath, target_table, target_column, conf))"
+
+
+@query("predict_mappings_similarity", Q.with_ctes(Q.DOCS_CTE, Q.nodes_cte(), Q.LEDGER_CTE, _HIST_SQL, _name_similarity_sql()) + """,
+paths AS (SELECT DISTINCT node_path AS xpath FROM nodes),
+u AS (SELECT p.xpath, h.target_table, h.target_column, 0.95::DOUBLE AS conf, 'history: same path' AS reasoning
+      FROM paths p JOIN h ON h.h_path = p.xpath
+      UNION ALL
+      SELECT p.xpath, hb.target_table, hb.target_column, 0.90::DOUBLE, 'history: same element name'
+      FROM paths p JOIN (SELECT DISTINCT split_part(h_path, '/', -1) AS step, target_table, target_column FROM h) hb
+        ON hb.step = split_part(p.xpath, '/', -1)
+      UNION ALL SELECT xpath, target_table, target_column, conf::DOUBLE, 'name similarity' FROM sim JOIN paths USING (xpath)),
+r AS (SELECT *, row_number() OVER (PARTITION BY xpath ORDER BY conf DESC, target_table, target_column, reasoning) AS rn FROM u)
+SELECT xpath AS source_node, target_table, target_column, CAST(NULL AS VARCHAR) AS transformation_logic,
+       round(conf, 6) AS confidence_score, reasoning FROM r WHERE rn = 1""")
 def predict_mappings_similarity(spark, sf):
     """M8 tier (c): name similarity of each path's last step to the routed
     table's columns (Arrow UDF on distinct candidate pairs)."""
+    from docmap.operators.nodes import UNPARSED, path_summary
     from docmap.operators.predict import candidates
     from docmap.sources.catalog import catalog_from_schema
-    paths = (xml_nodes(_docs(spark, sf), DOC_KEYS).groupBy(F.col("node_path").alias("xpath"))
-             .agg(F.min("ordinal").alias("node_ord")))
+    paths = path_summary(_docs(spark, sf)).where(F.col("node_path") != UNPARSED).select(F.col("node_path").alias("xpath"))
     pairs = candidates(paths, catalog_from_schema(spark), list(SILVER))
     hist = mapping_ledger(spark, sf).where("approval_status = 'Approved' AND source_node IS NOT NULL")
-    return predict(paths.select("xpath"), hist, pairs=pairs)
+    return predict(paths, hist, pairs=pairs).withColumn("confidence_score", F.round("confidence_score", 6))
+
+
+@query("result_summary", Q.with_ctes(Q.LEDGER_CTE) + """
+SELECT target_table, count(*) AS total_mappings FROM ledger WHERE source_node IS NOT NULL GROUP BY 1""")
+def result_summary_q(spark, sf):
+    """M9: mappings per result set (an empty set has no row)."""
+    from docmap.operators.predict import result_summary
+    return result_summary(mapping_ledger(spark, sf).where("source_node IS NOT NULL"), ["target_table"])
+
+
+@query("mapping_contract", Q.with_ctes(Q.LEDGER_CTE) + """
+SELECT mapping_id, CASE WHEN line_no = 2 THEN 'missing: reasoning' WHEN line_no = 3 THEN 'extra: notes'
+                        WHEN source_node IS NULL THEN 'null field'
+                        WHEN line_no = 4 THEN 'confidence outside 0 to 1' END AS reason
+FROM ledger""")
+def mapping_contract_q(spark, sf):
+    """Mapping objects with missing fields, extra fields, nulls and wrong confidence."""
+    from docmap.operators.predict import contract_violation
+    c = F.when(F.col("line_no") == 4, F.lit(1.5)).otherwise(F.col("confidence_score").cast("double")).alias("confidence_score")
+    base = ["source_node", "target_table", "target_column", "transformation_logic"]
+    as_json = lambda *extra: F.to_json(F.struct(*base, c, *extra), {"ignoreNullFields": "false"})
+    text = (F.when(F.col("line_no") == 2, as_json()).when(F.col("line_no") == 3, as_json("reasoning", F.lit("x").alias("notes")))
+            .otherwise(as_json("reasoning")))
+    return mapping_ledger(spark, sf).select("mapping_id", contract_violation(text).alias("reason"))
+
+
+@query("generic_file_fallback", Q.with_ctes(_FILES_SQL) + f""",
+scored AS (SELECT * FROM ({_file_relevance_sql().split("SELECT * FROM (", 1)[1].rsplit(") WHERE", 1)[0]})
+           WHERE score >= 10 AND product_code <> 'CP001'),
+p AS (SELECT * FROM (VALUES {', '.join(f"('{p[0]}')" for p in D.PRODUCTS)}) v(product_code))
+SELECT file_name, product_code, score, false AS is_generic FROM scored
+UNION ALL SELECT 'old_mappings.csv', product_code, 0.0::DOUBLE, true FROM p
+WHERE product_code NOT IN (SELECT product_code FROM scored)""")
+def generic_file_fallback(spark, sf):
+    """Products without a relevant file get the generic one."""
+    s = R.file_relevance(_files(spark, sf), fuzzy=False).where("product_code <> 'CP001'")
+    return R.with_generic_file(s, [p[0] for p in D.PRODUCTS], "old_mappings.csv", threshold=10.0).select(
+        "file_name", "product_code", "score", "is_generic")
+
+
+@query("document_metadata", _NODES + f"""
+SELECT doc AS o_orderkey, part, count(*) AS node_count, count(DISTINCT node_path) AS distinct_paths,
+       {', '.join(f"count(*) FILTER (WHERE ty = '{t}') AS n_{t}" for t in ('integer', 'decimal', 'date', 'timestamp', 'boolean', 'string'))}
+FROM (SELECT *, {Q.infer_type_sql('text')} AS ty FROM nodes) GROUP BY doc, part""")
+def document_metadata_q(spark, sf):
+    """Nodes, distinct paths and nodes per type of every document."""
+    from docmap.operators.nodes import document_metadata
+    return document_metadata(node_profile(xml_nodes(_docs(spark, sf), DOC_KEYS)), DOC_KEYS)
 
 
 def _replies(spark, sf):
@@ -478,6 +558,19 @@ def reconcile(spark, sf):
     return QL.reconcile(li.select(k1, *rest, "q", "a", "d"), tgt, ["k1", *rest], ["q", "a", "d"])
 
 
+@query("dictionary_totals", _NODES + """
+SELECT count(DISTINCT CASE WHEN length(node_path) - length(replace(node_path, '/', '')) > 1
+                           THEN regexp_replace(node_path, '/[^/]*$', '') END) AS tables,
+       count(DISTINCT CASE WHEN length(node_path) - length(replace(node_path, '/', '')) > 1 THEN node_path END) AS columns
+FROM nodes""")
+def dictionary_totals(spark, sf):
+    """Q12: number of sections and of their fields in all."""
+    from docmap.operators.nodes import UNPARSED, parent_path, path_summary
+    paths = path_summary(_docs(spark, sf)).where(F.col("node_path") != UNPARSED)
+    cat = paths.select(parent_path("node_path").alias("parent_path"), F.lit("any").alias("data_type")).where("parent_path IS NOT NULL")
+    return QL.dictionary_totals(QL.dictionary_summary(cat, "parent_path", "data_type"))
+
+
 @query("rule_conformance", """
 SELECT 'total_premium_positive' AS rule, count(*) FILTER (WHERE NOT coalesce(o_totalprice > 0, false)) AS violations FROM orders
 UNION ALL SELECT 'order_date_present', count(*) FILTER (WHERE o_orderdate IS NULL) FROM orders

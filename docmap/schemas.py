@@ -57,6 +57,11 @@ RECONCILIATION = _st(("reconciliation_id", S), ("source_count", L), ("target_cou
                      ("match_count", L), ("mismatch_count", L), ("missing_in_target", L),
                      ("extra_in_target", L), ("status", S), ("details", S))
 
+CONTROL_TABLES = {
+    "bronze_documents": BRONZE, "file_registry": FILE_REGISTRY, "mapping_ledger": LEDGER, "view_definitions": VIEW_DEFINITION,
+    "execution_log": EXECUTION_LOG, "reconciliation_log": RECONCILIATION,
+}
+
 # Silver targets of the order documents: (column, declared SQL type).
 SILVER = {
     "POLICY": [

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmap.functions.types import format_type
-from docmap.schemas import SILVER
+from docmap.schemas import CONTROL_TABLES, SILVER
 
 _TYPE_RE = re.compile(r"^([A-Z_]+)(?:\((\d+)(?:,(\d+))?\))?$")
 
@@ -62,7 +62,11 @@ def table_list(catalog: DataFrame) -> DataFrame:
 
 
 def create_tables(spark: SparkSession, location: str, tables: dict[str, list[tuple[str, str]]] | None = None) -> None:
-    """Silver tables as Parquet tables if missing."""
+    """Silver and control tables (Bronze, registry, stage, ledger, logs,
+    view definitions) as Parquet tables if missing."""
+    for name, schema in CONTROL_TABLES.items():
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({ddl}) USING parquet LOCATION '{location}/{name}'")
     for t, cols in (tables or SILVER).items():
         ddl = ", ".join(f"`{c}` {ty}" for c, ty in cols)
         spark.sql(f"CREATE TABLE IF NOT EXISTS silver_{t.lower()} ({ddl}) USING parquet "
