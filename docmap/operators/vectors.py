@@ -5,7 +5,8 @@ into blocks; every (source block, target block) cell is one cogroup whose
 task multiplies the two small matrices with numpy and emits only the k best
 targets per source.  A final ``row_number() <= k`` per source merges the
 per-cell lists (at most ``k x target blocks`` rows per source).
-Replication is bounded by the block counts, never by the data.
+Every row is copied once per block of the other side, so the shuffle grows
+with n_sources * n_targets / block_rows: exact top-k is for moderate sides.
 """
 
 from __future__ import annotations
