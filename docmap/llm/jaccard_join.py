@@ -14,8 +14,8 @@ Jaccard similarity reaches the threshold share a shingle among their first
   a list has a ``cap`` for the other set's size, and an entry whose cap is
   below the smallest size of the list is dropped;
 * in each list a few pivots are paired with the other classes of the list;
-  pairs that the sizes and the caps rule out go, and every pair left is
-  verified on whole sets;
+  pairs that the sizes, the caps or too few shared prefix shingles rule out
+  go, and every pair left is verified on whole sets;
 * after a round, lists whose classes are all connected are done; pivots, which
   have met every other class, leave their list.  In the others the next round takes more pivots (eight times as many each round), but pairs only
   classes that are not connected yet.
@@ -212,6 +212,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def alike_prefixes(pairs: DataFrame, keyed: DataFrame, percent: int, broadcast_rows: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough: the set whose prefix
+    ends first shares nothing of it but what is in the other prefix, so both
+    share at most that and the longer of the two rests."""
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "pair-ends")
+    if ends.count() <= broadcast_rows:
+        ends = F.broadcast(ends)
+    prefixes = stored(keyed.join(ends, "cls", "left_semi").select("cls", "n", "prefix").dropDuplicates(["cls"]), "pair-prefixes")
+    a, b = (prefixes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"p_{x}")) for x in "ab")
+    shared = F.size(F.array_intersect("p_a", "p_b")) + F.greatest(F.col("n_a") - F.size("p_a"), F.col("n_b") - F.size("p_b"))
+    return (pairs.join(a, "a").join(b, "b").filter(shared * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
+            .select("a", "b"))
+
+
 def cap_of(n: Column, place: Column, percent: int) -> Column:
     """Largest size of a set that may be linked with one of ``n`` shingles if
     the first shared one stands at ``place`` (from 0) of its prefix."""
@@ -265,10 +279,12 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = stored(rows.join(open_lists, "token"), "open-lists")
         if rows.isEmpty():
             break
-        # pivots: the first class outside it of each of k hash slots of a list
+        # pivots: of each of k hash slots of a list, the class outside it with
+        # the largest cap for its size (the one with least of its own)
         slot = F.pmod(F.xxhash64("cls", F.lit(k_pivots)), F.lit(k_pivots)).alias("slot")
         pivots = stored(rows.filter("comp != main").groupBy("token", slot)
-                        .agg(F.min(F.struct("cls", "n", "cap", "comp")).alias("p")).select("token", "p.*"), "pivots")
+                        .agg(F.min(F.struct((-F.col("cap") / F.col("n")).alias("order"), "cls", "n", "cap", "comp")).alias("p"))
+                        .select("token", "p.*"), "pivots")
         p = pivots.select("token", F.col("cls").alias("p"), F.col("n").alias("pn"), F.col("cap").alias("p_cap"), F.col("comp").alias("pc"))
         pairs = (rows.join(p, "token").filter(
             (F.col("comp") != F.col("pc")) & (F.col("n") <= F.col("p_cap")) & (F.col("pn") <= F.col("cap"))
@@ -278,6 +294,7 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             pairs = pairs.join(met, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         met = pairs if met is None else stored(met.unionByName(pairs), "met")
+        pairs = stored(alike_prefixes(pairs, keyed, percent, broadcast_rows), "close-pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         if sets is not None:
             ends = ends.join(sets.select("cls"), "cls", "left_anti")
