@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -52,12 +53,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         _FOLDERS[base] = spark
         atexit.register(release, spark)
     df.write.parquet(path)
-    # shuffle files of finished stages go when the driver collects its garbage,
-    # which it would not do for a long time
-    spark.sparkContext._jvm.System.gc()
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of plans that nothing refers to any
+    more: that happens when the driver collects its garbage, which it would
+    not do for a long time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Remove every table that ``stored`` wrote in this process."""
     for base, owner in list(_FOLDERS.items()):

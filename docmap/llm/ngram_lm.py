@@ -16,7 +16,6 @@ only those; the counts that matter stay exact.
 
 from __future__ import annotations
 
-import gc
 from itertools import chain
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmap.llm.common import stored
+from docmap.llm.common import free_shuffles, stored
 from docmap.llm.jaccard_join import MIX, STEP, WordHashes
 from docmap.session import plan_size_bytes
 
@@ -194,7 +193,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     answers = None
     for orders in [list(range(1, min(order, 2) + 1)), *[[n] for n in range(3, order + 1)]]:
         answers = _count_orders(rows, answers, orders, ranges, least)
-        gc.collect()
+        free_shuffles(spark)  # of the lists, before the texts are shuffled again
     total = answers.filter("n = 1").agg(F.sum("words").alias("words")).first()["words"] or 0
     kind = rows.schema["_id"].dataType.simpleString()
 
