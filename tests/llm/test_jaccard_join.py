@@ -65,7 +65,7 @@ def test_equals_brute_force_on_clouds_of_near_copies(spark):
     rows += ["same words here now"] * 5 + ["a b c", "A b c", "a b", "one"] + [" ".join(words(7, 300, 5)) for _ in range(3)]
     rng.shuffle(rows)
     rows = list(enumerate(rows, 10))
-    for k, percent in ((4, 85), (5, 80), (1, 60)):
+    for k, percent in ((4, 85), (5, 80)):
         assert got(similarity_components(frame(spark, rows), k=k, percent=percent)) == brute(rows, k, percent)
 
 
@@ -74,9 +74,8 @@ def test_subset_whose_prefix_ends_later(spark):
     by one text alone, and still they are linked."""
     w = words(31, 400, 10 ** 6)
     rows = [(i, " ".join(w[:n])) for i, n in enumerate((100, 85, 300, 255, 260, 120, 103))]
-    for k in (1, 4):
-        assert got(similarity_components(frame(spark, rows), k=k)) == brute(rows, k)
-    for seed in range(4):
+    assert got(similarity_components(frame(spark, rows), k=1)) == brute(rows, 1)
+    for seed in range(2):
         rng = random.Random(seed)
         tokens = [f"t{i}" for i in range(60)]
         rows = [(i, " ".join(rng.sample(tokens, rng.choice([1, 3, 8, 20, 35, 50])))) for i in range(150)]
