@@ -12,6 +12,7 @@ shorter sequences, whose lengths are powers of two (which need no padding).
 
 from __future__ import annotations
 
+import gc
 import heapq
 import os
 import re
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmap.llm.bpe import SPLIT
+from docmap.llm.bpe import SPLIT, byte_symbols
 from docmap.llm.common import slices
 
 Piece = tuple[int, int, int]  # document's place in the block, first token, tokens
@@ -120,6 +121,7 @@ def packed(rows: DataFrame, id_col: str, load: Callable[[], Callable[[list], lis
     names = ["_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the many small lists and strings here hold no cycles
         to_ids = load()
         packer = Packer(capacity, block_tokens, linear, quadratic)
         base = TaskContext.get().partitionId() << 33
@@ -172,22 +174,19 @@ class LibraryWords:
     """White-space token or word -> ids (uint32 bytes) by the tokenizers library.
 
     In Latin text, tokens not seen lately are split into words, and words
-    not seen lately go through the library's model, many at once (they are
-    normalised and split already); any other text goes through the library
-    whole.  ``limit`` bounds what is remembered.
+    not seen lately go through the library's model (they are normalised and
+    split already); any other text goes through the library whole.  ``limit`` bounds what is remembered.
     """
 
     def __init__(self, path: str, end: bytes, limit: int = 2_000_000):
         self.ids: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-        self.tokenizer, self.model = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for t in (self.tokenizer, self.model):
-            t.no_truncation()
-            t.no_padding()
-        self.model.normalizer = normalizers.Sequence([])
-        self.model.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        from tokenizers import Tokenizer
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.symbols = {b: ord(c) for b, c in byte_symbols().items()}
         self.words = regex.compile(SPLIT).findall
         self.other = re.compile(r"[^\x00-ɏ]").search
         self.end, self.limit = end, limit
@@ -205,12 +204,11 @@ class LibraryWords:
         return True
 
     def learn_words(self, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            some = words[at:at + 20_000]
-            got = self.model.encode(" ".join(some), add_special_tokens=False)
-            data = np.array(got.ids, dtype="<u4").tobytes()
-            cuts = (4 * np.flatnonzero(np.diff(np.array(got.word_ids), prepend=-1, append=len(some)))).tolist()
-            self.ids.update(zip(some, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        model, ids, symbols = self.model.tokenize, self.ids, self.symbols
+        for w in words:
+            # the model reads bytes as the characters that stand for them
+            spelled = w if w.isascii() else w.encode().decode("latin-1").translate(symbols)
+            ids[w] = array("I", [t.id for t in model(spelled)]).tobytes()
 
     def learn(self, tokens: set[str]) -> None:
         if len(self.ids) + 2 * len(tokens) > self.limit:
