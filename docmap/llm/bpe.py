@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmap.llm.common import slices
+from docmap.llm.common import slices, worker_state
 
 # Fixed values of the tokenizer file's format: the split pattern and the
 # printable stand-ins for bytes that are not printable.
@@ -134,14 +134,9 @@ class WordBpe(dict):
         return b" ".join(map(self.strings.__getitem__, found))
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
 def loaded(path: str) -> WordBpe:
-    """The tokenizer of a file, read once in each Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
-    return _LOADED[path]
+    """The tokenizer of a file, kept by the Python worker."""
+    return worker_state(("bpe", path), lambda: WordBpe(path))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

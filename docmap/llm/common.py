@@ -6,7 +6,7 @@ import atexit
 import gc
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,3 +105,16 @@ def gram_buckets(words: list[str], buckets: int, sizes: tuple[int, ...] = (2, 3,
         found.append((mixed >> np.uint64(32)) % np.uint64(buckets))
         of.append(word[:len(h)][inside])
     return np.concatenate(found).astype(np.int64), np.concatenate(of)
+
+
+_STATE: dict[tuple, object] = {}
+
+
+def worker_state(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task (word caches), made once
+    for each key.  Only the last key is kept: the next operator that runs in
+    the worker frees the memory of the one before."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]

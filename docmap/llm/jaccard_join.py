@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmap.llm.common import slices, stored
+from docmap.llm.common import slices, stored, worker_state
 from docmap.llm.components import components
 
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # fixed values of a public 64-bit finaliser
@@ -112,7 +112,7 @@ def frequent_shingles(texts: DataFrame, k: int, at_least: int = 8, at_most: int
     divided by ``at_most``: so the list never has more than ``at_most``.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
+        hashes, held, size = worker_state(("shingles",), WordHashes), [], 0
 
         def flush() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(held), return_counts=True)
@@ -149,7 +149,7 @@ def keyed_documents(texts: DataFrame, k: int, percent: int, frequent: np.ndarray
     sent = texts.sparkSession.sparkContext.broadcast(frequent)  # at most a million hashes, see there
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = worker_state(("shingles",), WordHashes)
         for part in slices(batches):
             n, cls, grp, prefixes = [], [], [], []
             for text in part["_text"].to_pylist():
@@ -171,7 +171,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     rows = texts.join(wanted.withColumnRenamed("_id", "_want"), texts["_id"].eqNullSafe(F.col("_want"))).select("cls", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = worker_state(("shingles",), WordHashes)
         for part in slices(batches):
             keep, sets = [], []
             for cls, text in zip(part["cls"].to_pylist(), part["_text"].to_pylist(), strict=True):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docmap.llm.common import gram_buckets, slices
+from docmap.llm.common import gram_buckets, slices, worker_state
 
 # Unicode ranges of scripts (first letter of a word decides).
 SCRIPTS = (
@@ -124,7 +124,7 @@ class WordScores:
     """Scores of words for every language, kept for the words seen lately
     (at most ``limit``); ``table`` holds one row for each of them."""
 
-    def __init__(self, model: Model, limit: int = 800_000):
+    def __init__(self, model: Model, limit: int = 500_000):
         self.model, self.limit = model, limit
         self.rows: dict[str, int] = {}
         self.table = np.zeros((limit, len(model.langs)), dtype=np.float32)
@@ -222,9 +222,6 @@ def label_text(text: str, words_of: WordScores, words: list[str] | None = None)
     return model.langs[best], float(letters[best] / letters.sum()), spans
 
 
-_SCORES: dict[str, WordScores] = {}
-
-
 def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``lang_pred``, ``score`` (0 to 1), ``spans`` (array of
     start, end, lang) of every whole text.
@@ -240,10 +237,7 @@ def label_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _SCORES:  # one model a worker process, kept from task to task
-            _SCORES.clear()
-            _SCORES[name] = WordScores(sent.value)
-        words_of = _SCORES[name]
+        words_of = worker_state(("languages", name), lambda: WordScores(sent.value))
         for part in slices(batches):
             texts = part["_text"].to_pylist()
             split = [WORDS.findall(t.lower()) for t in texts]

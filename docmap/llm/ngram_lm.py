@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmap.llm.common import free_shuffles, stored
+from docmap.llm.common import free_shuffles, stored, worker_state
 from docmap.llm.jaccard_join import MIX, STEP, WordHashes
 from docmap.session import plan_size_bytes
 
@@ -141,11 +141,11 @@ def _count_orders(rows: DataFrame, answers: DataFrame | None, orders: list[int],
                          pa.array(out["hashes"], pa.binary()), pa.array(out["counts"], pa.binary())], names=list(out))
 
     def first(group: pa.Table) -> pa.Table:
-        doc, grams = block_grams(group["_text"].to_pylist(), orders[-1], WordHashes())
+        doc, grams = block_grams(group["_text"].to_pylist(), orders[-1], worker_state(("shingles",), WordHashes))
         return listed(group["block"][0].as_py(), grams, [], position_in_document(doc))
 
     def further(group: pa.Table, counted: pa.Table) -> pa.Table:
-        doc, grams = block_grams(group["_text"].to_pylist(), orders[-1], WordHashes())
+        doc, grams = block_grams(group["_text"].to_pylist(), orders[-1], worker_state(("shingles",), WordHashes))
         place = position_in_document(doc)
         counts = known_counts(grams[:orders[0] - 1], place, counted, least)
         return listed(group["block"][0].as_py(), grams, counts, place)
@@ -199,7 +199,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def score(group: pa.Table, counted: pa.Table) -> pa.Table:
         texts = group["_text"].to_pylist()
-        doc, grams = block_grams(texts, order, WordHashes())
+        doc, grams = block_grams(texts, order, worker_state(("shingles",), WordHashes))
         place = position_in_document(doc)
         counts = known_counts(grams, place, counted, least)
         words = np.bincount(doc, minlength=len(texts))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmap.llm.bpe import SPLIT, byte_symbols
-from docmap.llm.common import slices
+from docmap.llm.common import slices, worker_state
 
 Piece = tuple[int, int, int]  # document's place in the block, first token, tokens
 
@@ -178,7 +178,7 @@ class LibraryWords:
     split already); any other text goes through the library whole.  ``limit`` bounds what is remembered.
     """
 
-    def __init__(self, path: str, end: bytes, limit: int = 2_000_000):
+    def __init__(self, path: str, end: bytes, limit: int = 1_200_000):
         self.ids: dict[str, bytes] = {}
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -207,7 +207,7 @@ class LibraryWords:
         model, ids, symbols = self.model.tokenize, self.ids, self.symbols
         for w in words:
             # the model reads bytes as the characters that stand for them
-            spelled = w if w.isascii() else w.encode().decode("latin-1").translate(symbols)
+            spelled = w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(symbols)
             ids[w] = array("I", [t.id for t in model(spelled)]).tobytes()
 
     def learn(self, tokens: set[str]) -> None:
@@ -241,9 +241,6 @@ class LibraryWords:
         return out
 
 
-_LIBRARY: dict[tuple, LibraryWords] = {}
-
-
 def pack_texts(docs: DataFrame, path: str, end_id: int | None = 1, capacity: int = 2048, id_col: str = "doc_id",
                text_col: str = "text", block_tokens: int = 1 << 18, linear: float = 1.0,
                quadratic: float = 1 / 1024) -> DataFrame:
@@ -262,8 +259,6 @@ def pack_texts(docs: DataFrame, path: str, end_id: int | None = 1, capacity: int
     end = b"" if end_id is None else array("I", [end_id]).tobytes()
 
     def load() -> Callable[[list], list[bytes]]:
-        if (path, end) not in _LIBRARY:
-            _LIBRARY[path, end] = LibraryWords(path, end)
-        return _LIBRARY[path, end].encode_all
+        return worker_state(("words", path, end), lambda: LibraryWords(path, end)).encode_all
 
     return packed(rows, id_col, load, capacity, block_tokens, linear, quadratic)

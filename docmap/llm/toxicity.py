@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docmap.llm.common import gram_buckets, slices, stored
+from docmap.llm.common import gram_buckets, slices, stored, worker_state
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -181,7 +181,7 @@ class WordHits:
     """Word -> those of its features that have a weight, for the words seen
     lately (at most ``limit``)."""
 
-    def __init__(self, model: Model, limit: int = 800_000):
+    def __init__(self, model: Model, limit: int = 500_000):
         self.model, self.limit = model, limit
         self.hits: dict[str, tuple[int, ...]] = {}
         self.chosen = np.zeros(model.buckets, bool)
@@ -213,15 +213,9 @@ class WordHits:
         return out
 
 
-_HITS: dict[str, WordHits] = {}
-
-
 def _scorer(name: str, model: Model) -> WordHits:
-    """The scorer of a model in this worker, kept from task to task."""
-    if name not in _HITS:
-        _HITS.clear()
-        _HITS[name] = WordHits(model)
-    return _HITS[name]
+    """The scorer of a model, kept by the Python worker."""
+    return worker_state(("toxicity", name), lambda: WordHits(model))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
