@@ -66,7 +66,7 @@ def sample_labels(labels: DataFrame, id_col: str, label_col: str, per_class: int
     class, those with the least hashes; the weights restore the shares of
     the classes.  An id with several labels counts with the largest."""
     one = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-           .groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label")))
+           .groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_label")))
     sizes = one.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
     order = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
     chosen = one.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_class)
