@@ -81,7 +81,9 @@ def release(spark: SparkSession) -> None:
 
 def slices(batches: Iterator, rows: int = 256) -> Iterator:
     """Arrow batches in pieces of at most ``rows`` rows, so that the Python
-    copies of long texts stay few at a time."""
+    copies of long texts stay few at a time.  The many small lists and strings
+    made from them hold no cycles, so cyclic garbage collection is off."""
+    gc.disable()
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)

@@ -12,7 +12,6 @@ shorter sequences, whose lengths are powers of two (which need no padding).
 
 from __future__ import annotations
 
-import gc
 import heapq
 import os
 import re
@@ -121,7 +120,6 @@ def packed(rows: DataFrame, id_col: str, load: Callable[[], Callable[[list], lis
     names = ["_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the many small lists and strings here hold no cycles
         to_ids = load()
         packer = Packer(capacity, block_tokens, linear, quadratic)
         base = TaskContext.get().partitionId() << 33
