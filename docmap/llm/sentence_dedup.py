@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -22,18 +23,51 @@ from pyspark.sql import functions as F
 from docmap.llm.common import slices, stored
 
 # A sentence ends after . ! ? (and closing quotes or brackets) before white
-# space, or at a line break; the white space belongs to the sentence before.
-END = re.compile(r"[.!?…。]+[\"')\]”’]*\s+|\s*\n\s*")
-WORD = re.compile(r"\S+\s*")
+# space, after an ideographic full stop, or at a line break; the white space
+# belongs to the sentence before.
+END = re.compile(r"[.!?…]+[\"')\]”’]*\s+|[。｡！？]+[\"')\]”’」』）】》〉]*\s*|\s*\n\s*")
+# Scripts written without spaces (Thai, Lao, Burmese, Khmer, kana, Han): every
+# character counts as a word.
+BARE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+UNSPACED = re.compile(f"[{BARE}]")
+WORD = re.compile(rf"[{BARE}]\s*|[^\s{BARE}]+\s*")
+SPACED_WORD = re.compile(r"\S+\s*")
 MASK = (1 << 64) - 1
 
 
+def is_spaced(text: str) -> bool:
+    return text.isascii() or not UNSPACED.search(text)
+
+
+def anchors(hashes: list[int], cut: int) -> list[int]:
+    """Places of the hashes divisible by ``cut``, and where ``cut``
+    consecutive hashes have none, of the least of them (the last of equal
+    ones): every such stretch has a place, and whether a place is one depends
+    on the ``cut - 1`` hashes before and after it at most."""
+    out, best, last = [], -1, -1
+    for end, h in enumerate(hashes, 1):
+        if h % cut == 0:
+            out.append(end - 1)
+            last = end - 1
+        elif end - last > cut:
+            if best < end - cut:
+                part = hashes[end - cut:end]
+                best = end - 1 - part[::-1].index(min(part))
+                out.append(best)
+            elif h <= hashes[best]:
+                best = end - 1
+                out.append(best)
+    return sorted(out)
+
+
 def sentences_of(text: str, long_words: int = 20, cut: int = 8) -> list[str]:
     """Consecutive pieces of the text, which they make up whole.
 
     A sentence of more than ``long_words`` words is cut after every word
-    whose hash is divisible by ``cut``: where it is cut depends on the words
-    themselves, so a shared passage is cut alike in every text.
+    whose hash is divisible by ``cut`` and in every ``cut`` consecutive words
+    without one after the word with the least hash: no piece of it has more
+    than ``cut`` words, and a shared passage is cut alike in every text but
+    for its first and last ``cut - 1`` words.
     """
     out, at = [], 0
     for m in END.finditer(text):
@@ -41,19 +75,20 @@ def sentences_of(text: str, long_words: int = 20, cut: int = 8) -> list[str]:
         at = m.end()
     if at < len(text):
         out.append(text[at:])
-    if not any(len(s) > 2 * long_words for s in out):
+    spaced = is_spaced(text)
+    least, word = (2 * long_words, SPACED_WORD) if spaced else (long_words, WORD)
+    if not any(len(s) > least for s in out):
         return out
     pieces: list[str] = []
     for s in out:
-        if len(s) <= 2 * long_words or len(words := WORD.findall(s)) <= long_words:
+        if len(s) <= least or len(words := word.findall(s)) <= long_words:
             pieces.append(s)
             continue
-        start, at = 0, len(s) - sum(map(len, words))  # leading white space goes with the first piece
-        for w in words:
-            at += len(w)
-            if xxhash.xxh64_intdigest(w.strip().lower()) % cut == 0:
-                pieces.append(s[start:at])
-                start = at
+        ends = list(accumulate(map(len, words), initial=len(s) - sum(map(len, words))))  # leading white space goes with the first piece
+        start = 0
+        for k in anchors([xxhash.xxh64_intdigest(w.strip().lower()) for w in words], cut):
+            pieces.append(s[start:ends[k + 1]])
+            start = ends[k + 1]
         if start < len(s):
             pieces.append(s[start:])
     return pieces
@@ -61,7 +96,7 @@ def sentences_of(text: str, long_words: int = 20, cut: int = 8) -> list[str]:
 
 def runs_of(pieces: list[str], min_sentences: int, min_words: int) -> Iterator[tuple[int, int, int]]:
     """(signed hash, first sentence, number of sentences) of every run."""
-    split = [p.lower().split() for p in pieces]
+    split = [p.lower().split() if is_spaced(p) else [w.strip() for w in WORD.findall(p.lower())] for p in pieces]
     hashes = [xxhash.xxh3_64_intdigest(" ".join(w)) for w in split]
     counts = [len(w) for w in split]
     n, j, words = len(pieces), 0, 0

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from docmap.llm.sentence_dedup import drop_repeated_sentences, sentences_of
@@ -59,3 +60,35 @@ def test_long_sentences_are_cut_alike_everywhere():
     passage = " ".join(words(3, 120))
     a, b = sentences_of("one two " + passage), sentences_of("three four five " + passage)
     assert a[2:] == b[2:] and len(a) > 5
+
+
+def test_no_passage_of_60_words_without_sentence_marks_stays(spark):
+    rows = []
+    for k in range(60):
+        shared = " ".join(words(5000 + k, 60, 4000))
+        rows += [(2 * k + n, f"{' '.join(words(9000 + 2 * k + n, 30, 4000))} {shared} {' '.join(words(12_000 + 2 * k + n, 30, 4000))}")
+                 for n in (0, 1)]
+    out = {r.doc_id: r.text.split() for r in drop_repeated_sentences(frame(spark, rows)).collect()}
+    assert all(len(out[2 * k]) == 120 and len(out[2 * k + 1]) <= 60 + 29 for k in range(60))
+
+
+def test_stretches_of_long_sentences_have_cuts():
+    for seed in range(20):
+        pieces = sentences_of(" ".join(words(seed, 300, 4000)))
+        assert max(len(p.split()) for p in pieces) <= 8
+
+
+def test_scripts_without_spaces(spark):
+    def han(seed, n):
+        rng = random.Random(seed)
+        return "".join(chr(rng.randint(0x4e00, 0x9000)) for _ in range(n))
+
+    marked = "。".join(han(10 + i, 12) for i in range(6)) + "。"
+    bare = han(40, 80)
+    thai = "".join(chr(0xe01 + random.Random(i).randint(0, 45)) for i in range(80))
+    shared = [marked, bare, thai]
+    rows = [(3 * n + i, han(100 + 3 * n + i, 30) + t + han(200 + 3 * n + i, 30)) for n in (0, 1) for i, t in enumerate(shared)]
+    out = {r.doc_id: r.text for r in drop_repeated_sentences(frame(spark, rows)).collect()}
+    for i, t in rows:
+        assert "".join(sentences_of(t)) == t
+        assert out[i] == t if i < 3 else len(out[i]) <= 60 + 36
