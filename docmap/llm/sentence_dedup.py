@@ -1,7 +1,8 @@
 """Substring deduplication over sliding runs of sentences.
 
-Every run of consecutive sentences (at least ``min_sentences`` of them and
-``min_words`` words, as short as that allows) is hashed.  Runs are joined
+From every sentence on and up to every sentence, the shortest run of
+consecutive sentences (at least ``min_sentences`` of them and ``min_words``
+words) is hashed; these cover every longer run whole.  Runs are joined
 globally on the hash; of a run that occurs more than once, all occurrences
 but the first (least id, then place) are repeats, and every sentence that a
 repeat covers is removed.  Only hashes and places are shuffled, and counts
@@ -15,6 +16,7 @@ import re
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,7 +34,7 @@ BARE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-
 UNSPACED = re.compile(f"[{BARE}]")
 WORD = re.compile(rf"[{BARE}]\s*|[^\s{BARE}]+\s*")
 SPACED_WORD = re.compile(r"\S+\s*")
-MASK = (1 << 64) - 1
+FACTOR = 0x9E3779B97F4A7C15
 
 
 def is_spaced(text: str) -> bool:
@@ -94,24 +96,39 @@ def sentences_of(text: str, long_words: int = 20, cut: int = 8) -> list[str]:
     return pieces
 
 
-def runs_of(pieces: list[str], min_sentences: int, min_words: int) -> Iterator[tuple[int, int, int]]:
-    """(signed hash, first sentence, number of sentences) of every run."""
-    split = [p.lower().split() if is_spaced(p) else [w.strip() for w in WORD.findall(p.lower())] for p in pieces]
-    hashes = [xxhash.xxh3_64_intdigest(" ".join(w)) for w in split]
-    counts = [len(w) for w in split]
-    n, j, words = len(pieces), 0, 0
-    for i in range(n):
-        while j < n and (j - i < min_sentences or words < min_words):
-            words += counts[j]
-            j += 1
-        if words < min_words or j - i < min_sentences:
-            return
-        if counts[i]:  # a run starts with a word
-            h = 0
-            for x in hashes[i:j]:
-                h = (h * 0x9E3779B97F4A7C15 + x) & MASK
-            yield h - (1 << 64) if h >> 63 else h, i, j - i
-        words -= counts[i]
+def runs_of(texts: list[list[str]], min_sentences: int, min_words: int) -> tuple[np.ndarray, ...]:
+    """(signed hash, text, first sentence, number of sentences) of the runs of
+    some texts, each given as its pieces: for every sentence the shortest run
+    that starts there and the shortest that ends there.
+
+    Every run that is long enough is made up of such runs: the one from its
+    first sentence, the one to its last, and for a sentence between them that
+    neither covers, the ones that start or end there.
+    """
+    split = [[p.lower().split() if is_spaced(p) else [w.strip() for w in WORD.findall(p.lower())] for p in pieces]
+             for pieces in texts]
+    size = np.fromiter(map(len, split), np.int64, len(split))
+    n = int(size.sum())
+    x = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(w)) for s in split for w in s), np.uint64, n)
+    count = np.fromiter((len(w) for s in split for w in s), np.int64, n)
+    of = np.repeat(np.arange(len(split)), size)
+    stop = np.cumsum(size)
+    start = stop - size
+    words = np.concatenate([np.zeros(1, np.int64), np.cumsum(count)])  # before each sentence
+    here = np.arange(n)
+    j = np.maximum(np.searchsorted(words, words[:-1] + min_words), here + min_sentences)
+    i = np.minimum(np.searchsorted(words, words[1:] - min_words, "right") - 1, here + 1 - min_sentences)
+    from_here = (count > 0) & (j <= stop[of])  # a run starts with a word
+    to_here = (count > 0) & (i >= start[of])
+    to_here[to_here] &= (count[i[to_here]] > 0) & (j[i[to_here]] != here[to_here] + 1)  # and is listed once
+    first = np.concatenate([here[from_here], i[to_here]])
+    last = np.concatenate([j[from_here], here[to_here] + 1])
+    # sum of x[k] * FACTOR ** (last - 1 - k), from sums over all sentences
+    power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, FACTOR, np.uint64)]))
+    inverse = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(FACTOR, -1, 1 << 64), np.uint64)]))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * inverse[:n])])
+    h = (sums[last] - sums[first]) * power[last - 1]
+    return h.view(np.int64), of[first], first - start[of[first]], last - first
 
 
 def text_mark(text: str) -> int:
@@ -126,18 +143,12 @@ def _runs(docs: DataFrame, id_col: str, text_col: str, min_sentences: int, min_w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            h, of, x, first, size = [], [], [], [], []
-            for k, text in enumerate(part["_text"].to_pylist()):
-                mark = text_mark(text)
-                for a, b, c in runs_of(sentences_of(text), min_sentences, min_words):
-                    h.append(a)
-                    of.append(k)
-                    x.append(mark)
-                    first.append(b)
-                    size.append(c)
+            texts = part["_text"].to_pylist()
+            marks = np.fromiter(map(text_mark, texts), np.int32, len(texts))
+            h, of, first, size = runs_of(list(map(sentences_of, texts)), min_sentences, min_words)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), part["_id"].take(pa.array(of, pa.int64())), pa.array(x, pa.int32()),
-                 pa.array(first, pa.int32()), pa.array(size, pa.int32())], names=["_h", "_id", "_x", "_i", "_n"])
+                [pa.array(h), part["_id"].take(pa.array(of)), pa.array(marks[of]),
+                 pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))], names=["_h", "_id", "_x", "_i", "_n"])
 
     return rows.mapInArrow(run, f"_h long, _id {kind}, _x int, _i int, _n int")
 

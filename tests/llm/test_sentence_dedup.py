@@ -92,3 +92,41 @@ def test_scripts_without_spaces(spark):
     for i, t in rows:
         assert "".join(sentences_of(t)) == t
         assert out[i] == t if i < 3 else len(out[i]) <= 60 + 36
+
+
+def brute_all_runs(rows, min_sentences=2, min_words=16):
+    """Texts after removal, by all runs of any length."""
+    seen, pieces = defaultdict(list), {}
+    for i, t in sorted(rows):
+        pieces[i] = p = sentences_of(t)
+        split = [x.lower().split() for x in p]
+        for a in range(len(p)):
+            for b in range(a + min_sentences, len(p) + 1):
+                if split[a] and sum(map(len, split[a:b])) >= min_words:
+                    seen[tuple(map(tuple, split[a:b]))].append((i, a, b))
+    gone = defaultdict(set)
+    for found in seen.values():
+        for i, a, b in found[1:]:
+            gone[i].update(range(a, b))
+    return {i: "".join(x for n, x in enumerate(p) if n not in gone[i]) for i, p in pieces.items()}
+
+
+def test_equals_brute_force_over_all_runs(spark):
+    rng = random.Random(5)
+    pool = [" ".join(words(700 + k, rng.choice([1, 2, 3, 5, 9, 17, 20, 26]), 4000)) + "." for k in range(40)]
+    passages = [[rng.choice(pool) for _ in range(rng.randint(2, 7))] for _ in range(12)]
+    rows = []
+    for i in range(80):
+        text = [prose(3000 + i, 30), *rng.choice(passages), prose(4000 + i, 30), *rng.choice(passages), prose(5000 + i, 20)]
+        rows.append((i, ("\n " if i % 9 == 0 else "") + " ".join(text)))
+    out = {r.doc_id: r.text for r in drop_repeated_sentences(frame(spark, rows)).collect()}
+    assert out == brute_all_runs(rows)
+
+
+def test_short_sentences_that_close_a_passage_go(spark):
+    shared = f"{' '.join(words(1, 20))}. {' '.join(words(2, 5))}. {' '.join(words(3, 3))}. "
+    rows = [(i, f"{prose(60 + i, 40)} {shared}{prose(80 + i, 40)}") for i in range(3)]
+    out = {r.doc_id: r.text for r in drop_repeated_sentences(frame(spark, rows)).collect()}
+    assert out[0] == rows[0][1]
+    for i in (1, 2):
+        assert out[i] == rows[i][1].replace(shared, "")
