@@ -11,7 +11,7 @@ block; nothing is kept in one place for the whole corpus.
 
 Words and pairs are counted first.  A longer n-gram can only occur ``least``
 times if both n-grams of one word less in it do, so each further order lists
-only those; the counts that matter stay exact.
+only those (with ``least`` 1 all); the counts that matter stay exact.
 """
 
 from __future__ import annotations
@@ -176,14 +176,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``mean_log_score`` of every document under the model of all documents.
 
     Words are split at ASCII white space after lower-casing A-Z.  N-grams of
-    two or more words count as seen from ``least`` occurrences on (with one,
-    an n-gram would be seen because of the very text that is scored).
+    two or more words count as seen from ``least`` occurrences on: with 1
+    every count is used and every n-gram listed; with more, as the query's
+    SQL has it, n-grams are not seen just because of the text that is scored,
+    and longer ones need fewer lists.
     Defined results: a null or empty text has 0 words, log score 0 and a
     null mean; a null id is passed on; repeated rows are counted and scored
     each; an empty table gives an empty result; other columns are ignored.
     """
-    if least < 2 and order > 2:
-        raise ValueError("orders above 2 need least >= 2: longer n-grams are found through frequent shorter ones")
+    if least < 1:
+        raise ValueError("least must be 1 or more")
     spark = docs.sparkSession
     size = plan_size_bytes(docs)
     blocks = -(-size // block_bytes) if size < 1 << 62 else 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

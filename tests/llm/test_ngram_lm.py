@@ -49,3 +49,9 @@ def test_awkward_rows(spark):
     by = {r.doc_id: r for r in got.collect()}
     assert by[3].n_words == 0 and by[3].log_score == 0 and by[3].mean_log_score is None
     assert score_documents(frame(spark, [])).count() == 0
+
+
+def test_every_count_is_used_with_least_one(spark):
+    rows = [(i, " ".join(words(i % 25, 3 + i % 40, 60))) for i in range(60)]
+    for order in (3, 4):
+        same(score_documents(frame(spark, rows), order=order, least=1, block_bytes=2000), brute(rows, order, least=1))
