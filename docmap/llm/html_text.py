@@ -5,7 +5,8 @@ labels a block from its stop-word density, length and link density as good,
 bad, or (when short or in between) undecided.  In the second pass an
 undecided block takes the label of its nearest decided neighbours.  Text
 inside elements that never hold the article (navigation, footers, forms,
-adverts, comments, scripts, ...) is no block at all.
+scripts, ...) is no block at all.  Names of elements (adverts, comments, ...)
+and article tags are evidence only, which more good text overrules.
 """
 
 from __future__ import annotations
@@ -60,29 +61,42 @@ LETTERS = re.compile(r"[^\W\d_]+")
 GOOD, BAD, UNDECIDED = 1, 0, -1
 
 
-def is_beside(attributes: str) -> bool:
-    """Whether class, id or role (or being hidden) sets an element apart."""
+# How far a name speaks against an element: a part of it, its last part, or all of it is in BESIDE.
+PART, LAST, WHOLE = 0, 1, 2
+Names = frozenset[tuple[int, str]]
+
+
+def beside_names(attributes: str) -> tuple[bool, Names]:
+    """(whether an element is hidden, the names in its class, id or role that
+    speak against it)."""
+    names: set[tuple[int, str]] = set()
     if not attributes or attributes.isspace():
-        return False
+        return False, frozenset()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, frozenset()
         if name == "style":
             if "display:none" in value.replace(" ", ""):
-                return True
-        elif name != "aria-hidden" and not BESIDE.isdisjoint(NAME_PARTS.findall(value)):
-            return True
-    return False
+                return True, frozenset()
+        elif name != "aria-hidden":
+            for one in value.split():
+                parts = NAME_PARTS.findall(one)
+                if not BESIDE.isdisjoint(parts):
+                    names.add((PART if parts[-1] not in BESIDE else LAST if len(parts) > 1 else WHOLE, one))
+    return False, frozenset(names)
 
 
-def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters inside links, heading, inside <article> or <main>)
-    of every block with text, in page order."""
-    out: list[tuple[str, int, bool, bool]] = []
+def blocks_of(page: str) -> list[tuple[str, int, bool, bool, Names]]:
+    """(text, characters inside links, heading, inside <article> or <main>,
+    names of the elements around it that speak against it) of every block
+    with text, in page order."""
+    out: list[tuple[str, int, bool, bool, Names]] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool]] = []  # open elements that are hidden or count: (tag, hidden)
+    stack: list[tuple[str, bool, Names]] = []  # open elements that are hidden or count: (tag, hidden, names)
+    around: list[Names] = [frozenset()]  # names of all open elements, after each element that has some
+    outer: list[tuple[list[str], int] | None] = []  # for each of those, the unfinished block around it if inline
     hidden = links = article = 0
     heading = False
 
@@ -91,9 +105,16 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append((joined, linked, heading, article > 0))
+                out.append((joined, linked, heading, article > 0, around[-1]))
         text, linked = [], 0
 
+    def leave() -> None:
+        nonlocal linked, text
+        flush()
+        around.pop()
+        if (rest := outer.pop()) is not None:
+            text, linked = rest
+
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.match(page, at)
@@ -119,7 +140,9 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    for name, was_hidden in stack[i:]:
+                    for name, was_hidden, names in reversed(stack[i:]):
+                        if names:
+                            leave()
                         hidden -= was_hidden
                         links -= name == "a"
                         article -= name in ("article", "main")
@@ -132,30 +155,39 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
             continue
         if tag in VOID_TAGS:
             continue
-        beside = tag in HIDDEN_TAGS or (tag == "header" and not article) or (
-            tag not in ("html", "body", "article", "main") and is_beside(m[3]))
-        if beside or tag in ("a", "article", "main") or tag == "header":
-            stack.append((tag, beside))
-            hidden += beside
+        none, names = (False, frozenset()) if tag in ("html", "body", "article", "main") else beside_names(m[3])
+        none = none or tag in HIDDEN_TAGS or (tag == "header" and not article)
+        if none or hidden:
+            names = frozenset()
+        if names:
+            outer.append(None if tag in BLOCK_TAGS else (text, linked))
+            text, linked = [], 0
+            around.append(around[-1] | names)
+        if none or names or tag in ("a", "article", "main", "header"):
+            stack.append((tag, none, names))
+            hidden += none
             links += tag == "a"
             article += tag in ("article", "main")
-        elif hidden and tag not in ("p", "li", "tr", "td", "th", "dt", "dd"):
-            stack.append((tag, False))  # so that a closing tag inside does not end the hidden element
-        elif any(name == tag for name, _ in stack):
-            stack.append((tag, False))
+        elif (hidden or outer) and tag not in ("p", "li", "tr", "td", "th", "dt", "dd"):
+            stack.append((tag, False, names))  # so that a closing tag inside does not end the hidden element
+        elif any(name == tag for name, _, _ in stack):
+            stack.append((tag, False, names))
+    while outer:
+        leave()
     flush()
     return out
 
 
-def first_pass(text: str, linked: int, stop_words: frozenset[str], short: int = 70, long: int = 200,
-               low: float = 0.15, high: float = 0.25, max_links: float = 0.33) -> int:
-    """Label of a block by link density, length and stop-word density."""
+def first_pass(text: str, linked: int, stop_words: frozenset[str], clauses: bool = False, short: int = 70,
+               long: int = 200, low: float = 0.15, high: float = 0.25, max_links: float = 0.33) -> int:
+    """Label of a block by link density, length and stop-word density; a
+    short copyright line is bad, where (c) is none after a ``(b)``."""
     if linked > max_links * len(text):
         return BAD
-    if text[0] in "©" or text.startswith("(c)"):
+    if text[0] == "©" and len(text) < long:
         return BAD
     if len(text) < short:
-        return UNDECIDED
+        return BAD if text.startswith("(c)") and not clauses else UNDECIDED
     words = LETTERS.findall(text.lower())
     density = sum(w in stop_words for w in words) / max(len(words), 1)
     if density >= high:
@@ -199,14 +231,59 @@ def second_pass(labels: list[int], inside: list[bool], headings: list[bool]) ->
     return out
 
 
-def main_text(page: str, stop_words: frozenset[str] = STOP_WORDS) -> str:
+def standing_names(blocks: list[tuple[str, int, bool, bool, Names]], labels: list[int], long: int = 200) -> Names:
+    """The names whose elements are left out.
+
+    Good text in named elements is weighed against the good text outside:
+    where it is more, the names around it say nothing on this page and are
+    taken back, the largest first (of names inside each other the outer
+    ones), until the text outside is more.  Names that are in ``BESIDE`` as a
+    whole are only taken back if there is hardly any good text outside, and
+    a few words only if there is no other text at all.
+    """
+    names: Names = frozenset().union(*(b[4] for b in blocks))
+    if not names:
+        return names
+    weigh = GOOD if GOOD in labels else UNDECIDED
+    while True:
+        held: dict[Names, int] = {}
+        others = False
+        for (text, _, _, _, around), label in zip(blocks, labels, strict=True):
+            left = around & names
+            others = others or (not left and label != BAD)
+            if label == weigh:
+                held[left] = held.get(left, 0) + len(text)
+        plain = held.pop(frozenset(), 0)
+
+        def free(some: Names, plain: int = plain, held: dict[Names, int] = held, others: bool = others) -> bool:
+            if held[some] <= plain or (others and held[some] < long):
+                return False
+            return all(tier != WHOLE for tier, _ in some) or (plain < long <= held[some])
+
+        most = max(filter(free, held), key=held.__getitem__, default=None)
+        if most is None:
+            return names
+        while (inner := min((x for x in held if x < most and free(x)), key=len, default=None)) is not None:
+            most = inner
+        names -= most
+
+
+def main_text(page: str, stop_words: frozenset[str] = STOP_WORDS, long: int = 200) -> str:
     """The good blocks, joined by a line feed."""
     blocks = blocks_of(page)
-    if any(b[3] for b in blocks):  # a marked article: the rules judge what it holds
-        blocks = [b for b in blocks if b[3]]
-    labels = second_pass([first_pass(t, linked, stop_words) for t, linked, _, _ in blocks],
-                         [b[3] for b in blocks], [b[2] for b in blocks])
-    return "\n".join(b[0] for b, good in zip(blocks, labels, strict=True) if good == GOOD)
+    labels, clauses = [], False
+    for text, linked, _, _, _ in blocks:
+        labels.append(first_pass(text, linked, stop_words, clauses))
+        clauses = clauses or "(b)" in text
+    names = standing_names(blocks, labels)
+    # left out, but for long good blocks where only a part of a name speaks against them
+    kept = [(b, label) for b, label in zip(blocks, labels, strict=True) if not (left := b[4] & names) or (
+        label == GOOD and len(b[0]) >= long and all(tier == PART for tier, _ in left))]
+    good = [sum(len(b[0]) for b, label in kept if label == GOOD and b[3] == inside) for inside in (False, True)]
+    if any(b[3] for b, _ in kept) and good[True] >= good[False]:  # the marked article: the rules judge what it holds
+        kept = [(b, label) for b, label in kept if b[3]]
+    labels = second_pass([label for _, label in kept], [b[3] for b, _ in kept], [b[2] for b, _ in kept])
+    return "\n".join(b[0] for (b, _), good in zip(kept, labels, strict=True) if good == GOOD)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url",

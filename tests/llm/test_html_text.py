@@ -60,3 +60,54 @@ def test_table_with_awkward_rows(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(
         [(1, "u", WANT, len(WANT))] * 2 + [(2, None, "", 0), (None, "v", "plain", 5), (3, "w", "", 0)], key=str)
     assert extract_main_text(spark.createDataFrame([], schema)).count() == 0
+
+
+PROSE = [f"It was the {w} of all that is in the town, and that is what it was for the rest of us who had been there. " * 3
+         for w in ("first", "second", "third", "fourth")]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def lines(texts):
+    return "\n".join(t.strip() for t in texts)
+
+
+def test_names_around_the_article_are_overruled():
+    comments = f"<div class='comments'>{paragraphs(PROSE[3:])}</div>"
+    for name in ("content-sidebar-wrap", "has-sidebar", "post-tags", "sidebar", "has-sidebar post-tags"):
+        for tag in ("div", "span", "x-part"):
+            for inner in ("article", "div"):
+                page = f"<body><{tag} class='{name}'><{inner}>{paragraphs(PROSE[:3])}</{inner}>{comments}</{tag}></body>"
+                assert main_text(page) == lines(PROSE[:3]), page
+    nested = f"<div class='has-sidebar'><div id='post-tags'>{paragraphs(PROSE[:3])}</div></div>{comments}"
+    assert main_text(nested) == lines(PROSE[:3])
+    assert main_text("<div class='content-sidebar-wrap'><p>plain</p></div>") == "plain"
+    section = f"<div>{paragraphs(PROSE[:2])}<section class='side-effects'>{paragraphs(PROSE[2:3])}</section></div>"
+    assert main_text(section) == lines(PROSE[:3])
+
+
+def test_names_stand_where_the_article_is_elsewhere():
+    for name in ("comments", "post-tags", "sidebar", "user-comments"):
+        page = f"<div>{paragraphs(PROSE[:2])}</div><div class='{name}'>{paragraphs(PROSE[2:3])}</div>"
+        assert main_text(page) == lines(PROSE[:2]), name
+    assert main_text(f"<div>{paragraphs(PROSE[:1])}</div><ol class='comments'>{paragraphs(PROSE[1:])}</ol>") == PROSE[0].strip()
+    assert main_text(f"<p>{PROSE[0]}<span class='share'>Share this</span>{PROSE[1]}</p>") == f"{PROSE[0]}{PROSE[1]}".strip()
+
+
+def test_clause_c_is_no_copyright_line():
+    clauses = ["(a) the buyer has paid the price;", "(b) the seller has been told of it;", "(c) the goods have been sent."]
+    page = f"<article><p>{PROSE[0]}</p>{paragraphs(clauses)}<p>{PROSE[1]}</p></article>"
+    assert main_text(page) == lines([PROSE[0], *clauses, PROSE[1]])
+    long = "(c) " + PROSE[2].strip()
+    assert main_text(f"<p>{PROSE[0]}</p><p>{long}</p>") == lines([PROSE[0], long])
+    assert main_text(f"<p>{PROSE[0]}</p><p>(c) 2024 Example</p><p>\u00a9 2024 Example</p>") == PROSE[0].strip()
+
+
+def test_div_article_beside_article_tagged_teaser():
+    teaser = "<article><h3>More of it</h3><p>A short teaser.</p></article>"
+    got = main_text(f"<body><div>{paragraphs(PROSE)}</div>{teaser}</body>")
+    assert got.startswith(lines(PROSE))
+    comment = f"<article>{paragraphs(PROSE[3:])}</article>"
+    assert main_text(f"<body><div>{paragraphs(PROSE[:3])}</div>{comment}</body>").startswith(lines(PROSE[:3]))
