@@ -177,12 +177,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return Model(b, dict(zip(features.tolist(), w.tolist(), strict=True)), buckets)
 
 
+def windows_of(words: list[str], window: int) -> list[set[str]]:
+    """The words of a text, or of all its stretches of ``window`` words, each
+    of which begins in the middle of the one before."""
+    step = window // 2
+    if len(words) <= window:
+        return [set(words)]
+    return [set(words[at:at + window]) for at in range(0, len(words) - step, step)]
+
+
 class WordHits:
     """Word -> those of its features that have a weight, for the words seen
-    lately (at most ``limit``)."""
+    lately (at most ``limit``).
+
+    A text of more than ``window`` words has the largest logit of its
+    windows, less ``many`` times the logarithm of their number: the sum over
+    all its words would grow with its length.
+    """
 
-    def __init__(self, model: Model, limit: int = 500_000):
-        self.model, self.limit = model, limit
+    def __init__(self, model: Model, limit: int = 500_000, window: int = 2000, many: float = 0.25):
+        self.model, self.limit, self.window, self.many = model, limit, window, many
         self.hits: dict[str, tuple[int, ...]] = {}
         self.chosen = np.zeros(model.buckets, bool)
         self.chosen[list(model.weights)] = True
@@ -197,8 +211,9 @@ class WordHits:
             self.hits[words[w]] += (b,)
 
     def scores(self, texts: list[str]) -> list[float]:
-        split = [set(WORDS.findall(t.lower())) for t in texts]
-        out = []
+        cut = [windows_of(WORDS.findall(t.lower()), self.window) for t in texts]
+        split = [words for windows in cut for words in windows]
+        logits = []
         for at in range(0, len(split), 256):
             some = split[at:at + 256]
             every = set().union(*some)
@@ -206,10 +221,13 @@ class WordHits:
             if new:
                 self.learn(new if len(self.hits) + len(new) <= self.limit else list(every))
             for words in some:
-                hits = set().union(*map(self.hits.__getitem__, words)) if len(words) < 20_000 else {
-                    f for w in words for f in self.hits[w]}
-                logit = self.model.bias + math.fsum(map(self.model.weights.__getitem__, hits))
-                out.append(1 / (1 + math.exp(-min(max(logit, -50.0), 50.0))))
+                hits = set().union(*map(self.hits.__getitem__, words))
+                logits.append(self.model.bias + math.fsum(map(self.model.weights.__getitem__, hits)))
+        out, at = [], 0
+        for windows in cut:
+            logit = max(logits[at:at + len(windows)]) - self.many * math.log(len(windows))
+            at += len(windows)
+            out.append(1 / (1 + math.exp(-min(max(logit, -50.0), 50.0))))
         return out
 
 
@@ -219,7 +237,8 @@ def _scorer(name: str, model: Model) -> WordHits:
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``score`` (0 to 1) of every whole text.
+    """``id_col``, ``score`` (0 to 1) of every whole text, in windows if it
+    is long.
 
     Defined results: a null or empty text scores as one without features; a
     null id is passed on; repeated rows are scored each; an empty table

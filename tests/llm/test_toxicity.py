@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from docmap.llm.toxicity import drop_toxic, fit_logistic, fit_toxicity, score_toxicity
+from docmap.llm.toxicity import Model, drop_toxic, features_of, fit_logistic, fit_toxicity, score_toxicity, windows_of
 from tests.llm.helpers import AWKWARD, frame, words
 
 BAD = ["idiotic", "scummy", "worthlessly"]
@@ -68,3 +68,26 @@ def test_without_labels_of_both_classes(spark):
     assert {r.score for r in score_toxicity(frame(spark, rows), model).collect()} == {0.5}
     clean = fit_toxicity(frame(spark, rows), spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int"))
     assert all(r.score < 0.3 for r in score_toxicity(frame(spark, rows), clean).collect())
+
+
+def test_long_clean_texts_stay_and_a_toxic_passage_in_one_is_caught(spark):
+    # weak features of ordinary words, as a fit on natural text finds them
+    ordinary = sorted(set(words(1, 4000, 4000)))
+    weights = {int(features_of([w], 1 << 19)[-1]): 0.004 for w in ordinary}
+    weights |= {int(f): 0.5 for w in BAD for f in features_of([w], 1 << 19)}
+    model = Model(-4.0, weights, 1 << 19)
+    clean = [" ".join(words(100 + i, 300, 400) if i % 2 else random.Random(i).choices(ordinary[i * 9:i * 9 + 60], k=300))
+             for i in range(200)]
+    joined = "\n".join(clean)
+    rows = [*enumerate(clean), (1000, joined), (1001, "\n".join([*clean[:100], f"you {BAD[0]} {BAD[1]} one", *clean[100:]]))]
+    got = {r.doc_id: r.score for r in score_toxicity(frame(spark, rows), model).collect()}
+    assert all(got[i] < 0.3 for i in range(200))
+    assert got[1000] < 0.3 <= got[1001]
+
+
+def test_windows_hold_every_stretch():
+    w = [str(i) for i in range(47)]
+    for n in range(48):
+        found = windows_of(w[:n], 10)
+        assert set().union(*found) == set(w[:n]) and all(len(f) <= 10 for f in found)
+        assert all(any(set(w[a:a + 5]) <= f for f in found) for a in range(n - 4))
