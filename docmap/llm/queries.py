@@ -16,6 +16,7 @@ from docmap.llm import language_id as _language
 from docmap.llm import ngram_lm as _lm
 from docmap.llm import packing as _packing
 from docmap.llm import sentence_dedup as _sentences
+from docmap.llm import token_alignment as _alignment
 from docmap.llm import toxicity as _toxicity
 from docmap.llm import vector_search as _vectors
 from docmap.llm.common import LOWER, UPPER, read_table
@@ -120,6 +121,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jaccard.similarity_components(read_table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _alignment.align_tokenizers(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                       public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -131,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_token_alignment": op12_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_ngram_lm": OP4_SQL,
