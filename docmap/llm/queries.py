@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmap.llm import bpe as _bpe
+from docmap.llm import chat_format as _chat
 from docmap.llm import exact_dedup as _exact
 from docmap.llm import html_text as _html
 from docmap.llm import jaccard_join as _jaccard
@@ -121,6 +122,37 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _jaccard.similarity_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return _chat.read_back(_chat.format_conversations(turns.unionByName(planted)))
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own
+  FROM (SELECT conv_id, turn, role, text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+        UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')),
+sized AS (
+  SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
+            + length(text) - length(regexp_replace(text, '#{3,}', '', 'g'))
+            + (length(text) - length(replace(text, '</turn>', ''))) // 7
+            + length(role) + length(role) - length(replace(replace(role, '\', ''), ':', ''))
+            + length(role) - length(regexp_replace(role, '#{3,}', '', 'g'))
+            + (length(role) - length(replace(role, '</turn>', ''))) // 7 + 14 AS chars
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id, own
+"""
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alignment.align_tokenizers(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                        public_tokenizers.path("piece_bpe_32k.model"))
@@ -137,9 +169,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_chat_format": op11_chat_format,
     "op12_token_alignment": op12_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op11_chat_format": OP11_SQL,
     "op4_ngram_lm": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
 }
