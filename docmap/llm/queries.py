@@ -16,6 +16,7 @@ from docmap.llm import jaccard_join as _jaccard
 from docmap.llm import language_id as _language
 from docmap.llm import ngram_lm as _lm
 from docmap.llm import packing as _packing
+from docmap.llm import periodic_runs as _periods
 from docmap.llm import sentence_dedup as _sentences
 from docmap.llm import token_alignment as _alignment
 from docmap.llm import toxicity as _toxicity
@@ -158,6 +159,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("text", _periods.with_planted_period(F.col("text"), F.col("doc_id")))
+    return _periods.run_report(_periods.periodic_runs(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
@@ -171,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
     "op11_chat_format": op11_chat_format,
     "op12_token_alignment": op12_token_alignment,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op11_chat_format": OP11_SQL,
