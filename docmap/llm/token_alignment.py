@@ -20,9 +20,8 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,18 +50,22 @@ class Ids(dict):
         super().__init__()
         self.encode, self.limit = encode, limit  # encode: list of texts -> list of id lists
 
-    def encoded(self, parts: list[list[str]]) -> list[bytes]:
-        """The ids of each list of chunks, one after the other."""
-        new = list(set().union(*parts).difference(self))
-        self.update(zip(new, (array("I", ids).tobytes() for ids in self.encode(new))))
-        out = [b"".join(map(self.__getitem__, p)) for p in parts]
+    def lists(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each of some distinct texts."""
+        new = [t for t in texts if t not in self]
+        found = self.encode(new)
+        ends = [0, *accumulate(map(len, found))]
+        data = np.fromiter(chain.from_iterable(found), np.uint32, ends[-1]).tobytes()
+        self.update(zip(new, [data[4 * x:4 * y] for x, y in zip(ends, ends[1:])]))
+        known = [self[t] for t in texts]
         if len(self) > self.limit:
             self.clear()
         else:
-            for chunk in new:
-                if len(chunk) > 48:
-                    del self[chunk]
-        return out
+            for t in new:
+                if len(t) > 48:
+                    del self[t]
+        ids = np.frombuffer(b"".join(known), np.int32)
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(len(x) // 4 for x in known)], pa.int32()), pa.array(ids))
 
 
 class Pair:
@@ -124,9 +127,17 @@ def _ends(tokens: pa.ListArray, length: np.ndarray) -> tuple[np.ndarray, np.ndar
     return ids.to_numpy(), parent, total - before[parent]
 
 
-def _tokens(encoded: list[bytes]) -> pa.ListArray:
-    ids = np.frombuffer(b"".join(encoded), np.uint32)
-    return pa.ListArray.from_arrays(pa.array([0, *accumulate(len(x) // 4 for x in encoded)], pa.int32()), pa.array(ids.astype(np.int32)))
+def _encoded(pair: Pair, parts: list[list[str]]) -> tuple[pa.ListArray, pa.ListArray]:
+    """The ids of both sides for each list of chunks: every distinct chunk is
+    encoded once, and its ids are taken where it stands."""
+    ends = np.array([0, *accumulate(map(len, parts))])
+    coded = pa.array(chain.from_iterable(parts), pa.string()).dictionary_encode()
+    texts = coded.dictionary.to_pylist()
+    out = []
+    for side in (pair.a, pair.b):
+        taken = side.lists(texts).take(coded.indices)
+        out.append(pa.ListArray.from_arrays(pa.array(taken.offsets.to_numpy()[ends], pa.int32()), taken.flatten()))
+    return out[0], out[1]
 
 
 def _same_bytes(table: pa.Array, tokens: pa.ListArray, wanted: list[bytes]) -> np.ndarray:
@@ -143,7 +154,7 @@ def align(pair: Pair, parts: list[list[str]]) -> tuple[pa.Table, list[tuple | No
     each row its (n_a, n_b, n_groups, n_links, groups as bytes ending in
     ``;``), or None where the tokens of a side do not spell space + text.
     """
-    a, b = (_tokens(x.encoded(parts)) for x in (pair.a, pair.b))
+    a, b = _encoded(pair, parts)
     wanted = [f" {' '.join(p)}".encode() for p in parts]
     good = _same_bytes(pair.bytes_a, a, wanted) & _same_bytes(pair.bytes_b, b, wanted)
     if not good.all():
