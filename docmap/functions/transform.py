@@ -1,304 +1,288 @@
-"""Whitelisted transformation expressions.
+"""Whitelisted transformations (X15): a table of shapes.
 
 Mapping rows carry transformation text such as ``TO_DATE(value)`` or
-``CAST(value AS DECIMAL(15,2))``.  The text is untrusted, so it is never
-evaluated as free SQL: it is tokenized, every token is checked against a
-whitelist, warehouse functions are rewritten to their Spark forms (casts
-become ``try_cast``), and only then handed to ``F.expr``.  Anything else
-is rejected and the mapping is quarantined.
+``UPPER(TRIM(value))``.  The text is untrusted and never becomes SQL: it is
+held against a fixed table of shapes, each with a function that builds a Column
+from the shape's inner transformation (``value``, or a shape again) and its
+literals.  Lengths, precisions and formats are part of a shape; text that fits
+none is rejected with a reason and its mapping quarantined.  Bad values give
+NULL and never end a job.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"""\s*(?:(?P<num>\d+(?:\.\d+)?)|(?P<str>'(?:[^']|'')*')|(?P<id>[A-Za-z_][A-Za-z0-9_]*)|(?P<op><=|>=|<>|!=|\|\||[(),=<>+\-*/]))""")
+from docmap.functions.types import coerce_declared, strip_ws, to_text
 
-# Functions a transformation may call, and words it may use.
-FUNCTIONS = {"UPPER", "LOWER", "TRIM", "LTRIM", "RTRIM", "LEFT", "RIGHT", "SUBSTR", "SUBSTRING",
-             "COALESCE", "NULLIF", "CONCAT", "LENGTH", "ROUND", "ABS", "REPLACE", "LPAD", "RPAD",
-             "TO_DATE", "TO_TIMESTAMP", "TO_TIMESTAMP_NTZ", "TO_NUMBER", "TO_DECIMAL", "CAST", "TRY_CAST"}
-WORDS = {"VALUE", "AS", "CASE", "WHEN", "THEN", "ELSE", "END", "TRUE", "FALSE", "NULL", "AND",
-         "OR", "NOT", "IS", "IN", "LIKE"}
-TYPES = {"INTEGER", "INT", "BIGINT", "SMALLINT", "DECIMAL", "NUMBER", "NUMERIC", "DOUBLE", "FLOAT",
-         "VARCHAR", "STRING", "DATE", "TIMESTAMP", "TIMESTAMP_NTZ", "BOOLEAN"}
+MAX_LENGTH = 10_000   # of LEFT, RIGHT, SUBSTR, LPAD, RPAD
+MAX_TEXT = 500        # characters of a transformation
+NUMBER = "decimal(38,6)"
 
-_DATE_GUARD = "^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+# Date formats by their letters; places of year, month and day.
+DATE_FORMATS = {
+    "YYYY-MM-DD": (r"^\d{4}-\d{2}-\d{2}$", 1, 6, 9), "YYYY/MM/DD": (r"^\d{4}/\d{2}/\d{2}$", 1, 6, 9),
+    "YYYYMMDD": (r"^\d{8}$", 1, 5, 7), "DD/MM/YYYY": (r"^\d{2}/\d{2}/\d{4}$", 7, 4, 1),
+    "MM/DD/YYYY": (r"^\d{2}/\d{2}/\d{4}$", 7, 1, 4), "DD-MM-YYYY": (r"^\d{2}-\d{2}-\d{4}$", 7, 4, 1),
+    "DD.MM.YYYY": (r"^\d{2}\.\d{2}\.\d{4}$", 7, 4, 1), "MM-DD-YYYY": (r"^\d{2}-\d{2}-\d{4}$", 7, 1, 4),
+}
 
 
 class TransformError(ValueError):
     pass
 
 
-def _tokens(text: str) -> list[tuple[str, str]]:
-    out, pos = [], 0
-    text = text.strip()
-    while pos < len(text):
-        m = _TOKEN.match(text, pos)
-        if not m or m.end() == pos:
-            raise TransformError(f"unexpected text at {pos}: {text[pos:pos + 10]!r}")
-        kind = m.lastgroup
-        out.append((kind, m.group(kind)))
-        pos = m.end()
-        while pos < len(text) and text[pos].isspace():
-            pos += 1
-    return out
-
-
-# What the arguments of plain functions are (t: text, n: number,
-# i: whole-number literal), the number of arguments that must be given, and
-# what they return.
-SIGNATURES = {
-    "UPPER": ("t", 1, "t"), "LOWER": ("t", 1, "t"), "TRIM": ("t", 1, "t"), "LTRIM": ("t", 1, "t"), "RTRIM": ("t", 1, "t"),
-    "LEFT": ("ti", 2, "t"), "RIGHT": ("ti", 2, "t"), "SUBSTR": ("tii", 2, "t"), "SUBSTRING": ("tii", 2, "t"),
-    "LENGTH": ("t", 1, "n"), "ROUND": ("ni", 1, "n"), "ABS": ("n", 1, "n"), "REPLACE": ("ttt", 2, "t"),
-    "LPAD": ("tit", 2, "t"), "RPAD": ("tit", 2, "t"),
-}
-NUMBER = "DECIMAL(38,10)"
+Step = tuple[str, Callable[[Column], Column]]  # kind of the result, what makes it
 
 
-class _Translator:
-    """Recursive descent over the tokens of one transformation.
+# Kinds: t text, n number, d date or time, b truth value.  Every builder gets
+# the inner transformation's kind and the match, checks its literals, and
+# returns the result's kind with the function that makes the Column.
+def _text(c: Column, kind: str) -> Column:
+    return c if kind == "t" else c.cast("string")
 
-    Every step returns (Spark SQL, kind) with kind ``t`` (text), ``n``
-    (number), ``d`` (date or time), ``b`` (truth value) or ``0`` (NULL).
-    Values are text, so numbers are made with ``try_cast`` and combined with
-    ``try_`` arithmetic: a bad value gives NULL and never ends the job.
-    """
 
-    def __init__(self, tokens: list[tuple[str, str]], value_sql: str):
-        self.tokens, self.at, self.value_sql = tokens, 0, value_sql
+def _number(c: Column, kind: str) -> Column:
+    return c if kind == "n" else strip_ws(c).try_cast(NUMBER)
 
-    # ------------------------------------------------------------ tokens
-    def peek(self, ahead: int = 0) -> str:
-        i = self.at + ahead
-        return "" if i >= len(self.tokens) or self.tokens[i][0] == "str" else self.tokens[i][1].upper()
 
-    def take(self, *words: str) -> str | None:
-        if self.peek() in words and self.peek():
-            self.at += 1
-            return self.tokens[self.at - 1][1].upper()
-        return None
+def _must_be_number(kind: str) -> None:
+    if kind not in ("t", "n"):
+        raise TransformError("a number is expected")
+
+
+def _must_be_text(kind: str) -> None:
+    if kind != "t":
+        raise TransformError("a text is expected")
+
+
+def _literal(text: str) -> tuple[object, str]:
+    """A quoted text, a number, TRUE, FALSE or NULL, and its kind."""
+    if text.startswith("'"):
+        return text[1:-1].replace("''", "'"), "t"
+    if text.upper() in ("TRUE", "FALSE"):
+        return text.upper() == "TRUE", "b"
+    if text.upper() == "NULL":
+        return None, "0"
+    return Decimal(text), "n"
+
+
+def _length(text: str) -> int:
+    n = int(text) if len(text) < 10 else MAX_LENGTH + 1
+    if n > MAX_LENGTH:
+        raise TransformError(f"length above {MAX_LENGTH}")
+    return n
+
+
+def _precision(p: str | None, s: str | None) -> str:
+    precision, scale = int(p or 38), int(s or 0)
+    if not 1 <= precision <= 38 or scale > precision:
+        raise TransformError(f"no decimal({precision},{scale})")
+    return f"decimal({precision},{scale})"
+
 
-    def need(self, word: str) -> None:
-        if not self.take(word):
-            raise TransformError(f"{word} expected")
-
-    def whole(self) -> tuple[str, str]:
-        out = self.either()
-        if self.at < len(self.tokens):
-            raise TransformError(f"unexpected {self.tokens[self.at][1]!r}")
-        return out
-
-    # ------------------------------------------------------------- kinds
-    @staticmethod
-    def number(x: tuple[str, str]) -> str:
-        if x[1] in "db":
-            raise TransformError("number expected")
-        return x[0] if x[1] in "n0" else f"try_cast(trim({x[0]}) AS {NUMBER})"
-
-    @staticmethod
-    def text(x: tuple[str, str]) -> str:
-        return x[0] if x[1] in "t0" else f"CAST({x[0]} AS STRING)"
-
-    @staticmethod
-    def truth(x: tuple[str, str]) -> str:
-        if x[1] not in "b0":
-            raise TransformError("condition expected")
-        return x[0]
-
-    def alike(self, items: list[tuple[str, str]]) -> tuple[list[str], str]:
-        """The items in one kind: numbers if any is a number and none is
-        longer text, else text."""
-        kinds = {k for _, k in items} - {"0"}
-        if len(kinds) <= 1:
-            return [x for x, _ in items], (kinds or {"0"}).pop()
-        return [self.text(x) for x in items], "t"
-
-    # -------------------------------------------------------- conditions
-    def either(self) -> tuple[str, str]:
-        left = self.both()
-        while self.take("OR"):
-            left = (f"({self.truth(left)} OR {self.truth(self.both())})", "b")
-        return left
-
-    def both(self) -> tuple[str, str]:
-        left = self.negated()
-        while self.take("AND"):
-            left = (f"({self.truth(left)} AND {self.truth(self.negated())})", "b")
-        return left
-
-    def negated(self) -> tuple[str, str]:
-        if self.take("NOT"):
-            return f"(NOT {self.truth(self.negated())})", "b"
-        return self.compared()
-
-    def compared(self) -> tuple[str, str]:
-        left = self.sum()
-        if op := self.take("=", "<>", "!=", "<", ">", "<=", ">="):
-            right = self.sum()
-            if "n" in (left[1], right[1]):
-                a, b = self.number(left), self.number(right)
-            else:
-                (a, b), _ = self.alike([left, right])
-            return f"({a} {'!=' if op == '<>' else op} {b})", "b"
-        if self.take("IS"):
-            no = self.take("NOT")
-            self.need("NULL")
-            return f"({left[0]} IS {'NOT ' if no else ''}NULL)", "b"
-        no = "NOT " if self.peek() == "NOT" and self.peek(1) in ("IN", "LIKE") and self.take("NOT") else ""
-        if self.take("IN"):
-            items = self.arguments()
-            if not items:
-                raise TransformError("IN without values")
-            if any(k == "n" for _, k in [left, *items]):
-                return f"({self.number(left)} {no}IN ({', '.join(map(self.number, items))}))", "b"
-            parts, _ = self.alike([left, *items])
-            return f"({parts[0]} {no}IN ({', '.join(parts[1:])}))", "b"
-        if self.take("LIKE"):
-            return f"({self.text(left)} {no}LIKE {self.text(self.sum())})", "b"
-        return left
-
-    # -------------------------------------------------------- arithmetic
-    def sum(self) -> tuple[str, str]:
-        left = self.product()
-        while op := self.take("+", "-", "||"):
-            right = self.product()
-            if op == "||":
-                left = (f"concat({self.text(left)}, {self.text(right)})", "t")
-            else:
-                left = (f"{'try_add' if op == '+' else 'try_subtract'}({self.number(left)}, {self.number(right)})", "n")
-        return left
-
-    def product(self) -> tuple[str, str]:
-        left = self.single()
-        while op := self.take("*", "/"):
-            left = (f"{'try_multiply' if op == '*' else 'try_divide'}({self.number(left)}, {self.number(self.single())})", "n")
-        return left
-
-    def single(self) -> tuple[str, str]:
-        if self.take("-"):
-            return f"try_subtract(0, {self.number(self.single())})", "n"
-        if self.take("("):
-            inner = self.either()
-            self.need(")")
-            return f"({inner[0]})", inner[1]
-        if self.at >= len(self.tokens):
-            raise TransformError("unexpected end")
-        kind, word = self.tokens[self.at]
-        self.at += 1
-        if kind == "num":
-            return word, "n"
-        if kind == "str":
-            return word, "t"
-        name = word.upper()
-        if name == "VALUE":
-            return self.value_sql, "t"
-        if name == "NULL":
-            return "NULL", "0"
-        if name in ("TRUE", "FALSE"):
-            return name, "b"
-        if name == "CASE":
-            return self.case()
-        if name in FUNCTIONS and self.peek() == "(":
-            return self.function(name)
-        raise TransformError(f"identifier not allowed: {word}")
-
-    def case(self) -> tuple[str, str]:
-        subject = None if self.peek() == "WHEN" else self.sum()
-        tests, results = [], []
-        while self.take("WHEN"):
-            if subject is None:
-                tests.append(self.truth(self.either()))
-            else:
-                (a, b), _ = self.alike([subject, self.sum()])
-                tests.append(f"({a} = {b})")
-            self.need("THEN")
-            results.append(self.either())
-        if not tests:
-            raise TransformError("CASE without WHEN")
-        results.append(self.either() if self.take("ELSE") else ("NULL", "0"))
-        self.need("END")
-        parts, kind = self.alike(results)
-        return (f"CASE {' '.join(f'WHEN {t} THEN {r}' for t, r in zip(tests, parts))} ELSE {parts[-1]} END", kind)
-
-    # --------------------------------------------------------- functions
-    def arguments(self) -> list[tuple[str, str]]:
-        self.need("(")
-        out = []
-        while not self.take(")"):
-            if out:
-                self.need(",")
-            out.append(self.either())
-        return out
-
-    def cast(self) -> tuple[str, str]:
-        self.need("(")
-        inner = self.either()
-        self.need("AS")
-        base = self.take(*TYPES)
-        if not base:
-            raise TransformError("type not allowed")
-        args = ""
-        if self.take("("):
-            while not self.take(")"):
-                if not (re.fullmatch(r"[0-9]+", self.peek()) or self.peek() == ","):
-                    raise TransformError("bad type arguments")
-                args += self.take(self.peek())
-            args = f"({args})"
-        self.need(")")
-        x, base = self.text(inner), {"NUMBER": "DECIMAL", "NUMERIC": "DECIMAL", "INTEGER": "INT", "VARCHAR": "STRING",
-                                     "FLOAT": "DOUBLE"}.get(base, base)
-        if base == "STRING":
-            return f"trim({x})", "t"
-        if base == "DATE":
-            return _guarded_date(x), "d"
-        if base in ("INT", "BIGINT", "SMALLINT"):
-            return f"try_cast(try_cast(trim({x}) AS DECIMAL(38,0)) AS {base})", "n"
-        kind = "b" if base == "BOOLEAN" else "d" if base.startswith("TIMESTAMP") else "n"
-        if base == "DECIMAL":
-            args = args or "(38,0)"
-        return f"try_cast(trim({x}) AS {base}{args if base == 'DECIMAL' else ''})", kind
-
-    def function(self, name: str) -> tuple[str, str]:
-        if name in ("CAST", "TRY_CAST"):
-            return self.cast()
-        args = self.arguments()
-        if name in ("COALESCE", "NULLIF", "CONCAT"):
-            if len(args) < 1 or (name == "NULLIF" and len(args) != 2):
-                raise TransformError(f"{name}: wrong number of arguments")
-            if name == "CONCAT":
-                return f"CONCAT({', '.join(map(self.text, args))})", "t"
-            parts, kind = self.alike(args)
-            return f"{name}({', '.join(parts)})", kind
-        if name in ("TO_DATE", "TO_TIMESTAMP", "TO_TIMESTAMP_NTZ", "TO_NUMBER", "TO_DECIMAL"):
-            if not args:
-                raise TransformError(f"{name}: argument expected")
-            x = self.text(args[0])
-            if name == "TO_DATE":
-                return _guarded_date(x), "d"
-            if name.startswith("TO_TIMESTAMP"):
-                return f"CASE WHEN trim({x}) RLIKE '{_DATE_GUARD}' THEN try_cast(trim({x}) AS TIMESTAMP_NTZ) END", "d"
-            size = [a[0] for a in args[1:]]
-            if not all(re.fullmatch(r"[0-9]+", n) for n in size) or len(size) not in (0, 2):
-                raise TransformError(f"{name}: precision and scale expected")
-            return f"try_cast(trim({x}) AS DECIMAL({','.join(size) or '38,0'}))", "n"
-        kinds, least, result = SIGNATURES[name]
-        if not least <= len(args) <= len(kinds):
-            raise TransformError(f"{name}: wrong number of arguments")
-        for (sql, _), kind in zip(args, kinds):
-            if kind == "i" and not re.fullmatch(r"[0-9]+", sql):
-                raise TransformError(f"{name}: whole number expected, not {sql}")
-        parts = [self.number(a) if k == "n" else a[0] if k == "i" else self.text(a) for a, k in zip(args, kinds)]
-        return f"{'SUBSTRING' if name == 'SUBSTR' else name}({', '.join(parts)})", result
-
-
-def _guarded_date(inner: str) -> str:
-    return (f"CASE WHEN trim({inner}) RLIKE '{_DATE_GUARD}' "
-            f"THEN try_cast(substring(trim({inner}), 1, 10) AS DATE) END")
+# ------------------------------------------------------------------ builders
+def _text_call(kind: str, m) -> Step:
+    _must_be_text(kind)
+    name = m["name"].upper()
+    if name == "LENGTH":
+        return "n", lambda c: F.length(c).cast(NUMBER)
+    call = {"UPPER": F.upper, "LOWER": F.lower, "TRIM": F.trim, "LTRIM": F.ltrim, "RTRIM": F.rtrim}[name]
+    return "t", lambda c: call(c)
+
+
+def _part(kind: str, m) -> Step:
+    _must_be_text(kind)
+    n, left = _length(m["n"]), m["name"].upper() == "LEFT"
+    return "t", lambda c: F.left(c, F.lit(n)) if left else F.right(c, F.lit(n))
+
+
+def _substring(kind: str, m) -> Step:
+    _must_be_text(kind)
+    first, n = _length(m["i"]), _length(m["n"]) if m["n"] else 2 ** 31 - 1
+    return "t", lambda c: F.substring(c, first, n)
+
+
+def _pad(kind: str, m) -> Step:
+    _must_be_text(kind)
+    n, left, with_ = _length(m["n"]), m["name"].upper() == "LPAD", _literal(m["s"])[0]
+    return "t", lambda c: F.lpad(c, n, with_) if left else F.rpad(c, n, with_)
+
+
+def _replace(kind: str, m) -> Step:
+    _must_be_text(kind)
+    old, new = _literal(m["s"])[0], _literal(m["r"])[0]
+    return "t", lambda c: F.replace(c, F.lit(old), F.lit(new))
+
+
+def _date(kind: str, m) -> Step:
+    if kind not in ("t", "d"):
+        raise TransformError("a text or a date is expected")
+    wanted = _literal(m["s"])[0].strip().upper() if m["s"] else None
+    if kind == "d":
+        return "d", lambda c: c.cast("date")
+    if wanted is None:
+        return "d", lambda c: coerce_declared(c, "DATE")
+    if wanted not in DATE_FORMATS:
+        raise TransformError(f"date format {wanted}")
+    pattern, y, month, d = DATE_FORMATS[wanted]
+
+    def make(c: Column) -> Column:
+        t = strip_ws(c)
+        whole = F.concat_ws("-", F.substring(t, y, 4), F.substring(t, month, 2), F.substring(t, d, 2))
+        return F.when(t.rlike(pattern), whole.try_cast("date"))
+    return "d", make
+
+
+def _timestamp(kind: str, m) -> Step:
+    if kind not in ("t", "d"):
+        raise TransformError("a text or a time is expected")
+    return "d", lambda c: coerce_declared(_text(c, kind), "TIMESTAMP_NTZ")
+
+
+def _cast(kind: str, m) -> Step:
+    name = m["type"].upper()
+    if name in ("DECIMAL", "NUMBER", "NUMERIC"):
+        _must_be_number(kind)
+        to = _precision(m["p"], m["q"])
+        return "n", lambda c: c.try_cast(to) if kind == "n" else coerce_declared(c, to.upper())
+    if m["p"] is not None and name != "VARCHAR":
+        raise TransformError(f"{name} has no length")
+    if name in ("VARCHAR", "STRING"):
+        return "t", lambda c: _text(c, kind)
+    if name == "DATE":
+        return _date(kind, {"s": None})
+    if name.startswith("TIMESTAMP"):
+        return _timestamp(kind, m)
+    if name == "BOOLEAN":
+        _must_be_text(kind)
+        return "b", lambda c: coerce_declared(c, name)
+    _must_be_number(kind)
+    if name in ("DOUBLE", "FLOAT"):
+        return "n", lambda c: c.try_cast("double") if kind == "n" else coerce_declared(c, "DOUBLE")
+    return "n", lambda c: c.try_cast("decimal(38,0)").try_cast(name.lower()) if kind == "n" else coerce_declared(c, name)
+
+
+def _to_number(kind: str, m) -> Step:
+    _must_be_number(kind)
+    to = _precision(m["p"], m["q"])
+    return "n", lambda c: c.try_cast(to) if kind == "n" else to_text(c).try_cast(to)
+
+
+def _round(kind: str, m) -> Step:
+    _must_be_number(kind)
+    digits = int(m["n"] or 0)
+    if digits > 6:
+        raise TransformError("more than 6 digits")
+    return "n", lambda c: F.round(_number(c, kind), digits).try_cast(NUMBER)
+
+
+def _absolute(kind: str, m) -> Step:
+    _must_be_number(kind)
+    return "n", lambda c: F.abs(_number(c, kind))
+
+
+def _arithmetic(kind: str, m) -> Step:
+    _must_be_number(kind)
+    if not ATOM.fullmatch(m["x"].strip()):
+        raise TransformError("parentheses are needed")
+    n, op = Decimal(m["n"]), m["op"]
+
+    def make(c: Column) -> Column:
+        call = {"*": F.try_multiply, "/": F.try_divide, "+": F.try_add, "-": F.try_subtract}[op]
+        return call(_number(c, kind), F.lit(n)).try_cast(NUMBER)
+    return "n", make
+
+
+def _or_else(kind: str, m) -> Step:
+    v, k = _literal(m["s"])
+    if kind == "t":
+        return "t", lambda c: F.coalesce(c, F.lit(str(v)))
+    if kind == k == "n":
+        return "n", lambda c: F.coalesce(c, F.lit(v).cast(NUMBER))
+    raise TransformError("another kind of value")
+
+
+def _null_if(kind: str, m) -> Step:
+    _must_be_text(kind)
+    v = _literal(m["s"])[0]
+    return "t", lambda c: F.nullif(c, F.lit(v))
+
+
+def _case(kind: str, m) -> Step:
+    wanted, k = _literal(m["s"])
+    op = m["op"] if "op" in m.re.groupindex else "="
+    if k == "n":
+        _must_be_number(kind)
+    elif k == "t":
+        _must_be_text(kind)
+    else:
+        raise TransformError("a number or a text to compare with is expected")
+    (then, k1), (other, k2) = _literal(m["then"]), _literal(m["other"] or "NULL")
+    result = k1 if k1 != "0" else k2
+    if result == "0" or {k1, k2} - {result, "0"}:
+        raise TransformError("results of one kind are expected")
+    as_type = {"t": "string", "b": "boolean", "n": NUMBER}[result]
+
+    def make(c: Column) -> Column:
+        left, right = (_number(c, kind), F.lit(wanted).cast(NUMBER)) if k == "n" else (c, F.lit(wanted))
+        test = {"=": left == right, "<>": left != right, "!=": left != right, ">": left > right, ">=": left >= right,
+                "<": left < right, "<=": left <= right}[op]
+        return F.when(test, F.lit(then).cast(as_type)).otherwise(F.lit(other).cast(as_type))
+    return result, make
+
+
+# ------------------------------------------------------------------ the table
+_S = r"'(?:[^']|'')*+'"
+_N = r"-?\d{1,18}(?:\.\d{1,10})?"
+_ANY = rf"(?:{_S}|{_N}|TRUE|FALSE|NULL)"
+ATOM = re.compile(r"value|\(.+\)|[A-Z_]+\s*\(.+\)", re.IGNORECASE | re.DOTALL)
+
+# The shapes, each as its pattern (``x`` is the inner
+# transformation) and the function that builds it.
+SHAPES: list[tuple[str, Callable[[str, re.Match], Step]]] = [
+    (r"(?P<name>UPPER|LOWER|TRIM|LTRIM|RTRIM|LENGTH)\s*\((?P<x>.+)\)", _text_call),
+    (r"(?P<name>LEFT|RIGHT)\s*\((?P<x>.+),\s*(?P<n>\d+)\s*\)", _part),
+    (r"(?:SUBSTR|SUBSTRING)\s*\((?P<x>.+?),\s*(?P<i>\d+)\s*(?:,\s*(?P<n>\d+)\s*)?\)", _substring),
+    (rf"(?P<name>LPAD|RPAD)\s*\((?P<x>.+),\s*(?P<n>\d+)\s*,\s*(?P<s>{_S})\s*\)", _pad),
+    (rf"REPLACE\s*\((?P<x>.+),\s*(?P<s>{_S})\s*,\s*(?P<r>{_S})\s*\)", _replace),
+    (rf"TO_DATE\s*\((?P<x>.+?)(?:,\s*(?P<s>{_S})\s*)?\)", _date),
+    (r"TO_TIMESTAMP(?:_NTZ)?\s*\((?P<x>[^,]+)\)", _timestamp),
+    (r"(?:TRY_)?CAST\s*\((?P<x>.+)\s+AS\s+(?P<type>INTEGER|INT|BIGINT|SMALLINT|DECIMAL|NUMBER|NUMERIC|DOUBLE|FLOAT|VARCHAR|STRING|DATE"
+     r"|TIMESTAMP|TIMESTAMP_NTZ|BOOLEAN)\s*(?:\(\s*(?P<p>\d{1,8})\s*(?:,\s*(?P<q>\d{1,2})\s*)?\))?\s*\)", _cast),
+    (r"(?:TO_NUMBER|TO_DECIMAL)\s*\((?P<x>.+?)(?:,\s*(?P<p>\d{1,2})\s*,\s*(?P<q>\d{1,2})\s*)?\)", _to_number),
+    (r"ROUND\s*\((?P<x>.+?)(?:,\s*(?P<n>\d)\s*)?\)", _round),
+    (r"ABS\s*\((?P<x>.+)\)", _absolute),
+    (rf"COALESCE\s*\((?P<x>.+),\s*(?P<s>{_S}|{_N})\s*\)", _or_else),
+    (rf"NULLIF\s*\((?P<x>.+),\s*(?P<s>{_S})\s*\)", _null_if),
+    (rf"CASE\s+WHEN\s+(?P<x>.+?)\s*(?P<op><=|>=|<>|!=|=|<|>)\s*(?P<s>{_ANY})\s+THEN\s+(?P<then>{_ANY})(?:\s+ELSE\s+(?P<other>{_ANY}))?\s+END", _case),
+    (rf"CASE\s+(?P<x>.+?)\s+WHEN\s+(?P<s>{_ANY})\s+THEN\s+(?P<then>{_ANY})(?:\s+ELSE\s+(?P<other>{_ANY}))?\s+END", _case),
+    (r"\((?P<x>.+)\)", lambda kind, m: (kind, lambda c: c)),
+    (rf"(?P<x>.+?)\s*(?P<op>[*/+\-])\s*(?P<n>{_N})", _arithmetic),
+]
+_COMPILED = [(re.compile(p, re.IGNORECASE | re.DOTALL), build) for p, build in SHAPES]
+
+
+def _steps(text: str, reason: list[str]) -> tuple[str, list[Callable]] | None:
+    """Kind of the result and the functions to apply, innermost first."""
+    text = text.strip()
+    if text.lower() == "value":
+        return "t", []
+    for pattern, build in _COMPILED:
+        m = pattern.fullmatch(text)
+        if m is None or (inner := _steps(m["x"], reason)) is None:
+            continue
+        try:
+            kind, make = build(inner[0], m)
+            return kind, [*inner[1], make]
+        except TransformError as e:
+            reason.append(str(e))
+    return None
 
 
 def is_identity(text: str | None) -> bool:
@@ -306,25 +290,32 @@ def is_identity(text: str | None) -> bool:
     return text is None or text.strip() == "" or text.strip() == "None"
 
 
-def to_spark_sql(text: str, value_sql: str = "value") -> str:
-    """Whitelisted rewrite of a transformation to Spark SQL text over ``value_sql``."""
-    if is_identity(text):
-        return value_sql
-    return _Translator(_tokens(text), value_sql).whole()[0]
+def compiled(text: str) -> list[Callable[[Column], Column]]:
+    """The functions that a transformation is made of; TransformError when the
+    text fits no shape."""
+    if len(text) > MAX_TEXT:
+        raise TransformError(f"more than {MAX_TEXT} characters")
+    reason: list[str] = []
+    found = _steps(text, reason)
+    if found is None:
+        raise TransformError(reason[0] if reason else f"none of the allowed shapes: {text.strip()[:80]}")
+    return found[1]
 
 
-def apply_transform(text: str | None, value: Column, tmp_name: str) -> Column:
-    """Column for ``text`` applied to ``value``; ``tmp_name`` must name ``value``
-    in the enclosing projection (the expression refers to it by name)."""
+def apply_transform(text: str | None, value: Column) -> Column:
+    """Column for ``text`` applied to ``value`` (a text column)."""
     if is_identity(text):
         return value
-    return F.expr(to_spark_sql(text, f"`{tmp_name}`"))
+    for make in compiled(text):
+        value = make(value)
+    return value
 
 
 def validate(text: str | None) -> str | None:
     """None when the transformation is allowed, else the reason."""
     try:
-        to_spark_sql(text or "")
+        if not is_identity(text):
+            compiled(text)
         return None
     except TransformError as e:
         return str(e)

@@ -1,30 +1,34 @@
 """Mapping application: compile approved mappings into one typed projection.
 
-All approved source paths of a target table are merged into a prefix tree
-and turned into **one** ``from_xml`` schema in which every step is an
-``ARRAY<STRUCT<..>>`` and leaves are ``ARRAY<STRING>``.  Reading
-``step[0]`` at every level reproduces first-matching-child navigation
-(a missing step gives NULL), and the document is parsed once per table
-no matter how many columns are mapped.  Coercion, transformations and
-output all stay built-in Spark expressions.
-
-The mapping list itself is configuration (one row per target column): it
-is collected to the driver behind a size check, never the documents.
+All approved source paths of a target table are merged into a prefix tree,
+and one Arrow-batched pass reads them from every document: each document is
+parsed once per table no matter how many columns are mapped, by the parser
+that flattening uses, so both agree on which documents can be read.  At each
+step the first matching child is taken (a missing step gives NULL); with a
+record path every element of it is followed.  The built-in ``from_xml`` is not
+used: it folds the case of names, keeps one piece of text around comments and
+children, and reads documents with rubbish after the end.  Coercion,
+transformations and output are built-in Spark expressions.
+
+The mapping list itself is configuration (one row per target column) and is
+collected to the driver, never the documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docmap.functions import transform as tx
 from docmap.functions.types import coerce_by_rule, coerce_declared, name_rule
-
-MAX_MAPPINGS = 10_000  # size bound of the driver-side compile step
-
+from docmap.functions.xmlnodes import Wanted
+from docmap.session import ensure_worker_code
 
 # ------------------------------------------------------------------ X1 / X2
 def is_surrogate_key(col: Column) -> Column:
@@ -50,22 +54,6 @@ def first_wins(mappings: DataFrame, order_cols: list[str], skip_ids: bool = True
 
 
 # ------------------------------------------------------------------ X3 compile
-@dataclass
-class _Node:
-    children: dict[str, "_Node"] = field(default_factory=dict)
-    attrs: set[str] = field(default_factory=set)
-    is_value: bool = False
-
-    def ddl(self) -> str:
-        # a leaf is a struct too: its text is told from markup by the schema,
-        # whatever characters it starts with
-        parts = [f"`{k}`: ARRAY<{v.ddl()}>" for k, v in self.children.items()]
-        parts += [f"`_{a}`: STRING" for a in sorted(self.attrs)]
-        if self.is_value or not parts:
-            parts.append("`_VALUE`: STRING")
-        return f"STRUCT<{', '.join(parts)}>"
-
-
 def split_path(path: str, root: str) -> tuple[list[str], str | None]:
     """Steps below the root element and an optional trailing ``@attribute``.
 
@@ -87,87 +75,90 @@ def split_path(path: str, root: str) -> tuple[list[str], str | None]:
     return steps, attr
 
 
-class PathCompiler:
-    """Prefix tree of the paths one projection needs (optionally below a record path)."""
-
-    def __init__(self, root: str, record_path: str | None = None):
-        self.root = root
-        self.tree = _Node()
-        self.record_steps = None
-        if record_path:
-            self.record_steps, _ = split_path(record_path, root)
-            self._add(self.tree, self.record_steps, None, mark=False)
-
-    def _add(self, node: _Node, steps: list[str], attr: str | None, mark: bool = True):
-        for s in steps:
-            node = node.children.setdefault(s, _Node())
-        if attr:
-            node.attrs.add(attr)
-        elif mark:
-            node.is_value = True
-
-    def add(self, path: str) -> bool:
-        steps, attr = split_path(path, self.root)
-        if steps is None or (not steps and not attr):
-            return False
-        self._add(self.tree, steps, attr)
-        return True
-
-    def schema(self) -> str:
-        parts = [f"`{k}` ARRAY<{v.ddl()}>" for k, v in self.tree.children.items()]
-        parts += [f"`_{a}` STRING" for a in sorted(self.tree.attrs)]
-        parts.append("`_corrupt_record` STRING")
-        return ", ".join(parts)
-
-    def _leaf(self, base: Column, node: _Node, steps: list[str], attr: str | None) -> Column:
-        c, n = base, node
-        for s in steps:
-            n = n.children[s]
-            c = c[s][0]
-        if attr:
-            return c[f"_{attr}"]
-        return c["_VALUE"]
-
-    def accessor(self, parsed: Column, record: Column | None, path: str) -> Column | None:
-        steps, attr = split_path(path, self.root)
-        if steps is None:
-            return None
-        rs = self.record_steps
-        if record is not None and rs and steps[:len(rs)] == rs and (len(steps) > len(rs) or attr):
-            n = self.tree
-            for s in rs:
-                n = n.children[s]
-            return self._leaf(record, n, steps[len(rs):], attr)
-        return self._leaf(parsed, self.tree, steps, attr)
-
-    def record_array(self, parsed: Column) -> Column:
-        c = parsed
-        for i, s in enumerate(self.record_steps):
-            c = c[s] if i == len(self.record_steps) - 1 else c[s][0]
-        return c
-
-
-XML_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record",
-               "ignoreNamespace": "true", "attributePrefix": "_", "valueTag": "_VALUE",
-               "ignoreSurroundingSpaces": "false"}
-
-
-# Every repetition below is over one character class or a lazy dot: the
-# regex engine walks those in a loop, while a repeated group would recurse
-# once per character and overflow the stack on a long comment.
-_START_TAG = r"<(?:[\p{L}_][\w.\-]*+:)?([\p{L}_][\w.\-]*+)"
-_PLAIN_PROLOG = r"(?U)^\x{FEFF}?\s*+(?:<\?xml\s[^?]*+\?>\s*+)?" + _START_TAG
-_PROLOG_PARTS = [r"(?s)<!--.*?-->", r"(?s)<\?.*?\?>", r"(?s)<!DOCTYPE[^\[>]*+(?:\[.*?\]\s*+)?>"]
-
-
-def root_name(raw: Column) -> Column:
-    """Local name of the document element (after byte-order mark, prolog,
-    comments, processing instructions and document type)."""
-    bare = raw
-    for part in _PROLOG_PARTS:
-        bare = F.regexp_replace(bare, part, "")
-    plain = F.regexp_extract(raw, _PLAIN_PROLOG, 1)
-    return F.when(plain != "", plain).otherwise(F.regexp_extract(bare, "(?U)" + _START_TAG, 1))
+def compile_paths(paths: list[str], root: str, record_path: str | None = None) -> tuple[list[Wanted], list[str]]:
+    """Prefix trees of ``paths`` (one for each step of the record path) and the
+    record path's steps.  A path hangs on the last record ancestor it shares;
+    one that cannot be reached from ``root`` stays without a place."""
+    steps = split_path(record_path, root)[0] if record_path else []
+    if steps is None or (record_path and not steps):
+        raise ValueError(f"record path {record_path} is not below {root}")
+    levels = [Wanted() for _ in range(len(steps) + 1)]
+    for place, path in enumerate(paths):
+        below, attr = split_path(path, root) if path else (None, None)
+        if below is None or (not below and attr is None):
+            continue
+        k = 0
+        while k < len(steps) and k < len(below) and below[k] == steps[k]:
+            k += 1
+        levels[k].add(below[k:], attr, place)
+    return levels, steps
+
+
+VALUES_PER_BATCH = 200_000  # values after which a task hands on what it has
+
+
+def read_paths(docs: DataFrame, paths: list[str], key_cols: list[str], root: str = "Session", raw_col: str = "raw_xml",
+               record_path: str | None = None) -> DataFrame:
+    """One parse of every document -> keys, ``parse_error``, ``values``.
+
+    ``values`` holds the text at each of ``paths`` (null: absent, empty text:
+    present and empty).  Names are compared exactly, without namespace
+    prefixes; text is all of an element's own text.  A document that does not
+    parse, or has another document element, is one row with ``parse_error``
+    and null values.  With ``record_path`` every record is a row, with
+    ``record_index`` (running number, null where an ancestor has no record)
+    and ``record_ordinals`` (its number among its siblings at every step).
+    """
+    ensure_worker_code(docs.sparkSession)
+    levels, steps = compile_paths(paths, root, record_path)
+    src = docs.select(*key_cols, raw_col)
+    n, width = len(paths), max(1, len(paths))
+    types = T.StructType([src.schema[k] for k in key_cols] + [
+        T.StructField("parse_error", T.StringType()), T.StructField("record_index", T.IntegerType()),
+        T.StructField("record_ordinals", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.StringType()))])
+    out_schema = to_arrow_schema(types)
+
+    def fn(batches):
+        from docmap.functions.xmlnodes import local_name, parse, record_rows
+        source, rows = [], {c: [] for c in ("parse_error", "record_index", "record_ordinals", "values")}
+
+        def flush(part):
+            at = pa.array(source, pa.int32())
+            done = pa.RecordBatch.from_arrays(
+                [part.column(k).take(at).cast(out_schema.field(k).type) for k in key_cols]
+                + [pa.array(v, out_schema.field(c).type) for c, v in rows.items()], schema=out_schema)
+            source.clear()
+            for v in rows.values():
+                v.clear()
+            return done
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                for i, raw in enumerate(part.column(raw_col).to_pylist()):
+                    doc, error = parse(raw)
+                    if doc is not None and local_name(doc.tag) != root:
+                        error = f"other document element: {local_name(doc.tag)}"
+                    if error is not None:
+                        source.append(i)
+                        for c, v in (("parse_error", error), ("record_index", None), ("record_ordinals", None), ("values", [None] * n)):
+                            rows[c].append(v)
+                        continue
+                    count = 0
+                    for ordinals, values in record_rows(doc, levels, steps, n):
+                        whole = bool(steps) and ordinals[-1] is not None
+                        source.append(i)
+                        rows["parse_error"].append(None)
+                        rows["record_index"].append(count if whole else None)
+                        rows["record_ordinals"].append(ordinals)
+                        rows["values"].append(values)
+                        count += whole
+                        if len(source) * width >= VALUES_PER_BATCH:
+                            yield flush(part)
+                if source:
+                    yield flush(part)
+
+    return src.mapInArrow(fn, types)
 
 
 @dataclass
@@ -178,10 +169,9 @@ class CompiledMapping:
     sql_type: str | None
 
 
-def collect_mappings(mappings: DataFrame, order_cols: list[str] | None = None,
-                     limit: int = MAX_MAPPINGS) -> list[CompiledMapping]:
-    """Bring a (small) approved-mapping set to the driver in input order, with a
-    size check: more than ``limit`` rows is an error, never a silent cut."""
+def collect_mappings(mappings: DataFrame, order_cols: list[str] | None = None) -> list[CompiledMapping]:
+    """Bring the approved mappings of one target table to the driver in input
+    order: after ``first_wins`` at most one row for each of its columns."""
     cols = mappings.columns
     order_cols = order_cols if order_cols is not None else [c for c in ("ord",) if c in cols]
     sel = [F.col("target_column"), F.col("source_node"),
@@ -190,58 +180,58 @@ def collect_mappings(mappings: DataFrame, order_cols: list[str] | None = None,
     m = mappings.select(*sel, *order_cols)
     if order_cols:
         m = m.orderBy(*order_cols)
-    rows = m.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} mappings for one projection; split by target table")
-    return [CompiledMapping(r.target_column, r.source_node, r.t, r.ty) for r in rows]
+    return [CompiledMapping(r.target_column, r.source_node, r.t, r.ty) for r in m.collect()]
+
+
+def typed(m: CompiledMapping, value: Column, mode: str = "declared") -> Column:
+    """One raw value coerced (or transformed) for its target column."""
+    if not tx.is_identity(m.transformation):
+        return tx.apply_transform(m.transformation, value)
+    if mode == "name_rules":
+        return coerce_by_rule(value, name_rule(m.target_column))
+    return coerce_declared(value, m.sql_type or "STRING")
 
 
 def project(docs: DataFrame, mappings: list[CompiledMapping], key_cols: list[str],
             root: str = "Session", raw_col: str = "raw_xml", mode: str = "declared",
             record_path: str | None = None, strings: bool = False,
-            empty_as_blank: bool = False) -> DataFrame:
+            empty_as_blank: bool = False, with_status: bool = False, with_ordinals: bool = False) -> DataFrame:
     """One parse, one projection.
 
     mode ``declared`` coerces by each mapping's ``sql_type``; ``name_rules``
     applies the X4-X8 rules chosen from the column name.  ``strings=True``
     gives the all-string view form (X12, untrimmed); ``empty_as_blank``
     turns missing values into '' (X13).  With ``record_path`` every record
-    below that path becomes one output row (X17) with ``record_index``.
+    below that path becomes one output row (X17) with ``record_index`` (and
+    ``with_ordinals`` its number at every step, ``record_ordinals``).
+
+    Documents that do not parse have no row here; ``with_status`` keeps them,
+    as rows with ``parse_error`` and nulls, so that one pass over the
+    documents gives the typed rows and the ledger of those that failed.
     """
-    pc = PathCompiler(root, record_path)
-    usable = [m for m in mappings if m.source_node and pc.add(m.source_node)]
-    schema = pc.schema()
-    parsed = F.from_xml(F.col(raw_col), schema, XML_OPTIONS)
-    base = docs.select(*key_cols, parsed.alias("_p"), root_name(F.col(raw_col)).alias("_root"))
-    rec = None
-    if record_path:
-        base = base.select("*", F.posexplode_outer(pc.record_array(F.col("_p"))).alias("record_index", "_rec"))
-        rec = F.col("_rec")
-    raw_vals = []
-    for i, m in enumerate(mappings):
-        acc = pc.accessor(F.col("_p"), rec, m.source_node) if m in usable else None
-        v = F.when(F.col("_root") == root, acc) if acc is not None else F.lit(None).cast("string")
-        raw_vals.append(v.alias(f"_v{i}"))
-    extra = ["record_index"] if record_path else []
-    stage = base.select(*key_cols, *extra, *raw_vals)
+    stage = read_paths(docs, [m.source_node for m in mappings], key_cols, root, raw_col, record_path)
+    extra = (["record_index"] if record_path else []) + (["record_ordinals"] if with_ordinals else [])
+    if with_status:
+        extra.append("parse_error")
+    else:
+        stage = stage.where(F.col("parse_error").isNull())
     out = []
     for i, m in enumerate(mappings):
-        v = F.col(f"_v{i}")
-        if strings:
-            c = F.coalesce(v, F.lit("")) if empty_as_blank else v
-        else:
-            if not tx.is_identity(m.transformation):
-                c = tx.apply_transform(m.transformation, v, f"_v{i}")
-            elif mode == "name_rules":
-                c = coerce_by_rule(v, name_rule(m.target_column))
-            else:
-                c = coerce_declared(v, m.sql_type or "STRING")
-            if empty_as_blank:
-                c = F.coalesce(c.cast("string"), F.lit(""))
+        v = F.col("values")[i]
+        c = v if strings else typed(m, v, mode)
+        if empty_as_blank:
+            c = F.coalesce(c.cast("string"), F.lit(""))
         out.append(c.alias(m.target_column))
     return stage.select(*key_cols, *extra, *out)
 
 
+def parse_ledger(docs: DataFrame, key_cols: list[str], root: str = "Session", raw_col: str = "raw_xml") -> DataFrame:
+    """One status row (keys, ``parse_error``) for every document that extraction
+    cannot read."""
+    return (read_paths(docs, [], key_cols, root, raw_col).where(F.col("parse_error").isNotNull())
+            .select(*key_cols, "parse_error"))
+
+
 def string_view(docs: DataFrame, mappings: list[CompiledMapping], id_col: str = "xml_id", root: str = "Session",
                 raw_col: str = "raw_xml", empty_as_blank: bool = False) -> DataFrame:
     """All-string untrimmed view whose first column, ``SOURCE_XML_ID``,
@@ -252,7 +242,6 @@ def string_view(docs: DataFrame, mappings: list[CompiledMapping], id_col: str =
 
 def quarantine_transforms(mappings: DataFrame) -> DataFrame:
     """X15 check as a column: reason text when a transformation is not allowed."""
-    from docmap.session import ensure_worker_code
     ensure_worker_code(mappings.sparkSession)
 
     @F.udf("string")
@@ -310,7 +299,9 @@ def load_tables(docs: DataFrame, mappings: DataFrame, tables: list[str], key_col
     their transformation is not allowed / NO_COLUMNS / FAILED with the error).
     A failing table never stops the others.  Spark runs a table only when it
     is written, so give ``write`` (table name, rows) to have errors of that
-    time in the status as well; without it only the plans are checked.
+    time in the status as well, with ``rows_written`` and the documents that
+    did not parse, both counted while the rows are written; without it only
+    the plans are checked and these are null.
     """
     order_cols = order_cols or ["ord"]
     frames, status = {}, []
@@ -322,15 +313,22 @@ def load_tables(docs: DataFrame, mappings: DataFrame, tables: list[str], key_col
             good = [c for c in compiled if errors[c.target_column] is None]
             bad = [f"{c}: {e}" for c, e in errors.items() if e is not None]
             if not good:
-                status.append((t, "NO_COLUMNS", "; ".join(bad) or "no mapped columns", 0))
+                status.append((t, "NO_COLUMNS", "; ".join(bad) or "no mapped columns", 0, None, None))
                 continue
-            frames[t] = project(docs, good, key_cols, root=root, mode=mode,
-                                record_path=(record_paths or {}).get(t))
+            rows = project(docs, good, key_cols, root=root, mode=mode, record_path=(record_paths or {}).get(t), with_status=True)
+            seen = None
+            if write is not None:
+                seen = Observation()
+                parsed = F.col("parse_error").isNull()
+                rows = rows.observe(seen, F.count_if(parsed).alias("rows"), F.count_if(~parsed).alias("unparsed"))
+            frames[t] = rows.where(F.col("parse_error").isNull()).drop("parse_error")
             if write is not None:
                 write(t, frames[t])
-            status.append((t, "PARTIAL" if bad else "OK", "; ".join(bad) or None, len(good)))
+            counted = (seen.get["rows"], seen.get["unparsed"]) if seen else (None, None)
+            status.append((t, "PARTIAL" if bad else "OK", "; ".join(bad) or None, len(good), *counted))
         except Exception as e:  # noqa: BLE001 - isolate the table, report the error
             frames.pop(t, None)
-            status.append((t, "FAILED", str(e), 0))
-    st = docs.sparkSession.createDataFrame(status, "target_table string, status string, error string, columns int")
+            status.append((t, "FAILED", str(e), 0, None, None))
+    st = docs.sparkSession.createDataFrame(status, "target_table string, status string, error string, columns int, rows_written long, "
+                                                   "unparsed_documents long")
     return frames, st

@@ -75,10 +75,11 @@ def _flatten_fn(key_cols: list[str], raw_col: str, key_types: list[T.DataType]):
 
 
 def xml_nodes(docs: DataFrame, key_cols: list[str] | None = None, raw_col: str = "raw_xml",
-              keep_errors: bool = False) -> DataFrame:
+              keep_errors: bool = True) -> DataFrame:
     """One row per element: keys + ordinal, node_path, node_name,
-    attributes, text (raw), depth.  Documents that do not parse yield one
-    row with ``ordinal = -1`` and ``parse_error`` (kept only if ``keep_errors``).
+    attributes, text (raw), depth.  A document that does not parse is one row
+    with ``ordinal = -1``, ``parse_error`` and nulls, so that no document is
+    lost on the way; ``keep_errors=False`` leaves these rows and the column out.
     """
     key_cols = key_cols or ["xml_id"]
     ensure_worker_code(docs.sparkSession)
@@ -91,6 +92,11 @@ def xml_nodes(docs: DataFrame, key_cols: list[str] | None = None, raw_col: str =
     return out
 
 
+def error_kind(error: str) -> F.Column:
+    """A parse error without its place in the document, to count errors by."""
+    return F.regexp_replace(F.regexp_replace(error, "^parse error: ", ""), ":.*$", "")
+
+
 def parent_path(path) -> F.Column:
     """Path without its last step; NULL for the root (one ``/``)."""
     p = F.col(path) if isinstance(path, str) else path
@@ -99,26 +105,50 @@ def parent_path(path) -> F.Column:
 
 
 def node_profile(nodes: DataFrame) -> DataFrame:
-    """The extractor's per-node metadata row."""
+    """The extractor's per-node metadata row (a document that does
+    not parse has no type)."""
     return nodes.select(
         "*",
         sample_value("text").alias("sample_value"),
-        infer_type("text").alias("data_type"),
+        F.when(F.col("ordinal") >= 0, infer_type("text")).alias("data_type"),
         parent_path("node_path").alias("parent_path"),
     )
 
 
 def document_metadata(profile: DataFrame, key_cols: list[str] | None = None) -> DataFrame:
-    """Per document node count, distinct paths and counts per inferred type."""
+    """Per document node count, distinct paths, counts per inferred type,
+    and ``parse_status`` (the kind of error where the document does not parse,
+    which leaves zeros)."""
     key_cols = key_cols or ["xml_id"]
     types = ["integer", "decimal", "date", "timestamp", "boolean", "string"]
     return profile.groupBy(*key_cols).agg(
-        F.count(F.lit(1)).alias("node_count"),
+        F.count("node_path").alias("node_count"),
         F.count_distinct("node_path").alias("distinct_paths"),
         *[F.count_if(F.col("data_type") == t).alias(f"n_{t}") for t in types],
+        F.coalesce(F.max(error_kind("parse_error")), F.lit("ok")).alias("parse_status"),
     )
 
 
+def node_counts(docs: DataFrame, key_cols: list[str] | None = None, raw_col: str = "raw_xml") -> DataFrame:
+    """Keys and ``node_count`` of every document (0 if it does not
+    parse), counted in the worker: one small row per document is shipped."""
+    key_cols = key_cols or ["xml_id"]
+    ensure_worker_code(docs.sparkSession)
+    src = docs.select(*key_cols, raw_col)
+
+    def fn(batches):
+        from docmap.functions.xmlnodes import parse
+        for batch in batches:
+            counts = []
+            for raw in batch.column(raw_col).to_pylist():
+                root, _ = parse(raw)
+                counts.append(0 if root is None else sum(isinstance(el.tag, str) for el in root.iter()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in key_cols], pa.array(counts, pa.int64())],
+                                             names=[*key_cols, "node_count"])
+
+    return src.mapInArrow(fn, T.StructType([src.schema[k] for k in key_cols] + [T.StructField("node_count", T.LongType())]))
+
+
 UNPARSED = "!unparsed"  # path under which documents that do not parse are counted
 
 

@@ -1,13 +1,13 @@
-"""Quality, statistics and reconciliation (Q1-Q14)."""
+"""Quality, statistics and reconciliation (Q1-Q13; Q14 is in ``rules``)."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmap.functions.types import types_compatible
+from docmap.functions.types import strip_ws, types_compatible
 
 HIGH_CONFIDENCE = 0.8
 LOW_CONFIDENCE = 0.5
@@ -40,17 +40,31 @@ def value_counts(m: DataFrame, col: str, by_count: bool = False) -> DataFrame:
     return g.orderBy(F.desc("n"), col) if by_count else g.orderBy(col)
 
 
-def extraction_coverage(extracted: DataFrame, table: str, columns: list[str]) -> DataFrame:
-    """Q6: per column extracted (non-blank), null and error counts; surrogate
-    ``_ID`` columns skipped.  Unpivot with ``stack`` then one aggregate."""
-    cols = [c for c in columns if "_ID" not in c.upper()]
-    st = extracted.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in cols])))
-    return st.groupBy("column_name").agg(
-        F.count_if(F.col("v").isNotNull() & (F.trim("v") != "")).alias("extracted"),
-        F.count_if(F.col("v").isNull()).alias("nulls"),
-        F.count_if(F.col("v").isNotNull() & (F.trim("v") == "")).alias("blanks"),
-    ).withColumn("target_table", F.lit(table))
+def extraction_coverage(docs: DataFrame, mappings: list, table: str, key_cols: list[str], root: str = "Session",
+                        mode: str = "declared", record_path: str | None = None) -> DataFrame:
+    """Q6: per mapped column how many rows were extracted, absent (no such
+    element), blank, or failed their coercion, and how many documents did not
+    parse; surrogate ``_ID`` columns skipped.
+
+    The raw and the typed value of every column come from the same pass over
+    the documents, and all counts from one aggregate with partial sums.
+    """
+    from docmap.operators.extract import read_paths, typed
+    mappings = [m for m in mappings if "_ID" not in m.target_column.upper()]
+    stage = read_paths(docs, [m.source_node for m in mappings], key_cols, root, record_path=record_path)
+    parsed = F.col("parse_error").isNull()
+    aggs = [F.count_if(~parsed).alias("_unparsed")]
+    for i, m in enumerate(mappings):
+        raw = F.col("values")[i]
+        value = typed(m, raw, mode)
+        blank = strip_ws(raw) == ""
+        aggs += [F.count_if(parsed & raw.isNull()).alias(f"_a{i}"), F.count_if(parsed & blank).alias(f"_b{i}"),
+                 F.count_if(parsed & ~blank & value.isNull()).alias(f"_f{i}"),
+                 F.count_if(parsed & ~blank & value.isNotNull()).alias(f"_x{i}")]
+    return stage.agg(*aggs).select(F.inline(F.array(*[F.struct(
+        F.lit(table).alias("target_table"), F.lit(m.target_column).alias("column_name"), F.col(f"_x{i}").alias("extracted"),
+        F.col(f"_a{i}").alias("absent"), F.col(f"_b{i}").alias("blank"), F.col(f"_f{i}").alias("failed"),
+        F.col("_unparsed").alias("unparsed_documents")) for i, m in enumerate(mappings)])))
 
 
 def metadata_check(nodes: DataFrame) -> DataFrame:
@@ -94,10 +108,11 @@ def type_compatibility(df: DataFrame, source_col: str, target_col: str) -> DataF
 
 
 def dictionary_summary(catalog: DataFrame, table_col: str = "table_name",
-                       type_col: str = "data_type") -> DataFrame:
+                       type_col: str = "data_type", weight: Column | None = None) -> DataFrame:
     """Q12: per table column count and data-type histogram (sorted ``k=v`` text);
-    two aggregates, both bounded by (tables x types)."""
-    per_type = catalog.groupBy(table_col, type_col).agg(F.count(F.lit(1)).alias("n"))
+    two aggregates, both bounded by (tables x types).  A row counts once, or
+    ``weight`` times."""
+    per_type = catalog.groupBy(table_col, type_col).agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
     return per_type.groupBy(table_col).agg(
         F.sum("n").alias("column_count"),
         F.array_join(F.array_sort(F.collect_list(F.format_string("%s=%d", F.col(type_col), F.col("n")))), ",")
@@ -109,6 +124,27 @@ def dictionary_totals(summary: DataFrame) -> DataFrame:
     return summary.agg(F.count(F.lit(1)).alias("tables"), F.coalesce(F.sum("column_count"), F.lit(0)).cast("bigint").alias("columns"))
 
 
+def _counted_values(source: DataFrame, target: DataFrame, keys: list[str], compare: list[str]) -> DataFrame:
+    """Per key and compared values (as one JSON text, so that the aggregates
+    hash): ``_s`` source rows and ``_d`` how many more they are than target's."""
+    value = F.to_json(F.struct(*compare), {"ignoreNullFields": "false"}).alias("_v")
+    both = (source.select(*keys, value, F.lit(1).alias("_d"), F.lit(1).alias("_s"))
+            .unionByName(target.select(*keys, value, F.lit(-1).alias("_d"), F.lit(0).alias("_s"))))
+    return both.groupBy(*keys, "_v").agg(F.sum("_d").alias("_d"), F.sum("_s").alias("_s"))
+
+
+def _per_key(values: DataFrame, keys: list[str]) -> DataFrame:
+    d = F.col("_d")
+    per_key = values.groupBy(*keys).agg(
+        F.sum("_s").alias("source_count"), F.sum(F.col("_s") - d).alias("target_count"),
+        F.sum(F.col("_s") - F.greatest(d, F.lit(0))).alias("match_count"))
+    s, t = F.col("source_count"), F.col("target_count")
+    return per_key.withColumns({
+        "mismatch_count": F.least(s, t) - F.col("match_count"),
+        "missing_in_target": F.greatest(s - t, F.lit(0).cast("bigint")),
+        "extra_in_target": F.greatest(t - s, F.lit(0).cast("bigint"))})
+
+
 def key_differences(source: DataFrame, target: DataFrame, keys: list[str], compare: list[str]) -> DataFrame:
     """Q13 per key: source and target rows, matches, mismatches, missing, extra.
 
@@ -118,36 +154,38 @@ def key_differences(source: DataFrame, target: DataFrame, keys: list[str], compa
     and the surplus is missing or extra.  No join: both sides are added up,
     with partial counts before the shuffle, so a hot key is no hot task.
     """
-    cols = [*keys, *compare]
-    both = (source.select(*cols, F.lit(1).alias("_s"), F.lit(0).alias("_t"))
-            .unionByName(target.select(*cols, F.lit(0).alias("_s"), F.lit(1).alias("_t"))))
-    values = both.groupBy(*cols).agg(F.sum("_s").alias("_s"), F.sum("_t").alias("_t"))
-    per_key = values.groupBy(*keys).agg(
-        F.sum("_s").alias("source_count"), F.sum("_t").alias("target_count"),
-        F.sum(F.least("_s", "_t")).alias("match_count"))
-    s, t = F.col("source_count"), F.col("target_count")
-    return per_key.withColumns({
-        "mismatch_count": F.least(s, t) - F.col("match_count"),
-        "missing_in_target": F.greatest(s - t, F.lit(0).cast("bigint")),
-        "extra_in_target": F.greatest(t - s, F.lit(0).cast("bigint"))})
+    return _per_key(_counted_values(source, target, keys, compare), keys)
 
 
-def reconcile(source: DataFrame, target: DataFrame, keys: list[str], compare: list[str]) -> DataFrame:
+def reconcile(source: DataFrame, target: DataFrame, keys: list[str], compare: list[str], sample: int = 5) -> DataFrame:
     """Q13: one row of totals over ``key_differences`` with a status and
-    ``details`` (JSON: keys compared, and keys with each kind of difference)."""
-    d = key_differences(source, target, keys, compare)
+    ``details``, a VARIANT: keys compared, keys with each kind of difference,
+    and of the differing keys the ``sample`` least (NULL first) with the least
+    value that either side has more often.
+
+    The sample is a top-k: each task keeps its ``sample`` least keys and these
+    are merged, so it does not depend on how the rows are dealt.  Its values
+    are looked up for those few keys alone; both read the totals' exchanges.
+    """
+    values = _counted_values(source, target, keys, compare)
+    d = _per_key(values, keys)
     counts = ["source_count", "target_count", "match_count", "mismatch_count", "missing_in_target", "extra_in_target"]
     kinds = counts[3:]
-    r = d.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counts],
-              F.count(F.lit(1)).alias("keys_compared"), *[F.count_if(F.col(c) > 0).alias(f"keys_{c}") for c in kinds])
+    totals = d.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counts],
+                   F.count(F.lit(1)).alias("keys_compared"), *[F.count_if(F.col(c) > 0).alias(f"keys_{c}") for c in kinds])
+    in_order = [F.asc_nulls_first(k) for k in keys]
+    least = d.where((F.col("mismatch_count") > 0) | (F.col("missing_in_target") > 0) | (F.col("extra_in_target") > 0)).orderBy(*in_order).limit(sample)
+    least = least.withColumn("n", F.row_number().over(Window.orderBy(*in_order)))  # over ``sample`` rows
+    wanted = least.select("n", *kinds, *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    # (_s is never negative: it is named so that this plan's exchange has the
+    # totals' columns and is read again, not computed again)
+    rest = (values.where((F.col("_d") != 0) | (F.col("_s") < 0)).join(F.broadcast(wanted), same).groupBy("n", *kinds, *keys)
+            .agg(F.min(F.when(F.col("_d") > 0, F.col("_v"))).alias("source_value"), F.min(F.when(F.col("_d") < 0, F.col("_v"))).alias("target_value")))
+    item = F.struct("n", F.struct(*[F.col(k).cast("string").alias(k) for k in keys]).alias("key"), *kinds, "source_value", "target_value").alias("_item")
+    both = totals.unionByName(rest.select(item), allowMissingColumns=True)
+    r = both.agg(*[F.max(c).alias(c) for c in totals.columns], F.array_sort(F.collect_list("_item")).alias("sample"))
     status = F.when((F.col("mismatch_count") == 0) & (F.col("missing_in_target") == 0)
                     & (F.col("extra_in_target") == 0), "MATCHED").otherwise("DIFFERENCES")
-    details = F.to_json(F.struct("keys_compared", *[f"keys_{c}" for c in kinds]))
+    details = F.parse_json(F.to_json(F.struct(*totals.columns[len(counts):], "sample")))
     return r.select(*counts, status.alias("status"), details.alias("details"))
-
-
-def conformance(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """Q14: violation count per rule (rule name -> predicate that must hold)."""
-    return df.agg(*[F.count_if(~F.coalesce(p, F.lit(False))).alias(name) for name, p in rules.items()]) \
-        .select(F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations"))
-                                   for n in rules])))

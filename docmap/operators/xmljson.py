@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmap.functions.transform import apply_transform, is_identity
+from docmap.functions.transform import apply_transform
 from docmap.session import ensure_worker_code
 
 
@@ -54,12 +54,8 @@ def stage_view(stage: DataFrame, target_table: str, mappings: list[tuple[str, st
     transformation over the key's value or the key's value as text.
     The key is the last step of the source path."""
     s = stage.where((F.col("target_table") == target_table) & (F.col("processed") == F.lit(False)))
-    vals, outs = [], []
-    for i, (src, col, logic) in enumerate(mappings):
+    outs = []
+    for src, col, logic in mappings:
         key = src.rstrip("/").split("/")[-1]
-        vals.append(F.try_variant_get(F.col("xml_data"), f"$.{key}", "string").alias(f"_v{i}"))
-    base = s.select("staging_id", "xml_id", *vals)
-    for i, (src, col, logic) in enumerate(mappings):
-        v = F.col(f"_v{i}")
-        outs.append((v if is_identity(logic) else apply_transform(logic, v, f"_v{i}")).alias(col))
-    return base.select("staging_id", "xml_id", *outs)
+        outs.append(apply_transform(logic, F.try_variant_get(F.col("xml_data"), f"$.{key}", "string")).alias(col))
+    return s.select("staging_id", "xml_id", *outs)

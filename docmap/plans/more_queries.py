@@ -12,7 +12,7 @@ from docmap.operators import cost as C
 from docmap.operators import detect as D
 from docmap.operators import quality as QL
 from docmap.operators import references as R
-from docmap.operators.nodes import node_profile, xml_nodes
+from docmap.operators.nodes import UNPARSED, error_kind, node_counts, node_profile, path_summary, xml_nodes
 from docmap.operators.predict import ROUTING, SECTION_KEYWORDS, parse_replies, predict
 from docmap.plans import sqlparts as Q
 from docmap.plans.doc_mappings import COVERAGE_RECORD, DOC_MAPPINGS
@@ -111,7 +111,8 @@ SELECT doc AS o_orderkey, part, CASE WHEN raw / max_score >= 0.2 THEN product EN
        CAST(raw AS DECIMAL(10,2)) AS raw_score, product_name, CAST(km AS BIGINT) AS keyword_matches,
        CAST(nm AS BIGINT) AS node_matches, CAST(am AS BIGINT) AS attribute_matches,
        CAST(round(fs, 4) AS DECIMAL(10,4)) AS fuzzy_score
-FROM top"""
+FROM top
+UNION ALL SELECT o_orderkey, part, NULL, CAST(0 AS DECIMAL(10,4)), NULL, NULL, NULL, NULL, NULL, NULL FROM all_docs WHERE parse_error IS NOT NULL"""
 
 
 @query("product_detect", _product_detect_sql())
@@ -258,7 +259,8 @@ SELECT d.o_orderkey, d.part, CAST(d.o_orderkey AS VARCHAR) AS policy_number, {ac
        count(r.l_orderkey) AS n_coverages,
        CAST(max(CASE WHEN r.record_index = 0 THEN r.l_partkey END) AS VARCHAR) AS first_coverage_code
 FROM docs d LEFT JOIN recs r ON r.l_orderkey = d.o_orderkey AND r.part = d.part
-GROUP BY d.o_orderkey, d.part, d.c_mktsegment, d.c_custkey"""
+GROUP BY d.o_orderkey, d.part, d.c_mktsegment, d.c_custkey
+UNION ALL SELECT o_orderkey, part, NULL, NULL, NULL, 0, NULL FROM all_docs WHERE parse_error IS NOT NULL"""
 
 
 def _json_q(spark, sf, convention: str, account_path: str):
@@ -309,8 +311,7 @@ SELECT xpath AS source_node, target_table, target_column, CAST(NULL AS VARCHAR)
 def predict_mappings(spark, sf):
     """M8/M9: best mapping per document path from approved history (same path,
     then same element name)."""
-    from docmap.operators.nodes import path_summary
-    paths = path_summary(_docs(spark, sf)).select(F.col("node_path").alias("xpath"))
+    paths = path_summary(_docs(spark, sf)).where(F.col("node_path") != UNPARSED).select(F.col("node_path").alias("xpath"))
     hist = mapping_ledger(spark, sf).where("approval_status = 'Approved' AND source_node IS NOT NULL")
     return predict(paths, hist)
 
@@ -342,7 +343,6 @@ SELECT xpath AS source_node, target_table, target_column, CAST(NULL AS VARCHAR)
 def predict_mappings_similarity(spark, sf):
     """M8 tier (c): name similarity of each path's last step to the routed
     table's columns (Arrow UDF on distinct candidate pairs)."""
-    from docmap.operators.nodes import UNPARSED, path_summary
     from docmap.operators.predict import candidates
     from docmap.sources.catalog import catalog_from_schema
     paths = path_summary(_docs(spark, sf)).where(F.col("node_path") != UNPARSED).select(F.col("node_path").alias("xpath"))
@@ -391,10 +391,11 @@ def generic_file_fallback(spark, sf):
 
 @query("document_metadata", _NODES + f"""
 SELECT doc AS o_orderkey, part, count(*) AS node_count, count(DISTINCT node_path) AS distinct_paths,
-       {', '.join(f"count(*) FILTER (WHERE ty = '{t}') AS n_{t}" for t in ('integer', 'decimal', 'date', 'timestamp', 'boolean', 'string'))}
-FROM (SELECT *, {Q.infer_type_sql('text')} AS ty FROM nodes) GROUP BY doc, part""")
+       {', '.join(f"count(*) FILTER (WHERE ty = '{t}') AS n_{t}" for t in ('integer', 'decimal', 'date', 'timestamp', 'boolean', 'string'))}, 'ok' AS parse_status
+FROM (SELECT *, {Q.infer_type_sql('text')} AS ty FROM nodes) GROUP BY doc, part
+UNION ALL SELECT o_orderkey, part, 0, 0, 0, 0, 0, 0, 0, 0, parse_error FROM all_docs WHERE parse_error IS NOT NULL""")
 def document_metadata_q(spark, sf):
-    """Nodes, distinct paths and nodes per type of every document."""
+    """Nodes, distinct paths, nodes per type and parse status of every document."""
     from docmap.operators.nodes import document_metadata
     return document_metadata(node_profile(xml_nodes(_docs(spark, sf), DOC_KEYS)), DOC_KEYS)
 
@@ -450,12 +451,13 @@ def _cost_sql_cols(n: str, c: str, h: str) -> str:
 
 
 @query("cost_estimate", _NODES + f"""
-SELECT doc AS o_orderkey, part, count(*) AS node_count,
-       {_cost_sql_cols('count(*)', str(N_COLUMNS), str(N_HISTORY))}
-FROM nodes GROUP BY doc, part""")
+SELECT doc AS o_orderkey, part, node_count, {_cost_sql_cols('node_count', str(N_COLUMNS), str(N_HISTORY))}
+FROM (SELECT doc, part, count(*) AS node_count FROM nodes GROUP BY doc, part
+      UNION ALL SELECT o_orderkey, part, 0 FROM all_docs WHERE parse_error IS NOT NULL)""")
 def cost_estimate(spark, sf):
-    """Token and cost estimate per document (nodes x catalog columns x history)."""
-    n = xml_nodes(_docs(spark, sf), DOC_KEYS).groupBy(*DOC_KEYS).agg(F.count(F.lit(1)).alias("node_count"))
+    """Token and cost estimate per document (nodes x catalog columns x
+    history); a document that does not parse has no nodes."""
+    n = node_counts(_docs(spark, sf), DOC_KEYS)
     e = C.estimate_cost(n, F.col("node_count"), F.lit(N_COLUMNS), F.lit(N_HISTORY))
     return e.drop("model")
 
@@ -499,13 +501,19 @@ typed AS (SELECT DISTINCT CASE WHEN length(node_path) - length(replace(node_path
 per AS (SELECT parent_path, data_type, count(*) AS n FROM typed WHERE parent_path IS NOT NULL GROUP BY 1, 2)
 SELECT parent_path, CAST(sum(n) AS BIGINT) AS column_count,
        string_agg(data_type || '=' || n, ',' ORDER BY data_type || '=' || n) AS type_histogram
-FROM per GROUP BY parent_path""")
+FROM per GROUP BY parent_path
+UNION ALL SELECT '!unparsed', 0, string_agg(parse_error || '=' || n, ',' ORDER BY parse_error || '=' || n)
+FROM (SELECT parse_error, count(*) AS n FROM all_docs WHERE parse_error IS NOT NULL GROUP BY 1) HAVING count(*) > 0""")
 def dictionary_summary(spark, sf):
-    """Q12: per document section (parent path): typed columns and type histogram."""
+    """Q12: per document section (parent path): typed columns and type
+    histogram; documents that do not parse are counted by kind of error."""
     p = node_profile(xml_nodes(_docs(spark, sf), DOC_KEYS))
-    cat = p.where(F.col("parent_path").isNotNull()).select("parent_path", "node_path", "data_type").distinct()
-    return QL.dictionary_summary(cat, "parent_path", "data_type").withColumn(
-        "column_count", F.col("column_count").cast("bigint"))
+    bad = F.col("ordinal") < 0
+    cat = p.where(bad | F.col("parent_path").isNotNull()).groupBy(
+        F.when(bad, UNPARSED).otherwise(F.col("parent_path")).alias("parent_path"), "node_path",
+        F.when(bad, error_kind("parse_error")).otherwise(F.col("data_type")).alias("data_type")).agg(F.count(F.lit(1)).alias("n"))
+    summary = QL.dictionary_summary(cat, "parent_path", "data_type", F.when(F.col("parent_path") == UNPARSED, F.col("n")).otherwise(1))
+    return summary.withColumn("column_count", F.when(F.col("parent_path") == UNPARSED, 0).otherwise(F.col("column_count")).cast("bigint"))
 
 
 _PLANTED_SQL = """
@@ -529,18 +537,30 @@ j AS (SELECT coalesce(sn.k1, tn.k1) AS k1, coalesce(sn.k2, tn.k2) AS k2, coalesc
         AND sn.rn = tn.rn),
 k AS (SELECT k1, k2, k3, k4, count(*) FILTER (WHERE in_s) AS s, count(*) FILTER (WHERE in_t) AS t,
              count(*) FILTER (WHERE in_s AND in_t) AS m FROM j GROUP BY ALL),
-x AS (SELECT *, least(s, t) - m AS mm, greatest(s - t, 0) AS mi, greatest(t - s, 0) AS ex FROM k)
+x AS (SELECT *, least(s, t) - m AS mm, greatest(s - t, 0) AS mi, greatest(t - s, 0) AS ex FROM k),
+top AS (SELECT *, row_number() OVER (ORDER BY k1 NULLS FIRST, k2, k3, k4) AS n FROM x WHERE mm + mi + ex > 0
+        ORDER BY k1 NULLS FIRST, k2, k3, k4 LIMIT 5),
+vals AS (SELECT k1, k2, k3, k4, '{"q":' || q || ',"a":' || a || ',"d":"' || d || '"}' AS v, sum(w) AS dd
+         FROM (SELECT *, 1 AS w FROM s UNION ALL SELECT *, -1 FROM t) GROUP BY ALL HAVING sum(w) <> 0),
+least AS (SELECT n, '{"extra_in_target":' || ex || ',"key":{' || CASE WHEN top.k1 IS NULL THEN '' ELSE '"k1":"' || top.k1 || '",' END
+            || '"k2":"' || top.k2 || '","k3":"' || top.k3 || '","k4":"' || top.k4 || '"},"mismatch_count":' || mm || ',"missing_in_target":' || mi
+            || ',"n":' || n || coalesce(',"source_value":"' || replace(min(v) FILTER (WHERE dd > 0), '"', '\\"') || '"', '')
+            || coalesce(',"target_value":"' || replace(min(v) FILTER (WHERE dd < 0), '"', '\\"') || '"', '') || '}' AS item
+          FROM top LEFT JOIN vals ON vals.k1 IS NOT DISTINCT FROM top.k1 AND vals.k2 = top.k2 AND vals.k3 = top.k3 AND vals.k4 = top.k4
+          GROUP BY n, top.k1, top.k2, top.k3, top.k4, mm, mi, ex)
 SELECT CAST(sum(s) AS BIGINT) AS source_count, CAST(sum(t) AS BIGINT) AS target_count, CAST(sum(m) AS BIGINT) AS match_count,
        CAST(sum(mm) AS BIGINT) AS mismatch_count, CAST(sum(mi) AS BIGINT) AS missing_in_target,
        CAST(sum(ex) AS BIGINT) AS extra_in_target,
        CASE WHEN sum(mm) = 0 AND sum(mi) = 0 AND sum(ex) = 0 THEN 'MATCHED' ELSE 'DIFFERENCES' END AS status,
-       '{"keys_compared":' || count(*) || ',"keys_mismatch_count":' || count(*) FILTER (WHERE mm > 0)
+       '{"keys_compared":' || count(*) || ',"keys_extra_in_target":' || count(*) FILTER (WHERE ex > 0)
+         || ',"keys_mismatch_count":' || count(*) FILTER (WHERE mm > 0)
          || ',"keys_missing_in_target":' || count(*) FILTER (WHERE mi > 0)
-         || ',"keys_extra_in_target":' || count(*) FILTER (WHERE ex > 0) || '}' AS details
+         || (SELECT ',"sample":[' || coalesce(string_agg(item, ',' ORDER BY n), '') || ']}' FROM least) AS details
 FROM x""")
 def reconcile(spark, sf):
     """Q13: line items vs COVERAGE records extracted from the documents, with
-    planted NULL keys, dropped rows, changed values and repeated rows."""
+    planted NULL keys, dropped rows, changed values, repeated rows and
+    documents that do not parse; the five least differing keys in ``details``."""
     k3 = F.col("k3")
     k1 = F.when(k3 % 101 != 0, F.col("k1")).alias("k1")
     rest = ["k2", "k3", "k4"]
@@ -555,7 +575,8 @@ def reconcile(spark, sf):
     changed = F.when(k3 % 89 == 0, F.col("q") + 1).otherwise(F.col("q")).cast("decimal(15,2)").alias("q")
     times = F.when(k3 % 83 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     tgt = tgt.where(k3 % 97 != 0).select(k1, *rest, changed, "a", "d", F.explode(times).alias("_copy")).drop("_copy")
-    return QL.reconcile(li.select(k1, *rest, "q", "a", "d"), tgt, ["k1", *rest], ["q", "a", "d"])
+    r = QL.reconcile(li.select(k1, *rest, "q", "a", "d"), tgt, ["k1", *rest], ["q", "a", "d"])
+    return r.withColumn("details", F.to_json("details"))
 
 
 @query("dictionary_totals", _NODES + """
@@ -565,28 +586,129 @@ SELECT count(DISTINCT CASE WHEN length(node_path) - length(replace(node_path, '/
 FROM nodes""")
 def dictionary_totals(spark, sf):
     """Q12: number of sections and of their fields in all."""
-    from docmap.operators.nodes import UNPARSED, parent_path, path_summary
+    from docmap.operators.nodes import parent_path
     paths = path_summary(_docs(spark, sf)).where(F.col("node_path") != UNPARSED)
     cat = paths.select(parent_path("node_path").alias("parent_path"), F.lit("any").alias("data_type")).where("parent_path IS NOT NULL")
     return QL.dictionary_totals(QL.dictionary_summary(cat, "parent_path", "data_type"))
 
 
-@query("rule_conformance", """
-SELECT 'total_premium_positive' AS rule, count(*) FILTER (WHERE NOT coalesce(o_totalprice > 0, false)) AS violations FROM orders
-UNION ALL SELECT 'order_date_present', count(*) FILTER (WHERE o_orderdate IS NULL) FROM orders
-UNION ALL SELECT 'quantity_positive', count(*) FILTER (WHERE NOT coalesce(l_quantity > 0, false)) FROM lineitem
-UNION ALL SELECT 'discount_in_range', count(*) FILTER (WHERE NOT coalesce(l_discount BETWEEN 0 AND 0.1, false)) FROM lineitem
-UNION ALL SELECT 'ship_after_order', count(*) FILTER (WHERE NOT coalesce(l_shipdate >= o_orderdate, false))
-  FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
+# Dictionary rows of the source tables: table, column, type, rule sentences.
+DICTIONARY = [
+    ("orders", "o_orderkey", "BIGINT", "Must be unique and not null. Primary key."),
+    ("orders", "o_custkey", "BIGINT", "Must be unique within customer. Foreign key to CUSTOMER table. Not null."),
+    ("orders", "o_orderstatus", "VARCHAR(1)", "Values: F, O. Uppercase format preferred."),
+    ("orders", "o_totalprice", "DECIMAL(15,2)", "Must be positive. Includes all fees and taxes."),
+    ("orders", "o_orderdate", "DATE", "Must be a valid date. Must be <= current date. Not null."),
+    ("orders", "o_orderpriority", "INTEGER", "Standardized values only"),
+    ("orders", "o_expiry", "DATE", "Must be after o_orderdate."),
+    ("SILVER.LINEITEM", "l_quantity", "INTEGER", "Positive number. Must be between 1 and 40."),
+    ("SILVER.LINEITEM", "l_discount", "DECIMAL(5,2)", "Can be zero or positive."),
+    ("SILVER.LINEITEM", "l_returnflag", "VARCHAR(1)", "1 chars. Lowercase preferred. Must be one of: A, N, or R."),
+    ("SILVER.LINEITEM", "l_shipdate", "TIMESTAMP_NTZ", "Must be after o_orderdate. Must be before l_receiptdate."),
+    ("customer", "c_acctbal", "DECIMAL(15,2)", "Must be positive. Can be null."),
+    ("customer", "c_mktsegment", "VARCHAR(20)", "Unique"),
+]
+
+
+def _rules_sql() -> str:
+    """The dictionary's rules one by one, written out by hand."""
+    one = lambda table, col, rule, kind, cond, frm: (
+        f"SELECT '{table}' AS table_name, '{col}' AS column_name, '{rule}' AS rule, '{kind}' AS kind, 'checked' AS status, "
+        f"count({col}) AS checked, count(*) FILTER (WHERE {col} IS NOT NULL AND NOT ({cond})) AS violations FROM {frm}")
+    none = lambda table, col, rule, kind, why: (
+        f"SELECT '{table}', '{col}', '{rule}', '{kind}', 'not checked: {why}', NULL, NULL")
+    unique = lambda table, col, rule, kind: (
+        f"SELECT '{table}', '{col}', '{rule}', '{kind}', 'checked', count({col}), count({col}) - count(DISTINCT {col}) FROM {table}")
+    o, li, c = "orders", "lineitem", "customer"
+    lo = "(SELECT * FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+    return " UNION ALL ".join([
+        one(o, "o_orderkey", "BIGINT", "type", "TRUE", o), unique(o, "o_orderkey", "Must be unique and not null", "unique and not null"),
+        unique(o, "o_orderkey", "Primary key", "unique"),
+        one(o, "o_custkey", "BIGINT", "type", "TRUE", o), unique(o, "o_custkey", "Must be unique within customer", "unique"),
+        none(o, "o_custkey", "Foreign key to CUSTOMER table", "unknown", "no shape for this rule"),
+        one(o, "o_custkey", "Not null", "not null", "TRUE", o).replace("count(o_custkey) AS checked", "count(*) AS checked"),
+        one(o, "o_orderstatus", "VARCHAR(1)", "type", "TRUE", o), one(o, "o_orderstatus", "Values: F, O", "list", "o_orderstatus IN (''F'', ''O'')".replace("''", "'"), o),
+        one(o, "o_orderstatus", "Uppercase format preferred", "upper case", "o_orderstatus = upper(o_orderstatus)", o),
+        one(o, "o_totalprice", "DECIMAL(15,2)", "type", "TRUE", o), one(o, "o_totalprice", "Must be positive", "positive", "o_totalprice > 0", o),
+        none(o, "o_totalprice", "Includes all fees and taxes", "unknown", "no shape for this rule"),
+        one(o, "o_orderdate", "DATE", "type", "TRUE", o), one(o, "o_orderdate", "Must be a valid date", "date", "TRUE", o),
+        one(o, "o_orderdate", "Must be <= current date", "date against today", "o_orderdate <= current_date", o),
+        one(o, "o_orderdate", "Not null", "not null", "TRUE", o).replace("count(o_orderdate) AS checked", "count(*) AS checked"),
+        one(o, "o_orderpriority", "INTEGER", "type", "TRY_CAST(o_orderpriority AS INTEGER) IS NOT NULL", o),
+        none(o, "o_orderpriority", "Standardized values only", "unknown", "no shape for this rule"),
+        none(o, "o_expiry", "DATE", "missing column", "no column o_expiry"),
+        none(o, "o_expiry", "Must be after o_orderdate", "missing column", "no column o_expiry"),
+        one(li, "l_quantity", "INTEGER", "type", "TRUE", lo), one(li, "l_quantity", "Positive number", "positive", "l_quantity > 0", lo),
+        one(li, "l_quantity", "Must be between 1 and 40", "range", "l_quantity BETWEEN 1 AND 40", lo),
+        one(li, "l_discount", "DECIMAL(5,2)", "type", "TRUE", lo), one(li, "l_discount", "Can be zero or positive", "not negative", "l_discount >= 0", lo),
+        one(li, "l_returnflag", "VARCHAR(1)", "type", "TRUE", lo), one(li, "l_returnflag", "1 chars", "length", "length(l_returnflag) = 1", lo),
+        one(li, "l_returnflag", "Lowercase preferred", "lower case", "l_returnflag = lower(l_returnflag)", lo),
+        one(li, "l_returnflag", "Must be one of: A, N, or R", "list", "l_returnflag IN ('A', 'N', 'R')", lo),
+        one(li, "l_shipdate", "TIMESTAMP_NTZ", "type", "TRUE", lo),
+        one(li, "l_shipdate", "Must be after o_orderdate", "order of columns", "l_shipdate > o_orderdate", lo),
+        none(li, "l_shipdate", "Must be before l_receiptdate", "order of columns", "no column l_receiptdate"),
+        one(c, "c_acctbal", "DECIMAL(15,2)", "type", "TRUE", c), one(c, "c_acctbal", "Must be positive", "positive", "c_acctbal > 0", c),
+        one(c, "c_acctbal", "Can be null", "nullable", "TRUE", c),
+        one(c, "c_mktsegment", "VARCHAR(20)", "type", "TRUE", c), unique(c, "c_mktsegment", "Unique", "unique")])
+
+
+@query("rule_conformance", _rules_sql())
 def rule_conformance(spark, sf):
-    """Q14: dictionary-style rules as predicates -> violation counts."""
-    o = read_table(spark, sf, "orders")
-    li = read_table(spark, sf, "lineitem")
-    r1 = QL.conformance(o, {"total_premium_positive": F.col("o_totalprice") > 0,
-                            "order_date_present": F.col("o_orderdate").isNotNull()})
-    r2 = QL.conformance(li, {"quantity_positive": F.col("l_quantity") > 0,
-                             "discount_in_range": F.col("l_discount").between(0, 0.1)})
-    j = li.select("l_orderkey", "l_shipdate").join(o.select("o_orderkey", "o_orderdate"),
-                                                   F.col("l_orderkey") == F.col("o_orderkey"))
-    r3 = QL.conformance(j, {"ship_after_order": F.col("l_shipdate") >= F.col("o_orderdate")})
-    return r1.unionByName(r2).unionByName(r3)
+    """Q14: the rules of a dictionary table compiled to predicates, with rows
+    checked and violations, and a row for each rule that cannot be checked."""
+    from docmap.operators.rules import DICTIONARY_SCHEMA, conformance
+    rules = spark.createDataFrame(DICTIONARY, DICTIONARY_SCHEMA)
+    o, li = read_table(spark, sf, "orders"), read_table(spark, sf, "lineitem")
+    lines = li.join(o.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return (conformance(o, "orders", rules).unionByName(conformance(lines, "lineitem", rules))
+            .unionByName(conformance(read_table(spark, sf, "customer"), "customer", rules)))
+
+
+# ================================================================= rank fusion
+def _fusion_names() -> tuple[list[str], list[tuple[str, str]]]:
+    return sorted({p for p, *_ in Q.NODE_SPEC}), [(t, c) for t, cols in SILVER.items() for c, _ in cols]
+
+
+def _predict_fused_sql() -> str:
+    paths, columns = _fusion_names()
+    sim = []
+    for i, path in enumerate(paths):
+        step = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", path.rsplit("/", 1)[1])).lower()
+        sim += [f"({i},{j},{SequenceMatcher(None, step, c.lower()).ratio()!r})" for j, (_, c) in enumerate(columns)]
+    return f"""
+WITH s AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label < 5),
+t AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label >= 5),
+p AS (SELECT s.vec_id AS src_id, t.vec_id AS tgt_id, list_dot_product(s.e, t.e) AS score FROM s, t),
+v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY score DESC, tgt_id) AS vector_rank FROM p) WHERE vector_rank <= 10),
+sim AS (SELECT * FROM (VALUES {', '.join(sim)}) x(i, j, similarity)),
+n AS (SELECT v.*, i, j, row_number() OVER (PARTITION BY src_id ORDER BY similarity DESC, tgt_id) AS name_rank
+      FROM v JOIN sim ON i = src_id % {len(paths)} AND j = tgt_id % {len(columns)}),
+f AS (SELECT *, CAST(1.0 AS DOUBLE) / (60 + vector_rank) + CAST(2.0 AS DOUBLE) / (60 + name_rank) AS fused FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY round(fused, 12) DESC, tgt_id) AS fused_rank FROM f)
+SELECT src_id, tgt_id, {Q.sql_list(paths)}[i + 1] AS xpath, {Q.sql_list([t for t, _ in columns])}[j + 1] AS target_table,
+       {Q.sql_list([c for _, c in columns])}[j + 1] AS target_column, CAST(vector_rank AS INTEGER) AS vector_rank,
+       CAST(name_rank AS INTEGER) AS name_rank, CAST(fused_rank AS INTEGER) AS fused_rank, round(0.5 + 0.4 * fused / (3.0 / 61), 6) AS confidence_score
+FROM r WHERE fused_rank <= 3"""
+
+
+@query("predict_fused", _predict_fused_sql())
+def predict_fused(spark, sf):
+    """M8 tier (d): the ten nearest target columns of every source column (M7),
+    reranked by fusing the vector rank with the rank by name (twice its
+    weight); the best three.  Vectors stand for columns: their names go round
+    the document paths and the target columns."""
+    from docmap.operators.predict import rerank_neighbours
+    from docmap.operators.vectors import cosine_topk
+    paths, columns = _fusion_names()
+    e = read_table(spark, sf, "embeddings")
+    pick = lambda names, n: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("vec_id") % n + 1).cast("int"))
+    src = e.where("label < 5")
+    tgt = e.where("label >= 5")
+    near = cosine_topk(src, tgt, k=10)
+    r = rerank_neighbours(
+        near, src.select(F.col("vec_id").alias("src_id"), pick(paths, len(paths)).alias("xpath")),
+        tgt.select(F.col("vec_id").alias("tgt_id"), pick([t for t, _ in columns], len(columns)).alias("target_table"),
+                   pick([c for _, c in columns], len(columns)).alias("column_name")), name_weight=2.0)
+    return r.where("fused_rank <= 3").select(
+        "src_id", "tgt_id", "xpath", "target_table", "target_column", "vector_rank", "name_rank", "fused_rank",
+        F.round("confidence_score", 6).alias("confidence_score"))

@@ -9,6 +9,7 @@ sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from docmap.functions.types import (coerce_declared, format_type, infer_type, name_rule_col, to_boolean,
                                     to_date, to_number, to_text, types_compatible)
 from docmap.operators import extract as X
-from docmap.operators.nodes import node_profile, xml_nodes
+from docmap.operators.nodes import UNPARSED, error_kind, node_profile, xml_nodes
 from docmap.plans import sqlparts as Q
 from docmap.plans.doc_mappings import COVERAGE_RECORD, approved_mappings
 from docmap.sources.testbed import LEDGER_COLUMNS, bronze_documents, read_table
@@ -81,10 +82,10 @@ def xml_first_record(spark, sf):
     return _silver(spark, sf, "COVERAGE").drop(*DOC_KEYS)
 
 
-@query("xml_view_strings", Q.with_ctes(Q.DOCS_CTE) + """
-SELECT o_orderkey, part, CAST(o_orderkey AS VARCHAR) AS policy_number,
+@query("xml_view_strings", Q.with_ctes(Q.DOCS_CTE) + f"""
+SELECT 'DOC-' || o_orderkey || '-' || part AS SOURCE_XML_ID, CAST(o_orderkey AS VARCHAR) AS policy_number,
   CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'VIN' || lpad(CAST(c_custkey AS VARCHAR), 10, '0') ELSE '' END AS vehicle_vin,
-  CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN CAST(1950 + c_custkey % 70 AS VARCHAR) ELSE '' END AS building_year,
+  CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN {Q.BUILDING_YEAR} ELSE '' END AS building_year,
   CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'Frame' ELSE '' END AS construction_type,
   CASE WHEN c_mktsegment = 'BUILDING' THEN c_name ELSE '' END AS business_name,
   CASE WHEN c_mktsegment = 'MACHINERY' THEN CAST(c_custkey % 500 AS VARCHAR) ELSE '' END AS employee_count,
@@ -92,9 +93,12 @@ SELECT o_orderkey, part, CAST(o_orderkey AS VARCHAR) AS policy_number,
     AS payroll_amount
 FROM docs""")
 def xml_view_strings(spark, sf):
-    """All-string projection of RISK, missing values as ''."""
+    """All-string view of RISK, missing values as '', with the document's
+    id first (here its order and part; the digest of text that only Spark
+    builds is in ``inbox_landing``)."""
     m = X.first_wins(approved_mappings(spark).where("target_table = 'RISK'"), ["ord"])
-    return X.project(_docs(spark, sf), X.collect_mappings(m, ["ord"]), DOC_KEYS, strings=True, empty_as_blank=True)
+    docs = _docs(spark, sf).withColumn("xml_id", F.concat(F.lit("DOC-"), F.concat_ws("-", *DOC_KEYS)))
+    return X.string_view(docs, X.collect_mappings(m, ["ord"]), empty_as_blank=True)
 
 
 def _profile(spark, sf):
@@ -106,7 +110,8 @@ _NODES = Q.with_ctes(Q.DOCS_CTE, Q.nodes_cte())
 
 @query("xml_node_counts", _NODES + """
 SELECT node_path, count(*) AS occurrences, count(DISTINCT doc || '-' || part) AS documents
-FROM nodes GROUP BY node_path""")
+FROM nodes GROUP BY node_path
+UNION ALL SELECT '!unparsed', count(*), count(*) FROM all_docs WHERE parse_error IS NOT NULL""")
 def xml_node_counts(spark, sf):
     """Element occurrences and documents per absolute path
     (pre-aggregated per document batch in the worker, then summed)."""
@@ -118,10 +123,12 @@ def xml_node_counts(spark, sf):
 SELECT CASE WHEN length(node_path) - length(replace(node_path, '/', '')) > 1
             THEN regexp_replace(node_path, '/[^/]*$', '') END AS parent_path,
        count(*) AS child_nodes, count(DISTINCT node_name) AS child_tags
-FROM nodes GROUP BY 1""")
+FROM nodes GROUP BY 1
+UNION ALL SELECT '!unparsed', count(*), 0 FROM all_docs WHERE parse_error IS NOT NULL""")
 def xml_parent_rollup(spark, sf):
-    """Children per parent path (root has a NULL parent)."""
-    p = _profile(spark, sf)
+    """Children per parent path (root has a NULL parent); documents that do
+    not parse are counted under their own entry."""
+    p = _profile(spark, sf).withColumn("parent_path", F.when(F.col("ordinal") < 0, UNPARSED).otherwise(F.col("parent_path")))
     return p.groupBy("parent_path").agg(F.count(F.lit(1)).alias("child_nodes"),
                                         F.count_distinct("node_name").alias("child_tags"))
 
@@ -129,42 +136,124 @@ def xml_parent_rollup(spark, sf):
 @query("xml_type_profile", _NODES + f"""
 SELECT node_path, {Q.infer_type_sql('text')} AS data_type, count(*) AS n,
        count({Q.sample_sql('text')}) AS n_samples, CAST(max(length({Q.sample_sql('text')})) AS INTEGER) AS max_sample_len
-FROM nodes GROUP BY 1, 2""")
+FROM nodes GROUP BY 1, 2
+UNION ALL SELECT '!unparsed', parse_error, count(*), 0, NULL FROM all_docs WHERE parse_error IS NOT NULL GROUP BY 2""")
 def xml_type_profile(spark, sf):
-    """Inferred type and sample values per path."""
+    """Inferred type and sample values per path (documents that do not
+    parse: by the kind of error)."""
     p = _profile(spark, sf)
+    bad = F.col("ordinal") < 0
+    p = p.withColumns({"node_path": F.when(bad, UNPARSED).otherwise(F.col("node_path")),
+                       "data_type": F.when(bad, error_kind("parse_error")).otherwise(F.col("data_type"))})
     return p.groupBy("node_path", "data_type").agg(
         F.count(F.lit(1)).alias("n"), F.count("sample_value").alias("n_samples"),
         F.max(F.length("sample_value")).alias("max_sample_len"))
 
 
 @query("attribute_names", _NODES + """
-SELECT node_path, a AS attribute, count(*) AS n FROM (SELECT node_path, unnest(attrs) AS a FROM nodes) GROUP BY 1, 2""")
+SELECT node_path, a AS attribute, count(*) AS n FROM (SELECT node_path, unnest(attrs) AS a FROM nodes) GROUP BY 1, 2
+UNION ALL SELECT '!unparsed', parse_error, count(*) FROM all_docs WHERE parse_error IS NOT NULL GROUP BY 2""")
 def attribute_names(spark, sf):
-    """Attribute names per element path."""
+    """Attribute names per element path (documents that do not parse: by
+    the kind of error)."""
     p = xml_nodes(_docs(spark, sf), DOC_KEYS)
-    return (p.select("node_path", F.explode("attributes").alias("attribute"))
+    bad = F.col("ordinal") < 0
+    return (p.select(F.when(bad, UNPARSED).otherwise(F.col("node_path")).alias("node_path"),
+                     F.explode(F.when(bad, F.array(error_kind("parse_error"))).otherwise(F.col("attributes"))).alias("attribute"))
             .groupBy("node_path", "attribute").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("coverage_by_column", Q.with_ctes(Q.DOCS_CTE) + """
-SELECT 'RISK' AS target_table, column_name, count(v) AS extracted, count(*) - count(v) AS nulls, 0::BIGINT AS blanks
+# ------------------------------------------------------- account documents
+ACCOUNT_KEYS = ["c_custkey", "account_part"]
+LINE_RECORD = "/Session/Data/Orders/Order/Lines/Line"
+_O = "/Session/Data/Orders/Order"
+ACCOUNT_MAPPINGS = [
+    ("account_name", "/Session/Data/Account/Name", "STRING"), ("lower_name", "/Session/Data/Account/name", "STRING"),
+    ("memo", "/Session/Data/Account/Memo", "STRING"), ("remark", "/Session/Data/Account/Remark", "STRING"),
+    ("no_such_case", "/Session/Data/account/Name", "STRING"), ("order_ref", _O + "/@id", "STRING"),
+    ("order_total", _O + "/Total", "DECIMAL(15,2)"), ("line_ref", LINE_RECORD + "/@id", "STRING"),
+    ("part", LINE_RECORD + "/Part", "INT"), ("quantity", LINE_RECORD + "/Quantity", "DECIMAL(15,2)")]
+
+ACCOUNTS_CTE = f"""
+aparts AS (SELECT DISTINCT l_orderkey AS k, part AS p FROM li_all),
+acnt AS (SELECT o_custkey AS c, greatest(1, CAST(ceil(count(*) / 8.0) AS INTEGER)) AS n FROM aparts JOIN orders ON o_orderkey = k GROUP BY 1),
+aord AS (SELECT a.k, a.p, o_custkey, o_totalprice, CAST((a.k * 7 + a.p) % acnt.n AS INTEGER) AS account_part
+         FROM aparts a JOIN orders ON o_orderkey = a.k JOIN acnt ON acnt.c = o_custkey),
+aall AS (SELECT DISTINCT c_custkey, account_part, c_name, {Q.parse_error('c_custkey')} AS parse_error FROM aord JOIN customer ON c_custkey = o_custkey),
+arec AS (SELECT l.*, row_number() OVER (PARTITION BY l_orderkey, part ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+                l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS ln FROM li_all l)
+"""
+
+
+def _accounts(spark, sf, with_status=False):
+    from docmap.sources.testbed import account_documents
+    maps = [X.CompiledMapping(c, p, None, t) for c, p, t in ACCOUNT_MAPPINGS]
+    return X.project(account_documents(spark, sf), maps, ACCOUNT_KEYS, record_path=LINE_RECORD, with_ordinals=True, with_status=with_status)
+
+
+@query("xml_nested_records", Q.with_ctes(Q.DOCS_CTE, ACCOUNTS_CTE) + """
+SELECT d.c_custkey, d.account_part,
+  CASE WHEN r.ln IS NOT NULL THEN CAST(count(r.ln) OVER (PARTITION BY d.c_custkey, d.account_part ORDER BY o.ono, r.ln
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS INTEGER) END AS record_index,
+  CAST(o.ono AS INTEGER) AS order_no, CAST(r.ln AS INTEGER) AS line_no,
+  d.c_name AS account_name, 'n' || d.c_custkey AS lower_name, 'v' || d.c_custkey || 'w' AS memo, 'xz' AS remark,
+  CAST(NULL AS VARCHAR) AS no_such_case, o.k || '-' || o.p AS order_ref, CAST(o.o_totalprice AS DECIMAL(15,2)) AS order_total,
+  r.l_orderkey || '-' || r.l_linenumber || '-' || r.l_partkey AS line_ref, CAST(r.l_partkey AS INTEGER) AS part,
+  CAST(r.l_quantity AS DECIMAL(15,2)) AS quantity
+FROM aall d
+JOIN (SELECT *, row_number() OVER (PARTITION BY o_custkey, account_part ORDER BY k, p) - 1 AS ono FROM aord) o
+  ON o.o_custkey = d.c_custkey AND o.account_part = d.account_part
+LEFT JOIN arec r ON r.l_orderkey = o.k AND r.part = o.p AND o.k % 7 <> 0
+WHERE d.parse_error IS NULL""")
+def xml_nested_records(spark, sf):
+    """X17 with two repeating levels: every line of every order, with its own
+    order's attributes; X3 with names that differ in case only, and text around
+    comments and children."""
+    at = F.col("record_ordinals")
+    r = _accounts(spark, sf)
+    return r.withColumns({"order_no": at[2], "line_no": at[4]}).drop("record_ordinals")
+
+
+@query("parse_ledger", Q.with_ctes(Q.DOCS_CTE, ACCOUNTS_CTE) + """
+SELECT family, status, count(*) AS extracted, count(*) AS flattened
+FROM (SELECT 'order' AS family, coalesce(parse_error, 'ok') AS status FROM all_docs
+      UNION ALL SELECT 'account', coalesce(parse_error, 'ok') FROM aall) GROUP BY 1, 2""")
+def parse_ledger(spark, sf):
+    """Documents by parse status, as extraction and as flattening see
+    them; none is lost on either way."""
+    from docmap.sources.testbed import account_documents
+    status = F.coalesce(error_kind("parse_error"), F.lit("ok")).alias("status")
+    seen = []
+    for family, docs, keys in (("order", _docs(spark, sf), DOC_KEYS), ("account", account_documents(spark, sf), ACCOUNT_KEYS)):
+        ways = {"extracted": X.read_paths(docs, [], keys).select(status), "flattened": xml_nodes(docs, keys).where("ordinal <= 0").select(status)}
+        for way, rows in ways.items():
+            seen.append(rows.groupBy("status").agg(F.count(F.lit(1)).alias("n")).select(
+                F.lit(family).alias("family"), "status", *[(F.col("n") if w == way else F.lit(0)).cast("bigint").alias(w) for w in ways]))
+    return reduce(DataFrame.unionByName, seen).groupBy("family", "status").agg(
+        F.sum("extracted").alias("extracted"), F.sum("flattened").alias("flattened"))
+
+
+@query("coverage_by_column", Q.with_ctes(Q.DOCS_CTE) + f"""
+SELECT 'RISK' AS target_table, column_name, count(*) FILTER (WHERE v = 'x') AS extracted, count(*) FILTER (WHERE v IS NULL) AS absent,
+       count(*) FILTER (WHERE v = 'blank') AS blank, count(*) FILTER (WHERE v = 'bad') AS failed,
+       (SELECT count(*) FROM all_docs WHERE parse_error IS NOT NULL) AS unparsed_documents
 FROM (SELECT unnest(['policy_number', 'vehicle_vin', 'building_year', 'construction_type', 'business_name',
                      'employee_count', 'payroll_amount']) AS column_name,
-             unnest([o_orderkey::VARCHAR,
+             unnest(['x',
                      CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 'x' END,
-                     CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'x' END,
+                     CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN CASE WHEN trim({Q.BUILDING_YEAR}) = '' THEN 'blank'
+                          WHEN TRY_CAST({Q.BUILDING_YEAR} AS INTEGER) IS NULL THEN 'bad' ELSE 'x' END END,
                      CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'x' END,
                      CASE WHEN c_mktsegment = 'BUILDING' THEN 'x' END,
                      CASE WHEN c_mktsegment = 'MACHINERY' THEN 'x' END,
                      CASE WHEN c_mktsegment = 'MACHINERY' THEN 'x' END]) AS v
       FROM docs) GROUP BY column_name""")
 def coverage_by_column(spark, sf):
-    """Q6: extracted / null / blank counts per RISK column over all documents."""
+    """Q6: rows extracted, absent, blank and failed per RISK column over all
+    documents, and documents that do not parse."""
     from docmap.operators.quality import extraction_coverage
-    from docmap.schemas import SILVER
-    r = _silver(spark, sf, "RISK")
-    return extraction_coverage(r, "RISK", [c for c, _ in SILVER["RISK"]])
+    m = X.first_wins(approved_mappings(spark).where("target_table = 'RISK'"), ["ord"])
+    return extraction_coverage(_docs(spark, sf), X.collect_mappings(m, ["ord"]), "RISK", DOC_KEYS)
 
 
 # ============================================================ typed strings
@@ -312,8 +401,7 @@ FROM typed""")
 def transform_expr(spark, sf):
     """Whitelisted transformation text applied to values."""
     from docmap.functions.transform import apply_transform
-    t = _typed_strings(spark, sf).withColumn("value", F.col("val"))
-    return t.select("src", "k", "val", *[apply_transform(x, F.col("value"), "value").alias(n) for n, x in TRANSFORMS])
+    return _typed_strings(spark, sf).select("src", "k", "val", *[apply_transform(x, F.col("val")).alias(n) for n, x in TRANSFORMS])
 
 
 @query("type_compat", _TYPED + f"""

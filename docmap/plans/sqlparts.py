@@ -33,18 +33,32 @@ def dec_text(x: str) -> str:
 PRIORITY = ("CASE o_orderkey % 16 WHEN 9 THEN '<b>' || o_orderpriority || '</b>' WHEN 11 THEN '<i>' || o_orderpriority || '</i>' "
             "WHEN 13 THEN 'Plan PA001 ' || o_orderpriority ELSE o_orderpriority END")
 
-# documents: one row per (order, part) with order and customer columns
+# text of the BuildingYear element: some are words, some blank
+BUILDING_YEAR = ("CASE WHEN c_custkey % 11 = 3 THEN 'about ' || (1950 + c_custkey % 70) WHEN c_custkey % 11 = 7 THEN ' ' "
+                 "ELSE CAST(1950 + c_custkey % 70 AS VARCHAR) END")
+
+
+def parse_error(key: str) -> str:
+    """Kind of error of the documents that do not parse, by their key."""
+    return (f"CASE WHEN {key} % 256 = 10 THEN 'null document' WHEN {key} % 64 = 2 THEN 'no element found' "
+            f"WHEN {key} % 64 = 4 THEN 'junk after document element' WHEN {key} % 64 = 6 THEN 'undefined entity' END")
+
+
+# documents: one row per (order, part) with order and customer columns; ``docs``,
+# ``li`` and ``recs`` are what the documents that parse hold
 DOCS_CTE = f"""
 cnt AS (SELECT l_orderkey, greatest(1, CAST(ceil(count(*) / {float(RECORDS_PER_PART)}) AS INTEGER)) AS n_parts
         FROM lineitem GROUP BY l_orderkey),
-li AS (SELECT l.*, CAST((l.l_partkey * 7 + l.l_suppkey * 13 + l.l_linenumber * 31 + l.copy) % c.n_parts AS INTEGER) AS part
+li_all AS (SELECT l.*, CAST((l.l_partkey * 7 + l.l_suppkey * 13 + l.l_linenumber * 31 + l.copy) % c.n_parts AS INTEGER) AS part
        FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
                                           l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1
                        AS copy FROM lineitem) l JOIN cnt c ON c.l_orderkey = l.l_orderkey),
-docs AS (SELECT o.*, cu.*, coalesce(p.part, 0) AS part
+li AS (SELECT * FROM li_all WHERE {parse_error('l_orderkey')} IS NULL),
+all_docs AS (SELECT o.*, cu.*, coalesce(p.part, 0) AS part, {parse_error('o_orderkey')} AS parse_error
          FROM orders o
          LEFT JOIN customer cu ON cu.c_custkey = o.o_custkey
-         LEFT JOIN (SELECT DISTINCT l_orderkey, part FROM li) p ON p.l_orderkey = o.o_orderkey),
+         LEFT JOIN (SELECT DISTINCT l_orderkey, part FROM li_all) p ON p.l_orderkey = o.o_orderkey),
+docs AS (SELECT * FROM all_docs WHERE parse_error IS NULL),
 recs AS (SELECT li.*, CAST(row_number() OVER (PARTITION BY l_orderkey, part
                                              ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
                                                       l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1
@@ -86,7 +100,7 @@ NODE_SPEC = [
     ("/Session/Data/Dwelling", None, "['propertyvalues']", "doc", "c_mktsegment = 'HOUSEHOLD'"),
     ("/Session/Data/Dwelling/ConstructionType", "'Frame'", "[]", "doc", "c_mktsegment = 'HOUSEHOLD'"),
     ("/Session/Data/Dwelling/Occupancy", "'Owner'", "[]", "doc", "c_mktsegment = 'HOUSEHOLD'"),
-    ("/Session/Data/Dwelling/BuildingYear", "CAST(1950 + c_custkey % 70 AS VARCHAR)", "[]", "doc",
+    ("/Session/Data/Dwelling/BuildingYear", BUILDING_YEAR, "[]", "doc",
      "c_mktsegment = 'HOUSEHOLD'"),
     ("/Session/Data/CommercialBuilding", None, "[]", "doc", "c_mktsegment = 'BUILDING'"),
     ("/Session/Data/CommercialBuilding/BusinessName", "c_name", "[]", "doc", "c_mktsegment = 'BUILDING'"),

@@ -4,6 +4,7 @@ import datetime as dt
 from decimal import Decimal
 
 from docmap.operators import extract as X
+from docmap.operators.nodes import xml_nodes
 from tests import fixtures as FX
 
 
@@ -67,8 +68,16 @@ def test_records_exploded(spark):
 
 def test_transform_in_projection_and_malformed_docs(spark):
     ms = [M("premium", "/Session/Data/Policy/TotalPremium", "STRING", "CAST(value AS INTEGER)")]
-    rows = X.project(_docs(spark, FX.POLICY, FX.TRUNCATED, FX.JUNK_PROLOG), ms, ["xml_id"]).orderBy("xml_id").collect()
-    assert rows[0].premium == 1251 and rows[1].premium is None and rows[2].premium is None
+    docs = _docs(spark, FX.POLICY, FX.TRUNCATED, FX.JUNK_PROLOG, FX.POLICY + "junk", None, "<Other/>")
+    assert [(r.xml_id, r.premium) for r in X.project(docs, ms, ["xml_id"]).collect()] == [("d0", 1251)]
+    rows = X.project(docs, ms, ["xml_id"], with_status=True).orderBy("xml_id").collect()  # one pass, both outputs
+    assert [r.premium for r in rows] == [1251] + [None] * 5 and rows[0].parse_error is None
+    assert [r.parse_error.split(":")[-2 if "line" in r.parse_error else 0].strip() for r in rows[1:]] == [
+        "no element found", "not well-formed (invalid token)", "junk after document element", "null document", "other document element"]
+    ledger = X.parse_ledger(docs, ["xml_id"])
+    assert sorted((r.xml_id, r.parse_error) for r in ledger.collect()) == [(r.xml_id, r.parse_error) for r in rows[1:]]
+    flat = {r.xml_id for r in xml_nodes(docs).where("ordinal < 0").collect()}
+    assert flat == {"d1", "d2", "d3", "d4"}  # both ways agree; only extraction asks for a document element
 
 
 def test_first_wins_and_surrogate_keys(spark):
@@ -97,7 +106,49 @@ def test_single_parse_per_document(spark):
     ms = [M(f"c{i}", p) for i, p in enumerate(["/Session/Data/Policy/PolicyNumber", "/Session/Data/Vehicle/VIN",
                                                "/Session/Data/Coverages/Coverage/Code"])]
     plan = X.project(_docs(spark, FX.POLICY), ms, ["xml_id"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("from_xml") == 1
+    assert plan.count("MapInArrow") == 1 and "from_xml" not in plan
+
+
+NESTED = "<S><R><n>1</n><C>a</C><C>b</C></R><R><n>2</n><C>c</C></R><R><n>3</n></R></S>"
+
+
+def test_all_ancestors_of_records_are_followed(spark):
+    ms = [M("c", "/S/R/C"), M("n", "/S/R/n", "INT"), M("first", "/S/R/C/x")]
+    rows = X.project(_docs(spark, NESTED, "<S/>"), ms, ["xml_id"], root="S", record_path="/S/R/C", with_ordinals=True).collect()
+    got = sorted((r.xml_id, r.record_ordinals, r.record_index, r.c, r.n) for r in rows if r.xml_id == "d0" and r.c)
+    assert got == [("d0", [0, 0], 0, "a", 1), ("d0", [0, 1], 1, "b", 1), ("d0", [1, 0], 2, "c", 2)]
+    bare = [(r.xml_id, r.record_ordinals, r.record_index, r.n) for r in rows if not r.c]
+    assert sorted(bare) == [("d0", [2, None], None, 3), ("d1", [None, None], None, None)]  # kept, without a record
+
+
+def test_three_repeating_levels_in_any_order_of_paths(spark):
+    doc = "<S><A i='1'><B i='2'><C i='3'/><C i='4'/></B><B i='5'/></A><A i='6'><B i='7'><C i='8'><D>d</D><D>e</D></C></B></A></S>"
+    ms = [M(x, p) for x, p in (("d", "/S/A/B/C/D"), ("a", "/S/A/@i"), ("c", "/S/A/B/C/@i"), ("b", "/S/A/B/@i"), ("top", "/S/A/B/C"))]
+    rows = X.project(_docs(spark, doc), ms, ["xml_id"], root="S", record_path="S/A/B/C").collect()
+    assert sorted((r.a, r.b, r.c, r.d) for r in rows if r.c) == [("1", "2", "3", None), ("1", "2", "4", None), ("6", "7", "8", "d")]
+    assert [(r.a, r.b) for r in rows if not r.c] == [("1", "5")]
+
+
+def test_whole_text_and_exact_names(spark):
+    docs = _docs(spark, "<S><A>v<!-- c -->w</A><a>low</a><B>x<b>y</b>z</B><C> p<![CDATA[<q>]]>&amp;<?i?>r </C></S>",
+                 "<!DOCTYPE S [<!ENTITY e 'ent'>]><S><a>only</a><B>&e;<b/>!</B></S>")
+    ms = [M("A", "/S/A"), M("low", "/S/a"), M("B", "/S/B"), M("b", "/S/B/b"), M("c", "/S/C"), M("none", "/s/A"), M("a", "/S/a")]
+    rows = {r[0]: tuple(r)[1:] for r in X.project(docs, ms, ["xml_id"], root="S", strings=True).collect()}
+    assert rows["d0"] == ("vw", "low", "xz", "y", " p<q>&r ", None, "low")
+    assert rows["d1"] == (None, "only", "ent!", "", None, None, "only")
+
+
+def test_many_mappings_need_no_limit(spark):
+    doc = "<S>" + "".join(f"<e{i}>{i}</e{i}>" for i in range(3000)) + "</S>"
+    stage = X.read_paths(_docs(spark, doc), [f"/S/e{i}" for i in range(3000)], ["xml_id"], root="S")
+    assert [int(v) for v in stage.first()["values"]] == list(range(3000))
+
+
+def test_coverage_tells_absent_blank_and_failed_apart(spark):
+    from docmap.operators.quality import extraction_coverage
+    docs = _docs(spark, *[f"<S>{x}</S>" for x in ("<n>1</n>", "<n> </n>", "<n/>", "<n>x</n>", "<m>1</m>")], "<S>", None)
+    rows = extraction_coverage(docs, [M("n", "/S/n", "INT"), M("N_ID", "/S/n")], "T", ["xml_id"], root="S").collect()
+    assert [tuple(r) for r in rows] == [("T", "n", 1, 1, 2, 1, 2)]
 
 
 def test_load_tables_isolates_failures(spark):

@@ -5,7 +5,7 @@ import xml.etree.ElementTree as ET
 
 from pyspark.sql import functions as F
 
-from docmap.operators.nodes import document_metadata, node_profile, parent_path, xml_nodes
+from docmap.operators.nodes import document_metadata, node_counts, node_profile, parent_path, xml_nodes
 from docmap.operators.xmljson import to_variant
 from docmap.sources.bronze import document_preview, repair_prolog
 from tests import fixtures as FX
@@ -46,10 +46,13 @@ def test_namespaces_cdata_comments(spark):
 
 def test_parse_errors_are_rows_not_failures(spark):
     d = _docs(spark, FX.POLICY, FX.TRUNCATED, FX.JUNK_PROLOG)
-    ok = xml_nodes(d).select("xml_id").distinct().collect()
+    ok = xml_nodes(d, keep_errors=False).select("xml_id").distinct().collect()
     assert [r.xml_id for r in ok] == ["d0"]
-    bad = xml_nodes(d, keep_errors=True).where("ordinal = -1").collect()
+    bad = xml_nodes(d).where("ordinal = -1").collect()  # kept by default
     assert sorted(r.xml_id for r in bad) == ["d1", "d2"] and all(r.parse_error for r in bad)
+    m = {r.xml_id: (r.node_count, r.parse_status) for r in document_metadata(node_profile(xml_nodes(d))).collect()}
+    assert m["d0"][1] == "ok" and m["d1"] == (0, "no element found") and m["d2"][0] == 0 and m["d2"][1] != "ok"
+    assert {r.xml_id: r.node_count for r in node_counts(d).collect()} == {k: v[0] for k, v in m.items()}
 
 
 def test_profile_and_metadata(spark):
@@ -99,7 +102,7 @@ def test_path_summary_equals_node_rows(spark):
     from docmap.operators.nodes import path_summary
     d = _docs(spark, FX.POLICY, FX.NAMESPACED, FX.TRUNCATED, FX.POLICY).repartition(3)
     fast = {r.node_path: (r.occurrences, r.documents) for r in path_summary(d).collect()}
-    n = xml_nodes(d)
+    n = xml_nodes(d, keep_errors=False)
     slow = {r.node_path: (r.o, r.d) for r in n.groupBy("node_path").agg(
         F.count(F.lit(1)).alias("o"), F.count_distinct("xml_id").alias("d")).collect()}
     assert fast.pop("!unparsed") == (1, 1)  # documents that do not parse are reported

@@ -70,14 +70,11 @@ def test_encodings_and_json_reference(spark, tmpdir_path):
     assert RF.read_json_reference(spark, p).count() == 2
 
 
-def test_metadata_check_and_coverage(spark):
+def test_metadata_check(spark):
     nodes = spark.createDataFrame([("/a", "a", "string")], "node_path string, node_name string, data_type string")
     assert metadata_check(nodes).first().valid
     assert not metadata_check(nodes.limit(0)).first().valid
     assert metadata_check(nodes.drop("data_type")).first().missing == "data_type"
-    ext = spark.createDataFrame([("x", None, "1"), ("  ", "y", "2")], "a string, b string, POLICY_ID string")
-    cov = {r.column_name: (r.extracted, r.nulls, r.blanks) for r in extraction_coverage(ext, "T", ext.columns).collect()}
-    assert cov == {"a": (1, 0, 1), "b": (1, 1, 0)}
 
 
 def test_transformation_quarantine(spark):

@@ -100,7 +100,7 @@ def test_coerce_declared(spark):
     ("", "x", "x"), ("None", "x", "x")])
 def test_transform_whitelist(spark, text, value, expected):
     df = spark.createDataFrame([(value,)], "value string")
-    assert df.select(tx.apply_transform(text, F.col("value"), "value").alias("r")).first().r == expected
+    assert df.select(tx.apply_transform(text, F.col("value")).alias("r")).first().r == expected
 
 
 @pytest.mark.parametrize("text", ["value; DROP TABLE x", "system('rm')", "CAST(value AS DECIMAL(15", "`value`",
