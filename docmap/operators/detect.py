@@ -10,16 +10,17 @@ Per document and product:
 normalized by the product's maximum (D6); best product, NULL below
 ``min_score`` (D7); per-product detail rows (D8).
 
-Keyword and code evidence are column expressions over the document text
-(JVM only).  Tag and attribute evidence is collected where the document is
-parsed, once, in an Arrow-batched UDF that returns one small row of counts;
-each worker keeps which patterns a tag matches, so the fuzzy ratio is
-computed once per distinct tag there.  Nothing is shuffled, joined or
-checkpointed: scores of all products are expressions over that row.
+All evidence is collected where the document is parsed, once, in an
+Arrow-batched UDF that returns one small row of counts: its text is searched
+once for the keywords and codes of all products (one automaton, whatever their
+number), and each worker keeps which patterns a tag matches, so the fuzzy
+ratio is computed once per distinct tag there.  Nothing is shuffled, joined or
+checkpointed: scores of all products are plain expressions over that row.
 """
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmap.functions.patterns import contained_counts, group_counts
 from docmap.session import ensure_worker_code
 
 # Product definitions of the detector
@@ -70,34 +72,35 @@ def max_score(p) -> float:
     return len(p[2]) * 1.0 + len(p[3]) * 2.0 + len(p[4]) * 1.5 + 3.0
 
 
-def document_text(raw: Column) -> Column:
-    """Lower-cased text as a parser would re-serialize it: no prolog, no comments."""
-    t = F.regexp_replace(raw, r"(?s)<!--.*?-->", "")
-    t = F.regexp_replace(t, r"(?s)<\?.*?\?>", "")
-    return F.lower(t)
+# A parser drops comments, processing instructions and the prolog.
+_NOT_CONTENT = re.compile(r"<!--.*?-->|<\?.*?\?>", re.DOTALL)
 
 
-def _count_contained(text: Column, words: list[str]) -> Column:
-    s = F.lit(0)
-    for w in words:
-        s = s + F.when(F.instr(text, w.lower()) > 0, 1).otherwise(0)
-    return s
+def document_text(raw: str) -> str:
+    """Lower-cased text as a parser would re-serialize it: no prolog, no comments."""
+    return _NOT_CONTENT.sub("", raw).lower()
 
 
 def keyword_detect(df: DataFrame, text_col: str, key_cols: list[str]) -> DataFrame:
     """Per product the number of its keywords contained in the lower-cased
-    text; best = highest count, ties to the first product; confidence = count."""
-    # lower() once per row in its own projection (kept separate by the
-    # optimizer because it is referenced many times)
-    low = df.select(*key_cols, F.lower(F.col(text_col)).alias("_low"))
-    counts = {code: _count_contained(F.col("_low"), kws) for code, kws in SIMPLE_KEYWORDS}
-    cols = low.select(*key_cols, *[c.alias(f"kw_{code.lower()}") for code, c in counts.items()])
-    kw = {code: F.col(f"kw_{code.lower()}") for code, _ in SIMPLE_KEYWORDS}
+    text; best = highest count, ties to the first product; confidence = count.
+    Each text is searched once for the keywords of all products."""
+    ensure_worker_code(df.sparkSession)
+    codes = [code for code, _ in SIMPLE_KEYWORDS]
+    counts = contained_counts(F.lower(F.col(text_col)), [[w.lower() for w in kws] for _, kws in SIMPLE_KEYWORDS])
+    low = df.select(*key_cols, counts.alias("_n"))
+    cols = low.select(*key_cols, *[F.coalesce(F.col("_n")[i], F.lit(0)).alias(f"kw_{c.lower()}") for i, c in enumerate(codes)])
+    kw = {code: F.col(f"kw_{code.lower()}") for code in codes}
     best = F.greatest(*kw.values())
+    return cols.select("*", _first_of({code: c == best for code, c in kw.items()}).alias("detected_product"), best.alias("confidence"))
+
+
+def _first_of(choices: dict[str, Column]) -> Column:
+    """The first name whose condition holds."""
     pick = None
-    for code, c in reversed(list(kw.items())):
-        pick = F.when(c == best, code) if pick is None else F.when(c == best, code).otherwise(pick)
-    return cols.select("*", pick.alias("detected_product"), best.alias("confidence"))
+    for name, condition in choices.items():
+        pick = F.when(condition, name) if pick is None else pick.when(condition, name)
+    return pick
 
 
 class TermPatterns(dict):
@@ -131,7 +134,8 @@ class TermPatterns(dict):
 POINTS = {"node": (2.0, 1.5), "attr": (1.5, 1.0)}
 # One row of evidence per document; the lists go by product.
 EVIDENCE_TYPE = T.StructType([
-    T.StructField("parsed", T.BooleanType()),
+    T.StructField("parsed", T.BooleanType()), T.StructField("keyword_matches", T.ArrayType(T.IntegerType())),
+    T.StructField("code_found", T.ArrayType(T.IntegerType())),
     T.StructField("node_points", T.ArrayType(T.DoubleType())), T.StructField("node_matches", T.ArrayType(T.LongType())),
     T.StructField("fuzzy_score", T.ArrayType(T.DoubleType())), T.StructField("attr_points", T.ArrayType(T.DoubleType())),
     T.StructField("attribute_matches", T.ArrayType(T.LongType()))])
@@ -153,20 +157,20 @@ def document_terms(raw: str | None):
     return list(seen)
 
 
-def term_evidence(raw: str | None, patterns: TermPatterns) -> tuple:
-    """One row of EVIDENCE_TYPE (lists by product): of each pattern an exact
-    match counts, else the first similar term in document order (D2-D4)."""
-    zeros = [0.0] * len(PRODUCTS)
-    found = (False, zeros[:], [0] * len(zeros), zeros[:], zeros[:], [0] * len(zeros))
+def term_evidence(raw: str | None, patterns: TermPatterns, keywords=None, codes=None) -> tuple:
+    """One row of EVIDENCE_TYPE (lists by product): keywords and codes in the
+    text (D1, D5), and of each pattern an exact match, else the first similar
+    term in document order (D2-D4)."""
+    zeros, none = [0.0] * len(PRODUCTS), [0] * len(PRODUCTS)
     terms = document_terms(raw)
-    if terms is None:
-        return found
+    text = document_text(raw) if raw is not None and keywords else None
+    words = (keywords(text), codes(text)) if text is not None else (none, none)
+    node_points, nodes, fuzzy, attr_points, attrs = zeros[:], none[:], zeros[:], zeros[:], none[:]
     best: dict[tuple[str, int, int], tuple[bool, float]] = {}
-    for kind, term in terms:
+    for kind, term in terms or ():
         for d, j, exact, similarity in patterns[kind, term]:
             if exact or (kind, d, j) not in best:
                 best[kind, d, j] = (exact, similarity)
-    _, node_points, nodes, fuzzy, attr_points, attrs = found
     for (kind, d, _), (exact, similarity) in best.items():
         points = POINTS[kind][0 if exact else 1]
         if kind == "node":
@@ -176,57 +180,67 @@ def term_evidence(raw: str | None, patterns: TermPatterns) -> tuple:
         else:
             attr_points[d] += points
             attrs[d] += 1
-    return (True, *found[1:])
+    return (terms is not None, *words, node_points, nodes, fuzzy, attr_points, attrs)
 
 
 _PATTERNS = TermPatterns()
+_KEYWORDS = group_counts([[w.lower() for w in p[2]] for p in PRODUCTS])
+_CODES = group_counts([[p[0].lower()] for p in PRODUCTS])
 
 
 @F.pandas_udf(EVIDENCE_TYPE)
 def _evidence(raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([term_evidence(r, _PATTERNS) for r in raw], columns=EVIDENCE_TYPE.names)
+    return pd.DataFrame([term_evidence(r, _PATTERNS, _KEYWORDS, _CODES) for r in raw], columns=EVIDENCE_TYPE.names)
+
+
+DETAIL = ["raw_score", "product_name", "keyword_matches", "node_matches", "attribute_matches", "fuzzy_score"]
 
 
-def score_array(docs: DataFrame, key_cols: list[str], raw_col: str = "raw_xml") -> DataFrame:
-    """Keys, ``parsed`` and ``scores``, an array with one struct per
-    product in definition order."""
+def _scored(docs: DataFrame, key_cols: list[str], raw_col: str) -> tuple[DataFrame, list[dict[str, Column]]]:
+    """The evidence of every document (one parse and one search each), with the
+    raw score of each product as ``_s0``, ``_s1``, .., and per product the
+    columns of its detail row."""
     ensure_worker_code(docs.sparkSession)
-    base = docs.select(*key_cols, document_text(F.col(raw_col)).alias("_text"), _evidence(F.col(raw_col)).alias("_e"))
-    text = F.col("_text")
-    rows = []
-    for d, p in enumerate(PRODUCTS):
-        e = {c: F.col(f"_e.{c}")[d] for c in ("node_points", "node_matches", "fuzzy_score", "attr_points", "attribute_matches")}
-        keywords = _count_contained(text, p[2])
-        raw = (keywords + e["node_points"] + e["attr_points"]
-               + F.when(F.instr(text, p[0].lower()) > 0, 3.0).otherwise(0.0))
-        rows.append(F.struct(
-            F.lit(p[0]).alias("product_code"), F.lit(p[1]).alias("product_name"), F.lit(d).alias("def_order"),
-            raw.alias("raw_score"), (raw / max_score(p)).alias("normalized_score"), keywords.alias("keyword_matches"),
-            e["node_matches"].alias("node_matches"), e["attribute_matches"].alias("attribute_matches"),
-            e["fuzzy_score"].alias("fuzzy_score")))
-    return base.select(*key_cols, F.col("_e.parsed").alias("parsed"), F.array(*rows).alias("scores"))
+    base = docs.select(*key_cols, _evidence(F.col(raw_col)).alias("_e"))
+    at = lambda c, d: F.col(f"_e.{c}")[d]
+    base = base.withColumns({f"_s{d}": at("keyword_matches", d) + at("node_points", d) + at("attr_points", d) + F.lit(3.0) * at("code_found", d)
+                             for d in range(len(PRODUCTS))})
+    rows = [{"product_code": F.lit(p[0]), "product_name": F.lit(p[1]), "def_order": F.lit(d), "raw_score": F.col(f"_s{d}"),
+             "normalized_score": F.col(f"_s{d}") / max_score(p), "keyword_matches": at("keyword_matches", d),
+             "node_matches": at("node_matches", d), "attribute_matches": at("attribute_matches", d), "fuzzy_score": at("fuzzy_score", d)}
+            for d, p in enumerate(PRODUCTS)]
+    return base, rows
 
 
 def product_scores(docs: DataFrame, key_cols: list[str], raw_col: str = "raw_xml") -> DataFrame:
     """One row per (document, product) with raw and normalized score and
     the number of matches of each kind."""
-    return score_array(docs, key_cols, raw_col).select(*key_cols, "parsed", F.inline("scores"))
+    base, rows = _scored(docs, key_cols, raw_col)
+    return base.select(*key_cols, F.col("_e.parsed").alias("parsed"), F.inline(F.array(*[F.struct(*[c.alias(n) for n, c in r.items()]) for r in rows])))
 
 
 def detect_products(docs: DataFrame, key_cols: list[str], raw_col: str = "raw_xml", min_score: float = 0.2) -> DataFrame:
     """Best product per document (ties to definition order) with its
     detail; code NULL and confidence 0.0 when the best is below ``min_score``
-    or the document does not parse."""
-    detail = ["raw_score", "product_name", "keyword_matches", "node_matches", "attribute_matches", "fuzzy_score"]
-    scored = score_array(docs, key_cols, raw_col)
-    ranked = F.transform("scores", lambda x: F.struct(
-        x["normalized_score"].alias("normalized_score"), (-x["def_order"]).alias("neg_order"),
-        x["product_code"].alias("product_code"), *[x[c].alias(c) for c in detail]))
-    best = scored.select(*key_cols, "parsed", F.array_max(ranked).alias("b"))
-    ok = F.col("parsed") & (F.col("b.normalized_score") >= min_score)
-    return best.select(*key_cols, F.when(ok, F.col("b.product_code")).alias("product_code"),
-                       F.when(ok, F.col("b.normalized_score")).otherwise(0.0).alias("confidence"),
-                       *[F.col(f"b.{c}").alias(c) for c in detail])
+    or the document does not parse (then without detail)."""
+    base, rows = _scored(docs, key_cols, raw_col)
+    base = base.withColumn("_best", F.greatest(*[r["normalized_score"] for r in rows]))
+    place = None
+    for d, r in enumerate(rows):
+        hit = r["normalized_score"] == F.col("_best")
+        place = F.when(hit, d) if place is None else place.when(hit, d)
+    base = base.withColumn("_d", place)
+    parsed = F.col("_e.parsed")
+    ok = parsed & (F.col("_best") >= min_score)
+
+    def of_best(name: str) -> Column:
+        c = None
+        for d, r in enumerate(rows):
+            c = F.when(F.col("_d") == d, r[name]) if c is None else c.when(F.col("_d") == d, r[name])
+        return c
+    return base.select(*key_cols, F.when(ok, of_best("product_code")).alias("product_code"),
+                       F.when(ok, F.col("_best")).otherwise(0.0).alias("confidence"),
+                       *[F.when(parsed, of_best(c)).alias(c) for c in DETAIL])
 
 
 def top_products(scores: DataFrame, key_cols: list[str], n: int = 3) -> DataFrame:

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from docmap.functions.similarity import allowed_lengths, fuzzy_matches, similarity_ratio
 from docmap.operators import detect as D
 from docmap.operators.nodes import xml_nodes
+from pyspark.sql import functions as F
 
 AUTO = """<?xml version="1.0"?><Session><Data><Vehicle vehiclevin="1"><VIN>X</VIN><Make>M</Make>
 <Drivers><Driver>A</Driver></Drivers></Vehicle><Note>my car</Note></Data></Session>"""
@@ -93,7 +94,7 @@ def test_fuzzy_matches_prunes_but_is_exact(spark):
 
 def test_evidence_takes_exact_then_first_similar_term():
     cache = D.TermPatterns()
-    parsed, node_points, nodes, fuzzy, attr_points, attrs = D.term_evidence(
+    parsed, _, _, node_points, nodes, fuzzy, attr_points, attrs = D.term_evidence(
         "<Session><VehicleInf/><VehicleInfos/><Vehicle vehiclevin='1' DriverAges='2'/></Session>", cache)
     assert parsed and nodes[0] == 2 and attrs[0] == 2
     # Vehicle is exact; VehicleInfo takes the first similar tag
@@ -106,3 +107,26 @@ def test_detection_plan_has_no_shuffle(spark):
     docs = spark.createDataFrame([(1, AUTO)], "k int, raw_xml string")
     plan = D.detect_products(docs, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_many_patterns_in_one_pass(spark):
+    import random
+    from docmap.functions.patterns import contained_counts, group_counts
+    rng = random.Random(3)
+    groups = [["a", "ab", "aba", ""], ["b", "bb", "b"], [], ["x y", "\u00e9", "aab"]]
+    texts = ["".join(rng.choices("ab x\u00e9y", k=rng.randint(0, 30))) for _ in range(400)] + [None, ""]
+    want = [None if t is None else [sum(w in t for w in g) for g in groups] for t in texts]
+    assert [group_counts(groups)(t) for t in texts] == want
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = df.select("i", contained_counts(F.col("t"), groups).alias("n")).orderBy("i").collect()
+    assert [r.n for r in got] == want
+    assert [r.n for r in df.select("i", contained_counts(F.col("t"), [[]]).alias("n")).orderBy("i").collect()] == [None if t is None else [0] for t in texts]
+
+
+def test_documents_that_do_not_parse_have_no_product(spark):
+    docs = spark.createDataFrame([(1, "<S><Vehicle/><Driver/><VIN/><Make/>auto car vehicle PA001</S>"), (2, "<S><Vehicle>"), (3, None), (4, "<S/>")],
+                                 "id int, raw_xml string")
+    rows = {r.id: r for r in D.detect_products(docs, ["id"]).collect()}
+    assert rows[1].product_code == "PA001" and rows[1].raw_score > 8
+    assert all(rows[i].product_code is None and rows[i].confidence == 0.0 for i in (2, 3, 4))
+    assert rows[2].raw_score is None and rows[3].product_name is None and rows[4].raw_score == 0.0
