@@ -7,7 +7,7 @@ external proposer can still be parsed with ``parse_replies``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmap.functions.similarity import similarity_ratio
@@ -78,17 +78,67 @@ def last_step(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def predict(paths: DataFrame, history: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+def fuse_ranks(ranked: DataFrame, weights: dict[str, float], source: str = "src_id", target: str = "tgt_id",
+               depth: float = 60.0) -> DataFrame:
+    """Reciprocal rank fusion: ``ranked`` has a row (source, target, ``by``,
+    ``rank``) for each ranking that lists a pair; the fused score is the sum of
+    weight / (depth + rank) over the rankings (to 12 digits, so that the order
+    of adding does not matter), ties by target.  Returns source,
+    target, ``fused_score`` and ``fused_rank``.
+
+    One aggregate by pair and one ranking per source, whose rows are as many
+    as the lists given for it are long.
+    """
+    weight = F.coalesce(*[F.when(F.col("by") == k, F.lit(float(w))) for k, w in weights.items()], F.lit(0.0))
+    fused = ranked.groupBy(source, target).agg(F.round(F.sum(weight / (F.lit(float(depth)) + F.col("rank"))), 12).alias("fused_score"))
+    w = Window.partitionBy(source).orderBy(F.desc("fused_score"), target)
+    return fused.withColumn("fused_rank", F.row_number().over(w))
+
+
+def rerank_neighbours(neighbours: DataFrame, sources: DataFrame, targets: DataFrame, vector_weight: float = 1.0,
+                      name_weight: float = 1.0, depth: float = 60.0) -> DataFrame:
+    """M8 tier (d): M7 neighbours (src_id, tgt_id, rank) fused with the ranking
+    of the same pairs by name similarity (snake-cased last step of ``sources``'
+    path against ``targets``' column name).
+
+    ``sources``: src_id, xpath; ``targets``: tgt_id, target_table, column_name.
+    Returns src_id, tgt_id, xpath, target_table, target_column, the two ranks,
+    ``fused_score``, ``fused_rank`` and ``confidence_score`` (0.5 + 0.4 * share
+    of the highest score possible).
+    """
+    from docmap.session import ensure_worker_code
+    ensure_worker_code(neighbours.sparkSession)
+    named = (neighbours.select("src_id", "tgt_id", F.col("rank").alias("vector_rank")).join(sources.select("src_id", "xpath"), "src_id")
+             .join(targets.select("tgt_id", "target_table", F.col("column_name").alias("target_column")), "tgt_id"))
+    left, right = snake(last_step(F.col("xpath"))), F.lower(F.col("target_column"))
+    named = named.withColumns({"_x": left, "_y": right})
+    # the few distinct names are compared, not every pair of rows
+    alike = named.select("_x", "_y").distinct().withColumn("similarity", similarity_ratio(F.col("_x"), F.col("_y")))
+    w = Window.partitionBy("src_id").orderBy(F.desc("similarity"), "tgt_id")
+    pairs = named.join(alike, ["_x", "_y"]).withColumn("name_rank", F.row_number().over(w)).drop("_x", "_y")
+    ranked = pairs.select("src_id", "tgt_id", F.inline(F.array(
+        F.struct(F.lit("vector").alias("by"), F.col("vector_rank").alias("rank")),
+        F.struct(F.lit("name").alias("by"), F.col("name_rank").alias("rank")))))
+    fused = fuse_ranks(ranked, {"vector": vector_weight, "name": name_weight}, depth=depth)
+    top = (vector_weight + name_weight) / (depth + 1)
+    return (pairs.join(fused, ["src_id", "tgt_id"])
+            .withColumn("confidence_score", F.lit(0.5) + F.lit(0.4) * F.col("fused_score") / F.lit(top)))
+
+
+def predict(paths: DataFrame, history: DataFrame, pairs: DataFrame | None = None,
+            fused: DataFrame | None = None) -> DataFrame:
     """M8: best mapping per source path.
 
     Tier (a) exact path in history (0.95), tier (b) history row with the same
     last path step (0.90), tier (c, when ``pairs`` are given: candidate
     (xpath, target_table, column_name) rows) 0.5 + 0.4 * similarity of the
-    snake-cased last step to the column name.  Best = highest confidence,
-    then target_table, target_column.
+    snake-cased last step to the column name, tier (d, when ``fused`` is given:
+    rows of ``rerank_neighbours``) their confidence.  Best = highest
+    confidence, then target_table, target_column.
     """
     h = history.select(F.col("source_node").alias("h_path"), "target_table", "target_column")
-    a = (paths.join(h, paths.xpath == h.h_path)
+    known = h.distinct()  # a few paths may hold most of the history
+    a = (paths.join(known, paths.xpath == known.h_path)
          .select("xpath", "target_table", "target_column", F.lit(CONF_EXACT_PATH).alias("confidence_score"),
                  F.lit("history: same path").alias("reasoning")))
     hb = h.select(last_step(F.col("h_path")).alias("step"), "target_table", "target_column").distinct()
@@ -105,6 +155,9 @@ def predict(paths: DataFrame, history: DataFrame, pairs: DataFrame | None = None
                                                                      F.lower(F.col("target_column"))))
              .withColumn("reasoning", F.lit("name similarity")))
         allc = allc.unionByName(c)
+    if fused is not None:
+        allc = allc.unionByName(fused.select("xpath", "target_table", "target_column", "confidence_score",
+                                             F.lit("vector and name ranks").alias("reasoning")))
     best = allc.groupBy("xpath").agg(F.min(F.struct(
         (-F.col("confidence_score")).alias("neg_conf"), "target_table", "target_column",
         "reasoning")).alias("b"))

@@ -54,3 +54,28 @@ def test_sections_routing_prediction(spark):
     paths = spark.createDataFrame([("/Session/Data/PolicyInfo/Number",), ("/Session/Account/Name",), ("/Z/Q",)], "xpath string")
     pr = {x.source_node: (x.target_column, x.confidence_score) for x in P.predict(paths, hist).collect()}
     assert pr == {"/Session/Data/PolicyInfo/Number": ("policy_number", 0.95), "/Session/Account/Name": ("name", 0.90)}
+
+
+def test_ranks_are_fused_by_weight(spark):
+    rows = [(1, 10, "vector", 1), (1, 11, "vector", 2), (1, 11, "name", 1), (1, 10, "name", 2), (1, 12, "other", 1), (2, 10, "name", 3)]
+    ranked = spark.createDataFrame(rows, "src_id int, tgt_id int, `by` string, rank int")
+
+    def order(**weights):
+        return [r.tgt_id for r in P.fuse_ranks(ranked, weights).where("src_id = 1").orderBy("fused_rank").collect()]
+    assert order(vector=1.0, name=1.0) == [10, 11, 12]  # a tie goes to the smaller target
+    assert order(vector=1.0, name=2.0) == [11, 10, 12] and order(other=1.0) == [12, 10, 11]
+    assert P.fuse_ranks(ranked.limit(0), {"vector": 1.0}).count() == 0
+
+
+def test_neighbours_reranked_by_name_feed_the_prediction(spark):
+    near = spark.createDataFrame([(1, 20, 1), (1, 21, 2), (2, 21, 1)], "src_id int, tgt_id int, rank int")
+    src = spark.createDataFrame([(1, "/S/Policy/PolicyNumber"), (2, "/S/x/Other"), (3, "/S/none")], "src_id int, xpath string")
+    tgt = spark.createDataFrame([(20, "POLICY", "total_premium"), (21, "POLICY", "policy_number")], "tgt_id int, target_table string, column_name string")
+    r = P.rerank_neighbours(near, src, tgt, name_weight=2.0)
+    best = {x.src_id: (x.target_column, x.vector_rank, x.name_rank) for x in r.where("fused_rank = 1").collect()}
+    assert best == {1: ("policy_number", 2, 1), 2: ("policy_number", 1, 1)}
+    top = {x.src_id: x.confidence_score for x in r.where("fused_rank = 1").collect()}
+    assert abs(top[2] - 0.9) < 1e-9 and 0.85 < top[1] < 0.9
+    hist = spark.createDataFrame([("/S/x/Other", "RISK", "known")], "source_node string, target_table string, target_column string")
+    got = {x.source_node: (x.target_column, x.reasoning) for x in P.predict(src.select("xpath"), hist, fused=r).collect()}
+    assert got == {"/S/Policy/PolicyNumber": ("policy_number", "vector and name ranks"), "/S/x/Other": ("known", "history: same path")}
