@@ -46,17 +46,15 @@ def running_sum(df: DataFrame, order_cols: list[str], value_col: str, out_col: s
     moving all rows into one task.
 
     1. range-partition by the full order (balanced even if one value is hot,
-       because the unique tiebreak splits it) and cut the lineage with a
-       reliable checkpoint, so partition ids are stable on retries;
+       because the unique tiebreak splits it) and write the rows with their
+       partition's number to scratch, so the numbers are stable on retries;
     2. running sum inside each partition (window per partition id);
     3. per-partition totals (one row per partition) -> prefix offsets
        (small, broadcast) -> added back.
     """
-    from docmap.session import partitions_for
+    from docmap.session import partitions_for, written
     n = partitions or partitions_for(df)
-    ranged = (df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-              .withColumn("_pid", F.spark_partition_id()))
-    ranged = ranged.checkpoint(eager=True)
+    ranged = written(df.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id()), "ranges")
     w = Window.partitionBy("_pid").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("_local", F.sum(value_col).over(w))
     totals = ranged.groupBy("_pid").agg(F.sum(value_col).alias("_tot"))
@@ -74,17 +72,15 @@ def row_number_within(df: DataFrame, partition_cols: list[str], order_cols: list
     """``row_number()`` over (partition by ``partition_cols`` order by
     ``order_cols``, a unique order) without gathering a hot group in one task.
 
-    Range-partition by (group, order) and checkpoint (stable partition ids);
-    number rows inside each (range partition, group).  Only the first group
-    of a range partition can have begun in an earlier one, so the offsets
-    are one row per range partition at most, which is broadcast.
+    Range-partition by (group, order) and write to scratch (stable partition
+    numbers); number rows inside each (range partition, group).  Only the first
+    group of a range partition can have begun in an earlier one, so the offsets
+    are one row per range partition at most, a prefix sum over their ends,
+    which is broadcast.
     """
-    from docmap.session import partitions_for
+    from docmap.session import partitions_for, written
     n = partitions or partitions_for(df)
-    ranged = (df.repartitionByRange(n, *partition_cols, *order_cols)
-              .sortWithinPartitions(*partition_cols, *order_cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = written(df.repartitionByRange(n, *partition_cols, *order_cols).withColumn("_pid", F.spark_partition_id()), "ranges")
     group = F.struct(*partition_cols)
     w = Window.partitionBy("_pid", *partition_cols).orderBy(*order_cols)
     local = ranged.withColumn("_local", F.row_number().over(w))
@@ -93,10 +89,16 @@ def row_number_within(df: DataFrame, partition_cols: list[str], order_cols: list
     ends = ranged.groupBy("_pid").agg(F.min(group).alias("_first"), F.max(group).alias("_last"))
     counts = (ranged.join(F.broadcast(ends), "_pid").where(group.eqNullSafe(F.col("_last")))
               .groupBy("_pid", F.col("_last").alias("_group")).agg(F.count(F.lit(1)).alias("_cnt")))
-    before = counts.select(F.col("_pid").alias("_earlier"), "_group", "_cnt")
-    offs = (ends.join(before, F.col("_first").eqNullSafe(F.col("_group")) & (F.col("_earlier") < F.col("_pid")))
-            .groupBy("_pid", "_first").agg(F.sum("_cnt").alias("_off")))
-    offs = offs.select(F.col("_pid").alias("_opid"), "_first", "_off")
+    counts = counts.select(F.col("_pid").alias("_cpid"), "_cnt")
+    # rows of its last group up to the end of a range partition; the next one
+    # (there is a row for each that is not empty) takes them over if it goes on
+    # with that group
+    so_far = Window.partitionBy("_last").orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
+    one_each = ends.join(F.broadcast(counts), F.col("_pid") == F.col("_cpid")).withColumn("_sum", F.sum("_cnt").over(so_far))
+    in_order = Window.orderBy("_pid")
+    offs = one_each.withColumns({"_before": F.lag("_sum").over(in_order), "_group": F.lag("_last").over(in_order)})
+    offs = offs.where(F.col("_before").isNotNull() & F.col("_group").eqNullSafe(F.col("_first"))).select(
+        F.col("_pid").alias("_opid"), "_first", F.col("_before").alias("_off"))
     return (local.join(F.broadcast(offs), (F.col("_pid") == F.col("_opid")) & group.eqNullSafe(F.col("_first")), "left")
             .withColumn(out_col, (F.coalesce("_off", F.lit(0)) + F.col("_local")).cast("int"))
             .drop("_pid", "_local", "_off", "_opid", "_first"))

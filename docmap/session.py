@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every docmap job relies on.  AQE re-plans joins from runtime
 # sizes (automatic broadcast only below the measured threshold) and splits
@@ -65,6 +67,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_RUN = uuid.uuid4().hex[:12]
+_SCRATCH: dict[str, SparkSession] = {}
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder; what is written
+    there is removed by ``remove_scratch`` or when the driver ends."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/docmap-{_RUN}"
+    if base not in _SCRATCH:
+        _SCRATCH[base] = spark
+        atexit.register(remove_scratch, spark)
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in scratch and read again: later jobs and
+    repeated tasks read files instead of computing it anew."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove everything below ``scratch_path`` of this process."""
+    for base, owner in list(_SCRATCH.items()):
+        if owner is spark:
+            try:
+                p = spark._jvm.org.apache.hadoop.fs.Path(base)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            except Exception:  # noqa: BLE001  the session may be gone already
+                pass
+            _SCRATCH.pop(base, None)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -23,40 +23,81 @@ def list_reference_files(spark: SparkSession, directory: str) -> DataFrame:
             .where(F.col("extension").isin(REFERENCE_EXTENSIONS)))
 
 
+HEAD_LINES = 20
+_NUMERIC_TOKEN = r"(^|[,;\t| ])-?\d+(\.\d+)?([,;\t| ]|$)"
+
+
+def reference_bytes(spark: SparkSession, directory: str, glob: str = "*") -> DataFrame:
+    """Files below a folder, whole: (path, content)."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+            .load(directory).select("path", "content"))
+
+
+def file_lines(files: DataFrame, encoding: str | None = None, sep: str | None = None, header: bool | None = None) -> DataFrame:
+    """S8/S9 per file: path, ``encoding`` (UTF-8 when the bytes are valid, else
+    ISO-8859-1), ``delimiter``, ``has_header`` and its non-blank ``lines``.
+
+    The delimiter is the candidate with the highest count that is the same,
+    and not zero, on each of the first 20 lines (comma if there is none); line
+    1 is a header when it has no number.  What is given is not guessed.
+    """
+    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
+    text = F.when(utf8, F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
+    if encoding:
+        text = F.decode("content", encoding)
+    f = files.select("path", text.alias("_text"), F.lit(encoding).alias("encoding") if encoding else F.when(utf8, "UTF-8").otherwise(
+        "ISO-8859-1").alias("encoding"))
+    f = f.select("path", "encoding", F.filter(F.split(F.regexp_replace("_text", "^\ufeff", ""), r"\r\n|\n|\r"),
+                                              lambda line: F.trim(line) != "").alias("lines"))
+    # what stands in quotes does not count
+    f = f.withColumn("_head", F.transform(F.slice("lines", 1, HEAD_LINES), lambda line: F.regexp_replace(line, '"[^"]*+"', "")))
+
+    def candidate(i: int, d: str):
+        counts = F.transform("_head", lambda line: F.length(line) - F.length(F.replace(line, F.lit(d), F.lit(""))))
+        least = F.array_min(counts)
+        return F.when((least > 0) & (least == F.array_max(counts)), F.struct(least.alias("n"), F.lit(-i).alias("i"), F.lit(d).alias("d")))
+
+    best = F.array_max(F.filter(F.array(*[candidate(i, d) for i, d in enumerate(DELIMITERS)]), lambda x: x.isNotNull()))
+    delimiter = F.lit(sep) if sep else F.coalesce(best["d"], F.lit(","))
+    has_header = F.lit(header) if header is not None else F.coalesce(~F.get("lines", 0).rlike(_NUMERIC_TOKEN), F.lit(False))
+    return f.select("path", "encoding", delimiter.alias("delimiter"), has_header.alias("has_header"), "lines")
+
+
+def parsed_lines(lines: DataFrame, schema: T.StructType = HISTORICAL_MAPPING) -> DataFrame:
+    """One row per record of ``file_lines``: path, encoding, delimiter,
+    ``line_no``, ``record`` (typed by ``schema``) and ``malformed`` (the raw
+    line when its fields do not fit the schema, else null).
+
+    Files with different delimiters are read by one plan: each line goes
+    through the parser of its file's delimiter.  A record is a line.
+    """
+    sch = T.StructType([*schema.fields, T.StructField("_malformed", T.StringType())])
+    rows = lines.select("path", "encoding", "delimiter", "has_header", F.posexplode("lines").alias("line_no", "_line"))
+    rows = rows.where(~(F.col("has_header") & (F.col("line_no") == 0)))
+    parse = None
+    for d in DELIMITERS:
+        as_rows = F.from_csv(F.col("_line"), sch.simpleString()[7:-1].replace(":", " "), {
+            "sep": d, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
+        parse = F.when(F.col("delimiter") == d, as_rows) if parse is None else parse.when(F.col("delimiter") == d, as_rows)
+    rows = rows.withColumn("_r", parse)
+    fields = [F.col(f"_r.`{f.name}`").alias(f.name) for f in schema.fields]
+    malformed = F.when(F.col("_r").isNull() | F.col("_r._malformed").isNotNull(), F.col("_line"))
+    return rows.select("path", "encoding", "delimiter", "line_no", F.struct(*fields).alias("record"), malformed.alias("malformed"))
+
+
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType = HISTORICAL_MAPPING,
-                   sep: str = ",", header: bool = True, encoding: str = "UTF-8") -> tuple[DataFrame, DataFrame]:
+                   sep: str = ",", header: bool = True, encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(good, quarantine).  Malformed rows (wrong field count) go to the
-    quarantine side with their raw text; column pruning is not allowed to hide
-    them because the corrupt-record column is always selected first."""
-    sch = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(sch).option("header", header).option("sep", sep).option("encoding", encoding)
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").csv(path)
-          .withColumn("_source_file", F.col("_metadata.file_name")))
-    df = df.cache()  # required by Spark when filtering on the corrupt-record column alone
-    good = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    bad = df.where(F.col("_corrupt_record").isNotNull()).select("_source_file", "_corrupt_record")
-    return good, bad
-
-
-def sniff_delimiter(spark: SparkSession, path: str, lines: int = 20) -> DataFrame:
-    """S8 (deterministic): per file, the candidate delimiter with a constant
-    non-zero count on each of the first ``lines`` lines (highest count wins;
-    comma by default); header = no numeric token in line 1."""
-    t = (spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
-         .withColumn("line_no", F.monotonically_increasing_id()))
-    from pyspark.sql import Window
-    w = Window.partitionBy("file").orderBy("line_no")
-    t = t.withColumn("n", F.row_number().over(w)).where(F.col("n") <= lines)
-    counts = t.select("file", "n", "value", F.inline(F.array(*[
-        F.struct(F.lit(d).alias("delim"), (F.length("value") - F.length(F.replace("value", F.lit(d), F.lit(""))))
-                 .alias("cnt")) for d in DELIMITERS])))
-    per = counts.groupBy("file", "delim").agg(F.min("cnt").alias("mn"), F.max("cnt").alias("mx"))
-    best = (per.where((F.col("mn") == F.col("mx")) & (F.col("mn") > 0))
-            .groupBy("file").agg(F.max(F.struct("mn", "delim")).alias("b")))
-    first = t.where(F.col("n") == 1).select("file", (~F.col("value").rlike(r"(^|[,;\t| ])-?\d+(\.\d+)?([,;\t| ]|$)"))
-                                             .alias("has_header"))
-    return (first.join(best, "file", "left")
-            .select("file", F.coalesce(F.col("b.delim"), F.lit(",")).alias("delimiter"), "has_header"))
+    quarantine side with their raw text."""
+    rows = parsed_lines(file_lines(reference_bytes(spark, path), encoding, sep, header), schema)
+    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("_source_file")
+    good = rows.where(F.col("malformed").isNull()).select("record.*", name)
+    return good, rows.where(F.col("malformed").isNotNull()).select(name, F.col("malformed").alias("_corrupt_record"))
+
+
+def sniff_delimiter(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``delimiter`` and ``has_header`` of every file of a folder."""
+    return file_lines(reference_bytes(spark, path)).select(F.col("path").alias("file"), "delimiter", "has_header")
 
 
 def read_json_reference(spark: SparkSession, path: str) -> DataFrame:
