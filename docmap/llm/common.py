@@ -38,9 +38,16 @@ _RUN = uuid.uuid4().hex[:12]
 _FOLDERS: dict[str, SparkSession] = {}
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+# Spark removes the shuffle files of a query with this setting when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, release_shuffles: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet below ``spark.checkpoint.dir`` and reread it.
 
+    With ``release_shuffles`` the shuffle files of the write are removed on all
+    executors as soon as it is done (the plan of ``df`` is not used again).
+
     This cuts the lineage: later jobs, and tasks rerun after an executor was
     lost, read the written files instead of recomputing ``df``.  The folder
     is shared by driver and executors; ``release`` or the end of the driver
@@ -52,8 +59,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     if base not in _FOLDERS:
         _FOLDERS[base] = spark
         atexit.register(release, spark)
-    df.write.parquet(path)
-    free_shuffles(spark)
+    if release_shuffles:
+        before = spark.conf.get(CLEANUP, None)
+        spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    else:
+        df.write.parquet(path)
+        free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,8 @@ globally on the hash; of a run that occurs more than once, all occurrences
 but the first (least id, then place) are repeats, and every sentence that a
 repeat covers is removed.  Only hashes and places are shuffled, and counts
 are combined before the shuffle, so a passage that a third of the documents
-share costs one partial count per task.
+share costs one partial count per task.  Shuffle files are removed after each
+pass.
 """
 
 from __future__ import annotations
@@ -131,50 +132,80 @@ def runs_of(texts: list[list[str]], min_sentences: int, min_words: int) -> tuple
     return h.view(np.int64), of[first], first - start[of[first]], last - first
 
 
-def text_mark(text: str) -> int:
-    return xxhash.xxh32_intdigest(text) - (1 << 31)
+FILTER_BITS = 27  # a bitmap of 2 ** 27 bits, 16 MB, whatever the size of the corpus
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_id``, ``_x`` (tells rows with one id and different texts apart), ``_text``."""
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_x"), text.alias("_text")).filter("_text IS NOT NULL")
 
 
 def _runs(docs: DataFrame, id_col: str, text_col: str, min_sentences: int, min_words: int) -> DataFrame:
-    """(_h, _id, _x, _i, _n): runs with their documents; ``_x`` tells rows
-    with the same id and different texts apart."""
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_text IS NOT NULL")
+    """(_h, _id, _x, _i, _n): runs with their documents."""
+    rows = _marked(docs, id_col, text_col)
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            texts = part["_text"].to_pylist()
-            marks = np.fromiter(map(text_mark, texts), np.int32, len(texts))
-            h, of, first, size = runs_of(list(map(sentences_of, texts)), min_sentences, min_words)
+            h, of, first, size = runs_of(list(map(sentences_of, part["_text"].to_pylist())), min_sentences, min_words)
+            of = pa.array(of)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h), part["_id"].take(pa.array(of)), pa.array(marks[of]),
-                 pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))], names=["_h", "_id", "_x", "_i", "_n"])
+                [pa.array(h), part["_id"].take(of), part["_x"].take(of), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))],
+                names=["_h", "_id", "_x", "_i", "_n"])
+
+    return rows.mapInArrow(run, f"_h long, _id {kind}, _x long, _i int, _n int")
 
-    return rows.mapInArrow(run, f"_h long, _id {kind}, _x int, _i int, _n int")
+
+def _maybe_among(runs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The runs whose hash may be one of the bitmap's."""
+    shared = runs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch["_h"].to_numpy() & ((1 << FILTER_BITS) - 1)
+            yield batch.filter(pa.array((shared.value[at >> 3] & (1 << (at & 7)).astype(np.uint8)) != 0))
+
+    return runs.mapInArrow(run, runs.schema)
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """Bitmap of the low bits of the hashes, put together by Spark in pieces of
+    4 KB: its size is fixed, and a false hit only costs a row."""
+    at = F.col("_h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) + 1  # buckets hold 1 to 32768, 32769 to 65536, ..
+    pieces = (hashes.select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p"))
+              .groupBy("k").agg(F.bitmap_construct_agg("p").alias("b")).collect())
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for k, b in pieces:
+        out[(k - 1) * 4096:k * 4096] = np.frombuffer(b, np.uint8)
+    return out
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2,
                   min_words: int = 16) -> DataFrame:
-    """(_id, _of): for each document with repeats, the runs to remove as an
-    array of (_x, _i, _n); bounded by the sentences of the document."""
-    runs = _runs(docs, id_col, text_col, min_sentences, min_words)
+    """(_id, _x, _of): for each text with repeats, the runs to remove as an
+    array of (_i, _n); bounded by the sentences of the text.
+
+    The runs are computed once and stored, about ten bytes each.  First their
+    hashes alone are shuffled, to find those that occur twice; then only the
+    runs that a bitmap of these hashes does not rule out; the join is exact.
+    """
+    runs = stored(_runs(docs, id_col, text_col, min_sentences, min_words), "sentence-runs", release_shuffles=True)
+    twice = stored(runs.groupBy("_h").agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").select("_h"), "sentence-hashes", release_shuffles=True)
+    again = stored(_maybe_among(runs, _bitmap(twice)).join(twice, "_h"), "repeated-runs", release_shuffles=True)
     place = F.struct(F.col("_id").isNull().alias("_last"), "_id", "_x", "_i")  # a null id comes last
-    repeated = stored(runs.groupBy("_h").agg(F.count(F.lit(1)).alias("_times"), F.min(place).alias("_first"))
-                      .filter("_times > 1").select("_h", "_first"), "sentence-runs")
-    again = runs.join(repeated, "_h").filter(
-        ~(F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_x") == F.col("_first._x"))
-          & (F.col("_i") == F.col("_first._i"))))
-    return again.groupBy("_id").agg(F.collect_set(F.struct("_x", "_i", "_n")).alias("_of"))
+    first = again.groupBy("_h").agg(F.min(place).alias("_first"))
+    later = again.join(first, "_h").filter(
+        ~(F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_x") == F.col("_first._x")) & (F.col("_i") == F.col("_first._i"))))
+    return stored(later.groupBy("_id", "_x").agg(F.collect_set(F.struct("_i", "_n")).alias("_of")), "sentence-repeats", release_shuffles=True)
 
 
 def cut_runs(text: str, runs: list[dict]) -> tuple[str, int]:
     """(text without the sentences of its runs, sentences removed)."""
-    mark = text_mark(text)
     pieces = sentences_of(text)
     gone = bytearray(len(pieces))
     for r in runs:
-        if r["_x"] == mark:
-            gone[r["_i"]:r["_i"] + r["_n"]] = b"\x01" * r["_n"]
+        gone[r["_i"]:r["_i"] + r["_n"]] = b"\x01" * r["_n"]
     return "".join(p for p, g in zip(pieces, gone, strict=True) if not g), sum(gone)
 
 
@@ -192,7 +223,7 @@ def drop_repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: s
     key, at = f"_c{names.index(id_col)}", names.index(text_col)
     plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     runs = repeated_runs(docs, id_col, text_col, min_sentences, min_words)
-    joined = plain.join(runs, plain[key].eqNullSafe(runs["_id"]), "left").drop("_id")
+    joined = plain.join(runs, plain[key].eqNullSafe(runs["_id"]) & (F.xxhash64(plain[f"_c{at}"]) == runs["_x"]), "left").drop("_id", "_x")
     schema = f"{', '.join(f'_c{i} {t}' for i, (_, t) in enumerate(docs.dtypes))}, _gone int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -130,3 +130,16 @@ def test_short_sentences_that_close_a_passage_go(spark):
     assert out[0] == rows[0][1]
     for i in (1, 2):
         assert out[i] == rows[i][1].replace(shared, "")
+
+
+def test_rows_without_an_id_share_no_array(spark):
+    from docmap.llm.sentence_dedup import repeated_runs
+    shared = prose(77, 60)
+    rows = [(None, f"{prose(1000 + i, 25)} {shared} {prose(5000 + i, 25)}") for i in range(400)] + [(None, None), (None, "")]
+    docs = frame(spark, rows, 6)
+    of = repeated_runs(docs).collect()
+    assert len(of) == 399 and max(len(r["_of"]) for r in of) < 40  # one text's own runs, not those of all rows
+    out = [r.text for r in drop_repeated_sentences(docs).collect()]
+    assert len(out) == len(rows) and None in out and "" in out
+    middle = shared[30:-30]
+    assert sum(middle in t for t in out if t) == 1
