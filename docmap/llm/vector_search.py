@@ -4,8 +4,9 @@ results of all shards merged.
 
 Vectors with the same components are indexed once and carry the least of
 their ids, so a vector that a third of the rows share is one node.  Shards
-are dealt by a hash of the vector and hold a bounded number of nodes; the
-index is a table with one row per shard.  Queries are packed into blocks of
+are dealt by a hash of the vector and hold a bounded number of nodes, and there are at
+least as many as the cluster has cores; the index is a table with one row per
+shard, built and searched by a task each.  Queries are packed into blocks of
 bounded size, and every block meets every shard.  The graphs are searched in
 single precision; what they find is scored in double precision on the
 original components.
@@ -164,22 +165,25 @@ def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 2048):
-            keep, vectors = [], []
             column = part["_list"]
-            for i in range(part.num_rows):
-                values = column[i].values
-                if values is None or values.null_count or not len(values):
-                    continue
-                v = values.to_numpy(zero_copy_only=False)
-                if np.isfinite(v).all() and v.any():
-                    keep.append(i)
-                    vectors.append((v + 0.0).tobytes())  # one zero, not two
+            flat = column.flatten().to_numpy(zero_copy_only=False) + 0.0  # one zero, not two; null is not a number
+            ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy())])
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])[ends]
+            some = np.concatenate([[0], np.cumsum(flat != 0)])[ends]
+            keep = np.flatnonzero((np.diff(bad) == 0) & (np.diff(some) > 0))
+            vectors = [flat[ends[i]:ends[i + 1]].tobytes() for i in keep.tolist()]
             yield pa.RecordBatch.from_arrays([part["_id"].take(pa.array(keep, pa.int64())), pa.array(vectors, pa.binary())],
                                              names=["_id", "_v"])
 
     return rows.mapInArrow(run, f"_id {kind}, _v binary")
 
 
+def shards_for(nodes: int, shard_rows: int, cores: int, least: int = 1000) -> int:
+    """Shards of at most ``shard_rows`` nodes; of fewer, down to ``least``, as
+    long as some core would have none."""
+    return max(1, -(-nodes // shard_rows), min(cores, nodes // least))
+
+
 def build_index(vectors: DataFrame, ids_kept: int, shard_rows: int = 6000, m: int = 12, ef: int = 64) -> DataFrame:
     """Index of (_id, _v): (shard, dim, ids, vectors, levels, base, upper,
     entry), one row per shard and dimension.  ``ids`` holds for each node
@@ -188,7 +192,7 @@ def build_index(vectors: DataFrame, ids_kept: int, shard_rows: int = 6000, m: in
     order = Window.partitionBy("_v").orderBy("_id")
     nodes = stored(vectors.distinct().withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= ids_kept)
                    .groupBy("_v").agg(F.sort_array(F.collect_list("_id")).alias("_ids")), "vector-nodes")
-    shards = max(1, -(-nodes.count() // shard_rows))
+    shards = shards_for(nodes.count(), shard_rows, vectors.sparkSession.sparkContext.defaultParallelism)
     kind = vectors.schema["_id"].dataType.simpleString()
     rows = nodes.withColumn("shard", F.pmod(F.xxhash64("_v"), F.lit(shards))).withColumn("dim", F.octet_length("_v"))
 
@@ -206,7 +210,9 @@ def build_index(vectors: DataFrame, ids_kept: int, shard_rows: int = 6000, m: in
 
     schema = (f"shard long, dim int, ids array<array<{kind}>>, vectors binary, levels binary, base binary, "
               "upper binary, entry int")
-    return stored(rows.groupBy("shard", "dim").applyInArrow(run, schema), "vector-index")
+    # dealt by number, so that each task has about one shard to build
+    dealt = rows.repartitionByRange(shards, "shard")
+    return stored(dealt.groupBy("shard", "dim").applyInArrow(run, schema), "vector-index")
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, m: int = 12, ef: int = 128,
@@ -220,7 +226,12 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, m: int = 12, ef:
     grouped = (queries.withColumn("dim", F.octet_length("_v"))
                .withColumn("block", F.pmod(F.xxhash64("_id"), F.lit(blocks)))
                .groupBy("dim", "block").agg(F.collect_list(F.struct("_id", "_v")).alias("queries")))
-    met = grouped.join(index, "dim").select("ids", "vectors", "levels", "base", "upper", "entry", "queries")
+    # the join is by dimension and shard, and every pair of a block and a shard is
+    # a unit of work of its own
+    held = index.select("dim", "shard")
+    pairs = grouped.join(held, "dim").join(index, ["dim", "shard"])
+    met = pairs.repartition(min(100_000, max(1, blocks * held.count())), "shard", "block").select(
+        "ids", "vectors", "levels", "base", "upper", "entry", "queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 1):
