@@ -40,7 +40,6 @@ from docmap.llm.components import components
 
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # fixed values of a public 64-bit finaliser
 STEP = 0x9E3779B97F4A7C15
-SET_BYTES = 6  # of each shingle's hash, in sets that are compared with one other set
 
 
 class WordHashes(dict):
@@ -98,7 +97,15 @@ def prefix_of(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    """``_id``, ``_x`` (tells rows with one id, or none, and different texts
+    apart), ``_text``."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_x"), text.alias("_text"))
+
+
+def _least() -> Column:
+    """The first row by id (without an id: last), then by the text's digest."""
+    return F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_x").alias("x")))
 
 
 def frequent_shingles(texts: DataFrame, k: int, at_least: int = 8, at_most: int = 1_000_000,
@@ -142,7 +149,7 @@ def _digest(data: bytes) -> int:
 
 
 def keyed_documents(texts: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(_id, n, cls, grp, prefix) of every document: size and digest of its
+    """(_id, _x, n, cls, grp, prefix) of every document: size and digest of its
     set, digest of prefix and size, and the prefix in the shingles' order.
     Without words the digests are null."""
     kind = texts.schema["_id"].dataType.simpleString()
@@ -160,39 +167,35 @@ def keyed_documents(texts: DataFrame, k: int, percent: int, frequent: np.ndarray
                 grp.append(_digest(p.tobytes() + len(s).to_bytes(8, "little")) if len(s) else None)
                 prefixes.append(p.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part["_id"], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(grp, pa.int64()),
-                 pa.array(prefixes, pa.list_(pa.int64()))], names=["_id", "n", "cls", "grp", "prefix"])
+                [part["_id"], part["_x"], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(grp, pa.int64()),
+                 pa.array(prefixes, pa.list_(pa.int64()))], names=["_id", "_x", "n", "cls", "grp", "prefix"])
 
-    return texts.mapInArrow(run, f"_id {kind}, n long, cls long, grp long, prefix array<long>")
+    return texts.mapInArrow(run, f"_id {kind}, _x long, n long, cls long, grp long, prefix array<long>")
 
 
 def sets_of(texts: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(cls, s): the set of each class in ``wanted`` (_id, cls), as bytes."""
-    rows = texts.join(wanted.withColumnRenamed("_id", "_want"), texts["_id"].eqNullSafe(F.col("_want"))).select("cls", "_text")
+    """(cls, s): the set of each class in ``wanted`` (_id, _x, cls), as bytes;
+    a class has a row for each copy of the one row that stands for it."""
+    want = wanted.toDF("_wid", "_wx", "cls")
+    rows = texts.join(want, texts["_id"].eqNullSafe(F.col("_wid")) & (texts["_x"] == F.col("_wx"))).select("cls", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = worker_state(("shingles",), WordHashes)
         for part in slices(batches):
             keep, sets = [], []
             for cls, text in zip(part["cls"].to_pylist(), part["_text"].to_pylist(), strict=True):
-                s = shingle_set(text, k, hashes)
-                if len(s) and _digest(s.tobytes()) == cls:  # else another row with the same id
+                s = shingle_set(text, k, hashes).tobytes()
+                if s and _digest(s) == cls:  # else another text with the same id and digest
                     keep.append(cls)
-                    sets.append((s >> np.uint64(64 - 8 * SET_BYTES)).view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes())
+                    sets.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "s"])
 
     return rows.mapInArrow(run, "cls long, s binary")
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // SET_BYTES, 8), np.uint8)
-    out[:, :SET_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, SET_BYTES)
-    return out.view(np.uint64).ravel()
-
-
 def similar(a: bytes, b: bytes, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union."""
-    x, y = _unpack(a), _unpack(b)
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     both = np.concatenate([x, y])
     both.sort()
     shared = int((both[1:] == both[:-1]).sum())
@@ -234,7 +237,7 @@ def cap_of(n: Column, place: Column, percent: int) -> Column:
 
 @dataclass
 class Classes:
-    """Results of the join: ``documents`` (_id, n, cls), ``links`` (a, b):
+    """Results of the join: ``documents`` (_id, _x, n, cls), ``links`` (a, b):
     verified class pairs, ``labels`` (cls, comp)."""
     documents: DataFrame
     links: DataFrame | None
@@ -247,10 +250,11 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     classes whose similarity reaches ``percent``."""
     texts = _texts(docs, id_col, text_col)
     keyed = stored(keyed_documents(texts, k, percent, frequent_shingles(texts, k)), "shingle-keys")
-    documents = keyed.select("_id", "n", "cls")
-    # one row for each class, with the least id that is not null (or null)
+    documents = keyed.select("_id", "_x", "n", "cls")
+    # one row for each class, with its first row by id and text
     classes = keyed.filter("cls IS NOT NULL").groupBy("cls").agg(
-        F.min("_id").alias("_id"), F.first("n").cast("int").alias("n"), F.first("grp").alias("grp"))
+        _least().alias("f"), F.first("n").cast("int").alias("n"), F.first("grp").alias("grp")).select(
+        "cls", F.col("f.id").alias("_id"), F.col("f.x").alias("_x"), "n", "grp")
     # groups are listed under the shingles of their prefix; a group of several
     # classes also has a list of its own, named by its digest
     listed = keyed.select(F.col("n").cast("int").alias("n"), "grp", F.posexplode("prefix").alias("place", "token")).select(
@@ -298,10 +302,12 @@ def join_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
         if sets is not None:
             ends = ends.join(sets.select("cls"), "cls", "left_anti")
-        wanted = stored(active.join(ends, "cls", "left_semi").select("_id", "cls"), "wanted")
+        wanted = stored(active.join(ends, "cls", "left_semi").select("_id", "_x", "cls"), "wanted")
         n_wanted = wanted.count()
         if n_wanted:
             more = stored(sets_of(texts, F.broadcast(wanted) if n_wanted <= broadcast_rows else wanted, k), "shingle-sets")
+            if more.count() > n_wanted:  # a row that stands for its class has copies
+                more = stored(more.dropDuplicates(["cls"]), "shingle-sets")
             sets = more if sets is None else sets.unionByName(more)
         if sets is not None:
             new = stored(verified(pairs, sets, percent), "links")
@@ -328,6 +334,17 @@ def merge_labels(labels: DataFrame | None, new: DataFrame) -> DataFrame:
                   .select("cls", F.coalesce("new", "comp").alias("comp")), "labels")
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """(_id, _x, n, comp, first): every row with the component of its class
+    and the first row of it by id and text (both null without words)."""
+    found = join_classes(docs, id_col, text_col, k, percent)
+    rows = found.documents
+    with_comp = rows.withColumn("comp", F.col("cls")) if found.labels is None else (
+        rows.join(found.labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
+    least = stored(with_comp.filter("comp IS NOT NULL").groupBy("comp").agg(_least().alias("first")), "least-ids")
+    return with_comp.join(least, "comp", "left").select("_id", "_x", "n", "comp", "first")
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
                           percent: int = 85) -> DataFrame:
     """One row per document: ``id_col``, ``n_shingles``, ``component_id``,
@@ -340,21 +357,26 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     with each other; an empty table gives an empty result; other columns are
     ignored.  Two sets count as the same when their 64-bit digests agree.
     """
-    found = join_classes(docs, id_col, text_col, k, percent)
-    rows = found.documents
-    with_comp = rows.withColumn("comp", F.col("cls")) if found.labels is None else (
-        rows.join(found.labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
-    least = stored(with_comp.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("_id").alias("_least")), "least-ids")
-    return with_comp.join(least, "comp", "left").select(
+    return _components(docs, id_col, text_col, k, percent).select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("comp").isNull(), F.col("_id")).otherwise(F.col("_least")).alias("component_id"))
+        F.when(F.col("comp").isNull(), F.col("_id")).otherwise(F.col("first.id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4,
                      percent: int = 85) -> DataFrame:
-    """The documents with the least id of each component, with all columns;
-    documents without an id stay when their component has no other.  Rows
-    that repeat the id that stays all stay if their texts are equal."""
-    marked = similarity_components(docs, id_col, text_col, k, percent)
-    dropped = marked.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+    """Of each component the first row by id (a null id last), then by a digest
+    of the text; with all columns, whatever their names.
+
+    Defined results: rows that repeat the id and the text that stay all stay;
+    of rows with one id and different texts each is judged by its own text; a
+    row without words (a null text too) stays; an empty table gives an empty
+    result.
+    """
+    gone = (_components(docs, id_col, text_col, k, percent).filter("comp IS NOT NULL")
+            .filter(~(F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("_x") == F.col("first.x"))))
+            .select(F.col("_id").alias("_gone_id"), F.col("_x").alias("_gone_x")).distinct())
+    names = docs.columns
+    plain = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    text = F.coalesce(plain[f"_c{names.index(text_col)}"], F.lit(""))
+    same = plain[f"_c{names.index(id_col)}"].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(text) == gone["_gone_x"])
+    return plain.join(gone, same, "left_anti").toDF(*names)
