@@ -4,15 +4,18 @@ A page is cut into blocks of text at block-level tags.  The first pass
 labels a block from its stop-word density, length and link density as good,
 bad, or (when short or in between) undecided.  In the second pass an
 undecided block takes the label of its nearest decided neighbours.  Text
-inside elements that never hold the article (navigation, footers, forms,
-scripts, ...) is no block at all.  Names of elements (adverts, comments, ...)
-and article tags are evidence only, which more good text overrules.
+inside elements that are never shown as text (scripts, styles, drawings, ...)
+is no block at all.  Tags and names of elements (forms, navigation, adverts,
+comments, ...) and article tags are evidence only, which more good text
+overrules.  Where the stop words fit no text of the page, the words that the
+page itself repeats take their place.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,9 +30,11 @@ BLOCK_TAGS = frozenset(
     "figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript "
     "ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 RAW_TAGS = frozenset("script style textarea title noscript template iframe noembed noframes xmp".split())
-HIDDEN_TAGS = frozenset(
-    "nav footer aside form menu button select dialog head object embed canvas svg audio video figure figcaption "
-    "label fieldset input option".split())
+HIDDEN_TAGS = frozenset("head svg math select option optgroup".split())
+# Elements beside the article, unless they hold nearly all good text of the page.
+FRAME_TAGS = frozenset("nav footer menu dialog".split())
+PART_TAGS = frozenset("form fieldset label button aside header object canvas audio video".split())
+REPEATED_TAGS = frozenset("p li dt dd tr td th option".split())  # a new one ends an open one
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words in a class, id or role that mark parts beside the article.
@@ -56,13 +61,17 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I | re.S)
 NAME_PARTS = re.compile(r"[a-z]+")
 CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW_TAGS}
+LINK_TAG = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+HREF = re.compile(r"(?:^|[\s\"'])href\s*=", re.I)
 LETTERS = re.compile(r"[^\W\d_]+")
+# Letters of scripts written without spaces: each counts as a word.
+UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
 
 GOOD, BAD, UNDECIDED = 1, 0, -1
 
 
-# How far a name speaks against an element: a part of it, its last part, or all of it is in BESIDE.
-PART, LAST, WHOLE = 0, 1, 2
+# How far a name speaks against an element: a part of it, its last part, or all of it is in BESIDE; or its tag does.
+PART, LAST, WHOLE, TAG = 0, 1, 2, 3
 Names = frozenset[tuple[int, str]]
 
 
@@ -95,10 +104,12 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool, Names]]:
     text: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, Names]] = []  # open elements that are hidden or count: (tag, hidden, names)
+    opened: Counter[str] = Counter()  # tags on the stack
     around: list[Names] = [frozenset()]  # names of all open elements, after each element that has some
     outer: list[tuple[list[str], int] | None] = []  # for each of those, the unfinished block around it if inline
-    hidden = links = article = 0
-    heading = False
+    hidden = article = 0
+    heading = link = ends_at_block = False  # in a link; in one without an end tag of its own
+    never_closed: set[str] = set()  # tags without a further end tag on the page
 
     def flush() -> None:
         nonlocal linked, text
@@ -115,6 +126,30 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool, Names]]:
         if (rest := outer.pop()) is not None:
             text, linked = rest
 
+    def enter(tag: str, none: bool, names: Names) -> None:
+        nonlocal hidden, article
+        stack.append((tag, none, names))
+        opened[tag] += 1
+        hidden += none
+        article += tag in ("article", "main")
+
+    def close(tag: str) -> None:
+        nonlocal hidden, article
+        while opened[tag]:
+            name, was_hidden, names = stack.pop()
+            opened[name] -= 1
+            if names:
+                leave()
+            hidden -= was_hidden
+            article -= name in ("article", "main")
+            if name == tag:
+                break
+
+    def is_closed(tag: str, at: int) -> bool:
+        if tag not in never_closed and not re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at):
+            never_closed.add(tag)
+        return tag not in never_closed
+
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.match(page, at)
@@ -125,7 +160,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool, Names]]:
             if token[0] != "<" or token == "<":
                 if not hidden:
                     text.append(token)
-                    if links:
+                    if link:
                         linked += len(token)
             elif token.startswith("<![CDATA[") and not hidden:
                 text.append(html.escape(token[9:].removesuffix("]]>")))
@@ -135,19 +170,12 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool, Names]]:
         if tag in BLOCK_TAGS:
             flush()
             heading = not closing and tag in HEADINGS
+            link = link and not ends_at_block
         elif tag == "br" and not hidden:
             text.append(" ")
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    for name, was_hidden, names in reversed(stack[i:]):
-                        if names:
-                            leave()
-                        hidden -= was_hidden
-                        links -= name == "a"
-                        article -= name in ("article", "main")
-                    del stack[i:]
-                    break
+            link = link and tag != "a"
+            close(tag)
             continue
         if tag in RAW_TAGS:  # its content is text up to the closing tag
             end = CLOSING[tag].search(page, at)
@@ -155,40 +183,76 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool, Names]]:
             continue
         if tag in VOID_TAGS:
             continue
+        if stack and ((stack[-1][0] == "p" and tag in BLOCK_TAGS) or (stack[-1][0] == tag and tag in REPEATED_TAGS)):
+            close(stack[-1][0])
+        if tag == "a":
+            close(tag)
+            link = bool(HREF.search(m[3]))
+            following = LINK_TAG.search(page, at) if link else None
+            ends_at_block = following is None or not following[1]
         none, names = (False, frozenset()) if tag in ("html", "body", "article", "main") else beside_names(m[3])
-        none = none or tag in HIDDEN_TAGS or (tag == "header" and not article)
+        if (none or tag in HIDDEN_TAGS) and not hidden:
+            none = tag in REPEATED_TAGS or is_closed(tag, at)
+        if tag in FRAME_TAGS:
+            names |= {(WHOLE, f"<{tag}>")}
+        elif tag in PART_TAGS and not (tag == "header" and article):
+            names |= {(TAG, f"<{tag}>")}
         if none or hidden:
             names = frozenset()
         if names:
             outer.append(None if tag in BLOCK_TAGS else (text, linked))
             text, linked = [], 0
             around.append(around[-1] | names)
-        if none or names or tag in ("a", "article", "main", "header"):
-            stack.append((tag, none, names))
-            hidden += none
-            links += tag == "a"
-            article += tag in ("article", "main")
-        elif (hidden or outer) and tag not in ("p", "li", "tr", "td", "th", "dt", "dd"):
-            stack.append((tag, False, names))  # so that a closing tag inside does not end the hidden element
-        elif any(name == tag for name, _, _ in stack):
-            stack.append((tag, False, names))
+        if none or names or tag in ("article", "main", "header"):
+            enter(tag, none, names)
+        elif (hidden or outer) and tag not in REPEATED_TAGS:
+            enter(tag, False, names)  # so that a closing tag inside does not end the hidden element
+        elif opened[tag]:
+            enter(tag, False, names)
     while outer:
         leave()
     flush()
     return out
 
 
-def first_pass(text: str, linked: int, stop_words: frozenset[str], clauses: bool = False, short: int = 70,
-               long: int = 200, low: float = 0.15, high: float = 0.25, max_links: float = 0.33) -> int:
+def words_of(text: str) -> list[str]:
+    """Lower-case words; letters of scripts without spaces are words each."""
+    text = text.lower()
+    return LETTERS.findall(UNSPACED.sub(r" \g<0> ", text) if UNSPACED.search(text) else text)
+
+
+def size(text: str) -> int:
+    """Characters, where those of scripts without spaces count three times."""
+    return len(text) if text.isascii() else len(text) + 2 * len(UNSPACED.findall(text))
+
+
+def fitting_stop_words(blocks: list[tuple[str, int, bool, bool, Names]], words: list[list[str]],
+                       stop_words: frozenset[str], short: int = 70, low: float = 0.15,
+                       max_links: float = 0.33) -> tuple[frozenset[str], bool]:
+    """(stop words, whether they are the given ones): where less than ``low``
+    of the words in the page's plain blocks are given ones, those that the
+    page repeats, of at most four letters, take their place."""
+    plain = [of for (text, linked, *_), of in zip(blocks, words, strict=True) if linked <= max_links * len(text)
+             and size(text) >= short]
+    if sum(w in stop_words for of in plain for w in of) >= low * sum(map(len, plain)):
+        return stop_words, True
+    return frozenset(w for w, k in Counter(w for of in plain for w in of).items() if k > 1 and len(w) <= 4), False
+
+
+def first_pass(text: str, linked: int, words: list[str], stop_words: frozenset[str], clauses: bool = False,
+               given: bool = True, short: int = 70, long: int = 200, low: float = 0.15, high: float = 0.25, max_links: float = 0.33) -> int:
     """Label of a block by link density, length and stop-word density; a
-    short copyright line is bad, where (c) is none after a ``(b)``."""
+    short copyright line is bad, where (c) is none after a ``(b)``.  Long
+    text is good whatever its words if the stop words are not the ``given``
+    ones."""
     if linked > max_links * len(text):
         return BAD
     if text[0] == "©" and len(text) < long:
         return BAD
-    if len(text) < short:
+    if size(text) < short:
         return BAD if text.startswith("(c)") and not clauses else UNDECIDED
-    words = LETTERS.findall(text.lower())
+    if not given and size(text) >= long:
+        return GOOD
     density = sum(w in stop_words for w in words) / max(len(words), 1)
     if density >= high:
         return GOOD
@@ -237,9 +301,10 @@ def standing_names(blocks: list[tuple[str, int, bool, bool, Names]], labels: lis
     Good text in named elements is weighed against the good text outside:
     where it is more, the names around it say nothing on this page and are
     taken back, the largest first (of names inside each other the outer
-    ones), until the text outside is more.  Names that are in ``BESIDE`` as a
-    whole are only taken back if there is hardly any good text outside, and
-    a few words only if there is no other text at all.
+    ones), until the text outside is more.  Tags are taken back for three
+    times as much good text, names that are in ``BESIDE`` as a whole only if
+    there is hardly any good text outside, and a few words only if there is
+    no other text at all.
     """
     names: Names = frozenset().union(*(b[4] for b in blocks))
     if not names:
@@ -252,13 +317,16 @@ def standing_names(blocks: list[tuple[str, int, bool, bool, Names]], labels: lis
             left = around & names
             others = others or (not left and label != BAD)
             if label == weigh:
-                held[left] = held.get(left, 0) + len(text)
+                held[left] = held.get(left, 0) + size(text)
         plain = held.pop(frozenset(), 0)
 
         def free(some: Names, plain: int = plain, held: dict[Names, int] = held, others: bool = others) -> bool:
             if held[some] <= plain or (others and held[some] < long):
                 return False
-            return all(tier != WHOLE for tier, _ in some) or (plain < long <= held[some])
+            tiers = {tier for tier, _ in some}
+            if WHOLE in tiers:
+                return plain < long <= held[some]
+            return TAG not in tiers or (held[some] >= long and held[some] > 3 * plain)
 
         most = max(filter(free, held), key=held.__getitem__, default=None)
         if most is None:
@@ -272,8 +340,10 @@ def main_text(page: str, stop_words: frozenset[str] = STOP_WORDS, long: int = 20
     """The good blocks, joined by a line feed."""
     blocks = blocks_of(page)
     labels, clauses = [], False
-    for text, linked, _, _, _ in blocks:
-        labels.append(first_pass(text, linked, stop_words, clauses))
+    words = [words_of(b[0]) for b in blocks]
+    stop_words, given = fitting_stop_words(blocks, words, stop_words)
+    for (text, linked, *_), of in zip(blocks, words, strict=True):
+        labels.append(first_pass(text, linked, of, stop_words, clauses, given))
         clauses = clauses or "(b)" in text
     names = standing_names(blocks, labels)
     # left out, but for long good blocks where only a part of a name speaks against them
