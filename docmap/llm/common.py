@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docmap.session import ensure_checkpoint_dir, ensure_worker_code
 
@@ -97,11 +98,38 @@ def release(spark: SparkSession) -> None:
 def slices(batches: Iterator, rows: int = 256) -> Iterator:
     """Arrow batches in pieces of at most ``rows`` rows, so that the Python
     copies of long texts stay few at a time.  The many small lists and strings
-    made from them hold no cycles, so cyclic garbage collection is off."""
+    made from them hold no cycles, so cyclic garbage collection is off until the
+    last batch is done."""
+    before = gc.isenabled()
     gc.disable()
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+    try:
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                yield batch.slice(start, rows)
+    finally:
+        if before:
+            gc.enable()
+
+
+def least_hashed(rows: DataFrame, group: str, key: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows of each group, those with the least hashes of
+    their (distinct) keys, with ``_rank`` and the group's ``_size``.
+
+    Only rows with a hash in the least ``2 * limit / _size`` of the range are
+    ranked, so that no task gets more of a large group than about twice the
+    limit; if that left too few of a group, all rows are ranked.
+    """
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    sized = rows.join(sizes, group).withColumn("_hash", F.xxhash64(key))
+    place = F.col("_hash").cast("double") / float(2 ** 64) + 0.5
+    order = Window.partitionBy(group).orderBy("_hash", key)
+
+    def ranked(some: DataFrame) -> DataFrame:
+        return some.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit).drop("_hash")
+
+    few = ranked(sized.filter(place <= F.lit(2.0 * limit) / F.col("_size")))
+    due = sizes.agg(F.sum(F.least("_size", F.lit(limit)))).first()[0] or 0
+    return few if few.count() == due else ranked(sized)
 
 
 def gram_buckets(words: list[str], buckets: int, sizes: tuple[int, ...] = (2, 3, 4)) -> tuple[np.ndarray, np.ndarray]:

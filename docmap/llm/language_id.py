@@ -24,9 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from docmap.llm.common import gram_buckets, slices, worker_state
+from docmap.llm.common import gram_buckets, least_hashed, slices, worker_state
 
 # Unicode ranges of scripts (first letter of a word decides).
 SCRIPTS = (
@@ -75,9 +74,7 @@ def sample_labelled(docs: DataFrame, id_col: str, lang_col: str, per_lang: int,
     ``at_most`` in all: those with the least hashes of their ids."""
     keys = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    ranked = keys.distinct().withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_lang)
-    return ranked.orderBy("_rank", "_lang").limit(at_most).select("_id", "_lang")
+    return least_hashed(keys.distinct(), "_lang", "_id", per_lang).orderBy("_rank", "_lang").limit(at_most).select("_id", "_lang")
 
 
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

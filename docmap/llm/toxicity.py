@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from docmap.llm.common import gram_buckets, slices, stored, worker_state
+from docmap.llm.common import gram_buckets, least_hashed, slices, stored, worker_state
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -67,11 +66,8 @@ def sample_labels(labels: DataFrame, id_col: str, label_col: str, per_class: int
     the classes.  An id with several labels counts with the largest."""
     one = (labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
            .groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_label")))
-    sizes = one.groupBy("_label").agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id")
-    chosen = one.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_class)
-    return chosen.join(F.broadcast(sizes), "_label").select(
-        "_id", "_label", (F.col("_n") / F.least(F.col("_n"), F.lit(per_class))).alias("_weight"))
+    return least_hashed(one, "_label", "_id", per_class).select(
+        "_id", "_label", (F.col("_size") / F.least("_size", F.lit(per_class))).alias("_weight"))
 
 
 def fit_logistic(rows: list[np.ndarray], swapped: list[np.ndarray | None], y: np.ndarray, weight: np.ndarray,

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from docmap.llm.common import least_hashed
 from docmap.llm.language_id import (Model, WordScores, fit_language_model, label_languages, label_text, script_of,
                                     single_language, viterbi)
 from tests.llm.helpers import AWKWARD, frame
@@ -91,3 +92,18 @@ def test_small_cache_gives_the_same_scores():
     model = Model(["a", "b", "c"], scores, np.ones((3, 15), bool))
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100)] * 3
     assert np.array_equal(WordScores(model, 8).of(words), WordScores(model).of(words))
+
+
+def test_sample_is_the_least_hashes_of_each_group(spark):
+    rows = spark.range(20_000).selectExpr("id AS k", "CASE WHEN id % 100 = 0 THEN 'b' WHEN id % 3 = 0 THEN 'c' ELSE 'a' END AS g")
+    for limit in (1, 50, 300, 20_000):
+        got = least_hashed(rows, "g", "k", limit)
+        assert "_hash" not in got.columns
+        want = rows.selectExpr("k", "g", "xxhash64(k) AS h", "count(*) OVER (PARTITION BY g) AS n").collect()
+        for g in "abc":
+            ordered = sorted((r.h, r.k) for r in want if r.g == g)[:limit]
+            mine = [r for r in got.collect() if r.g == g]
+            assert sorted(r.k for r in mine) == sorted(k for _, k in ordered)
+            assert {r["_size"] for r in mine} == {sum(r.g == g for r in want)}
+            assert sorted(r["_rank"] for r in mine) == list(range(1, len(mine) + 1))
+    assert least_hashed(rows.filter("k < 0"), "g", "k", 5).count() == 0
