@@ -64,6 +64,25 @@ def test_a_batch_that_runs_again_adds_nothing(spark, tmpdir_path):
     assert rows == [("a.xml", 1, False, "<S>1</S>"), ("a.xml", 2, True, "<S>changed</S>"), ("b.xml", 1, True, "<S>2</S>")]
 
 
+def test_many_small_files_are_one_batch(spark, tmpdir_path):
+    inbox, bronze, ckpt = (os.path.join(tmpdir_path, x) for x in ("in", "bronze", "ckpt"))
+    os.makedirs(inbox)
+    for i in range(1100):
+        write(f"{inbox}/{i}.xml", b"<S>%d</S>" % i)
+    run_inbox(spark, inbox, bronze, ckpt)
+    assert [d for d in os.listdir(bronze) if "=" in d] == ["batch_id=0"] and spark.read.parquet(bronze).count() == 1100
+    run_inbox(spark, inbox, f"{bronze}-by-number", f"{ckpt}-by-number", max_files_per_trigger=600)
+    assert sorted(d for d in os.listdir(f"{bronze}-by-number") if "=" in d) == ["batch_id=0", "batch_id=1"]
+
+
+def test_files_are_dropped_by_many_tasks(spark, tmpdir_path):
+    from docmap.plans.source_queries import _drop_into
+    files = spark.range(60).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("file"), F.lit("<S/>").alias("value"))
+    _drop_into(files, tmpdir_path, 1)
+    made = [f for _, _, names in os.walk(f"{tmpdir_path}/drop=1") for f in names if f.startswith("part-")]
+    assert len(made) == 60 and len({f.split("-")[1] for f in made}) > 1
+
+
 def ledger(spark, n=200):
     return spark.range(n).select(F.col("id").alias("k"), F.lit("Pending").alias("status"), F.lit(None).cast("string").alias("note"))
 
