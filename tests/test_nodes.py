@@ -107,3 +107,25 @@ def test_path_summary_equals_node_rows(spark):
         F.count(F.lit(1)).alias("o"), F.count_distinct("xml_id").alias("d")).collect()}
     assert fast.pop("!unparsed") == (1, 1)  # documents that do not parse are reported
     assert fast == slow and fast["/Session/Data/Coverages/Coverage"] == (6, 2)
+
+
+def test_counted_nodes_equal_node_rows(spark):
+    ns = '<a:S xmlns:a="u" xmlns:b="v"><a:T k="1">1</a:T><b:T k="1">1</b:T><a:T/></a:S>'
+    d = _docs(spark, FX.POLICY, FX.NAMESPACED, FX.TRUNCATED, ns, FX.POLICY, None).repartition(2)
+    every = xml_nodes(d)
+    for by in (["node_path", "text"], ["node_path", "attributes"], ["node_path", "node_name"], ["depth"], ["text", "attributes"]):
+        counted = xml_nodes(d, by=by)
+        assert counted.columns == [*by, "parse_error", "n"]
+        got = counted.groupBy(*by, "parse_error").agg(F.sum("n").alias("n"))
+        want = every.groupBy(*by, "parse_error").agg(F.count(F.lit(1)).alias("n"))
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    same = xml_nodes(_docs(spark, *[FX.POLICY] * 50).coalesce(1), by=["node_path", "text"])
+    assert same.count() < 25 and same.agg(F.sum("n")).first()[0] == 50 * len(_reference_paths(FX.POLICY))
+
+
+def test_node_profile_of_counted_nodes(spark):
+    d = _docs(spark, FX.POLICY, FX.TRUNCATED)
+    cols = ["node_path", "parent_path", "data_type", "sample_value"]
+    want = node_profile(xml_nodes(d)).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
+    got = node_profile(xml_nodes(d, by=["node_path", "text"])).groupBy(*cols).agg(F.sum("n").alias("n"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
