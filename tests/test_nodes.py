@@ -129,3 +129,26 @@ def test_node_profile_of_counted_nodes(spark):
     want = node_profile(xml_nodes(d)).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
     got = node_profile(xml_nodes(d, by=["node_path", "text"])).groupBy(*cols).agg(F.sum("n").alias("n"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_text_types_in_tasks_are_those_of_the_expression(spark):
+    import random
+    from docmap.functions.types import infer_type
+    from docmap.functions.xmlnodes import text_type
+    from docmap.plans.queries import EDGE_CASES
+    rnd = random.Random(5)
+    parts = ["1", "23", "_", ".", "e", "E", "+", "-", "nan", "INF", "Infinity", "T", ":", "yes", "True", " ", "\t", "\u0085", " ", "٣", "K", "x", "2025-10-05"]
+    texts = [None, *EDGE_CASES, *("".join(rnd.choices(parts, k=rnd.randint(1, 5))) for _ in range(4000))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", infer_type("t").alias("want")).collect()
+    assert [(r.t, r.want) for r in rows if text_type(r.t) != r.want] == []
+
+
+def test_document_profile_gives_the_metadata_of_node_rows(spark):
+    from docmap.operators.nodes import document_profile
+    other = "<Session><A>1</A><A/></Session>"
+    d = _docs(spark, FX.POLICY, FX.NAMESPACED, FX.TRUNCATED, other, None).unionByName(_docs(spark, other, FX.POLICY)).repartition(3)
+    want = document_metadata(node_profile(xml_nodes(d)))
+    got = document_metadata(document_profile(d))
+    assert got.columns == want.columns and got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert document_profile(d).count() == 7  # a row for each document, not for each element
