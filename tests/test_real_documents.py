@@ -186,3 +186,21 @@ def test_hot_order_of_equal_items_becomes_many_documents(spark):
     assert sum(r.n for r in got) == 20_000 and sum(r.n for r in hot) == 19_000
     assert max(r.n for r in hot) <= testbed.RECORDS_PER_PART + 1 and len(hot) > 1000
     assert len({r.p for r in hot}) >= 8
+
+
+def test_records_are_joined_where_they_were_grouped(spark):
+    """Whole and split orders, orders without line items, and null keys keep their documents."""
+    items = spark.range(60).select(
+        F.when(F.col("id") < 40, 7).when(F.col("id") < 58, F.col("id")).cast("bigint").alias("l_orderkey"), F.lit(1).alias("l_linenumber"),
+        F.when(F.col("id") != 50, 5).cast("bigint").alias("l_partkey"), F.lit(6).cast("bigint").alias("l_suppkey"), F.lit(1.0).alias("l_quantity"),
+        F.lit(2.0).alias("l_extendedprice"), F.lit(0.0).alias("l_discount"), F.lit(0.0).alias("l_tax"), F.lit("N").alias("l_returnflag"),
+        F.lit("O").alias("l_linestatus"), F.lit("1998-01-01").cast("timestamp").alias("l_shipdate"))
+    orders = spark.createDataFrame([(7, "a"), (41, "b"), (41, "again"), (50, "c"), (900, "no lines"), (None, "null")], "o_orderkey long, name string")
+    split = testbed.split_orders(items)
+    assert [tuple(r) for r in split.collect()] == [(7, 3)]  # the null key is no order
+    docs = testbed.parts_of_orders(orders, items, split, keep_empty=True)
+    got = sorted((r.name, str(r.part), r.n) for r in docs.select("name", "part", F.coalesce(F.size("recs"), F.lit(0)).alias("n")).collect() if r.name != "a")
+    none = [n for *_, n in got if n <= 0]
+    assert [g[:2] for g in got] == [("again", "0"), ("b", "0"), ("c", "None"), ("no lines", "0"), ("null", "0")] and len(none) == 2
+    assert docs.where("name = 'a'").agg(F.sum(F.size("recs")), F.count("part")).first() == (40, 3)
+    assert testbed.parts_of_orders(orders, items, split, keep_empty=False).where("recs IS NULL").count() == 0
