@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from docmap.functions import transform as tx
 from docmap.functions.types import coerce_by_rule, coerce_declared, name_rule
 from docmap.functions.xmlnodes import Wanted
-from docmap.session import ensure_worker_code
+from docmap.session import ensure_worker_code, written
 
 # ------------------------------------------------------------------ X1 / X2
 def is_surrogate_key(col: Column) -> Column:
@@ -109,18 +109,25 @@ def read_paths(docs: DataFrame, paths: list[str], key_cols: list[str], root: str
     ``record_index`` (running number, null where an ancestor has no record)
     and ``record_ordinals`` (its number among its siblings at every step).
     """
+    return read_tables(docs, [(paths, record_path)], key_cols, root, raw_col).drop("table")
+
+
+def read_tables(docs: DataFrame, wanted: list[tuple[list[str], str | None]], key_cols: list[str], root: str = "Session",
+                raw_col: str = "raw_xml") -> DataFrame:
+    """``read_paths`` for several (paths, record path) by one parse of every
+    document; ``table`` is the place in ``wanted`` that a row belongs to."""
     ensure_worker_code(docs.sparkSession)
-    levels, steps = compile_paths(paths, root, record_path)
+    tables = [(*compile_paths(paths, root, record_path), len(paths)) for paths, record_path in wanted]
     src = docs.select(*key_cols, raw_col)
-    n, width = len(paths), max(1, len(paths))
+    width = max(1, *[n for *_, n in tables])
     types = T.StructType([src.schema[k] for k in key_cols] + [
-        T.StructField("parse_error", T.StringType()), T.StructField("record_index", T.IntegerType()),
+        T.StructField("table", T.IntegerType()), T.StructField("parse_error", T.StringType()), T.StructField("record_index", T.IntegerType()),
         T.StructField("record_ordinals", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.StringType()))])
     out_schema = to_arrow_schema(types)
 
     def fn(batches):
         from docmap.functions.xmlnodes import local_name, parse, record_rows
-        source, rows = [], {c: [] for c in ("parse_error", "record_index", "record_ordinals", "values")}
+        source, rows = [], {c: [] for c in ("table", "parse_error", "record_index", "record_ordinals", "values")}
 
         def flush(part):
             at = pa.array(source, pa.int32())
@@ -139,22 +146,25 @@ def read_paths(docs: DataFrame, paths: list[str], key_cols: list[str], root: str
                     doc, error = parse(raw)
                     if doc is not None and local_name(doc.tag) != root:
                         error = f"other document element: {local_name(doc.tag)}"
-                    if error is not None:
-                        source.append(i)
-                        for c, v in (("parse_error", error), ("record_index", None), ("record_ordinals", None), ("values", [None] * n)):
-                            rows[c].append(v)
-                        continue
-                    count = 0
-                    for ordinals, values in record_rows(doc, levels, steps, n):
-                        whole = bool(steps) and ordinals[-1] is not None
-                        source.append(i)
-                        rows["parse_error"].append(None)
-                        rows["record_index"].append(count if whole else None)
-                        rows["record_ordinals"].append(ordinals)
-                        rows["values"].append(values)
-                        count += whole
-                        if len(source) * width >= VALUES_PER_BATCH:
-                            yield flush(part)
+                    for table, (levels, steps, n) in enumerate(tables):
+                        if error is not None:
+                            source.append(i)
+                            for c, v in (("table", table), ("parse_error", error), ("record_index", None), ("record_ordinals", None),
+                                         ("values", [None] * n)):
+                                rows[c].append(v)
+                            continue
+                        count = 0
+                        for ordinals, values in record_rows(doc, levels, steps, n):
+                            whole = bool(steps) and ordinals[-1] is not None
+                            source.append(i)
+                            rows["table"].append(table)
+                            rows["parse_error"].append(None)
+                            rows["record_index"].append(count if whole else None)
+                            rows["record_ordinals"].append(ordinals)
+                            rows["values"].append(values)
+                            count += whole
+                            if len(source) * width >= VALUES_PER_BATCH:
+                                yield flush(part)
                 if source:
                     yield flush(part)
 
@@ -210,6 +220,12 @@ def project(docs: DataFrame, mappings: list[CompiledMapping], key_cols: list[str
     documents gives the typed rows and the ledger of those that failed.
     """
     stage = read_paths(docs, [m.source_node for m in mappings], key_cols, root, raw_col, record_path)
+    return _project(stage, mappings, key_cols, mode, record_path, strings, empty_as_blank, with_status, with_ordinals)
+
+
+def _project(stage: DataFrame, mappings: list[CompiledMapping], key_cols: list[str], mode: str, record_path: str | None, strings: bool = False,
+             empty_as_blank: bool = False, with_status: bool = False, with_ordinals: bool = False) -> DataFrame:
+    """``project`` of the values that ``read_paths`` has read."""
     extra = (["record_index"] if record_path else []) + (["record_ordinals"] if with_ordinals else [])
     if with_status:
         extra.append("parse_error")
@@ -301,11 +317,20 @@ def load_tables(docs: DataFrame, mappings: DataFrame, tables: list[str], key_col
     is written, so give ``write`` (table name, rows) to have errors of that
     time in the status as well, with ``rows_written`` and the documents that
     did not parse, both counted while the rows are written; without it only
-    the plans are checked and these are null.
+    the plans are checked and these are null.  To be written, the values of all
+    tables are read by one parse of every document and kept by table, so that
+    the documents are not built and parsed again for each.
     """
-    order_cols = order_cols or ["ord"]
-    frames, status = {}, []
-    for t in tables:
+    order_cols, paths_of = order_cols or ["ord"], record_paths or {}
+    frames, status = {}, [None] * len(tables)
+    compiled_for = {}  # place in ``tables`` -> usable mappings, errors of the others
+
+    def failed(i: int, e: Exception) -> None:
+        frames.pop(tables[i], None)
+        compiled_for.pop(i, None)
+        status[i] = (tables[i], "FAILED", str(e), 0, None, None)
+
+    for i, t in enumerate(tables):
         try:
             m = first_wins(mappings.where(F.upper("target_table") == t.upper()), order_cols)
             compiled = collect_mappings(m, order_cols)
@@ -313,9 +338,28 @@ def load_tables(docs: DataFrame, mappings: DataFrame, tables: list[str], key_col
             good = [c for c in compiled if errors[c.target_column] is None]
             bad = [f"{c}: {e}" for c, e in errors.items() if e is not None]
             if not good:
-                status.append((t, "NO_COLUMNS", "; ".join(bad) or "no mapped columns", 0, None, None))
+                status[i] = (t, "NO_COLUMNS", "; ".join(bad) or "no mapped columns", 0, None, None)
                 continue
-            rows = project(docs, good, key_cols, root=root, mode=mode, record_path=(record_paths or {}).get(t), with_status=True)
+            compile_paths([c.source_node for c in good], root, paths_of.get(t))
+            compiled_for[i] = (good, bad)
+        except Exception as e:  # noqa: BLE001 - isolate the table, report the error
+            failed(i, e)
+    stage = None
+    if write is not None and len(compiled_for) > 1:
+        try:
+            read = read_tables(docs, [([c.source_node for c in good], paths_of.get(tables[i])) for i, (good, _) in compiled_for.items()],
+                               key_cols, root)
+            stage = written(read, "table-values", by=["table"])
+        except Exception as e:  # noqa: BLE001 - no table can be read
+            for i in list(compiled_for):
+                failed(i, e)
+    for place, (i, (good, bad)) in enumerate(list(compiled_for.items())):
+        t = tables[i]
+        try:
+            if stage is None:
+                rows = project(docs, good, key_cols, root=root, mode=mode, record_path=paths_of.get(t), with_status=True)
+            else:
+                rows = _project(stage.where(F.col("table") == place), good, key_cols, mode, paths_of.get(t), with_status=True)
             seen = None
             if write is not None:
                 seen = Observation()
@@ -325,10 +369,9 @@ def load_tables(docs: DataFrame, mappings: DataFrame, tables: list[str], key_col
             if write is not None:
                 write(t, frames[t])
             counted = (seen.get["rows"], seen.get["unparsed"]) if seen else (None, None)
-            status.append((t, "PARTIAL" if bad else "OK", "; ".join(bad) or None, len(good), *counted))
+            status[i] = (t, "PARTIAL" if bad else "OK", "; ".join(bad) or None, len(good), *counted)
         except Exception as e:  # noqa: BLE001 - isolate the table, report the error
-            frames.pop(t, None)
-            status.append((t, "FAILED", str(e), 0, None, None))
+            failed(i, e)
     st = docs.sparkSession.createDataFrame(status, "target_table string, status string, error string, columns int, rows_written long, "
                                                    "unparsed_documents long")
     return frames, st

@@ -173,3 +173,29 @@ def test_cdata_text_kept_child_markup_dropped(spark):
                                            ["xml_id"]).collect()}
     assert rows["d0"].note == "<raw> & text"
     assert rows["d1"].item is None
+
+
+def test_tables_are_written_from_one_reading_of_the_documents(spark, tmp_path):
+    from pyspark.sql import functions as F
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def built(raw):
+        read.add(1)
+        return raw
+    raws = ["<S><A>1</A><R><V>1</V></R><R><V>2</V></R></S>", "<S><A>x</A></S>", "<S>", None]
+    docs = spark.createDataFrame(list(enumerate(raws)), "id int, raw string").select("id", built.asNondeterministic()("raw").alias("raw_xml"))
+    m = spark.createDataFrame([("/S/A", "P", "amount", None, "INT", 0), ("/S/R/V", "C", "value", None, "INT", 1), ("/S/A", "D", "a", None, "STRING", 2),
+                               ("/S/A", "X", "a", None, "STRING", 3)],
+                              "source_node string, target_table string, target_column string, transformation_logic string, target_type string, ord int")
+    at = lambda t: str(tmp_path / t)
+    spark.range(1).write.parquet(at("D"))  # this one cannot be written
+    frames, status = X.load_tables(docs, m, ["P", "D", "none", "C", "X"], ["id"], root="S", record_paths={"C": "/S/R", "X": "/other"},
+                                   write=lambda t, rows: rows.write.parquet(at(t)))
+    assert read.value == len(raws)
+    rows = [(r.target_table, r.status, r.rows_written, r.unparsed_documents) for r in status.collect()]
+    assert rows == [("P", "OK", 2, 2), ("D", "FAILED", None, None), ("none", "NO_COLUMNS", None, None), ("C", "OK", 3, 2), ("X", "FAILED", None, None)]
+    assert sorted(frames) == ["C", "P"] and "parse_error" not in frames["P"].columns and "table" not in frames["P"].columns
+    assert sorted((r.id, r.amount) for r in spark.read.parquet(at("P")).collect()) == [(0, 1), (1, None)]
+    got = [(r.id, r.record_index, r.value) for r in spark.read.parquet(at("C")).collect()]
+    assert sorted(got, key=str) == [(0, 0, 1), (0, 1, 2), (1, None, None)]
