@@ -152,3 +152,18 @@ def test_document_profile_gives_the_metadata_of_node_rows(spark):
     assert got.columns == want.columns and got.schema.simpleString() == want.schema.simpleString()
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert document_profile(d).count() == 7  # a row for each document, not for each element
+
+
+def test_json_values_open_only_elements_with_children(monkeypatch):
+    from docmap.functions import xmlnodes as N
+    opened = []
+    monkeypatch.setattr(N, "iter", lambda el: opened.append(el.tag) or (el[i] for i in range(len(el))), raising=False)
+    raw = "<S a='1'>t<A>1</A><A/><A b='2'>x</A><B> </B><C><A>2</A><D/></C>tail<C c='3'/></S>"
+    root = ET.fromstring(raw)
+    want_a = {"@attributes": {"a": "1"}, "#text": "t", "A": ["1", {}, {"@attributes": {"b": "2"}, "#text": "x"}], "B": {},
+              "C": [{"A": "2", "D": {}}, {"@attributes": {"c": "3"}}]}
+    want_b = {"a": "1", "_text": "t", "A": ["1", None, "x"], "B": " ", "C": [{"A": "2", "D": None}, {"c": "3"}]}
+    assert N.to_value(root, "a") == want_a and opened == ["S", "C"]
+    assert N.to_value(root, "b") == want_b and opened == ["S", "C"] * 2
+    # names that come once, twice and three times, in the order of their first
+    assert list(N._grouped([("x", [1]), ("y", 1), ("x", [2]), ("x", 3), ("y", None)]).items()) == [("x", [[1], [2], 3]), ("y", [1, None])]
