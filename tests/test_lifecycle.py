@@ -106,3 +106,18 @@ def test_partitions_for(spark):
     small = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     assert partitions_for(small) == floor
     assert partitions_for(small, bytes_per_partition=1024, expansion=10) > floor
+
+
+def test_reconcile_groups_exact_values_as_they_are(spark):
+    s = spark.createDataFrame([(1, Decimal("1.00"), 2), (1, None, 2), (2, Decimal("3.50"), None)], "k int, v decimal(9,2), w int")
+    t = spark.createDataFrame([(1, Decimal("1.00"), 2), (1, None, 2), (2, Decimal("3.60"), None)], "k int, v decimal(9,2), w int")
+    plan = QL.key_differences(s, t, ["k"], ["v", "w"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in plan.lower() and "structstojson" not in plan.lower()
+    r = QL.reconcile(s, t, ["k"], ["v", "w"]).first()
+    assert (r.match_count, r.mismatch_count, r.status) == (2, 1, "DIFFERENCES")
+    assert '{\\"v\\":3.50,\\"w\\":null}' in r.details.toJson()
+    # types that differ, and numbers that are equal but not written alike, are compared as text
+    d = s.select("k", F.col("v").cast("decimal(9,3)").alias("v"), "w")
+    assert QL.reconcile(s.where("v = 1"), d.where("v = 1"), ["k"], ["v"]).first().match_count == 0
+    zero = spark.sql("SELECT 1 AS k, 0.0D AS v")
+    assert QL.reconcile(zero, zero.selectExpr("k", "-v AS v"), ["k"], ["v"]).first().match_count == 0
