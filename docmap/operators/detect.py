@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
+from operator import attrgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,7 +74,7 @@ def max_score(p) -> float:
 
 
 # A parser drops comments, processing instructions and the prolog.
-_NOT_CONTENT = re.compile(r"<!--.*?-->|<\?.*?\?>", re.DOTALL)
+_NOT_CONTENT = re.compile(r"<(?:!--.*?--|\?.*?\?)>", re.DOTALL)
 
 
 def document_text(raw: str) -> str:
@@ -141,20 +142,21 @@ EVIDENCE_TYPE = T.StructType([
     T.StructField("attribute_matches", T.ArrayType(T.LongType()))])
 
 
+_TAG = attrgetter("tag")
+
+
 def document_terms(raw: str | None):
-    """[(kind, lower-cased term)] in document order, each once; None when the
-    document does not parse."""
+    """[(kind, lower-cased term)], tags and then attribute names, of each kind in
+    document order and each once; None when the document does not parse."""
     from docmap.functions.xmlnodes import local_name, parse
     root, _ = parse(raw)
     if root is None:
         return None
-    seen: dict[tuple[str, str], None] = {}
-    for el in root.iter():
-        if isinstance(el.tag, str):
-            seen.setdefault(("node", local_name(el.tag).lower()))
-            for a in el.attrib:
-                seen.setdefault(("attr", local_name(a).lower()))
-    return list(seen)
+    # names as they are written are told apart first, by far fewer steps of Python
+    tags = dict.fromkeys(map(_TAG, root.iter()))
+    attributes = dict.fromkeys(a for el in root.iter() for a in el.keys())
+    return list(dict.fromkeys([("node", local_name(t).lower()) for t in tags if isinstance(t, str)]
+                              + [("attr", local_name(a).lower()) for a in attributes]))
 
 
 def term_evidence(raw: str | None, patterns: TermPatterns, keywords=None, codes=None) -> tuple:

@@ -130,3 +130,13 @@ def test_documents_that_do_not_parse_have_no_product(spark):
     assert rows[1].product_code == "PA001" and rows[1].raw_score > 8
     assert all(rows[i].product_code is None and rows[i].confidence == 0.0 for i in (2, 3, 4))
     assert rows[2].raw_score is None and rows[3].product_name is None and rows[4].raw_score == 0.0
+
+
+def test_names_are_compared_once_each(monkeypatch):
+    from docmap.functions import xmlnodes as N
+    named, local_name = [], N.local_name
+    monkeypatch.setattr(N, "local_name", lambda t: named.append(t) or local_name(t))
+    raw = "<S xmlns:n='u'>" + "<A id='1'><b Id='2'/><n:B n:id='3'/></A>" * 50 + "<z y='1'/></S>"
+    assert D.document_terms(raw) == [("node", "s"), ("node", "a"), ("node", "b"), ("node", "z"), ("attr", "id"), ("attr", "y")]
+    assert len(named) == 9  # S, A, b, {u}B, z and id, Id, {u}id, y
+    assert D.document_text("<?xml v?><A><!-- <?B?> --><?c --> ?>D<!-- open <?x") == "<a>d<!-- open <?x"
