@@ -83,6 +83,29 @@ def test_files_are_dropped_by_many_tasks(spark, tmpdir_path):
     assert len(made) == 60 and len({f.split("-")[1] for f in made}) > 1
 
 
+def test_dropped_files_share_folders_and_hold_their_text(spark, tmpdir_path):
+    from docmap.plans.source_queries import DROP_FOLDERS, _drop_into
+    files = spark.range(600).select(F.format_string("f%d.xml", "id").alias("file"), F.when(F.col("id") > 0, F.format_string("<S>é%d</S>", "id")).alias("value"))
+    _drop_into(files, tmpdir_path, 2)
+    _drop_into(files, tmpdir_path, 2)  # tasks that run again put the same files in place
+    found = [(at, f) for at, _, names in os.walk(f"{tmpdir_path}/drop=2") for f in names]
+    assert len({at for at, _ in found}) <= DROP_FOLDERS < len(found) == 600  # no folder, checksum or hidden rest per file
+    text = {f.split("-", 2)[2]: open(f"{at}/{f}", encoding="utf-8").read() for at, f in found}
+    assert text == {"f0.xml": "\n"} | {f"f{i}.xml": f"<S>é{i}</S>\n" for i in range(1, 600)}
+
+
+def test_small_files_are_landed_by_few_tasks(spark, tmpdir_path):
+    inbox, bronze, ckpt = (os.path.join(tmpdir_path, x) for x in ("in", "bronze", "ckpt"))
+    os.makedirs(inbox)
+    for i in range(1100):
+        write(f"{inbox}/{i}.xml", b"<S>%d</S>" % i)
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    run_inbox(spark, inbox, bronze, ckpt)
+    parts = [f for f in os.listdir(f"{bronze}/batch_id=0") if f.endswith(".parquet")]
+    assert len(parts) <= 2 * spark.sparkContext.defaultParallelism and spark.read.parquet(bronze).count() == 1100
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost  # the session's own setting is back
+
+
 def ledger(spark, n=200):
     return spark.range(n).select(F.col("id").alias("k"), F.lit("Pending").alias("status"), F.lit(None).cast("string").alias("note"))
 
