@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from docmap.functions import transform as tx
 from docmap.functions.types import coerce_by_rule, coerce_declared, name_rule
 from docmap.functions.xmlnodes import Wanted
+from docmap.operators.nodes import one_pass
 from docmap.session import ensure_worker_code, written
 
 # ------------------------------------------------------------------ X1 / X2
@@ -109,66 +109,70 @@ def read_paths(docs: DataFrame, paths: list[str], key_cols: list[str], root: str
     ``record_index`` (running number, null where an ancestor has no record)
     and ``record_ordinals`` (its number among its siblings at every step).
     """
-    return read_tables(docs, [(paths, record_path)], key_cols, root, raw_col).drop("table")
+    return one_pass(docs, {"paths": path_reader(docs, paths, key_cols, root, record_path)}, raw_col, with_name=False).drop("table")
+
+
+def path_reader(docs: DataFrame, paths: list[str], key_cols: list[str], root: str = "Session", record_path: str | None = None) -> TableReader:
+    """The reader of ``read_paths``, for ``nodes.one_pass`` over ``docs``."""
+    return TableReader(docs.select(*key_cols).schema, [(paths, record_path)], root)
 
 
 def read_tables(docs: DataFrame, wanted: list[tuple[list[str], str | None]], key_cols: list[str], root: str = "Session",
                 raw_col: str = "raw_xml") -> DataFrame:
     """``read_paths`` for several (paths, record path) by one parse of every
     document; ``table`` is the place in ``wanted`` that a row belongs to."""
-    ensure_worker_code(docs.sparkSession)
-    tables = [(*compile_paths(paths, root, record_path), len(paths)) for paths, record_path in wanted]
-    src = docs.select(*key_cols, raw_col)
-    width = max(1, *[n for *_, n in tables])
-    types = T.StructType([src.schema[k] for k in key_cols] + [
-        T.StructField("table", T.IntegerType()), T.StructField("parse_error", T.StringType()), T.StructField("record_index", T.IntegerType()),
-        T.StructField("record_ordinals", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.StringType()))])
-    out_schema = to_arrow_schema(types)
-
-    def fn(batches):
-        from docmap.functions.xmlnodes import local_name, parse, record_rows
-        source, rows = [], {c: [] for c in ("table", "parse_error", "record_index", "record_ordinals", "values")}
-
-        def flush(part):
-            at = pa.array(source, pa.int32())
-            done = pa.RecordBatch.from_arrays(
-                [part.column(k).take(at).cast(out_schema.field(k).type) for k in key_cols]
-                + [pa.array(v, out_schema.field(c).type) for c, v in rows.items()], schema=out_schema)
-            source.clear()
-            for v in rows.values():
-                v.clear()
-            return done
-
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                for i, raw in enumerate(part.column(raw_col).to_pylist()):
-                    doc, error = parse(raw)
-                    if doc is not None and local_name(doc.tag) != root:
-                        error = f"other document element: {local_name(doc.tag)}"
-                    for table, (levels, steps, n) in enumerate(tables):
-                        if error is not None:
-                            source.append(i)
-                            for c, v in (("table", table), ("parse_error", error), ("record_index", None), ("record_ordinals", None),
-                                         ("values", [None] * n)):
-                                rows[c].append(v)
-                            continue
-                        count = 0
-                        for ordinals, values in record_rows(doc, levels, steps, n):
-                            whole = bool(steps) and ordinals[-1] is not None
-                            source.append(i)
-                            rows["table"].append(table)
-                            rows["parse_error"].append(None)
-                            rows["record_index"].append(count if whole else None)
-                            rows["record_ordinals"].append(ordinals)
-                            rows["values"].append(values)
-                            count += whole
-                            if len(source) * width >= VALUES_PER_BATCH:
-                                yield flush(part)
-                if source:
-                    yield flush(part)
-
-    return src.mapInArrow(fn, types)
+    return one_pass(docs, {"tables": TableReader(docs.select(*key_cols).schema, wanted, root)}, raw_col, with_name=False)
+
+
+class TableReader:
+    """The reader (``nodes.one_pass``) of ``read_tables``; ``keys`` are the key
+    columns of the documents."""
+
+    def __init__(self, keys: T.StructType, wanted: list[tuple[list[str], str | None]], root: str = "Session"):
+        self.key_cols, self.root = keys.names, root
+        self.tables = [(*compile_paths(paths, root, record_path), len(paths)) for paths, record_path in wanted]
+        self.width = max(1, *[n for *_, n in self.tables])
+        self.schema = T.StructType(keys.fields + [
+            T.StructField("table", T.IntegerType()), T.StructField("parse_error", T.StringType()), T.StructField("record_index", T.IntegerType()),
+            T.StructField("record_ordinals", T.ArrayType(T.IntegerType())), T.StructField("values", T.ArrayType(T.StringType()))])
+
+    def open(self) -> None:
+        self.source, self.rows = [], {c: [] for c in ("table", "parse_error", "record_index", "record_ordinals", "values")}
+
+    def add(self, part, i: int, doc, error: str | None):
+        from docmap.functions.xmlnodes import local_name, record_rows
+        source, rows = self.source, self.rows
+        if doc is not None and local_name(doc.tag) != self.root:
+            error = f"other document element: {local_name(doc.tag)}"
+        for table, (levels, steps, n) in enumerate(self.tables):
+            if error is not None:
+                source.append(i)
+                for c, v in (("table", table), ("parse_error", error), ("record_index", None), ("record_ordinals", None),
+                             ("values", [None] * n)):
+                    rows[c].append(v)
+                continue
+            count = 0
+            for ordinals, values in record_rows(doc, levels, steps, n):
+                whole = bool(steps) and ordinals[-1] is not None
+                source.append(i)
+                rows["table"].append(table)
+                rows["parse_error"].append(None)
+                rows["record_index"].append(count if whole else None)
+                rows["record_ordinals"].append(ordinals)
+                rows["values"].append(values)
+                count += whole
+                if len(source) * self.width >= VALUES_PER_BATCH:
+                    yield from self.end(part)
+
+    def end(self, part):
+        if self.source:
+            at = pa.array(self.source, pa.int32())
+            columns = [part.column(k).take(at) for k in self.key_cols] + list(self.rows.values())
+            self.open()
+            yield columns
+
+    def close(self):
+        return ()
 
 
 @dataclass

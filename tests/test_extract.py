@@ -4,7 +4,7 @@ import datetime as dt
 from decimal import Decimal
 
 from docmap.operators import extract as X
-from docmap.operators.nodes import xml_nodes
+from docmap.operators.nodes import NodeCounter, one_pass, xml_nodes
 from tests import fixtures as FX
 
 
@@ -80,6 +80,36 @@ def test_transform_in_projection_and_malformed_docs(spark):
     assert flat == {"d1", "d2", "d3", "d4"}  # both ways agree; only extraction asks for a document element
 
 
+def test_two_readers_share_one_parse(spark):
+    texts = [FX.POLICY, FX.NAMESPACED, FX.TRUNCATED, None, "<Other a='1'><b/><b>x</b></Other>", FX.LEAF_AND_PARENT_2] * 100
+    docs, by = _docs(spark, *texts).repartition(3), ["node_path", "attributes", "text", "depth"]
+    readers = {"paths": X.path_reader(docs, ["/Session/Data/Policy/PolicyNumber", "Data/Coverages/Coverage/@id"], ["xml_id"], record_path="Data/Coverages/Coverage"),
+               "nodes": NodeCounter(by)}
+    rows = one_pass(docs, readers)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    found = {}
+    for r in rows.collect():
+        found.setdefault(r.reader, []).append(r)
+    alone = X.read_paths(docs, ["/Session/Data/Policy/PolicyNumber", "Data/Coverages/Coverage/@id"], ["xml_id"], record_path="Data/Coverages/Coverage")
+    cols = alone.columns
+    assert sorted(str([r[c] for c in cols]) for r in found["paths"]) == sorted(str([r[c] for c in cols]) for r in alone.collect())
+
+    def total(counted):  # counts are of some documents each
+        n = {}
+        for r in counted:
+            k = str([r[c] for c in (*by, "parse_error")])
+            n[k] = n.get(k, 0) + r.n
+        return n
+    assert total(found["nodes"]) == total(xml_nodes(docs, by=by).collect())
+    assert sum(r.n for r in found["nodes"] if r.depth == 1 or r.parse_error) == len(texts) == len({r.xml_id for r in found["paths"]})
+
+
+def test_parse_ledger_builds_every_document_once(spark):
+    from docmap.plans.queries import parse_ledger
+    plan = parse_ledger(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # orders and accounts
+
+
 def test_first_wins_and_surrogate_keys(spark):
     m = spark.createDataFrame([
         (0, "POLICY", "POLICY_ID", "/a"), (1, "POLICY", "STATUS", "/b"), (2, "POLICY", "STATUS", "/c"),
